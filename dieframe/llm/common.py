@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,10 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
 
+# Functions of this package travel to the executors by value, so that they needn't have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -77,10 +82,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def pack(bucket: np.ndarray, owner: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, list]:
+def pack(bucket: np.ndarray, owner: np.ndarray, values: dict[str, np.ndarray], of_owner: dict[str, np.ndarray] | None = None) -> dict[str, list]:
     """One row per bucket: the owners in it, how many values each has, and the values' bytes.
 
     owner is grouped (equal owners stand together); values are arrays of one fixed-size item per element.
+    of_owner has what all elements of an owner share; it is kept once an owner.
     Rows of a few bytes each would cost more in row headers than in content; this keeps the same hash
     shuffle at a fraction of its bytes.
     """
@@ -97,15 +103,26 @@ def pack(bucket: np.ndarray, owner: np.ndarray, values: dict[str, np.ndarray]) -
     item = np.append(run, len(bucket))
     owners = owner[run].astype(np.int64)
     values = {k: np.ascontiguousarray(v[order]) for k, v in values.items()}
-    out: dict[str, list] = {"bucket": bucket[run][first].astype(np.int32).tolist(), "owner": [], "n": []} | {k: [] for k in values}
+    shared = {k: v[order][run] for k, v in (of_owner or {}).items()}
+    out: dict[str, list] = {"bucket": bucket[run][first].astype(np.int32).tolist(), "owner": [], "n": []} | {k: [] for k in [*values, *shared]}
     for a, b in zip(edge[:-1], edge[1:]):
         out["owner"].append(owners[a:b].tobytes())
         out["n"].append(count[a:b].tobytes())
         for k, v in values.items():
             out[k].append(v[item[a] : item[b]].tobytes())
+        for k, v in shared.items():
+            out[k].append(v[a:b].tobytes())
     return out
 
 
+def batch_of(rows: dict[str, list], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[k], kind) for k, kind in kinds.items()], names=[*kinds])
+
+
+def packed_batch(rows: dict[str, list], *values: str) -> pa.RecordBatch:
+    return batch_of(rows, bucket=pa.int32(), owner=pa.binary(), n=pa.binary(), **dict.fromkeys(values, pa.binary()))
+
+
 def joined(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 

@@ -21,20 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, joined, mix, pack, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
+from .common import U, batch_of, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
 
 SEED = 0xD6E8FEB86659FD93
 PACKED = "bucket int, owner binary, n binary, "
 
 
-def _batch(rows: dict[str, list], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[k], kind) for k, kind in kinds], names=[k for k, _ in kinds])
-
-
-def _packed_batch(rows: dict[str, list], *values: str) -> pa.RecordBatch:
-    return _batch(rows, [("bucket", pa.int32()), ("owner", pa.binary()), ("n", pa.binary()), *((v, pa.binary()) for v in values)])
-
-
 def _anchor(h: np.ndarray, block: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 31-bit key of each window of block words."""
     w = rolling(h, block)
@@ -58,7 +50,7 @@ def _probes(window: int, block: int, buckets: int):
                 keys.append((each & 0xFFFFFFFF).astype(np.uint32))
                 owner.append(np.full(len(each), doc, np.int64))
             if bucket:
-                yield _packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"keys": np.concatenate(keys)}), "keys")
+                yield packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"keys": np.concatenate(keys)}), "keys")
 
     return run
 
@@ -114,7 +106,7 @@ def _candidates(window: int, block: int, buckets: int):
                 two.append((w2 & U(0xFFFFFFFF)).astype(np.uint32))
                 owner.append(np.full(len(w1), doc, np.int64))
             if bucket:
-                yield _packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one), "two": np.concatenate(two)}), "one", "two")
+                yield packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one), "two": np.concatenate(two)}), "one", "two")
 
     return run
 
@@ -157,7 +149,7 @@ def _kept(window: int, with_text: bool):
                 rows["ranges"].append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
                 rows["kept"].append(kept.decode("utf-8", "surrogatepass") if with_text else None)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield _batch(rows, [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("ranges", span), ("kept", pa.string())])
+            yield batch_of(rows, doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept_sha256=pa.string(), ranges=span, kept=pa.string())
 
     return run
 
