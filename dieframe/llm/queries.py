@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op1_bpe
+from .mixing import OP5_SQL, op5_mixing
 from .ngram_jaccard import op10_ngram_jaccard
 from .substring_dedup import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_mixing": op5_mixing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": OP5_SQL,
+}
