@@ -3,7 +3,7 @@
 Every document puts its non-overlapping blocks of 7 words into an index, and probes that index with each of
 its rolling windows of 7 words. A passage of 13 words holds a whole aligned block wherever it starts
 (13 >= 2 * 7 - 1), so each repeated passage shows up as a hit. Around hits only, all 13-word windows are
-compared under a 96-bit hash, and those met first in a smaller document are removed; overlapping windows
+compared under two hashes (64 bits, and the bucket of another), and those met first in a smaller document are removed; overlapping windows
 join into the maximal exact repeat.
 
 Index and probes meet in hash buckets; a bucket row holds 4 bytes a probe. A document gives each distinct
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,19 @@ def _probes(window: int, block: int, buckets: int):
     return run
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as zstd, for the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for part in slices(batches):
+        packed = [press.compress(x.encode("utf-8", "surrogatepass")) if x else None for x in part.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
+
+
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    open_ = zstandard.ZstdDecompressor()
+    return (open_.decompress(x) if x else b"" for x in column.to_pylist())
+
+
 def _by_owner(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
     order = np.argsort(owner, kind="stable")
     owner, values = owner[order], values[order]
@@ -87,9 +101,9 @@ def _windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 def _candidates(window: int, block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            bucket, owner, one, two = [], [], [], []
-            for doc, text, hits in zip(*(part.column(i).to_pylist() for i in range(3))):
-                words = words_of(text)
+            bucket, owner, one = [], [], []
+            for doc, text, hits in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
+                words = text.split()
                 if len(words) < window:
                     continue
                 b, k = _anchor(word_hashes(words), block, buckets)
@@ -100,25 +114,21 @@ def _candidates(window: int, block: int, buckets: int):
                 near = many[span:] > many[:-span]
                 w1, w2 = _windows(words, window)
                 w1, first = np.unique(w1[near], return_index=True)
-                w2 = w2[near][first]
-                bucket.append(((w2 >> U(32)) % U(buckets)).astype(np.int64))
+                bucket.append(((w2[near][first] >> U(32)) % U(buckets)).astype(np.int64))
                 one.append(w1)
-                two.append((w2 & U(0xFFFFFFFF)).astype(np.uint32))
                 owner.append(np.full(len(w1), doc, np.int64))
             if bucket:
-                yield packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one), "two": np.concatenate(two)}), "one", "two")
+                yield packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one)}), "one")
 
     return run
 
 
 def _repeated(t: pa.Table) -> pa.Table:
     """Of one bucket: for each document, its windows that a smaller document has too."""
-    owner, v = unpack(t, {"one": U, "two": np.uint32})
-    order = np.lexsort((v["two"], v["one"]))
-    owner, one, two = owner[order], v["one"][order], v["two"][order]
-    new = np.ones(len(one), bool)
-    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-    at = np.flatnonzero(new)
+    owner, v = unpack(t, {"one": U})
+    order = np.argsort(v["one"], kind="stable")
+    owner, one = owner[order], v["one"][order]
+    at = runs(one)
     low = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(one)))) if len(at) else owner
     docs, keys = _by_owner(owner[low < owner], one[low < owner])
     return pa.table({"doc": pa.array(docs, pa.int64()), "windows": pa.array(keys, pa.binary())})
@@ -137,8 +147,8 @@ def _kept(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "ranges", "kept")}
-            for doc, text, found in zip(*(part.column(i).to_pylist() for i in range(3))):
-                words = words_of(text)
+            for doc, text, found in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
+                words = text.split()
                 gone = _covered(words, found, window)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
@@ -176,14 +186,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         .groupBy("bucket").applyInArrow(_hits, "doc long, bucket int, keys binary")
         .groupBy("doc").agg(F.collect_list(F.struct("bucket", "keys")).alias("hits"))
     )
+    packed = known.mapInArrow(_shrink, "doc long, packed binary")
     again = (
-        known.join(hits, "doc")
-        .mapInArrow(_candidates(window, block, buckets), PACKED + "one binary, two binary")
+        packed.join(hits, "doc")
+        .mapInArrow(_candidates(window, block, buckets), PACKED + "one binary")
         .groupBy("bucket").applyInArrow(_repeated, "doc long, windows binary")
         .groupBy("doc").agg(F.collect_list("windows").alias("windows"))
     )
-    rest = texts.filter(F.col("doc").isNull()).withColumn("windows", F.lit(None).cast("array<binary>"))
-    return known.join(again, "doc", "left").unionByName(rest).mapInArrow(
+    rest = texts.filter(F.col("doc").isNull()).mapInArrow(_shrink, "doc long, packed binary").withColumn("windows", F.lit(None).cast("array<binary>"))
+    return packed.join(again, "doc", "left").unionByName(rest).mapInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<start: long, end: long>>, kept string"
     )
 
