@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op1_bpe
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_jaccard import op10_ngram_jaccard
+from .secrets import op3_secrets
 from .substring_dedup import op2_substring_dedup
+from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_secrets": op3_secrets,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
