@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .maxscore import OP9_SQL, op9_maxscore
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_jaccard import op10_ngram_jaccard
 from .secrets import op3_secrets
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op4_toxicity
+from .warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -19,9 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op8_warc": op8_warc,
+    "op9_maxscore": op9_maxscore,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
+    "op9_maxscore": OP9_SQL,
 }
