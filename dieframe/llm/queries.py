@@ -14,6 +14,7 @@ from .secrets import op3_secrets
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op4_toxicity
 from .warc import op8_warc
+from .webp import op7_webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op7_webp": op7_webp,
     "op8_warc": op8_warc,
     "op9_maxscore": op9_maxscore,
     "op10_ngram_jaccard": op10_ngram_jaccard,
