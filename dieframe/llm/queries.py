@@ -12,6 +12,7 @@ from .mixing import OP5_SQL, op5_mixing
 from .ngram_jaccard import op10_ngram_jaccard
 from .secrets import op3_secrets
 from .substring_dedup import op2_substring_dedup
+from .tool_calls import OP6_SQL, op6_tool_calls
 from .toxicity import op4_toxicity
 from .warc import op8_warc
 from .webp import op7_webp
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_tool_calls": op6_tool_calls,
     "op7_webp": op7_webp,
     "op8_warc": op8_warc,
     "op9_maxscore": op9_maxscore,
@@ -30,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
+    "op6_tool_calls": OP6_SQL,
     "op9_maxscore": OP9_SQL,
 }
