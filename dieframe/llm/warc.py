@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +30,13 @@ def base32(digest: bytes) -> str:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds size and digest of each payload."""
+    """Adds size and digest of each payload, which goes on as zstd for the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
     for part in slices(batches):
         payloads = [(x or "").encode("utf-8", "surrogatepass") for x in part.column("payload").to_pylist()]
         digest = [base32(hashlib.sha1(x).digest()) for x in payloads]
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(x) for x in payloads], pa.int64()), pa.array(digest)], names=[*part.schema.names, "size", "digest"])
+        kept = part.drop_columns("payload")
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(map(press.compress, payloads), pa.binary()), pa.array([len(x) for x in payloads], pa.int64()), pa.array(digest, pa.string())], names=[*kept.schema.names, "packed", "size", "digest"])
 
 
 def header(kind: str, record: str, page: int | None, url: str | None, size: int, digest: str, refers_to: int | None, refers_record: str | None) -> bytes:
@@ -56,11 +59,11 @@ def _written(chunk: int):
             held = 0
             for p in part.to_pylist():
                 head = header(p["kind"], p["record"], p["id"], p["url"], p["size"], p["digest"], p["first_id"], p["first_record"])
-                payload = b"" if p["kind"] == "revisit" else memoryview((p["payload"] or "").encode("utf-8", "surrogatepass"))
-                steps = range(0, max(1, len(payload)), chunk)
+                stream = zstandard.ZstdDecompressor().stream_reader(p["packed"])
+                steps = range(0, max(1, 0 if p["kind"] == "revisit" else p["size"]), chunk)
                 for k, at in enumerate(steps):
-                    piece = payload[at : at + chunk]
-                    data = (head if not k else b"") + bytes(piece) + (END if k == len(steps) - 1 else b"")
+                    piece = b"" if p["kind"] == "revisit" else stream.read(chunk)
+                    data = (head if not k else b"") + piece + (END if k == len(steps) - 1 else b"")
                     out.append((p["record"], k, at, hashlib.sha1(piece).digest(), data))
                     held += len(data)
                     if held > 8 * chunk:
@@ -80,8 +83,8 @@ def write(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK) -> No
     an empty payload. Payloads are equal if size and SHA-1 are.
     """
     rows = pages.select(F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.monotonically_increasing_id()).alias("record"), F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.col("html").alias("payload"))
-    rows = rows.mapInArrow(_described, "record string, id long, url string, payload string, size long, digest string")
-    narrow = rows.drop("url", "payload").where(F.col("size") >= least)
+    rows = rows.mapInArrow(_described, "record string, id long, url string, packed binary, size long, digest string")
+    narrow = rows.drop("url", "packed").where(F.col("size") >= least)
     first = narrow.groupBy("digest", "size").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "record")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = first.select("digest", "size", F.col("first.id").alias("first_id"), F.col("first.record").alias("first_record"))
     out = rows.join(first, ["digest", "size"], "left").withColumn("kind", F.when(F.col("first_record") != F.col("record"), "revisit").otherwise("response"))
