@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batch_of, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
+from .common import U, batch_of, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
 
 SEED = 0xD6E8FEB86659FD93
 PACKED = "bucket int, owner binary, n binary, "
@@ -69,28 +69,46 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
     return (open_.decompress(x) if x else b"" for x in column.to_pylist())
 
 
-def _by_owner(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
+def _reply(owner: np.ndarray, keys: np.ndarray, buckets: int) -> pa.Table:
+    """What a bucket answers, dealt by document, packed like the questions."""
     order = np.argsort(owner, kind="stable")
-    owner, values = owner[order], values[order]
-    at = runs(owner)
-    return owner[at].tolist(), [values[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(owner)))]
-
-
-def _hits(t: pa.Table) -> pa.Table:
-    """Of one bucket: for each document, its windows that an indexed block of a smaller document answers, and its blocks that a larger document probes."""
-    owner, v = unpack(t, {"keys": np.uint32})
-    key = v["keys"] >> 1
-    order = np.argsort(key, kind="stable")
-    key, owner, block = key[order], owner[order], (v["keys"][order] & 1) == 0
-    at = runs(key)
-    size = np.diff(np.append(at, len(key)))
-    big = np.iinfo(np.int64).max
-    low = np.repeat(np.minimum.reduceat(np.where(block, owner, big), at), size)
-    high = np.repeat(np.maximum.reduceat(owner, at), size)
-    hit = (low < owner) | (block & (owner < high))
-    docs, keys = _by_owner(owner[hit], key[hit].astype(np.uint32))
-    n = len(docs)
-    return pa.table({"doc": pa.array(docs, pa.int64()), "bucket": pa.array([t["bucket"][0].as_py()] * n, pa.int32()), "keys": pa.array(keys, pa.binary())})
+    owner, keys = owner[order], keys[order]
+    return pa.Table.from_batches([packed_batch(pack(owner % buckets, owner, {"keys": keys}), "keys")])
+
+
+def _gathered(kind):
+    def run(t: pa.Table) -> pa.Table:
+        """All answers to each document of a bucket of documents, one row a document."""
+        owner, v = unpack(t, {"keys": kind})
+        order = np.argsort(owner, kind="stable")
+        owner, keys = owner[order], v["keys"][order]
+        at = runs(owner)
+        edge = np.append(at, len(owner))
+        return pa.table({"doc": pa.array(owner[at], pa.int64()), "found": pa.array([keys[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
+
+    return run
+
+
+def _short(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
+    """32 bits of an anchor, enough to tell it from the few hundred of one document; a false hit only adds a candidate."""
+    return mix((np.asarray(bucket, np.int64) << 31 | key.astype(np.int64)).astype(U)).astype(np.uint32)
+
+
+def _hits(buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of one bucket: for each document, its windows that an indexed block of a smaller document answers, and its blocks that a larger document probes."""
+        owner, v = unpack(t, {"keys": np.uint32})
+        key = v["keys"] >> 1
+        order = np.argsort(key, kind="stable")
+        key, owner, block = key[order], owner[order], (v["keys"][order] & 1) == 0
+        at = runs(key)
+        size = np.diff(np.append(at, len(key)))
+        low = np.repeat(np.minimum.reduceat(np.where(block, owner, np.iinfo(np.int64).max), at), size)
+        high = np.repeat(np.maximum.reduceat(owner, at), size)
+        hit = (low < owner) | (block & (owner < high))
+        return _reply(owner[hit], _short(t["bucket"][0].as_py(), key[hit]), buckets)
+
+    return run
 
 
 def _windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +125,7 @@ def _candidates(window: int, block: int, buckets: int):
                 if len(words) < window:
                     continue
                 b, k = _anchor(word_hashes(words), block, buckets)
-                found = np.concatenate([np.frombuffer(x["keys"], np.uint32).astype(np.int64) | (x["bucket"] << 31) for x in hits])
-                hit = np.isin((b << 31) | k, found)
+                hit = np.isin(_short(b, k), np.frombuffer(hits, np.uint32))
                 span = window - block + 1  # anchors inside a window
                 many = np.concatenate([[0], np.cumsum(hit)])
                 near = many[span:] > many[:-span]
@@ -123,21 +140,23 @@ def _candidates(window: int, block: int, buckets: int):
     return run
 
 
-def _repeated(t: pa.Table) -> pa.Table:
-    """Of one bucket: for each document, its windows that a smaller document has too."""
-    owner, v = unpack(t, {"one": U})
-    order = np.argsort(v["one"], kind="stable")
-    owner, one = owner[order], v["one"][order]
-    at = runs(one)
-    low = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(one)))) if len(at) else owner
-    docs, keys = _by_owner(owner[low < owner], one[low < owner])
-    return pa.table({"doc": pa.array(docs, pa.int64()), "windows": pa.array(keys, pa.binary())})
+def _repeated(buckets: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of one bucket: for each document, its windows that a smaller document has too."""
+        owner, v = unpack(t, {"one": U})
+        order = np.argsort(v["one"], kind="stable")
+        owner, one = owner[order], v["one"][order]
+        at = runs(one)
+        low = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(one)))) if len(at) else owner
+        return _reply(owner[low < owner], one[low < owner], buckets)
+
+    return run
 
 
-def _covered(words: list[bytes], found: list[bytes] | None, window: int) -> np.ndarray:
+def _covered(words: list[bytes], found: bytes | None, window: int) -> np.ndarray:
     cover = np.zeros(len(words) + 1, np.int64)
     if found:
-        start = np.flatnonzero(np.isin(rolling(word_hashes(words), window), np.frombuffer(b"".join(found), U)))
+        start = np.flatnonzero(np.isin(rolling(word_hashes(words), window), np.frombuffer(found, U)))
         np.add.at(cover, start, 1)
         np.add.at(cover, start + window, -1)
     return np.cumsum(cover)[:-1] > 0
@@ -183,17 +202,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     known = texts.filter(F.col("doc").isNotNull())
     hits = (
         known.mapInArrow(_probes(window, block, buckets), PACKED + "keys binary")
-        .groupBy("bucket").applyInArrow(_hits, "doc long, bucket int, keys binary")
-        .groupBy("doc").agg(F.collect_list(F.struct("bucket", "keys")).alias("hits"))
+        .groupBy("bucket").applyInArrow(_hits(buckets), PACKED + "keys binary")
+        .groupBy("bucket").applyInArrow(_gathered(np.uint32), "doc long, found binary")
     )
     packed = known.mapInArrow(_shrink, "doc long, packed binary")
     again = (
         packed.join(hits, "doc")
         .mapInArrow(_candidates(window, block, buckets), PACKED + "one binary")
-        .groupBy("bucket").applyInArrow(_repeated, "doc long, windows binary")
-        .groupBy("doc").agg(F.collect_list("windows").alias("windows"))
+        .groupBy("bucket").applyInArrow(_repeated(buckets), PACKED + "keys binary")
+        .groupBy("bucket").applyInArrow(_gathered(U), "doc long, found binary")
     )
-    rest = texts.filter(F.col("doc").isNull()).mapInArrow(_shrink, "doc long, packed binary").withColumn("windows", F.lit(None).cast("array<binary>"))
+    rest = texts.filter(F.col("doc").isNull()).mapInArrow(_shrink, "doc long, packed binary").withColumn("found", F.lit(None).cast("binary"))
     return packed.join(again, "doc", "left").unionByName(rest).mapInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<start: long, end: long>>, kept string"
     )
