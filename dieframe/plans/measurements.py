@@ -58,9 +58,9 @@ def src_tracking(spark, sf):
     return T.tracking_source(B.tracking(spark, sf), "L1", lots=["3", "7"], first="1995-01-01", last="1996-12-31").select("lot", "wafer", "step", "ppid", "ts")
 
 
-@query("src_metrology", "SELECT lot, wafer, step, item, fab_value FROM metrology WHERE lot IN ('3', '7') AND regexp_matches(item, 'BRASS|STEEL')", "metrology")
+@query("src_metrology", "SELECT lot, wafer, step, item, fab_value FROM metrology WHERE lot IN ('3', '7') AND regexp_matches(item, '^S|MO')", "metrology")
 def src_metrology(spark, sf):
-    return T.metrology_source(B.metrology(spark, sf), lots=["3", "7"], item_pattern="BRASS|STEEL").select("lot", "wafer", "step", "item", "fab_value")
+    return T.metrology_source(B.metrology(spark, sf), lots=["3", "7"], item_pattern="^S|MO").select("lot", "wafer", "step", "item", "fab_value")
 
 
 @query("src_profile", "SELECT 'wide' AS layout, 'lot' AS lot, 'ts' AS time, 'QTY,PRICE,DISC' AS items, count(*) AS n FROM base", "base")
