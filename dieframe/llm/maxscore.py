@@ -95,14 +95,14 @@ def _search(k: int):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in ("query_row", "query_id", "vec_id", "score")}
         if queries.num_rows and vectors.num_rows:
-            width = max(max(len(x) for x in t["terms"].to_pylist()) for t in (queries, vectors))
-            ids = vectors["id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-            shard = Shard(vectors["row"].to_numpy(), _rows(vectors["terms"], width), ids, k)
+            width = max(len(x) for c in (queries["terms"], vectors["v_terms"]) for x in c.to_pylist())
+            ids = vectors["v_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+            shard = Shard(vectors["v_row"].to_numpy(), _rows(vectors["v_terms"], width), ids, k)
             for row, name, q in zip(queries["row"].to_pylist(), queries["id"].to_pylist(), _rows(queries["terms"], width)):
                 at, score = shard.search(q, row)
                 out["query_row"] += [row] * len(at)
                 out["query_id"] += [name] * len(at)
-                out["vec_id"] += vectors["id"].take(pa.array(at)).to_pylist()
+                out["vec_id"] += vectors["v_id"].take(pa.array(at)).to_pylist()
                 out["score"] += score.tolist()
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
@@ -121,7 +121,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     place = lambda c, of: F.pmod(F.xxhash64("row", F.lit(c)), F.lit(of)).cast("int")
     queries = rows.where(F.col("id") % every == 0).select("row", "id", "terms", place("q", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    others = rows.select("row", "id", "terms", place("v", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # Names of their own: sides that share attributes lose columns when Catalyst prunes above a cogroup.
+    others = rows.select(*(F.col(c).alias(f"v_{c}") for c in ("row", "id", "terms")), place("v", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     found = queries.groupBy("shard", "block").cogroup(others.groupBy("shard", "block")).applyInArrow(_search(k), "query_row long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
