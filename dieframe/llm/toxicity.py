@@ -1,12 +1,13 @@
 """Toxicity: a convolutional text classifier over hashed words, with thresholds by language.
 
-A word counts by the hash of itself and of its first letters. The network is trained on the driver in numpy,
-on a sample bounded by `most` rows of each label; scoring is a scan. Scores come from the text alone; the
+A word counts by the hash of itself and of its first letters. The network is trained in numpy in one
+task, on a sample bounded by `most` rows of each label; scoring is a scan. Scores come from the text alone; the
 language only chooses the threshold.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,6 +54,28 @@ def threshold(score: np.ndarray, label: np.ndarray, default: float = 0.7) -> flo
     return float(min(cuts, key=lambda c: (-round(f1(c), 6), abs(c - default))))
 
 
+def _fitted(texts: list[str], label: np.ndarray, langs: list[str], seed: int) -> dict:
+    """The network's parts and the thresholds, as plain arrays and numbers."""
+    found = [features(x) for x in texts]
+    held = np.arange(len(label)) % 5 == 0
+    own = [found[i] for i in np.flatnonzero(~held)]
+    net = ConvNet(frequent([x.ravel() for x in own], 4 if len(own) >= 1000 else 3), seed=seed)
+    out = {"net": vars(net), "default": 0.7, "by_language": {}}
+    if not len(label) or label.min() == label.max():
+        share = np.clip(label.mean() if len(label) else 0.0, 0.01, 0.99)
+        net.scale, net.shift = 0.0, float(np.log(share / (1 - share)))
+        return out
+    net.fit([net.rows(x) for x in own], label[~held], epochs=max(6, 25_000 // max(1, len(own))), seed=seed)
+    flat = [found[i] for i in np.flatnonzero(held)]
+    logit = net.logits(net.rows(np.concatenate(flat)), np.append(0, np.cumsum([len(x) for x in flat])))
+    net.calibrate(logit, label[held])
+    score = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
+    out["default"] = threshold(score, label[held])
+    lang = np.array(langs)[held]
+    out["by_language"] = {x: threshold(score[lang == x], label[held][lang == x], out["default"]) for x in np.unique(lang).tolist()}
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -> Model:
     """Fits on at most `most` rows of each label, chosen by a hash of the id; a fifth of them calibrates.
 
@@ -64,26 +87,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id"))
     picked = known.where("toxic = 1").orderBy("order", "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy("order", "doc_id").limit(most))
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")  # at most 2 * most ids
-    rows = rows.groupBy("doc_id", "order", "toxic").agg(F.min(F.struct("text", "lang")).alias("d")).orderBy("order", "doc_id").select("toxic", "d.text", "d.lang").toArrow()
-    label = np.array(rows["toxic"].to_pylist(), np.float64)
-    found = [features(x) for x in rows["text"].to_pylist()]
-    held = np.arange(len(label)) % 5 == 0
-    own = [found[i] for i in np.flatnonzero(~held)]
-    net = ConvNet(frequent([x.ravel() for x in own], 4 if len(own) >= 1000 else 3), seed=seed)
-    model = Model(net)
-    if not len(label) or label.min() == label.max():
-        share = np.clip(label.mean() if len(label) else 0.0, 0.01, 0.99)
-        net.scale, net.shift = 0.0, float(np.log(share / (1 - share)))
-        return model
-    net.fit([net.rows(x) for x in own], label[~held], epochs=max(6, 25_000 // len(own)), seed=seed)
-    flat = [found[i] for i in np.flatnonzero(held)]
-    logit = net.logits(net.rows(np.concatenate(flat)), np.append(0, np.cumsum([len(x) for x in flat])))
-    net.calibrate(logit, label[held])
-    score = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
-    model.default = threshold(score, label[held])
-    lang = np.array([x or "" for x in rows["lang"].to_pylist()])[held]
-    model.by_language = {x: threshold(score[lang == x], label[held][lang == x], model.default) for x in np.unique(lang).tolist()}
-    return model
+    rows = rows.groupBy("doc_id", "order", "toxic").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "order", "toxic", "d.text", "d.lang")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("order", "ascending"), ("doc_id", "ascending")])
+        made = _fitted(t["text"].to_pylist(), np.array(t["toxic"].to_pylist(), np.float64), [x or "" for x in t["lang"].to_pylist()], seed)
+        return pa.table({"model": pa.array([pickle.dumps(made)], pa.binary())})
+
+    made = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "model binary").collect()
+    parts = pickle.loads(made[0].model) if made else _fitted([], np.empty(0), [], seed)
+    net = ConvNet(parts["net"].pop("vocabulary"))
+    vars(net).update(parts["net"])
+    return Model(net, parts["default"], parts["by_language"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
