@@ -308,9 +308,9 @@ def set_missing_items(spark, sf):
 # Outliers.
 
 
-@query("tukey_bounds", "SELECT item, step, temp, CASE WHEN n >= 12 THEN round(q1 - 1.5 * (q3 - q1), 4) END AS lo, CASE WHEN n >= 12 THEN round(q3 + 1.5 * (q3 - q1), 4) END AS hi, n FROM (SELECT item, step, temp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM plong GROUP BY item, step, temp) q", "plong")
+@query("tukey_bounds", "SELECT item, step, temp, CASE WHEN n >= 12 THEN round(q1 - 1.5 * (q3 - q1), 8) END AS lo, CASE WHEN n >= 12 THEN round(q3 + 1.5 * (q3 - q1), 8) END AS hi, n FROM (SELECT item, step, temp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM plong GROUP BY item, step, temp) q", "plong")
 def tukey_bounds(spark, sf):
-    return S.tukey_bounds(B.points_long(spark, sf), by=("item", "step", "temp")).withColumns({"lo": F.round("lo", 4), "hi": F.round("hi", 4)})
+    return S.tukey_bounds(B.points_long(spark, sf), by=("item", "step", "temp")).withColumns({"lo": F.round("lo", 8), "hi": F.round("hi", 8)})
 
 
 TUKEY = "SELECT key, arg_min(item, CASE item WHEN 'QTY' THEN 1 WHEN 'PRICE' THEN 2 ELSE 3 END) AS item FROM plong JOIN bounds USING (item) WHERE value < lo OR value > hi GROUP BY key"
@@ -430,10 +430,10 @@ def tbl_factor(spark, sf):
 # Plot data.
 
 
-@query("item_range", """SELECT item, CASE WHEN item = 'PRICE' THEN 0.0 ELSE round(a - (b - a) * 0.1, 4) END AS lo, round(b + (b - a) * 0.1, 4) AS hi FROM (SELECT item, least(min(value), min(lsl)) AS a, greatest(max(value), max(usl)) AS b FROM plong JOIN specs USING (item) GROUP BY item) t""", "plong", "specs")
+@query("item_range", """SELECT item, CASE WHEN item = 'PRICE' THEN 0.0 ELSE round(a - (b - a) * 0.1, 8) END AS lo, round(b + (b - a) * 0.1, 8) AS hi FROM (SELECT item, least(min(value), min(lsl)) AS a, greatest(max(value), max(usl)) AS b FROM plong JOIN specs USING (item) GROUP BY item) t""", "plong", "specs")
 def item_range(spark, sf):
     t = S.item_range(B.points_long(spark, sf), B.specs(spark), manual=_values(spark, "('PRICE', 0.0D, CAST(NULL AS double))", "item, lo, hi"))
-    return t.select("item", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    return t.select("item", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
 @query("scatter_pairs", "SELECT 'QTY:PRICE' AS pair, key, QTY AS x, PRICE AS y FROM pts WHERE QTY IS NOT NULL AND PRICE IS NOT NULL UNION ALL SELECT 'DISC:PRICE', key, DISC, PRICE FROM pts WHERE DISC IS NOT NULL AND PRICE IS NOT NULL", "pts")
@@ -458,10 +458,10 @@ def box_values(spark, sf):
     return p.groupBy("category", "lot", "wafer").agg(mean().alias("value"))
 
 
-@query("box_stats", """SELECT gid, item, round(q1, 4) AS q1, round(med, 4) AS med, round(q3, 4) AS q3, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
+@query("box_stats", """SELECT gid, item, round(q1, 8) AS q1, round(med, 8) AS med, round(q3, 8) AS q3, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
   count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS fliers FROM plong JOIN (SELECT gid, item, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM plong GROUP BY gid, item) q USING (gid, item) GROUP BY gid, item, q1, med, q3""", "plong")
 def box_stats(spark, sf):
-    return S.box_stats(B.points_long(spark, sf), ("gid", "item")).withColumns({c: F.round(c, 4) for c in ("q1", "med", "q3")})
+    return S.box_stats(B.points_long(spark, sf), ("gid", "item")).withColumns({c: F.round(c, 8) for c in ("q1", "med", "q3")})
 
 
 @query("bar_means", f"SELECT gid, step AS category, {_exact('QTY')} AS value FROM pts GROUP BY gid, step", "pts")
