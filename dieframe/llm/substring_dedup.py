@@ -64,29 +64,28 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
 
 
-def _texts(column: pa.Array) -> Iterator[bytes]:
+def _texts(column: pa.ChunkedArray) -> Iterator[bytes]:
     open_ = zstandard.ZstdDecompressor()
     return (open_.decompress(x) if x else b"" for x in column.to_pylist())
 
 
-def _reply(owner: np.ndarray, keys: np.ndarray, buckets: int) -> pa.Table:
+def _reply(owner: np.ndarray, keys: np.ndarray, groups: int) -> pa.Table:
     """What a bucket answers, dealt by document, packed like the questions."""
     order = np.argsort(owner, kind="stable")
     owner, keys = owner[order], keys[order]
-    return pa.Table.from_batches([packed_batch(pack(owner % buckets, owner, {"keys": keys}), "keys")])
+    return pa.Table.from_batches([packed_batch(pack(owner % groups, owner, {"keys": keys}), "keys")])
 
 
-def _gathered(kind):
-    def run(t: pa.Table) -> pa.Table:
-        """All answers to each document of a bucket of documents, one row a document."""
-        owner, v = unpack(t, {"keys": kind})
-        order = np.argsort(owner, kind="stable")
-        owner, keys = owner[order], v["keys"][order]
-        at = runs(owner)
-        edge = np.append(at, len(owner))
-        return pa.table({"doc": pa.array(owner[at], pa.int64()), "found": pa.array([keys[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
-
-    return run
+def _answers(t: pa.Table, kind) -> dict[int, np.ndarray]:
+    """By document, what the buckets answered."""
+    if not t.num_rows:
+        return {}
+    owner, v = unpack(t, {"keys": kind})
+    order = np.argsort(owner, kind="stable")
+    owner, keys = owner[order], v["keys"][order]
+    at = runs(owner)
+    edge = np.append(at, len(owner))
+    return {d: keys[a:b] for d, a, b in zip(owner[at].tolist(), edge[:-1], edge[1:])}
 
 
 def _short(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
@@ -94,7 +93,7 @@ def _short(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
     return mix((np.asarray(bucket, np.int64) << 31 | key.astype(np.int64)).astype(U)).astype(np.uint32)
 
 
-def _hits(buckets: int):
+def _hits(groups: int):
     def run(t: pa.Table) -> pa.Table:
         """Of one bucket: for each document, its windows that an indexed block of a smaller document answers, and its blocks that a larger document probes."""
         owner, v = unpack(t, {"keys": np.uint32})
@@ -106,7 +105,7 @@ def _hits(buckets: int):
         low = np.repeat(np.minimum.reduceat(np.where(block, owner, np.iinfo(np.int64).max), at), size)
         high = np.repeat(np.maximum.reduceat(owner, at), size)
         hit = (low < owner) | (block & (owner < high))
-        return _reply(owner[hit], _short(t["bucket"][0].as_py(), key[hit]), buckets)
+        return _reply(owner[hit], _short(t["bucket"][0].as_py(), key[hit]), groups)
 
     return run
 
@@ -117,30 +116,29 @@ def _windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(window: int, block: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            bucket, owner, one = [], [], []
-            for doc, text, hits in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                b, k = _anchor(word_hashes(words), block, buckets)
-                hit = np.isin(_short(b, k), np.frombuffer(hits, np.uint32))
-                span = window - block + 1  # anchors inside a window
-                many = np.concatenate([[0], np.cumsum(hit)])
-                near = many[span:] > many[:-span]
-                w1, w2 = _windows(words, window)
-                w1, first = np.unique(w1[near], return_index=True)
-                bucket.append(((w2[near][first] >> U(32)) % U(buckets)).astype(np.int64))
-                one.append(w1)
-                owner.append(np.full(len(w1), doc, np.int64))
-            if bucket:
-                yield packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one)}), "one")
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """Of one group of documents: the windows near a hit."""
+        found = _answers(answers, np.uint32)
+        bucket, owner, one = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)]
+        for doc, text in zip(texts["doc"].to_pylist(), _texts(texts["packed"])):
+            words = text.split() if doc in found else []
+            if len(words) < window:
+                continue
+            hit = np.isin(_short(*_anchor(word_hashes(words), block, buckets)), found[doc])
+            span = window - block + 1  # anchors inside a window
+            many = np.concatenate([[0], np.cumsum(hit)])
+            near = many[span:] > many[:-span]
+            w1, w2 = _windows(words, window)
+            w1, first = np.unique(w1[near], return_index=True)
+            bucket.append(((w2[near][first] >> U(32)) % U(buckets)).astype(np.int64))
+            one.append(w1)
+            owner.append(np.full(len(w1), doc, np.int64))
+        return pa.Table.from_batches([packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one)}), "one")])
 
     return run
 
 
-def _repeated(buckets: int):
+def _repeated(groups: int):
     def run(t: pa.Table) -> pa.Table:
         """Of one bucket: for each document, its windows that a smaller document has too."""
         owner, v = unpack(t, {"one": U})
@@ -148,37 +146,37 @@ def _repeated(buckets: int):
         owner, one = owner[order], v["one"][order]
         at = runs(one)
         low = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(one)))) if len(at) else owner
-        return _reply(owner[low < owner], one[low < owner], buckets)
+        return _reply(owner[low < owner], one[low < owner], groups)
 
     return run
 
 
-def _covered(words: list[bytes], found: bytes | None, window: int) -> np.ndarray:
+def _covered(words: list[bytes], found: np.ndarray | None, window: int) -> np.ndarray:
     cover = np.zeros(len(words) + 1, np.int64)
-    if found:
-        start = np.flatnonzero(np.isin(rolling(word_hashes(words), window), np.frombuffer(found, U)))
+    if found is not None:
+        start = np.flatnonzero(np.isin(rolling(word_hashes(words), window), found))
         np.add.at(cover, start, 1)
         np.add.at(cover, start + window, -1)
     return np.cumsum(cover)[:-1] > 0
 
 
 def _kept(window: int, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            rows: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "ranges", "kept")}
-            for doc, text, found in zip(part.column(0).to_pylist(), _texts(part.column(1)), part.column(2).to_pylist()):
-                words = text.split()
-                gone = _covered(words, found, window)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                rows["doc_id"].append(doc)
-                rows["n_words"].append(len(words))
-                rows["n_removed"].append(int(gone.sum()))
-                rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                rows["ranges"].append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
-                rows["kept"].append(kept.decode("utf-8", "surrogatepass") if with_text else None)
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield batch_of(rows, doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept_sha256=pa.string(), ranges=span, kept=pa.string())
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = _answers(answers, U)
+        rows: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "ranges", "kept")}
+        for doc, text in zip(texts["doc"].to_pylist(), _texts(texts["packed"])):
+            words = text.split()
+            gone = _covered(words, found.get(doc), window)
+            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            rows["doc_id"].append(doc)
+            rows["n_words"].append(len(words))
+            rows["n_removed"].append(int(gone.sum()))
+            rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            rows["ranges"].append([{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()])
+            rows["kept"].append(kept.decode("utf-8", "surrogatepass") if with_text else None)
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.Table.from_batches([batch_of(rows, doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept_sha256=pa.string(), ranges=span, kept=pa.string())])
 
     return run
 
@@ -196,24 +194,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     if window < 3:
         raise ValueError("a window needs 3 words or more")
     block = (window + 1) // 2
-    spark = docs.sparkSession
-    buckets = 4 * shuffle_parts(spark)
+    groups = shuffle_parts(docs.sparkSession)
+    buckets = 2 * groups
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = texts.filter(F.col("doc").isNotNull())
-    hits = (
-        known.mapInArrow(_probes(window, block, buckets), PACKED + "keys binary")
-        .groupBy("bucket").applyInArrow(_hits(buckets), PACKED + "keys binary")
-        .groupBy("bucket").applyInArrow(_gathered(np.uint32), "doc long, found binary")
-    )
-    packed = known.mapInArrow(_shrink, "doc long, packed binary")
-    again = (
-        packed.join(hits, "doc")
-        .mapInArrow(_candidates(window, block, buckets), PACKED + "one binary")
-        .groupBy("bucket").applyInArrow(_repeated(buckets), PACKED + "keys binary")
-        .groupBy("bucket").applyInArrow(_gathered(U), "doc long, found binary")
-    )
-    rest = texts.filter(F.col("doc").isNull()).mapInArrow(_shrink, "doc long, packed binary").withColumn("found", F.lit(None).cast("binary"))
-    return packed.join(again, "doc", "left").unionByName(rest).mapInArrow(
+    hits = known.mapInArrow(_probes(window, block, buckets), PACKED + "keys binary").groupBy("bucket").applyInArrow(_hits(groups), PACKED + "keys binary")
+    # Rows without an id get no answers; a hash of the text spreads them.
+    place = F.coalesce(F.pmod("doc", F.lit(groups)), F.pmod(F.xxhash64("packed"), F.lit(groups))).cast("int").alias("place")
+    packed = texts.mapInArrow(_shrink, "doc long, packed binary").select("doc", "packed", place).groupBy("place")
+    again = packed.cogroup(hits.groupBy("bucket")).applyInArrow(_candidates(window, block, buckets), PACKED + "one binary").groupBy("bucket").applyInArrow(_repeated(groups), PACKED + "keys binary")
+    return packed.cogroup(again.groupBy("bucket")).applyInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<start: long, end: long>>, kept string"
     )
 
