@@ -121,20 +121,35 @@ class ConvNet:
                 edge = np.append(0, np.cumsum([len(rows[i]) for i in part]))
                 self.step(np.concatenate([rows[i] for i in part]), edge, label[part].astype(np.float32), rate, state, decay)
 
-    def calibrate(self, logits: np.ndarray, label: np.ndarray) -> None:
-        """Platt scaling: the probability as a logistic function of the logit, by Newton's method with smoothed targets."""
-        n1, n0 = label.sum(), (1 - label).sum()
+    def calibrate(self, logits: np.ndarray, label: np.ndarray, many: np.ndarray | float = 1.0, weight: np.ndarray | float = 1.0) -> None:
+        """Platt scaling: the probability as a logistic function of the logit, by Newton's method with smoothed targets.
+
+        Each logit stands for `many` rows of `weight` each. Targets are smoothed by the rows, whatever they weigh.
+        """
+        n1, n0 = (label * many).sum(), ((1 - label) * many).sum()
         if not n1 or not n0:
             return
         t = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
         x = np.stack([logits, np.ones_like(logits)], 1).astype(np.float64)
-        w = np.array([1.0, 0.0])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-4 * np.eye(2)
-            w -= np.clip(np.linalg.solve(h, x.T @ (p - t) + 1e-4 * (w - [1, 0])), -2, 2)
-        if w[0] > 0:
-            self.scale, self.shift = float(w[0]), float(w[1])
+        each = np.broadcast_to(many * weight, label.shape)
+
+        def loss(w: np.ndarray) -> float:
+            z = x @ w
+            return float((each * (np.logaddexp(0, z) - t * z)).sum() + 5e-5 * ((w - [1, 0]) ** 2).sum())
+
+        w = np.array([0.0, np.log((each * t).sum() / (each * (1 - t)).sum())])
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+            h = (x * (each * (p * (1 - p) + 1e-9))[:, None]).T @ x + 1e-4 * np.eye(2)
+            step = np.linalg.solve(h, x.T @ (each * (p - t)) + 1e-4 * (w - [1, 0]))
+            before, part = loss(w), 1.0
+            while loss(w - part * step) > before and part > 1e-6:  # far off, a whole step may lead away
+                part /= 2
+            w = w - part * step
+            if np.abs(part * step).max() < 1e-9:
+                break
+        # logits that don't rise with the label say nothing: then all get the share of label 1
+        self.scale, self.shift = (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((each * label).sum() / (each * (1 - label)).sum())))
 
 
 def frequent(features: list[np.ndarray], least: int) -> np.ndarray:

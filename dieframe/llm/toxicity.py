@@ -1,8 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed words, with thresholds by language.
 
 A word counts by the hash of itself and of its first letters. The network is trained in numpy in one
-task, on a sample bounded by `most` rows of each label; scoring is a scan. Scores come from the text alone; the
-language only chooses the threshold.
+task, on a sample bounded by `most` rows of each label; all other labelled rows calibrate it and choose the
+thresholds. Scoring is a scan. Scores come from the text alone; the language only chooses the threshold.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, slices, table, word_hashes
+from .common import U, cut, slices, table, word_hashes
 from .convnet import ConvNet, frequent
 
 #: ASCII punctuation and controls, as blanks.
@@ -36,69 +36,107 @@ class Model:
     default: float = 0.7
     by_language: dict[str, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def _laid(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         found = [features(x) for x in texts]
-        flat = self.net.rows(np.concatenate(found))
-        edge = np.append(0, np.cumsum([len(x) for x in found]))
-        return self.net.score(flat, edge)
+        return self.net.rows(np.concatenate(found)), np.append(0, np.cumsum([len(x) for x in found]))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return self.net.score(*self._laid(texts))
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        return self.net.logits(*self._laid(texts)).astype(np.float64)
 
 
-def threshold(score: np.ndarray, label: np.ndarray, default: float = 0.7) -> float:
-    """The cut in [0.5, 0.9] of the best F1, nearest to `default` among equals; `default` with fewer than 20 of either label."""
-    if min(label.sum(), (1 - label).sum()) < 20:
-        return default
-    cuts = np.round(np.arange(0.5, 0.901, 0.02), 2)
-    def f1(c: float) -> float:
-        hit = score >= c
-        return 2 * (hit & (label == 1)).sum() / max(1, hit.sum() + label.sum())
-    return float(min(cuts, key=lambda c: (-round(f1(c), 6), abs(c - default))))
+#: The cuts that a threshold is chosen from, and the steps of a logit that calibration tells apart.
+CUTS = [round(0.5 + 0.02 * i, 2) for i in range(21)]
+STEPS, FAR = 256, 64
 
 
-def _fitted(texts: list[str], label: np.ndarray, langs: list[str], seed: int) -> dict:
-    """The network's parts and the thresholds, as plain arrays and numbers."""
+def threshold(hits: list[tuple[float, float]], toxic: float, default: float = 0.7) -> float:
+    """The cut of the best F1, nearest to `default` among equals. hits: per cut, how many rows of label 1 and 0 reach it."""
+    f1 = [2 * one / max(1e-9, one + zero + toxic) for one, zero in hits]
+    return min(zip(CUTS, f1), key=lambda x: (-round(x[1], 6), abs(x[0] - default)))[0]
+
+
+def _fitted(texts: list[str], label: np.ndarray, seed: int) -> dict:
+    """The network's parts as plain arrays and numbers."""
     found = [features(x) for x in texts]
-    held = np.arange(len(label)) % 5 == 0
-    own = [found[i] for i in np.flatnonzero(~held)]
-    net = ConvNet(frequent([x.ravel() for x in own], 4 if len(own) >= 1000 else 3), seed=seed)
-    out = {"net": vars(net), "default": 0.7, "by_language": {}}
-    if not len(label) or label.min() == label.max():
-        share = np.clip(label.mean() if len(label) else 0.0, 0.01, 0.99)
-        net.scale, net.shift = 0.0, float(np.log(share / (1 - share)))
-        return out
-    net.fit([net.rows(x) for x in own], label[~held], epochs=max(6, 25_000 // max(1, len(own))), seed=seed)
-    flat = [found[i] for i in np.flatnonzero(held)]
-    logit = net.logits(net.rows(np.concatenate(flat)), np.append(0, np.cumsum([len(x) for x in flat])))
-    net.calibrate(logit, label[held])
-    score = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
-    out["default"] = threshold(score, label[held])
-    lang = np.array(langs)[held]
-    out["by_language"] = {x: threshold(score[lang == x], label[held][lang == x], out["default"]) for x in np.unique(lang).tolist()}
-    return out
+    net = ConvNet(frequent([x.ravel() for x in found], 3), seed=seed)
+    net.fit([net.rows(x) for x in found], label, epochs=max(6, 25_000 // max(1, len(found))), seed=seed)
+    return vars(net)
+
+
+def _constant(share: float, seed: int) -> Model:
+    net = ConvNet(frequent([], 3), seed=seed)
+    share = min(max(share, 0.01), 0.99)
+    net.scale, net.shift = 0.0, float(np.log(share / (1 - share)))
+    return Model(net)
+
+
+def _logits(labelled: DataFrame, net: ConvNet) -> DataFrame:
+    """lang, toxic and logit of each row."""
+    shared = labelled.sparkSession.sparkContext.broadcast(Model(net))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 256):
+            made = shared.value.logits(part.column(2).to_pylist()) if part.num_rows else []
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64())], names=["lang", "toxic", "logit"])
+
+    return labelled.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int"), "text").mapInArrow(run, "lang string, toxic int, logit double")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -> Model:
-    """Fits on at most `most` rows of each label, chosen by a hash of the id; a fifth of them calibrates.
+    """Fits on at most `most` rows of each label, chosen by a hash of the id, out of four fifths of them.
+
+    All other labelled rows are scored. They calibrate, and they choose the common threshold and that of each
+    language with 20 rows of either label or more; rows of a label weigh as much as all rows of that label
+    do, so that the shares of the labels are the true ones. Of an id's texts, the smallest counts.
 
     Null ids, texts that are missing and labels other than 0 and 1 take no part; of labels that disagree on
     an id, the larger counts. Without both labels the model gives the share of label 1 as every score.
     """
-    docs = docs.where("text IS NOT NULL")
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("order", F.xxhash64("doc_id"))
-    picked = known.where("toxic = 1").orderBy("order", "doc_id").limit(most).unionByName(known.where("toxic = 0").orderBy("order", "doc_id").limit(most))
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")  # at most 2 * most ids
-    rows = rows.groupBy("doc_id", "order", "toxic").agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "order", "toxic", "d.text", "d.lang")
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(known, "doc_id").groupBy("doc_id", "toxic")
+    rows = cut(rows.agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("order"), "d.text", "d.lang"))
+    free = "pmod(order, 5) > 0"
+    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    last = {}
+    for x in (0, 1):
+        ids = rows.where(f"toxic = {x} AND {free}").select("order", "doc_id").orderBy("order", "doc_id").limit(most)
+        last[x] = ids.agg(F.max(F.struct("order", "doc_id")).alias("last")).first().last
+    if None in last.values():
+        return _constant(total.get(1, 0) / max(1, sum(total.values())), seed)
+    own = F.expr(f"{free} AND ({' OR '.join(f'toxic = {x} AND (order < {r.order} OR order = {r.order} AND doc_id <= {r.doc_id})' for x, r in last.items())})")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("order", "ascending"), ("doc_id", "ascending")])
-        made = _fitted(t["text"].to_pylist(), np.array(t["toxic"].to_pylist(), np.float64), [x or "" for x in t["lang"].to_pylist()], seed)
-        return pa.table({"model": pa.array([pickle.dumps(made)], pa.binary())})
-
-    made = rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "model binary").collect()
-    parts = pickle.loads(made[0].model) if made else _fitted([], np.empty(0), [], seed)
-    net = ConvNet(parts["net"].pop("vocabulary"))
-    vars(net).update(parts["net"])
-    return Model(net, parts["default"], parts["by_language"])
+        return pa.table({"model": pa.array([pickle.dumps(_fitted(t["text"].to_pylist(), np.array(t["toxic"].to_pylist(), np.float64), seed))], pa.binary())})
+
+    made = rows.where(own).select("doc_id", "order", "toxic", "text").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "model binary").collect()
+    parts = pickle.loads(made[0].model)
+    net = ConvNet(parts.pop("vocabulary"))
+    vars(net).update(parts)
+
+    scored = cut(_logits(rows.where(~own), net))
+    step = F.round(F.least(F.greatest(F.col("logit"), F.lit(-FAR)), F.lit(FAR)) * STEPS).cast("int").alias("step")
+    bins = scored.groupBy("toxic", step).count().orderBy("toxic", "step").collect()
+    label, many = np.array([r.toxic for r in bins], np.float64), np.array([r["count"] for r in bins], np.float64)
+    weight = {x: total[x] / max(1.0, many[label == x].sum()) for x in (0, 1)}
+    net.calibrate(np.array([r.step for r in bins]) / STEPS, label, many, np.where(label == 1, weight[1], weight[0]))
+
+    value = 1 / (1 + F.exp(-(F.lit(net.scale) * F.col("logit") + F.lit(net.shift))))
+    hits = [F.count_if((F.col("toxic") == x) & (F.col("value") >= c)).alias(f"n{x}_{i}") for x in (0, 1) for i, c in enumerate([0.0, *CUTS])]
+    reached = scored.withColumn("value", value).groupBy("lang").agg(*hits).withColumn("common", F.lit(False))
+    all_of = scored.withColumn("value", value).agg(F.lit("").alias("lang"), *hits).withColumn("common", F.lit(True))
+    model, own_cut = Model(net), {}
+    for r in reached.where("least(n0_0, n1_0) >= 20").unionByName(all_of).collect():
+        of = [(r[f"n1_{i}"] * weight[1], r[f"n0_{i}"] * weight[0]) for i in range(len(CUTS) + 1)]
+        if r.common and min(r.n0_0, r.n1_0) >= 20:
+            model.default = threshold(of[1:], of[0][0])
+        elif not r.common:
+            own_cut[r.lang] = of
+    model.by_language = {x: threshold(of[1:], of[0][0], model.default) for x, of in own_cut.items()}
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -116,10 +154,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 def rejected(scored: DataFrame, model: Model, lang_col: str = "lang", score_col: str = "score") -> DataFrame:
     """Adds rejected (boolean): the score reaches the threshold of the row's language, or the common one."""
-    cut = F.lit(model.default)
-    for lang, least in model.by_language.items():
-        cut = F.when(F.coalesce(F.col(lang_col), F.lit("")) == lang, F.lit(least)).otherwise(cut)
-    return scored.withColumn("rejected", F.col(score_col) >= cut)
+    least = F.lit(model.default)
+    for lang, own in model.by_language.items():
+        least = F.when(F.coalesce(F.col(lang_col), F.lit("")) == lang, F.lit(own)).otherwise(least)
+    return scored.withColumn("rejected", F.col(score_col) >= least)
 
 
 HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"

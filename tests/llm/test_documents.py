@@ -224,3 +224,18 @@ def test_toxicity(spark):
     assert again.scores(["crud abx"]) == model.scores(["crud abx"])
     none = toxicity.train(docs.where("false"), marks)
     assert toxicity.score(docs, none).count() == len(rows) and 0 <= none.scores(["x"])[0] <= 1
+
+
+@pytest.mark.parametrize("most", [100, 3000])
+def test_toxicity_is_calibrated_at_the_true_share(spark, most):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(4000):
+        unsure = i % 5 == 0  # a quarter of these is toxic, so 5 of 100 texts are
+        words = [r.choice("ab cd ef gh ij".split()) + r.choice("xyz") for _ in range(12)] + ["maybe"] * unsure
+        rows.append((i, " ".join(words), r.choice(["en", "fr"]), "s", 0))
+        labels.append((i, 1, int(unsure and r.random() < 0.25)))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, marks, most=most)
+    scores = model.scores([r[1] for r in rows[::5]])
+    assert 0.15 <= scores.mean() <= 0.35 and (scores >= 0.7).mean() < 0.02
