@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dieframe.llm import bpe, mixing, ngram_jaccard, secrets, toxicity
-from dieframe.llm.common import cut, shared_dir, table
+from dieframe.llm.common import shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document, with [SECRET] for each span found."""
-    detector = secrets.train(cut(secrets.findings(docs)))
+    detector = secrets.train(docs)
     return secrets.redact(docs, detector).select(COLUMNS)
 
 

@@ -1,12 +1,12 @@
 """Secret scans: fixed patterns, and a character-level convolutional network over every other candidate.
 
-1. One scan of the texts finds the base spans and the candidates: any run of 16 or more token characters with
-   a digit in it, each with the characters around it.
-2. Candidates that hold a base value are the labelled findings of one kind, the others of the other kind. The
+1. One scan of the texts finds the base spans and the candidates: any run of 6 or more token characters, each
+   with the characters around it. A long one is seen through overlapping windows, and the highest score counts.
+2. Windows that hold a base value are the labelled findings of one kind, runs without one of the other kind. The
    network is trained on at most `most` of each; the score is calibrated on a fifth, and the threshold stands
    half way between the score that recalls `recall` of that fifth's positives and the highest negative below
    it, but at 0.5 at least.
-3. The other candidates are scored where they stand; those at or above the threshold become spans of kind cnn.
+3. The other candidates, and what a base span leaves of its run, are scored where they stand; those at or above the threshold become spans of kind cnn.
 """
 
 from __future__ import annotations
@@ -16,20 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, mix, slices, table
+from .common import U, mix, slices, table
 from .convnet import ConvNet, frequent
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-DIGIT = re.compile(r"[0-9]")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "cnn")
-LEFT, VALUE = 16, 80
+LEFT, VALUE, RIGHT, LEAST = 16, 80, 4, 6
+#: Of a character: mark, digit, lower, upper or other.
+CLASS = np.array([4 if c == 0 else 1 if 48 <= c <= 57 else 2 if 97 <= c <= 122 else 3 if 65 <= c <= 90 else 5 for c in range(129)])
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("around", pa.string())])
 SPAN_DDL, FOUND_DDL = "array<struct<kind: string, start: long, end: long>>", "array<struct<start: long, end: long, around: string>>"
@@ -47,19 +49,56 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Those that touch a base span and the others: start, end, and the value behind up to 16 characters before it.
+def _around(text: str, a: int, b: int) -> str:
+    """The value, whole, behind up to 16 characters before it and in front of up to 4 after it."""
+    before, after = text[max(0, a - LEFT) : a].replace("\0", "\1"), text[b : b + RIGHT].replace("\0", "\1")  # zeros mark the value
+    return f"{before}\0{text[a:b]}\0{after}"
 
-    A value of over 80 characters is shown by its first and last 40; its span stays whole.
-    """
-    known, other = [], []
+
+def _edges(a: int, b: int) -> list[tuple[int, int]]:
+    """Windows of 80 that cover a value, each by half over the next one."""
+    if b - a <= VALUE:
+        return [(a, b)]
+    return [(x, x + VALUE) for x in range(a, b - VALUE, VALUE // 2)] + [(b - VALUE, b)]
+
+
+def windows(around: str) -> list[str]:
+    """What the network sees of a value with its surroundings: each window with its own."""
+    before, value, after = around.split("\0")
+    if len(value) <= VALUE:
+        return [around]
+    text, at = before + value + after, len(before)
+    return [_around(text, a, b) for a, b in _edges(at, at + len(value))]
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, str]], ...]:
+    """Windows that touch a base span, runs that touch none, and the parts of touched runs outside: start, end, surroundings."""
+    known, other, rest = [], [], []
+    joint: list[tuple[int, int]] = []
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if joint and s < joint[-1][1]:
+            joint[-1] = (joint[-1][0], max(e, joint[-1][1]))
+        else:
+            joint.append((s, e))
+    low = 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if DIGIT.search(m[0]):
-            value = m[0] if b - a <= VALUE else m[0][: VALUE // 2] + m[0][-VALUE // 2 :]
-            touched = any(s < b and e > a for _, s, e in spans)
-            (known if touched else other).append((a, b, f"{text[max(0, a - LEFT) : a]}\0{value}\0{text[b : b + 4]}"))
-    return known, other
+        while low < len(joint) and joint[low][1] <= a:
+            low += 1
+        high = low
+        while high < len(joint) and joint[high][0] < b:
+            high += 1
+        touched = joint[low:high]
+        if not touched:
+            other.append((a, b, _around(text, a, b)))
+            continue
+        known += [(x, y, _around(text, x, y)) for x, y in _edges(a, b) if any(s < y and e > x for s, e in touched)]
+        at = a
+        for s, e in [*touched, (b, b)]:
+            if s - at >= LEAST:
+                rest.append((at, s, _around(text, at, s)))
+            at = max(at, e)
+    return known, other, rest
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,46 +109,117 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = lambda rows: [dict(zip(("start", "end", "around"), r)) for r in rows]
         yield pa.RecordBatch.from_arrays([
             part.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in base], pa.list_(SPAN)),
-            pa.array([named(k) for k, _ in both], pa.list_(FOUND)), pa.array([named(o) for _, o in both], pa.list_(FOUND)),
-        ], names=["doc_id", "base", "known", "other"])
+            *(pa.array([named(x[i]) for x in both], pa.list_(FOUND)) for i in range(3)),
+        ], names=["doc_id", "base", "known", "other", "rest"])
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans), known and other (candidates) of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id long, base {SPAN_DDL}, known {FOUND_DDL}, other {FOUND_DDL}")
+    """doc_id, base (spans), known, other and rest (candidates) of each row."""
+    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id long, base {SPAN_DDL}, known {FOUND_DDL}, other {FOUND_DDL}, rest {FOUND_DDL}")
 
 
-def features(around: str) -> np.ndarray:
-    """(positions, 2): each character with the side it stands on, and its class (digit, lower, upper, sign) with its neighbour's."""
-    code = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    side = np.cumsum(code == 0)
-    kind = np.select([(code >= 48) & (code <= 57), (code >= 97) & (code <= 122), (code >= 65) & (code <= 90), code == 0], [1, 2, 3, 4], 5)
+def _codes(around: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Characters, whether they stand beside the value, classes with neighbours' (under 192), and edges of the items."""
+    edge = np.append(0, np.cumsum([len(x) for x in around]))
+    code = np.frombuffer("".join(around).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    marks = np.append(0, np.cumsum(code == 0))
+    side = marks[1:] - np.repeat(marks[edge[:-1]], np.diff(edge))
+    kind = CLASS[np.minimum(code, 128)]
     after = np.append(kind[1:], 0)
-    code = np.where(side == 1, code, code + (1 << 24))  # before and behind the value, a character means something else
-    return np.stack([mix(code.astype(U)), mix((kind * 8 + after + 64 * np.minimum(side, 2) + (1 << 40)).astype(U))], 1)
+    after[edge[1:] - 1] = 0
+    return code, side != 1, kind * 8 + after + 64 * np.minimum(side, 2), edge
+
+
+def _hash_codes(code: np.ndarray, beside: np.ndarray | int) -> np.ndarray:
+    return mix((code + beside * (1 << 24)).astype(U))  # before and behind the value, a character means something else
+
+
+def _hash_kinds(kind: np.ndarray) -> np.ndarray:
+    return mix((kind + (1 << 40)).astype(U))
+
+
+def features(around: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, 2) and edges of the items: each character with the side it stands on, and its class (digit, lower, upper, sign) with its neighbour's."""
+    code, beside, kind, edge = _codes(around)
+    return np.stack([_hash_codes(code, beside), _hash_kinds(kind)], 1), edge
 
 
 class Detector:
     def __init__(self, net: ConvNet | None, least: float):
         self.net, self.least = net, least
+        if net is not None:  # rows of common characters and of all classes
+            self.common = np.concatenate([net.rows(_hash_codes(np.arange(256), x)) for x in (0, 1)])
+            self.kinds = net.rows(_hash_kinds(np.arange(192)))
+
+    def _rows(self, around: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As net.rows of the features."""
+        code, beside, kind, edge = _codes(around)
+        first = self.common[(code & 255) + 256 * beside]
+        rare = np.flatnonzero(code >= 256)
+        first[rare] = self.net.rows(_hash_codes(code[rare], beside[rare]))
+        return np.stack([first, self.kinds[kind]], 1), edge
 
     def scores(self, around: list[str]) -> np.ndarray:
+        """The highest score of each one's windows."""
         if self.net is None or not around:
             return np.zeros(len(around))
-        found = [features(x) for x in around]
-        return self.net.score(self.net.rows(np.concatenate(found)), np.append(0, np.cumsum([len(x) for x in found])))
+        seen = [windows(x) for x in around]
+        flat = [w for x in seen for w in x]
+        made = []
+        for at in range(0, len(flat), 1024):
+            made.append(self.net.score(*self._rows(flat[at : at + 1024])))
+        return np.maximum.reduceat(np.concatenate(made), np.append(0, np.cumsum([len(x) for x in seen]))[:-1])
+
+
+def _order(around: str) -> int:
+    return xxhash.xxh64_intdigest(around.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _lowest(most: int):
+    """Of each task's findings, the `most` distinct ones of each kind that come first by their hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = [{}, {}]
+        limit = [1 << 63, 1 << 63]
+
+        def put(label: int, around: str) -> None:
+            h = _order(around)
+            if h <= limit[label]:
+                kept[label][around] = h
+                if len(kept[label]) >= 4 * most:
+                    kept[label] = dict(sorted(kept[label].items(), key=lambda x: (x[1], x[0]))[:most])
+                    limit[label] = max(kept[label].values())
+
+        for part in slices(batches):
+            for x in part.column(0).to_pylist():
+                known, other, _ = candidates(x or "", base_spans(x or ""))
+                for _, _, k in known:
+                    put(1, k)
+                for _, _, o in other:
+                    for w in windows(o):
+                        put(0, w)
+        rows = [(label, h, x) for label in (0, 1) for x, h in sorted(kept[label].items(), key=lambda x: (x[1], x[0]))[:most]]
+        names = {"label": pa.int32(), "h": pa.int64(), "around": pa.string()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(names.values())], names=[*names])
+
+    return run
 
 
 def train(found: DataFrame, most: int = 3000, recall: float = 0.98, seed: int = 11) -> Detector:
-    """Fits on at most `most` findings of each kind, chosen by a hash of what they show. Under 20 of either: no network, no added spans."""
-    def some(column: str, label: int) -> list[str]:
-        rows = found.select(F.explode(column).alias("x")).select("x.around").distinct().orderBy(F.xxhash64("around"), "around").limit(most)
-        return [r.around for r in rows.collect()]
+    """Fits on at most `most` findings of each kind, chosen by a hash of what they show. Under 20 of either: no network, no added spans.
 
-    yes, no = some("known", 1), some("other", 0)
+    found: documents (a column text), or the findings of some.
+    """
+    if "text" in found.columns:
+        rows = found.select("text").mapInArrow(_lowest(most), "label int, h long, around string")
+        lists = [rows.where(f"label = {x}").select("h", "around").distinct().orderBy("h", "around").limit(most).collect() for x in (1, 0)]
+        yes, no = ([r.around for r in x] for x in lists)
+    else:
+        lists = [{w for r in found.select(F.explode(c).alias("x")).select("x.around").distinct().collect() for w in windows(r.around)} for c in ("known", "other")]
+        yes, no = (sorted(x, key=lambda w: (_order(w), w))[:most] for x in lists)
     if min(len(yes), len(no)) < 20:
         return Detector(None, 1.0)
-    items = [features(x) for x in [*yes, *no]]
+    items = [features([x])[0] for x in [*yes, *no]]
     label = np.array([1.0] * len(yes) + [0.0] * len(no))
     held = np.arange(len(label)) % 5 == 0
     net = ConvNet(frequent([x.ravel() for x in items], 3), size=8, widths=(2, 4, 6), filters=8, seed=seed)
@@ -125,27 +235,30 @@ def train(found: DataFrame, most: int = 3000, recall: float = 0.98, seed: int =
     return Detector(net, max(0.5, float(top + below.max(initial=0)) / 2))
 
 
+def _spans(texts: list[str | None], d: Detector) -> list[list[tuple[str, int, int]]]:
+    """Base spans and those that the network adds, by start, then kind."""
+    base = [base_spans(x or "") for x in texts]
+    both = [candidates(x or "", s) for x, s in zip(texts, base)]
+    both = [[*other, *rest] for _, other, rest in both]
+    sure = iter((d.scores([c[2] for o in both for c in o]) >= d.least).tolist())
+    more = [[("cnn", c[0], c[1]) for c in o if next(sure)] for o in both]
+    return [sorted([*b, *m], key=lambda x: (x[1], KINDS.index(x[0]))) for b, m in zip(base, more)]
+
+
 def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """doc_id and spans (kind, start, end; code points, end exclusive; by start, then kind) of each row.
 
     Null and empty texts have none. Base spans always stay, whatever the network says; it only adds spans
     of kind cnn. Rows that share an id keep a row each.
     """
-    found = cut(findings(docs))
-    shared = docs.sparkSession.sparkContext.broadcast(detector or train(found))
+    shared = docs.sparkSession.sparkContext.broadcast(detector or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2048):
-            d = shared.value
-            other = part.column(2).to_pylist()
-            sure = iter((d.scores([x["around"] for o in other for x in o]) >= d.least).tolist())
-            spans = []
-            for base, o in zip(part.column(1).to_pylist(), other):
-                more = [{"kind": "cnn", "start": x["start"], "end": x["end"]} for x in o if next(sure)]
-                spans.append(sorted([*base, *more], key=lambda s: (s["start"], KINDS.index(s["kind"]))))
+        for part in slices(batches):
+            spans = [[dict(zip(("kind", "start", "end"), s)) for s in x] for x in _spans(part.column(1).to_pylist(), shared.value)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
-    return found.select("doc_id", "base", "other").mapInArrow(run, f"doc_id long, spans {SPAN_DDL}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPAN_DDL}")
 
 
 def masked(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
@@ -165,12 +278,8 @@ def redact(docs: DataFrame, detector: Detector) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            d = shared.value
             texts = part.column(names.index("text")).to_pylist()
-            base = [base_spans(x or "") for x in texts]
-            other = [candidates(x or "", s)[1] for x, s in zip(texts, base)]
-            sure = iter((d.scores([c[2] for o in other for c in o]) >= d.least).tolist())
-            spans = [[(a, b) for _, a, b in s] + [(c[0], c[1]) for c in o if next(sure)] for s, o in zip(base, other)]
+            spans = [[(a, b) for _, a, b in x] for x in _spans(texts, shared.value)]
             texts = [masked(x, s) if s else x for x, s in zip(texts, spans)]
             sizes = [len(x) if s else n for x, s, n in zip(texts, spans, part.column(names.index("n_chars")).to_pylist())]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}

@@ -239,3 +239,22 @@ def test_toxicity_is_calibrated_at_the_true_share(spark, most):
     model = toxicity.train(docs, marks, most=most)
     scores = model.scores([r[1] for r in rows[::5]])
     assert 0.15 <= scores.mean() <= 0.35 and (scores >= 0.7).mean() < 0.02
+
+
+def test_no_part_of_a_candidate_is_left_unseen():
+    long = "/".join(f"part{i}" for i in range(100))
+    (one,) = secrets.candidates(f"at {long} end", [])[1]
+    assert one[:2] == (3, 3 + len(long)) and all(any(f"part{i}" in w.split("\0")[1] for w in secrets.windows(one[2])) for i in range(100))
+    text = "QWERTYUI" + "0123456789abcdef" * 2 + "/ZXCVBNM9"
+    known, other, rest = secrets.candidates(text, secrets.base_spans(text))
+    assert known and not other and [(a, b) for a, b, _ in rest] == [(0, 8), (40, 49)]
+    assert [x[:2] for x in secrets.candidates("is hunterx", [])[1]] == [(3, 10)]
+
+
+def test_a_long_candidate_scores_as_its_best_window():
+    class Net:
+        rows = staticmethod(lambda x: x)
+        score = staticmethod(lambda x, edge: np.array([(x[a:b, 0] == secrets.features(["\0~\0"])[0][1, 0]).sum() for a, b in zip(edge[:-1], edge[1:])]))
+
+    value = "a" * 300
+    assert secrets.Detector(Net, 1).scores([f"\0{value[:150]}~{value[150:]}\0", f"\0{value}\0"]).tolist() == [1, 0]
