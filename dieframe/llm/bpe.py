@@ -1,22 +1,24 @@
 """BPE encoding and decoding by forced-boundary splitting.
 
 Two adjacent bytes that stand together inside no vocabulary token can never be merged across, so every such
-place is a certain cut. A word falls into fragments there; each is encoded on its own (and kept in a bounded
-cache), and the ids are concatenated. Words never reach across white space, so long texts need no more memory
-than their own ids.
+place is a certain cut. A piece of a word falls into fragments there; each is encoded on its own, and the ids
+are concatenated. Pieces never reach across white space, so long texts need no more memory than their own ids;
+what repeats (words, pieces) is kept in bounded caches.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import json
 import re
+import sys
 import unicodedata
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,25 @@ from .common import slices, table
 
 #: White space that str.split() cuts at but that is an ordinary character to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = re.compile(f"[{WHITE}]+")
+#: Letters, digits and lower-case forms that Unicode 16 added to the tables of Python's unicodedata
+#: (first and last code point; for lower case also that of the first one's lower-case form).
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_DIGITS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+NEW_LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+LOWER = {0x3A3: 0x3C3} | {first + i: low + i for first, last, low in NEW_LOWER for i in range(last - first + 1)}  # capital sigma: never final
 END = "</w>"
 NEVER = 1 << 60
+LONG = 48  #: letters of a fragment or piece beyond which it is not kept, and merged through a heap
 
 
 def byte_letters() -> list[str]:
@@ -36,24 +54,40 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class Bounded(dict):
-    """A cache that starts anew when it is full."""
+@cache
+def character_class(kind: str) -> str:
+    """The inside of a bracketed class of all characters of a general category (L or N), Unicode 16 included."""
+    new = NEW_LETTERS if kind == "L" else NEW_DIGITS
+    of_kind = np.array([unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)])
+    for first, last in new:
+        of_kind[first : last + 1] = True
+    edge = np.flatnonzero(np.diff(of_kind.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    return "".join(f"\\U{a:08x}" if b - a == 1 else f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.tolist())
 
-    def __init__(self, make, most: int):
+
+class Recent(dict):
+    """A cache of two generations: when it is full, the older one goes; what was used since then stays."""
+
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONG:
+            if 2 * len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
 
 
 class Vocabulary:
     """Of a tokenizer file: word-end byte-level BPE behind NFC, blank folding and lower case."""
 
-    def __init__(self, text: str, cached: int = 150_000):
+    def __init__(self, text: str, cached: int = 400_000):
         file = json.loads(text)
         model, pre = file["model"], file["pre_tokenizer"]["pretokenizers"]
         kinds = [x["type"] for x in file["normalizer"]["normalizers"]]
@@ -61,48 +95,83 @@ class Vocabulary:
             raise ValueError("not a vocabulary of the supported kind")
         self.ids: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in file["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.special).items()}
-        self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
+        names = self.ids | self.special
+        self.tokens = np.empty(max(names.values()) + 1, object)
+        self.tokens[[*names.values()]] = [*names]
+        pattern = pre[0]["pattern"]["Regex"]
+        self.plain = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(r"\s", WHITE), re.ASCII)
+        self.pattern = re.compile(pattern.replace(r"\p{L}", character_class("L")).replace(r"\p{N}", character_class("N")).replace(r"\s", WHITE))
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = byte_letters()
         pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
-        pairs = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in pairs]
-        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(pairs)}
-        self.made = [c for _, _, c in pairs]
-        inside = {t.removesuffix(END)[k : k + 2] for t in self.ids for k in range(len(t.removesuffix(END)) - 1)}
-        self.inside = inside
-        self.fragments = Bounded(self._fragment, cached)
-        self.words = Bounded(self._word, cached)
-
-    def _fragment(self, fragment: str) -> bytes:
-        """Merges by rank, leftmost first. A fragment that ends its word ends with a blank."""
-        ids = self.ids
-        s = [ids[c] for c in fragment[:-2]] + [ids[fragment[-2] + END]] if fragment[-1] == " " else [ids[c] for c in fragment]
-        ranks = [self.ranks.get(p, NEVER) for p in zip(s, s[1:])]
-        while ranks and (best := min(ranks)) != NEVER:
-            k = ranks.index(best)
-            s[k : k + 2] = [self.made[best]]
-            del ranks[k]
+        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        bare = [t.removesuffix(END) for t in self.ids]
+        self.inside = {pair for t in bare for pair in zip(t, t[1:])}
+        self.words = Recent(self._word, cached)
+        self.pieces = Recent(self._piece, cached)
+        self.fragments = Recent(self._fragment, cached)
+
+    def _fragment(self, fragment: str) -> list[int]:
+        """Merges by rank, leftmost first. A fragment that ends its piece ends with a blank."""
+        s = [*map(self.ids.__getitem__, fragment.rstrip(" "))]
+        if fragment[-1] == " ":
+            s[-1] = self.ids[fragment[-2] + END]
+        if len(s) > LONG:
+            return self._long(s)
+        none = (NEVER, 0)
+        get = self.merges.get
+        pairs = [get(p, none) for p in zip(s, s[1:])]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            k = pairs.index(best)
+            s[k : k + 2] = [best[1]]
+            del pairs[k]
             if k:
-                ranks[k - 1] = self.ranks.get((s[k - 1], s[k]), NEVER)
-            if k < len(ranks):
-                ranks[k] = self.ranks.get((s[k], s[k + 1]), NEVER)
-        return np.array(s, "<u4").tobytes()
+                pairs[k - 1] = get((s[k - 1], s[k]), none)
+            if k < len(pairs):
+                pairs[k] = get((s[k], s[k + 1]), none)
+        return s
+
+    def _long(self, s: list[int]) -> list[int]:
+        """The same merges in n log n steps: a heap of places, and links to the neighbours that are left."""
+        get = self.merges.get
+        after, before = [*range(1, len(s)), -1], [*range(-1, len(s) - 1)]
+        heap = [(m[0], k, p, m[1]) for k, p in enumerate(zip(s, s[1:])) if (m := get(p))]
+        heapq.heapify(heap)
+        while heap:
+            _, k, pair, made = heapq.heappop(heap)
+            n = after[k]
+            if s[k] < 0 or n < 0 or (s[k], s[n]) != pair:
+                continue
+            s[k], s[n] = made, -1
+            after[k] = after[n]
+            if after[n] >= 0:
+                before[after[n]] = k
+            for a, b in ((before[k], k), (k, after[k])):
+                if a >= 0 and b >= 0 and (m := get((s[a], s[b]))):
+                    heapq.heappush(heap, (m[0], a, (s[a], s[b]), m[1]))
+        return [x for x in s if x >= 0]
+
+    def _piece(self, piece: str) -> bytes:
+        w = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+        if self.inside.issuperset(zip(w, w[1:])):
+            return np.array(self._fragment(w + " "), "<u4").tobytes()
+        out, at = [], 0
+        for k, pair in enumerate(zip(w, w[1:]), 1):
+            if pair not in self.inside:
+                out += self.fragments[w[at:k]]
+                at = k
+        return np.array(out + self.fragments[w[at:] + " "], "<u4").tobytes()
 
     def _word(self, raw: str) -> bytes:
         """ids of a run without white space."""
-        if not raw.isascii():
-            raw = unicodedata.normalize("NFC", raw)
-        out = []
-        for piece in self.pattern.findall(raw.replace("Σ", "σ").lower()):
-            w = "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]) + " "
-            at = 0
-            for k in range(1, len(w) - 1):
-                if w[k - 1 : k + 1] not in self.inside:
-                    out.append(self.fragments[w[at:k]])
-                    at = k
-            out.append(self.fragments[w[at:]])
-        return b"".join(out)
+        if raw.isascii():
+            found = self.plain.findall(raw.lower())
+        else:
+            found = self.pattern.findall(unicodedata.normalize("NFC", raw).translate(LOWER).lower())
+        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:
         runs = SPACES.split(text) if SEPARATORS.search(text) else text.split()
@@ -115,44 +184,61 @@ class Vocabulary:
             return self._plain(text)
         return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in self.specials.split(text))
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes | None) -> str:
+        return " ".join(self.tokens[np.frombuffer(ids or b"", "<u4")].tolist())
+
+
+@cache
+def _vocabulary(text: str) -> Vocabulary:
+    """One a worker process, which serves many tasks."""
+    return Vocabulary(text)
 
 
-def _add(docs: DataFrame, path: str, source: str, target: str, kind: pa.DataType, ddl: str, use) -> DataFrame:
-    """docs with one more column, made from another one by `use`; the vocabulary (one file) is broadcast."""
+def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataType, str]], use: Callable) -> DataFrame:
+    """docs with more columns: what `use` makes of a vocabulary and a value of `source`. The vocabulary (one file) is broadcast."""
+    clash = set(map(str.lower, made)) & set(map(str.lower, docs.columns))
+    if clash:
+        raise ValueError(f"columns that exist already: {sorted(clash)}")
     with open(path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
+        vocabulary = _vocabulary(shared.value)
         for part in slices(batches):
-            made = pa.array([use(vocabulary, x) for x in part.column(names.index(source)).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, target])
+            rows = [use(vocabulary, x) for x in part.column(names.index(source)).to_pylist()]
+            new = [pa.array([r[i] for r in rows], kind) for i, (kind, _) in enumerate(made.values())]
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *made])
 
     fields = reduce(lambda s, f: s.add(f), docs.schema.fields, type(docs.schema)())
-    return docs.mapInArrow(run, fields.add(target, ddl))
+    return docs.mapInArrow(run, reduce(lambda s, c: s.add(c, made[c][1]), made, fields))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """Adds out_col: the ids as little-endian unsigned 32-bit integers. Null and empty text: no ids.
 
-    Special tokens that stand in a text become their ids; none are added. Any other columns are kept; the
-    frame must not have out_col yet.
+    Special tokens that stand in a text become their ids; none are added. Any other columns are kept; a frame
+    that has out_col already is an error.
     """
-    return _add(docs, path, text_col, out_col, pa.binary(), "binary", Vocabulary.encode)
+    return _add(docs, path, text_col, {out_col: (pa.binary(), "binary")}, lambda v, x: (v.encode(x),))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col: the tokens joined by a blank, special ones included (the file names no decoder). No ids: ''."""
-    return _add(docs, path, ids_col, out_col, pa.string(), "string", lambda v, x: v.decode(x or b""))
+    return _add(docs, path, ids_col, {out_col: (pa.string(), "string")}, lambda v, x: (v.decode(x),))
+
+
+def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """Encodes, decodes the ids, and adds n_tokens, ids_sha256 and decoded_sha256 in one pass.
+
+    Nulls, special tokens and other columns are treated as `encode` and `decode` do; ids and texts stay in the task.
+    """
 
+    def both(v: Vocabulary, text: str | None) -> tuple:
+        ids = v.encode(text)
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(v.decode(ids).encode("utf-8")).hexdigest()
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return _add(docs, path, text_col, {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}, both)
 
 
 def default_path() -> str:
@@ -162,4 +248,5 @@ def default_path() -> str:
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), default_path())
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document; null text counts as empty."""
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), default_path()).drop("text")
