@@ -9,8 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 U = np.uint64
@@ -82,6 +84,23 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def sized(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of up to `rows` rows whose texts have together `most` bytes, or of one longer text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = size[at - 1] if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(size, before + most, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def by_value(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts a pickle that holds the classes it needs, for executors without this package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def pack(bucket: np.ndarray, owner: np.ndarray, values: dict[str, np.ndarray], of_owner: dict[str, np.ndarray] | None = None) -> dict[str, list]:
     """One row per bucket: the owners in it, how many values each has, and the values' bytes.
 

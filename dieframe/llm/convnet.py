@@ -19,14 +19,20 @@ def _shifted(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+LOW = np.float32(-1e9)  # of a window that doesn't count
+
+
 class ConvNet:
     """vocabulary: sorted feature hashes that have an embedding; any other feature counts as nothing.
 
-    A position may have several features (columns of the hash array); their embeddings are added.
+    A position may have several features (columns of the hash array); their embeddings are added. Only windows
+    that lie wholly in their item count. With `gaps`, a position whose first feature is row 0 parts its item:
+    no window reaches over it.
     """
 
-    def __init__(self, vocabulary: np.ndarray, size: int = 12, widths: tuple[int, ...] = (1, 2, 3), filters: int = 12, seed: int = 7):
+    def __init__(self, vocabulary: np.ndarray, size: int = 12, widths: tuple[int, ...] = (1, 2, 3), filters: int = 12, seed: int = 7, gaps: bool = False):
         r = np.random.default_rng(seed)
+        self.gaps = gaps
         self.vocabulary = vocabulary
         self.widths, self.filters = widths, filters
         self.emb = r.normal(0, 0.1, (len(vocabulary) + 1, size)).astype(np.float32)
@@ -43,22 +49,26 @@ class ConvNet:
         at[at == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[at] == hashes, at + 1, 0) if len(self.vocabulary) else np.zeros(hashes.shape, int)
 
-    def _pooled(self, e: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
-        """Per width: the activations (n, filters), before pooling. Windows end with their item."""
-        item = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-        rest = edge[1:][item] - np.arange(len(e))  # positions left in the item
+    def _activations(self, e: np.ndarray, rows: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+        """Per width: the activations (n, filters) of the windows that begin at each position, before pooling."""
+        at = np.arange(len(e))
+        left = np.repeat(edge[1:], np.diff(edge)) - at  # positions up to the end of the item
+        if self.gaps:
+            gap = np.where(rows[:, 0] == 0, at, len(e))
+            left = np.minimum(left, np.minimum.accumulate(gap[::-1])[::-1] - at)
         out = []
         for w, tap, b in zip(self.widths, self.taps, self.bias):
             h = e @ tap[0] + b
             for k in range(1, w):
-                h += np.where((rest > k)[:, None], _shifted(e @ tap[k], k), 0)
+                h += _shifted(e @ tap[k], k)
+            h[left < w] = LOW
             out.append(h)
         return out
 
     def logits(self, rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """edge: starts of the items and the end; every item has one position at least."""
         e = self.emb[rows].sum(1)
-        pooled = np.concatenate([np.maximum.reduceat(h, edge[:-1], axis=0) for h in self._pooled(e, edge)], axis=1)
+        pooled = np.concatenate([np.maximum.reduceat(h, edge[:-1], axis=0) for h in self._activations(e, rows, edge)], axis=1)
         return np.maximum(pooled, 0) @ self.out + self.base
 
     def score(self, rows: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -68,7 +78,7 @@ class ConvNet:
     def step(self, rows: np.ndarray, edge: np.ndarray, label: np.ndarray, rate: float, state: dict, decay: float) -> None:
         """One Adagrad step; the gradient of max pooling touches one window an item and filter."""
         e = self.emb[rows].sum(1)
-        hidden = self._pooled(e, edge)
+        hidden = self._activations(e, rows, edge)
         m = len(edge) - 1
         first = []
         for h in hidden:

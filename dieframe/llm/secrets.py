@@ -1,261 +1,378 @@
 """Secret scans: fixed patterns, and a character-level convolutional network over every other candidate.
 
-1. One scan of the texts finds the base spans and the candidates: any run of 6 or more token characters, each
-   with the characters around it. A long one is seen through overlapping windows, and the highest score counts.
-2. Windows that hold a base value are the labelled findings of one kind, runs without one of the other kind. The
-   network is trained on at most `most` of each; the score is calibrated on a fifth, and the threshold stands
-   half way between the score that recalls `recall` of that fifth's positives and the highest negative below
-   it, but at 0.5 at least.
-3. The other candidates, and what a base span leaves of its run, are scored where they stand; those at or above the threshold become spans of kind cnn.
+1. A candidate is any run of 6 or more token characters; the network sees it whole, with 16 characters before it
+   and 4 after it. One of over 80 characters is seen through windows of 80, each by half over the next one, and the
+   highest score counts.
+2. Windows that hold the value of a base span (or of a labelled finding) are the positives, runs that touch none
+   the negatives. The network is fitted on at most `most` of each, chosen by a hash. All other windows of all
+   texts are scored; histograms of those scores calibrate the network and give the threshold: a probability of
+   one half, or lower where the recall of some kind of finding would otherwise fall below `recall`.
+3. The other candidates, and what a base span leaves of its run, are scored where they stand; those that reach the
+   threshold become spans of kind cnn.
+
+Scoring lays the texts of a slice end to end. What a filter gives for a window depends on its characters and on
+whether they stand in the value or beside it, so it is looked up by pairs of characters, once for each of the two.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, slices, table
-from .convnet import ConvNet, frequent
+from .common import U, by_value, mix, sized, table
+from .convnet import LOW, ConvNet
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "cnn")
+#: Labels of windows: 1 to 3 hold a base value of that kind, 4 a labelled finding. A rest is scored, but no negative.
+OTHER, OWN, REST = 0, 4, -1
 LEFT, VALUE, RIGHT, LEAST = 16, 80, 4, 6
-#: Of a character: mark, digit, lower, upper or other.
-CLASS = np.array([4 if c == 0 else 1 if 48 <= c <= 57 else 2 if 97 <= c <= 122 else 3 if 65 <= c <= 90 else 5 for c in range(129)])
+#: A symbol is a printable ASCII character, any other character (95) or none (96).
+ANY, NONE = 95, 96
+SYMBOL = np.array([c - 32 if 32 <= c < 127 else ANY for c in range(128)], np.uint8)
+TOKEN = np.array([c < ANY and (chr(c + 32).isalnum() or chr(c + 32) in "+/_.=-") for c in range(NONE + 1)])
+#: Of a symbol: digit, lower, upper, token sign, anything else.
+CLASS = np.array([0 if 16 <= c < 26 else 1 if 65 <= c < 91 else 2 if 33 <= c < 59 else 3 if TOKEN[c] else 4 for c in range(NONE + 1)])
+FEATURES = 2 * NONE + 10
+BASE = U(0x9E3779B97F4A7C15)
+UNBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+REGION = 8192  # characters whose activations are held at once
+STEPS, FAR = 64, 64
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-FOUND = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("around", pa.string())])
-SPAN_DDL, FOUND_DDL = "array<struct<kind: string, start: long, end: long>>", "array<struct<start: long, end: long, around: string>>"
+SPAN_DDL = "array<struct<kind: string, start: long, end: long>>"
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """By start, then kind as listed. Short runs of the last two kinds hold no long one, so lengths stand in the patterns."""
+def base_values(text: str) -> list[tuple[str, int, int, int, int]]:
+    """Kind, start, end, and start and end of the value, by start, then kind as listed.
+
+    Short runs of the last two kinds hold no long one, so lengths stand in the patterns.
+    """
     out = []
     low = text.lower()
     if any(w in low for w in WORDS):
-        out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        out += [("assign", *m.span(), *m.span(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
-        out += [("access", *m.span()) for m in ACCESS.finditer(text)]
-    out += [("hex", *m.span()) for m in HEX.finditer(text)]
+        out += [("access", *m.span(), *m.span()) for m in ACCESS.finditer(text)]
+    out += [("hex", *m.span(), *m.span()) for m in HEX.finditer(text)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _around(text: str, a: int, b: int) -> str:
-    """The value, whole, behind up to 16 characters before it and in front of up to 4 after it."""
-    before, after = text[max(0, a - LEFT) : a].replace("\0", "\1"), text[b : b + RIGHT].replace("\0", "\1")  # zeros mark the value
-    return f"{before}\0{text[a:b]}\0{after}"
-
-
-def _edges(a: int, b: int) -> list[tuple[int, int]]:
-    """Windows of 80 that cover a value, each by half over the next one."""
-    if b - a <= VALUE:
-        return [(a, b)]
-    return [(x, x + VALUE) for x in range(a, b - VALUE, VALUE // 2)] + [(b - VALUE, b)]
-
-
-def windows(around: str) -> list[str]:
-    """What the network sees of a value with its surroundings: each window with its own."""
-    before, value, after = around.split("\0")
-    if len(value) <= VALUE:
-        return [around]
-    text, at = before + value + after, len(before)
-    return [_around(text, a, b) for a, b in _edges(at, at + len(value))]
-
-
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[tuple[int, int, str]], ...]:
-    """Windows that touch a base span, runs that touch none, and the parts of touched runs outside: start, end, surroundings."""
-    known, other, rest = [], [], []
-    joint: list[tuple[int, int]] = []
-    for _, s, e in sorted(spans, key=lambda x: x[1:]):
-        if joint and s < joint[-1][1]:
-            joint[-1] = (joint[-1][0], max(e, joint[-1][1]))
-        else:
-            joint.append((s, e))
-    low = 0
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while low < len(joint) and joint[low][1] <= a:
-            low += 1
-        high = low
-        while high < len(joint) and joint[high][0] < b:
-            high += 1
-        touched = joint[low:high]
-        if not touched:
-            other.append((a, b, _around(text, a, b)))
-            continue
-        known += [(x, y, _around(text, x, y)) for x, y in _edges(a, b) if any(s < y and e > x for s, e in touched)]
-        at = a
-        for s, e in [*touched, (b, b)]:
-            if s - at >= LEAST:
-                rest.append((at, s, _around(text, at, s)))
-            at = max(at, e)
-    return known, other, rest
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches):
-        texts = [x or "" for x in part.column(1).to_pylist()]
-        base = [base_spans(x) for x in texts]
-        both = [candidates(x, s) for x, s in zip(texts, base)]
-        named = lambda rows: [dict(zip(("start", "end", "around"), r)) for r in rows]
-        yield pa.RecordBatch.from_arrays([
-            part.column(0), pa.array([[dict(zip(("kind", "start", "end"), s)) for s in x] for x in base], pa.list_(SPAN)),
-            *(pa.array([named(x[i]) for x in both], pa.list_(FOUND)) for i in range(3)),
-        ], names=["doc_id", "base", "known", "other", "rest"])
-
-
-def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans), known, other and rest (candidates) of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id long, base {SPAN_DDL}, known {FOUND_DDL}, other {FOUND_DDL}, rest {FOUND_DDL}")
-
-
-def _codes(around: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Characters, whether they stand beside the value, classes with neighbours' (under 192), and edges of the items."""
-    edge = np.append(0, np.cumsum([len(x) for x in around]))
-    code = np.frombuffer("".join(around).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    marks = np.append(0, np.cumsum(code == 0))
-    side = marks[1:] - np.repeat(marks[edge[:-1]], np.diff(edge))
-    kind = CLASS[np.minimum(code, 128)]
-    after = np.append(kind[1:], 0)
-    after[edge[1:] - 1] = 0
-    return code, side != 1, kind * 8 + after + 64 * np.minimum(side, 2), edge
-
-
-def _hash_codes(code: np.ndarray, beside: np.ndarray | int) -> np.ndarray:
-    return mix((code + beside * (1 << 24)).astype(U))  # before and behind the value, a character means something else
-
-
-def _hash_kinds(kind: np.ndarray) -> np.ndarray:
-    return mix((kind + (1 << 40)).astype(U))
-
-
-def features(around: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 2) and edges of the items: each character with the side it stands on, and its class (digit, lower, upper, sign) with its neighbour's."""
-    code, beside, kind, edge = _codes(around)
-    return np.stack([_hash_codes(code, beside), _hash_kinds(kind)], 1), edge
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    return [x[:3] for x in base_values(text)]
+
+
+class Laid:
+    """Texts end to end, each behind 16 places without a character; as many stand at the end."""
+
+    def __init__(self, texts: list[str]):
+        gap = "\0" * LEFT
+        self.text = gap + gap.join([*texts, ""])
+        self.code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.array([len(x) for x in texts], np.int64)
+        self.start = np.cumsum(size + LEFT) - size
+        self.symbol = SYMBOL[np.minimum(self.code, 127)]
+        ends = np.append(self.start, len(self.code))
+        self.symbol[(ends[:, None] - np.arange(1, LEFT + 1)).ravel()] = NONE
+
+    def around(self, a: int, b: int) -> str:
+        """A value behind up to 16 characters before it and in front of up to 4 after it; zeros mark it."""
+        own = self.start[np.searchsorted(self.start, a, "right") - 1]
+        end = np.append(self.start, len(self.code))[np.searchsorted(self.start, a, "right")] - LEFT
+        before, after = self.text[max(own, a - LEFT) : a], self.text[b : min(end, b + RIGHT)]
+        return "\0".join([before.replace("\0", "\1"), self.text[a:b], after.replace("\0", "\1")])
+
+    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """64 bits of what the network sees of each window: equal ones where that is equal."""
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.full(len(self.code) + 1, x)) for x in (BASE, UNBASE))
+            summed = np.append(U(0), np.cumsum((self.code + U(1)) * up[:-1]))
+            ends = np.append(self.start, len(self.code))
+            own = np.searchsorted(self.start, a, "right")
+            low, high = np.maximum(self.start[own - 1], a - LEFT), np.minimum(ends[own] - LEFT, b + RIGHT)
+            seen = (summed[high] - summed[low]) * down[low]
+            return mix(mix(seen) + ((a - low) << 32).astype(U) + (b - low).astype(U))
+
+
+def _touched(run: tuple[int, int], base: list[tuple]) -> Iterator[tuple[int, int, int]]:
+    """Of a run that touches spans: windows that touch a value, with its kind, and the parts outside all spans."""
+    a, b = run
+    for x, y in zip(*split(np.array([a]), np.array([b]))[:2]):
+        kinds = [(KINDS.index(k) + 1 if k in KINDS else OWN) for k, _, _, s, e in base if s < y and e > x]
+        if kinds:
+            yield int(x), int(y), kinds[0]
+    at = a
+    for _, s, e, _, _ in [*sorted(base, key=lambda x: x[1:3]), (None, b, b, b, b)]:
+        if min(s, b) - at >= LEAST:
+            yield at, min(s, b), REST
+        at = max(at, e)
+
+
+def candidates(laid: Laid, base: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and label of every run that touches no span, every window with a value, and every rest, by start."""
+    edge = np.flatnonzero(np.diff(TOKEN[laid.symbol].view(np.int8), prepend=0, append=0))
+    a, b = edge[::2], edge[1::2]
+    long = b - a >= LEAST
+    a, b = a[long], b[long]
+    touched: dict[int, list[tuple]] = {}
+    for at, spans in zip(laid.start.tolist(), base):
+        for k, *of in spans:
+            mine = (k, *(x + at for x in of))
+            for i in range(np.searchsorted(b, mine[1], "right"), np.searchsorted(a, mine[2], "left")):
+                touched.setdefault(i, []).append(mine)
+    near = np.zeros(len(a), bool)
+    near[[*touched]] = True
+    rows = [x for i, spans in touched.items() for x in _touched((int(a[i]), int(b[i])), spans)]
+    more = np.array(rows, np.int64).reshape(-1, 3)
+    a, b, label = np.append(a[~near], more[:, 0]), np.append(b[~near], more[:, 1]), np.append(np.zeros((~near).sum(), np.int64), more[:, 2])
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], label[order]
+
+
+def split(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of each candidate: start, end, and the candidate's place."""
+    many = np.where(b - a > VALUE, -(-(b - a - VALUE) // (VALUE // 2)) + 1, 1)
+    owner = np.repeat(np.arange(len(a)), many)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    low = np.minimum(a[owner] + nth * (VALUE // 2), np.maximum(a[owner], b[owner] - VALUE))
+    return low, np.minimum(b[owner], low + VALUE), owner
+
+
+def features(around: str) -> np.ndarray:
+    """(positions, 2): rows of each character and of its class, both by the side it stands on; marks have row 0."""
+    code = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), "<u4")
+    symbol, mark = SYMBOL[np.minimum(code, 127)].astype(np.int64), code == 0
+    beside = np.cumsum(mark) != 1
+    rows = np.stack([1 + symbol + NONE * beside, 1 + 2 * NONE + CLASS[symbol] + 5 * beside], 1)
+    rows[mark] = 0
+    return rows
 
 
 class Detector:
-    def __init__(self, net: ConvNet | None, least: float):
-        self.net, self.least = net, least
-        if net is not None:  # rows of common characters and of all classes
-            self.common = np.concatenate([net.rows(_hash_codes(np.arange(256), x)) for x in (0, 1)])
-            self.kinds = net.rows(_hash_kinds(np.arange(192)))
-
-    def _rows(self, around: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As net.rows of the features."""
-        code, beside, kind, edge = _codes(around)
-        first = self.common[(code & 255) + 256 * beside]
-        rare = np.flatnonzero(code >= 256)
-        first[rare] = self.net.rows(_hash_codes(code[rare], beside[rare]))
-        return np.stack([first, self.kinds[kind]], 1), edge
-
-    def scores(self, around: list[str]) -> np.ndarray:
-        """The highest score of each one's windows."""
-        if self.net is None or not around:
-            return np.zeros(len(around))
-        seen = [windows(x) for x in around]
-        flat = [w for x in seen for w in x]
-        made = []
-        for at in range(0, len(flat), 1024):
-            made.append(self.net.score(*self._rows(flat[at : at + 1024])))
-        return np.maximum.reduceat(np.concatenate(made), np.append(0, np.cumsum([len(x) for x in seen]))[:-1])
-
-
-def _order(around: str) -> int:
-    return xxhash.xxh64_intdigest(around.encode("utf-8", "surrogatepass")) - (1 << 63)
+    """A fitted network of filters 2 and 4 wide as tables by pairs of characters, and a threshold for its logit."""
+
+    def __init__(self, net: ConvNet, least: float = 0.0):
+        self.out, self.base, self.least = net.out, net.base, least
+        self.scale, self.shift, self.filters = net.scale, net.shift, net.filters
+        self.first, self.second = zip(*(self._tables(net, side) for side in (0, 1)))
+
+    def _tables(self, net: ConvNet, side: int) -> tuple[np.ndarray, np.ndarray]:
+        s = np.arange(NONE)
+        e = net.emb[1 + s + NONE * side] + net.emb[1 + 2 * NONE + CLASS[s] + 5 * side]
+        pair = lambda w, k: (e @ net.taps[w][k])[:, None] + (e @ net.taps[w][k + 1])[None, :]
+        tables = []
+        for made in (np.concatenate([pair(0, 0) + net.bias[0], pair(1, 0) + net.bias[1]], axis=2), pair(1, 2)):
+            full = np.full((NONE + 1, NONE + 1, made.shape[2]), LOW, np.float32)
+            full[:NONE, :NONE] = made
+            tables.append(full.reshape(-1, made.shape[2]))
+        return tables[0], tables[1]
+
+    def logits(self, symbol: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of windows by start, in laid-out symbols."""
+        out = np.empty(len(a), np.float32)
+        edge = np.append(np.flatnonzero(np.diff(a // REGION, prepend=-1)), len(a)) if len(a) else []
+        for i, j in zip(edge[:-1], edge[1:]):
+            low = a[i] - LEFT
+            s = symbol[low : b[i:j].max() + RIGHT].astype(np.int64)
+            pair = s[:-1] * (NONE + 1) + s[1:]
+            out[i:j] = self._region(pair, a[i:j] - low, b[i:j] - low)
+        return out
+
+    def _activations(self, pair: np.ndarray, side: int) -> np.ndarray:
+        """(positions, 2 * filters) of the windows of 2 and of 4 that begin at each position."""
+        h = self.first[side].take(pair, axis=0)
+        h[:-2, self.filters :] += self.second[side].take(pair[2:], axis=0)
+        return h
+
+    def _region(self, pair: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        f = self.filters
+        inside, beside = self._activations(pair, 0), self._activations(pair, 1)
+        pool = np.maximum.reduceat(inside, np.stack([a, b - 3], 1).ravel(), axis=0)[::2]
+        two = [inside[b - 3, :f], inside[b - 2, :f], beside[b, :f], beside[b + 1, :f], beside[b + 2, :f]]
+        wide = beside
+        for k in (1, 2, 4):  # the highest of 8 positions
+            wide = np.maximum(wide[:-k], wide[k:])
+        first = wide.take(a - LEFT, axis=0)
+        two += [first[:, :f], wide[a - LEFT + 7, :f]]
+        four = [first[:, f:], wide[a - LEFT + 5, f:], beside[b, f:]]
+        for x in two:
+            np.maximum(pool[:, :f], x, out=pool[:, :f])
+        for x in four:
+            np.maximum(pool[:, f:], x, out=pool[:, f:])
+        return np.maximum(pool, 0) @ self.out + self.base
+
+    def highest(self, laid: Laid, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The highest logit of each candidate's windows."""
+        low, high, owner = split(a, b)
+        z = self.logits(laid.symbol, low, high)
+        return np.maximum.reduceat(z, np.flatnonzero(np.diff(owner, prepend=-1))) if len(a) else z
+
+    def probability(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -40, 40)))
+
+
+@dataclass
+class Slice:
+    """Some texts laid out, with their base spans, their labelled findings and the windows that carry a label."""
+
+    part: pa.RecordBatch
+
+    def __post_init__(self) -> None:
+        texts = [x or "" for x in self.part.column("text").to_pylist()]
+        own = self.part.column("own").to_pylist() if "own" in self.part.schema.names else [None] * len(texts)
+        base = [base_values(x) + [("own", s["start"], s["end"], s["start"], s["end"]) for s in o or ()] for x, o in zip(texts, own)]
+        self.laid = Laid(texts)
+        a, b, label = candidates(self.laid, base)
+        self.a, self.b, owner = split(a, b)
+        self.label = label[owner]
+        labelled = self.label != REST
+        self.a, self.b, self.label = self.a[labelled], self.b[labelled], self.label[labelled]
+        self.hash = self.laid.hashes(self.a, self.b).view(np.int64)
+
+
+def _free(h: np.ndarray) -> np.ndarray:
+    """Four fifths of the windows, from which those to fit on are taken."""
+    return h % 5 > 0
 
 
 def _lowest(most: int):
-    """Of each task's findings, the `most` distinct ones of each kind that come first by their hash."""
+    """Of each task's windows, the `most` distinct ones of either label that come first by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict] = [{}, {}]
-        limit = [1 << 63, 1 << 63]
-
-        def put(label: int, around: str) -> None:
-            h = _order(around)
-            if h <= limit[label]:
-                kept[label][around] = h
-                if len(kept[label]) >= 4 * most:
-                    kept[label] = dict(sorted(kept[label].items(), key=lambda x: (x[1], x[0]))[:most])
-                    limit[label] = max(kept[label].values())
-
-        for part in slices(batches):
-            for x in part.column(0).to_pylist():
-                known, other, _ = candidates(x or "", base_spans(x or ""))
-                for _, _, k in known:
-                    put(1, k)
-                for _, _, o in other:
-                    for w in windows(o):
-                        put(0, w)
-        rows = [(label, h, x) for label in (0, 1) for x, h in sorted(kept[label].items(), key=lambda x: (x[1], x[0]))[:most]]
-        names = {"label": pa.int32(), "h": pa.int64(), "around": pa.string()}
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(names.values())], names=[*names])
+        kept: list[dict[int, str]] = [{}, {}]
+        for part in sized(batches, 0):
+            s = Slice(part)
+            for label in (0, 1):
+                mine = np.flatnonzero(((s.label > 0) == label) & _free(s.hash))
+                order, first = np.unique(s.hash[mine], return_index=True)
+                last = max(kept[label]) if len(kept[label]) >= most else np.iinfo(np.int64).max
+                for h, i in zip(order[:most].tolist(), mine[first[:most]].tolist()):
+                    if h > last:
+                        break
+                    kept[label][h] = s.laid.around(s.a[i], s.b[i])
+                kept[label] = dict(sorted(kept[label].items())[:most])
+        rows = [(label, h, x) for label in (0, 1) for h, x in kept[label].items()]
+        kinds = {"label": pa.int32(), "h": pa.int64(), "around": pa.string()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=[*kinds])
 
     return run
 
 
-def train(found: DataFrame, most: int = 3000, recall: float = 0.98, seed: int = 11) -> Detector:
-    """Fits on at most `most` findings of each kind, chosen by a hash of what they show. Under 20 of either: no network, no added spans.
+def _fitted(around: list[str], label: np.ndarray, seed: int) -> dict:
+    net = ConvNet(np.arange(FEATURES, dtype=U), size=8, widths=(2, 4), filters=8, seed=seed, gaps=True)
+    net.fit([features(x) for x in around], label, epochs=max(4, 20_000 // len(around)), seed=seed)
+    return vars(net)
+
+
+def _histogram(shared, last: dict[int, int]):
+    """How many windows of each label, fitted on or not, have a logit in each step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        detector = pickle.loads(shared.value)
+        many: Counter = Counter()
+        for part in sized(batches, 0):
+            s = Slice(part)
+            z = np.clip(detector.logits(s.laid.symbol, s.a, s.b), -FAR, FAR)
+            step = np.floor(z * STEPS).astype(np.int64) + FAR * STEPS
+            fit = _free(s.hash) & (s.hash <= np.where(s.label > 0, last[1], last[0]))
+            keys, counts = np.unique((step * 8 + s.label) * 2 + fit, return_counts=True)
+            many.update(dict(zip(keys.tolist(), counts.tolist())))
+        rows = [(k // 2 % 8, bool(k % 2), k // 16 - FAR * STEPS, n) for k, n in sorted(many.items())]
+        kinds = {"label": pa.int32(), "fit": pa.bool_(), "step": pa.int32(), "many": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=[*kinds])
+
+    return run
+
+
+def threshold(step: np.ndarray, label: np.ndarray, many: np.ndarray, recall: float) -> float:
+    """The highest logit that leaves each kind of finding at least `recall` of its windows."""
+    least = []
+    for kind in np.unique(label[label > 0]):
+        order = np.argsort(step[label == kind])
+        below = np.cumsum(many[label == kind][order])
+        least.append(step[label == kind][order][np.searchsorted(below, (1 - recall) * below[-1], "right")] / STEPS)
+    return min(least)
+
+
+def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, recall: float = 0.98, seed: int = 11) -> Detector | None:
+    """A detector fitted on docs (text, and doc_id where `found` is given). Scans docs twice.
+
+    found: labelled findings beyond the base patterns' (doc_id, start, end; code points, end exclusive). At most
+    `most` windows of either label, by a hash of what they show, are fitted on, in one task. All the others, or
+    those of a kind that has no others, calibrate the network and set the threshold.
 
-    found: documents (a column text), or the findings of some.
+    Null and empty texts have no windows. Without a finding and without a candidate that is none, there is
+    nothing to learn from: None, and `scan` then gives base spans alone.
     """
-    if "text" in found.columns:
-        rows = found.select("text").mapInArrow(_lowest(most), "label int, h long, around string")
-        lists = [rows.where(f"label = {x}").select("h", "around").distinct().orderBy("h", "around").limit(most).collect() for x in (1, 0)]
-        yes, no = ([r.around for r in x] for x in lists)
-    else:
-        lists = [{w for r in found.select(F.explode(c).alias("x")).select("x.around").distinct().collect() for w in windows(r.around)} for c in ("known", "other")]
-        yes, no = (sorted(x, key=lambda w: (_order(w), w))[:most] for x in lists)
-    if min(len(yes), len(no)) < 20:
-        return Detector(None, 1.0)
-    items = [features([x])[0] for x in [*yes, *no]]
-    label = np.array([1.0] * len(yes) + [0.0] * len(no))
-    held = np.arange(len(label)) % 5 == 0
-    net = ConvNet(frequent([x.ravel() for x in items], 3), size=8, widths=(2, 4, 6), filters=8, seed=seed)
-    own = [net.rows(items[i]) for i in np.flatnonzero(~held)]
-    net.fit(own, label[~held], epochs=max(4, 12_000 // len(own)), seed=seed)
-    flat = [items[i] for i in np.flatnonzero(held)]
-    rows, edge = net.rows(np.concatenate(flat)), np.append(0, np.cumsum([len(x) for x in flat]))
-    net.calibrate(net.logits(rows, edge), label[held])
-    scores = net.score(rows, edge)
-    sure = np.sort(scores[label[held] == 1])
-    top = sure[int((1 - recall) * len(sure))]
-    below = scores[(label[held] == 0) & (scores < top)]
-    return Detector(net, max(0.5, float(top + below.max(initial=0)) / 2))
-
-
-def _spans(texts: list[str | None], d: Detector) -> list[list[tuple[str, int, int]]]:
+    rows = docs.select("text")
+    if found is not None:
+        own = found.where("start < end").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("own"))
+        rows = docs.select("doc_id", "text").join(own, "doc_id", "left").select("text", "own")
+    sample = rows.mapInArrow(_lowest(most), "label int, h long, around string")
+    # Each task gives its lowest; of those, the lowest again.
+    lowest = [sample.where(f"label = {x}").dropDuplicates(["h"]).orderBy("h").limit(most) for x in (0, 1)]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("label", "ascending"), ("h", "ascending")])
+        label = t["label"].to_numpy()
+        last = [int(t["h"].to_numpy()[label == x].max(initial=np.iinfo(np.int64).min)) for x in (0, 1)]
+        fitted = _fitted(t["around"].to_pylist(), label.astype(np.float64), seed) if len(np.unique(label)) == 2 else None
+        return pa.table({"net": pa.array([pickle.dumps((fitted, last))], pa.binary())})
+
+    made = lowest[0].unionByName(lowest[1]).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "net binary").collect()
+    fitted, last = pickle.loads(made[0].net) if made else (None, None)
+    if fitted is None:
+        return None
+    net = ConvNet(fitted.pop("vocabulary"))
+    vars(net).update(fitted)
+    shared = by_value(docs.sparkSession, Detector(net))
+    bins = rows.mapInArrow(_histogram(shared, dict(enumerate(last))), "label int, fit boolean, step int, many long").groupBy("label", "fit", "step").agg(F.sum("many").alias("many")).collect()
+    unseen = {r.label for r in bins if not r.fit}
+    bins = [r for r in bins if not r.fit or r.label not in unseen]
+    label, step, many = (np.array([r[c] for r in bins]) for c in ("label", "step", "many"))
+    net.calibrate((step + 0.5) / STEPS, (label > 0).astype(np.float64), many.astype(np.float64))
+    half = -net.shift / net.scale if net.scale else np.inf
+    return Detector(net, min(half, threshold(step, label, many, recall)))
+
+
+def _spans(texts: list[str | None], d: Detector | None) -> list[list[tuple[str, int, int]]]:
     """Base spans and those that the network adds, by start, then kind."""
-    base = [base_spans(x or "") for x in texts]
-    both = [candidates(x or "", s) for x, s in zip(texts, base)]
-    both = [[*other, *rest] for _, other, rest in both]
-    sure = iter((d.scores([c[2] for o in both for c in o]) >= d.least).tolist())
-    more = [[("cnn", c[0], c[1]) for c in o if next(sure)] for o in both]
-    return [sorted([*b, *m], key=lambda x: (x[1], KINDS.index(x[0]))) for b, m in zip(base, more)]
+    base = [base_values(x or "") for x in texts]
+    out = [[x[:3] for x in of] for of in base]
+    if d is None:
+        return out
+    laid = Laid([x or "" for x in texts])
+    a, b, label = candidates(laid, base)
+    a, b = a[label <= OTHER], b[label <= OTHER]
+    sure = np.flatnonzero(d.highest(laid, a, b) >= d.least)
+    for s, e in zip(a[sure].tolist(), b[sure].tolist()):
+        i = int(np.searchsorted(laid.start, s, "right")) - 1
+        out[i].append(("cnn", s - int(laid.start[i]), e - int(laid.start[i])))
+    return [sorted(x, key=lambda y: (y[1], KINDS.index(y[0]))) for x in out]
 
 
 def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """doc_id and spans (kind, start, end; code points, end exclusive; by start, then kind) of each row.
 
     Null and empty texts have none. Base spans always stay, whatever the network says; it only adds spans
-    of kind cnn. Rows that share an id keep a row each.
+    of kind cnn. Rows that share an id keep a row each. Texts of any length are laid out whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(detector or train(docs))
+    shared = by_value(docs.sparkSession, detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            spans = [[dict(zip(("kind", "start", "end"), s)) for s in x] for x in _spans(part.column(1).to_pylist(), shared.value)]
+        own = pickle.loads(shared.value)
+        for part in sized(batches, 1):
+            spans = [[dict(zip(("kind", "start", "end"), s)) for s in x] for x in _spans(part.column(1).to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPAN_DDL}")
@@ -271,15 +388,16 @@ def masked(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> s
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, detector: Detector) -> DataFrame:
+def redact(docs: DataFrame, detector: Detector | None) -> DataFrame:
     """docs with every found span replaced by [SECRET] in its text and n_chars set anew; rows without spans stay as they are."""
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(detector)
+    shared = by_value(docs.sparkSession, detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        own = pickle.loads(shared.value)
+        for part in sized(batches, names.index("text")):
             texts = part.column(names.index("text")).to_pylist()
-            spans = [[(a, b) for _, a, b in x] for x in _spans(texts, shared.value)]
+            spans = [[(a, b) for _, a, b in x] for x in _spans(texts, own)]
             texts = [masked(x, s) if s else x for x, s in zip(texts, spans)]
             sizes = [len(x) if s else n for x, s, n in zip(texts, spans, part.column(names.index("n_chars")).to_pylist())]
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
@@ -293,7 +411,9 @@ def _joined(spans: str):
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"))
+    """doc_id, counts of the base kinds, base_sha256 and spans of each document; the network is trained on all of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, train(docs))
     many = lambda kind: F.size(F.expr(f"filter(spans, s -> s.kind = '{kind}')")).cast("long").alias(f"n_{kind}")
     base = F.sha2(_joined("filter(spans, s -> s.kind <> 'cnn')"), 256).alias("base_sha256")
     return found.select("doc_id", many("assign"), many("access"), many("hex"), base, _joined("spans").alias("spans"))
