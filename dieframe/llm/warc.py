@@ -1,9 +1,11 @@
 """WARC archives as a chunked record table.
 
-A record is its WARC bytes (header, payload, two line ends) cut into rows of (record, chunk, data); each row
-carries the SHA-1 of its own payload part and where that part begins, so that every chunk can be checked on its
-own and a reader needs one chunk in memory. Writing streams a payload through an incremental digest; reading
-sorts the chunks of a record within a partition (which spills) and streams them through another.
+A record is its WARC bytes (header, payload, two line ends) cut into rows of (record, chunk, data). Each row carries
+where its part of the payload begins and the running SHA-1 of the payload up to its end, so a reader needs one
+chunk in memory and knows at each of them that nothing is missing or damaged so far. Payloads go through an
+incremental digest and leave their page's row as compressed chunks; from there on no step holds a whole record.
+
+Every step names rows by what they hold, never by their place, so a lost executor's work comes out the same again.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, table
+from .common import shared_dir, sized, slices, table
 
 CHUNK = 1 << 20
-RECORD = "record string, chunk int, begins long, part_sha1 binary, data binary"
+RECORD = "record string, chunk int, begins long, running_sha1 binary, data binary"
 END = b"\r\n\r\n"
 
 
@@ -29,14 +31,57 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds size and digest of each payload, which goes on as zstd for the shuffle."""
-    press = zstandard.ZstdCompressor(level=1)
-    for part in slices(batches):
-        payloads = [(x or "").encode("utf-8", "surrogatepass") for x in part.column("payload").to_pylist()]
-        digest = [base32(hashlib.sha1(x).digest()) for x in payloads]
-        kept = part.drop_columns("payload")
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(map(press.compress, payloads), pa.binary()), pa.array([len(x) for x in payloads], pa.int64()), pa.array(digest, pa.string())], names=[*kept.schema.names, "packed", "size", "digest"])
+def _views(part: pa.RecordBatch) -> Iterator[memoryview]:
+    """The payloads' UTF-8 where it lies in the batch."""
+    for x in part.column("payload").cast(pa.binary()):
+        yield memoryview(x.as_buffer() or b"")
+
+
+def _digest(payload: memoryview, chunk: int) -> str:
+    sha1 = hashlib.sha1()
+    for at in range(0, len(payload), chunk):
+        sha1.update(payload[at : at + chunk])
+    return base32(sha1.digest())
+
+
+def _described(chunk: int):
+    """Size and digest of each payload in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sized(batches, 2, most=16 * chunk):
+            size, digest = zip(*((len(x), _digest(x, chunk)) for x in _views(part)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.string())], names=["id", "url", "size", "digest"])
+
+    return run
+
+
+def _chunks(chunk: int):
+    """A row for each chunk of each payload: where it begins, the running digest, and its bytes as zstd for the shuffle."""
+    kinds = {"id": pa.int64(), "url": pa.string(), "size": pa.int64(), "digest": pa.string(), "chunk": pa.int32(), "begins": pa.int64(), "running": pa.binary(), "packed": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for part in sized(batches, 2, most=16 * chunk):
+            rows: list[tuple] = []
+            held = 0
+            for page, url, payload in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _views(part)):
+                digest, running = _digest(payload, chunk), hashlib.sha1()
+                for k, at in enumerate(range(0, max(1, len(payload)), chunk)):
+                    piece = payload[at : at + chunk]
+                    running.update(piece)
+                    rows.append((page, url, len(payload), digest, k, at, running.digest(), press.compress(piece)))
+                    held += len(rows[-1][-1])
+                    if held > 8 * chunk:
+                        yield _batch(rows, kinds)
+                        rows, held = [], 0
+            if rows:
+                yield _batch(rows, kinds)
+
+    return run
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=[*kinds])
 
 
 def header(kind: str, record: str, page: int | None, url: str | None, size: int, digest: str, refers_to: int | None, refers_record: str | None) -> bytes:
@@ -52,43 +97,67 @@ def header(kind: str, record: str, page: int | None, url: str | None, size: int,
 
 
 def _written(chunk: int):
+    kinds = {"record": pa.string(), "chunk": pa.int32(), "begins": pa.int64(), "running_sha1": pa.binary(), "data": pa.binary()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [("record", pa.string()), ("chunk", pa.int32()), ("begins", pa.int64()), ("part_sha1", pa.binary()), ("data", pa.binary())]
+        open_ = zstandard.ZstdDecompressor()
         for part in slices(batches, 64):
-            out: list[tuple] = []
+            rows: list[tuple] = []
             held = 0
             for p in part.to_pylist():
-                head = header(p["kind"], p["record"], p["id"], p["url"], p["size"], p["digest"], p["first_id"], p["first_record"])
-                stream = zstandard.ZstdDecompressor().stream_reader(p["packed"])
-                steps = range(0, max(1, 0 if p["kind"] == "revisit" else p["size"]), chunk)
-                for k, at in enumerate(steps):
-                    piece = b"" if p["kind"] == "revisit" else stream.read(chunk)
-                    data = (head if not k else b"") + piece + (END if k == len(steps) - 1 else b"")
-                    out.append((p["record"], k, at, hashlib.sha1(piece).digest(), data))
-                    held += len(data)
-                    if held > 8 * chunk:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), kinds)], names=[n for n, _ in kinds])
+                piece = open_.decompress(p["packed"]) if p["packed"] else b""
+                head = header(p["kind"], p["record"], p["id"], p["url"], p["size"], p["digest"], p["first_id"], p["first_record"]) if not p["chunk"] else b""
+                last = p["kind"] == "revisit" or p["begins"] + chunk >= p["size"]
+                rows.append((p["record"], p["chunk"], p["begins"], p["running"], head + piece + (END if last else b"")))
+                held += len(rows[-1][-1])
+                if held > 8 * chunk:
+                    yield _batch(rows, kinds)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows, kinds)
 
     return run
 
 
+def _record(page: Column, url: Column, digest: Column, copy: Column) -> Column:
+    return F.concat_ws("-", F.coalesce(page.cast("string"), F.lit("none")), F.hex(F.xxhash64(url)), digest, copy.cast("string"))
+
+
+def _copies(many: Column, since: Column) -> Column:
+    """Numbers since..many; none if there are none."""
+    return F.explode(F.when(many >= since, F.sequence(since, many)).otherwise(F.array().cast("array<long>")))
+
+
 def write(pages: DataFrame, path: str, least: int = 0, chunk: int = CHUNK) -> None:
     """Writes a record per row of pages (page_id, url, html; any other columns are left aside) as a chunk table at path.
 
-    Of rows whose payloads are equal and of `least` bytes or more, the one with the smallest page_id becomes a
-    response and the others revisit it; among equal ids, one of them does. A null id comes last, a null html is
-    an empty payload. Payloads are equal if size and SHA-1 are.
+    Of rows whose payloads are equal and of `least` bytes or more, the one with the smallest page_id (then url)
+    becomes a response and the others revisit it; of rows that agree in all three, one is it. A null id comes
+    last, a null html is an empty payload. Payloads are equal if size and SHA-1 are.
+
+    A payload that many rows share is combined before the shuffle; revisits never carry theirs.
     """
-    rows = pages.select(F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.monotonically_increasing_id()).alias("record"), F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.col("html").alias("payload"))
-    rows = rows.mapInArrow(_described, "record string, id long, url string, packed binary, size long, digest string")
-    narrow = rows.drop("url", "packed").where(F.col("size") >= least)
-    first = narrow.groupBy("digest", "size").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "record")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("digest", "size", F.col("first.id").alias("first_id"), F.col("first.record").alias("first_record"))
-    out = rows.join(first, ["digest", "size"], "left").withColumn("kind", F.when(F.col("first_record") != F.col("record"), "revisit").otherwise("response"))
-    out.mapInArrow(_written(chunk), RECORD).write.option("compression", "zstd").parquet(path)
+    rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("payload"))
+    page = F.struct(F.col("id").isNull().alias("late"), "id", "url")
+    parts = rows.mapInArrow(_chunks(chunk), "id long, url string, size long, digest string, chunk int, begins long, running binary, packed binary")
+    short = F.col("size") < least
+    alone = F.when(short, page).alias("alone")  # short payloads are not shared
+    parts = parts.groupBy("digest", "size", "chunk", "begins", alone).agg(F.first("running").alias("running"), F.first("packed").alias("packed"), F.min(page).alias("page"), F.count("*").alias("many"))
+    parts = parts.withColumn("copy", _copies(F.when(short, F.col("many")).otherwise(F.lit(1).cast("long")), F.lit(1).cast("long")))
+    record = _record(F.col("page.id"), F.col("page.url"), F.col("digest"), F.col("copy")).alias("record")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("first_id", "long"), ("first_record", "string"))]
+    responses = parts.select(record, F.lit("response").alias("kind"), F.col("page.id").alias("id"), F.col("page.url").alias("url"), "size", "digest", *none, "chunk", "begins", "running", "packed")
+
+    keyed = rows.mapInArrow(_described(chunk), "id long, url string, size long, digest string").where(~short).groupBy("digest", "size", "id", "url").agg(F.count("*").alias("many"))
+    first = keyed.groupBy("digest", "size").agg(F.min(page).alias("first"), F.sum("many").alias("all")).where("all > 1").drop("all")
+    again = keyed.join(first, ["digest", "size"])
+    since = F.when(F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url")), 2).otherwise(1).cast("long")
+    again = again.withColumn("copy", _copies(F.col("many"), since))
+    origin = _record(F.col("first.id"), F.col("first.url"), F.col("digest"), F.lit(1)).alias("first_record")
+    record = _record(F.col("id"), F.col("url"), F.col("digest"), F.col("copy")).alias("record")
+    empty = [F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("begins"), F.lit(hashlib.sha1().digest()).alias("running"), F.lit(None).cast("binary").alias("packed")]
+    revisits = again.select(record, F.lit("revisit").alias("kind"), "id", "url", "size", "digest", F.col("first.id").alias("first_id"), origin, *empty)
+    responses.unionByName(revisits).mapInArrow(_written(chunk), RECORD).write.option("compression", "zstd").parquet(path)
 
 
 def _parsed(head: bytes) -> dict[str, str]:
@@ -97,7 +166,7 @@ def _parsed(head: bytes) -> dict[str, str]:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks in order to one row a record; raises on a missing or damaged chunk or a wrong digest."""
+    """Chunks in order to one row a record; raises on a missing or damaged chunk or a wrong digest or length."""
     done: list[tuple] = []
     now, fields, digest, size, k = None, {}, hashlib.sha1(), 0, 0
 
@@ -106,30 +175,30 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
         if size != int(fields["Content-Length"]) + len(END):
             raise ValueError(f"{now}: {size - len(END)} bytes instead of {fields['Content-Length']}")
-        if fields["WARC-Type"] == "response" and fields["WARC-Payload-Digest"] != f"sha1:{base32(digest.digest())}":
-            raise ValueError(f"{now}: wrong digest")
+        if fields["WARC-Type"] == "response" and (fields["X-Payload-Length"] != fields["Content-Length"] or fields["WARC-Payload-Digest"] != f"sha1:{base32(digest.digest())}"):
+            raise ValueError(f"{now}: wrong digest or length")
         refers = fields.get("X-Refers-To-Page")
         done.append((int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(refers) if refers else None))
 
-    kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
     for part in slices(batches, 64):
-        for record, chunk, begins, part_sha1, data in zip(*(c.to_pylist() for c in part.columns)):
+        for record, chunk, begins, running, data in zip(*(c.to_pylist() for c in part.columns)):
             if record != now:
                 close()
                 head, _, data = data.partition(b"\r\n\r\n")
                 now, fields, digest, size, k = record, _parsed(head), hashlib.sha1(), 0, 0
             size += len(data)
             piece = data[: max(0, int(fields["Content-Length"]) - begins)]
-            if chunk != k or hashlib.sha1(piece).digest() != part_sha1:
-                raise ValueError(f"{record}: chunk {k} is missing or damaged")
             digest.update(piece)
+            if chunk != k or digest.digest() != running:
+                raise ValueError(f"{record}: chunk {k} is missing or damaged")
             k += 1
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*done), kinds)], names=[n for n, _ in kinds])
+            yield _batch(done, kinds)
             done.clear()
     close()
     if done:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*done), kinds)], names=[n for n, _ in kinds])
+        yield _batch(done, kinds)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -139,6 +208,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
+    """Writes all pages as an archive table and returns what reading it back gives, a row a page."""
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "pages"), path)
     return read(spark, path)
