@@ -234,6 +234,13 @@ def test_warc(spark, tmp_path):
     one = b"".join(r.data for r in chunks.where(F.col("record").startswith("3-")).orderBy("chunk").collect())
     head, _, body = one.partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and body.endswith(b"\r\n\r\n")
+    chunks.where("chunk <> 1").write.parquet(str(tmp_path / "lost"))
+    chunks.withColumn("data", F.when(F.col("chunk") == 1, F.encode(F.translate(F.decode("data", "iso-8859-1"), "x", "y"), "iso-8859-1")).otherwise(F.col("data"))).write.parquet(str(tmp_path / "turned"))
+    for name in ("lost", "turned"):
+        with pytest.raises(Exception, match="missing or damaged"):
+            warc.read(spark, str(tmp_path / name)).collect()
+    warc.write(pages.where("false"), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
     big = spark.createDataFrame([(1, "u", "y" * 100)], "page_id long, url string, html string")
     warc.write(big.unionByName(big.selectExpr("page_id + 1 AS page_id", "url", "html")), str(tmp_path / "v"), least=101)
     assert {r.record_type for r in warc.read(spark, str(tmp_path / "v")).collect()} == {"response"}
@@ -261,6 +268,18 @@ def test_top_k(spark):
     assert maxscore.top_k(df.where("vec_id IN (0, 1, 2)")).count() == 2
 
 
+@pytest.mark.parametrize("far", [3.0, 2.0**42, 2.0**46])
+def test_top_k_is_exact_at_any_size(spark, far):
+    """Small vectors and one large query: sums within and beyond what a double holds; ids repeat."""
+    r = random.Random(6)
+    rows = [(i % 90, [float(r.randrange(200)) / 256 for _ in range(8)]) for i in range(1, 100)] + [(100, [far + r.randrange(256) / 256 for _ in range(8)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = [(r.rank, r.score) for r in maxscore.top_k(df, every=100, shard=16).collect() if r.query_id == 100]
+    q = [int(np.floor(256 * x)) for x in rows[-1][1]]
+    scores = sorted((sum(a * int(256 * b) for a, b in zip(q, v)) for _, v in rows[:-1]), reverse=True)
+    assert sorted(out) == [(i + 1, s) for i, s in enumerate(scores[:5])]
+
+
 # Tool calls.
 
 
