@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, slices, table, word_hashes
+from .common import U, by_value, cut, sized, table, word_hashes
 from .convnet import ConvNet, frequent
 
 #: ASCII punctuation and controls, as blanks.
@@ -75,11 +75,12 @@ def _constant(share: float, seed: int) -> Model:
 
 def _logits(labelled: DataFrame, net: ConvNet) -> DataFrame:
     """lang, toxic and logit of each row."""
-    shared = labelled.sparkSession.sparkContext.broadcast(Model(net))
+    shared = by_value(labelled.sparkSession, Model(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
-            made = shared.value.logits(part.column(2).to_pylist()) if part.num_rows else []
+        own = pickle.loads(shared.value)
+        for part in sized(batches, 2, 256):
+            made = own.logits(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64())], names=["lang", "toxic", "logit"])
 
     return labelled.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int"), "text").mapInArrow(run, "lang string, toxic int, logit double")
@@ -140,13 +141,16 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """docs with out_col (0 to 1). Null, empty and wordless texts get the score of no evidence. Scans once."""
+    """docs with out_col (0 to 1), which must be a new column. Null, empty and wordless texts get the score of no evidence. Scans once."""
     names = docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's vocabulary
+    if out_col.lower() in map(str.lower, names):
+        raise ValueError(f"a column that exists already: {out_col}")
+    shared = by_value(docs.sparkSession, model)  # bounded by the sample's vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 256):
-            made = shared.value.scores(part.column(names.index(text_col)).to_pylist()) if part.num_rows else []
+        own = pickle.loads(shared.value)
+        for part in sized(batches, names.index(text_col), 256):
+            made = own.scores(part.column(names.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, out_col])
 
     return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add(out_col, "double"))
