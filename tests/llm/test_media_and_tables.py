@@ -268,7 +268,7 @@ def test_top_k(spark):
     assert maxscore.top_k(df.where("vec_id IN (0, 1, 2)")).count() == 2
 
 
-@pytest.mark.parametrize("far", [3.0, 2.0**42, 2.0**46])
+@pytest.mark.parametrize("far", [3.0, 2.0**42, 2.0**44, 6 * 2.0**42])
 def test_top_k_is_exact_at_any_size(spark, far):
     """Small vectors and one large query: sums within and beyond what a double holds; ids repeat."""
     r = random.Random(6)
