@@ -2,7 +2,9 @@
 
 1. A document's set of shingles gets a class (a hash of the set): equal sets are one class from here on.
 2. Shingles meet in hash buckets, each class once, and come back with the number of classes that have them.
-   Only those of two classes or more can be in an intersection; a class with too few of them links to none.
+   Only those of two classes or more can be in an intersection; a class with too few of them links to none. The
+   number of buckets follows that of shingles. Shingles so frequent that one would fill a bucket are counted
+   beforehand, take no part in this and stand last in the order, so no bucket grows with the corpus.
 3. The rest order their shingles rare first. Two sets of similarity t share one of their first
    n - ceil(t * n) + 1 shingles; those are joined, under the length and the positional filter.
 4. Each pair that comes out is verified once: a suffix filter bounds the intersection from the counts of
@@ -19,12 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, batch_of, cut, joined, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
 from .components import components
 
+ROOM = 2_000_000  #: shingles that meet in one task
+MOST_PARTS = 4096
+COUNTERS = 1 << 20
 PACKED = "bucket int, owner binary, n binary, key binary, df binary, size binary"
 
 
@@ -51,37 +57,110 @@ def _classes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [shingles(x, width) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], names=["doc", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], names=["doc", "tie", "n", "cls"])
 
     return run
 
 
-def _spread(width: int, buckets: int):
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of the hashes' upper 32 bits."""
+    return (((h >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    """The lower 7 bytes, which cross the shuffle."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).view("V7").ravel()
+
+
+def _whole(low: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """A key of 64 bits from a bucket and the lower 7 bytes: with 256 buckets or more the hash itself, with fewer one of 56 bits and the bucket's."""
+    key = np.zeros((len(low), 8), np.uint8)
+    key[:, :7] = low.view(np.uint8).reshape(-1, 7)
+    first = U(-(-(bucket << 32) // buckets) << 32)
+    with np.errstate(over="ignore"):
+        return first + ((key.view(U).ravel() - first) & U((1 << 56) - 1))
+
+
+def _spread(width: int, buckets: int, hot: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            seen: dict[int, np.ndarray] = {}
-            for text in part.column(0).to_pylist():
-                s = shingles(text, width)
-                if len(s):
-                    seen.setdefault(_class(s), s)
+            seen = _distinct(part.column(0).to_pylist(), width)
             if seen:
                 h = np.concatenate([*seen.values()])
                 size = np.array([len(s) for s in seen.values()], np.int32)
-                low = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
-                rows = pack(((h >> U(40)) % U(buckets)).astype(np.int64), np.repeat(np.array([*seen], np.int64), size), {"key": low}, {"size": np.repeat(size, size)})
+                owner = np.repeat(np.array([*seen], np.int64), size)
+                known = _hot_places(hot.value, h)
+                bucket = np.where(known < 0, _bucket(h, buckets), buckets + owner % buckets)
+                low = _low(np.where(known < 0, h, known.astype(U)))
+                rows = pack(bucket, owner, {"key": low}, {"size": np.repeat(size, size)})
                 yield packed_batch(rows, "key", "size")
 
     return run
 
 
-def _shared(buckets: int):
+def _often(width: int, share: float):
+    """Of one task: shingles that its texts hold in at least `share` of all cases, with a lower bound of how often.
+
+    Counts as Misra and Gries do: once there are too many different shingles, all counts sink alike.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        key, many, total = np.empty(0, U), np.empty(0, np.int64), 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            more, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
+            both, n = np.concatenate([key, more]), np.concatenate([many, count])
+            order = np.argsort(both, kind="stable")
+            at = runs(both[order])
+            both, n = both[order][at], np.add.reduceat(n[order], at) if len(at) else n
+            if len(n) > COUNTERS:
+                n = n - np.partition(n, len(n) - COUNTERS - 1)[len(n) - COUNTERS - 1]
+                both, n = both[n > 0], n[n > 0]
+            return both, n
+
+        for part in slices(batches):
+            held += [*_distinct(part.column(0).to_pylist(), width).values()]
+            if sum(map(len, held)) > 4 * COUNTERS:
+                total += sum(map(len, held))
+                key, many = merged()
+                held = []
+        total += sum(map(len, held))
+        key, many = merged()
+        keep = many >= max(2.0, share * total)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(many[keep])], names=["shingle", "many"])
+
+    return run
+
+
+def _distinct(texts: list[str | None], width: int) -> dict[int, np.ndarray]:
+    """The shingles of each class."""
+    seen: dict[int, np.ndarray] = {}
+    for text in texts:
+        s = shingles(text, width)
+        if len(s):
+            seen.setdefault(_class(s), s)
+    return seen
+
+
+def _hot_places(hot: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the frequent shingles each is, or -1."""
+    if not len(hot):
+        return np.full(len(h), -1, np.int64)
+    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+    return np.where(hot[at] == h, at, -1)
+
+
+def _shared(buckets: int, hot: Broadcast):
     def run(t: pa.Table) -> pa.Table:
-        """Of one bucket: each class's shingles that another class has too, with their frequency, dealt by class."""
-        owner, v = unpack(t, {"key": "V6"})
+        """Of one bucket: each class's shingles that another class has too, with their frequency, dealt by class.
+
+        Buckets from `buckets` on hold frequent shingles by class; these count as shared and as the most frequent.
+        """
+        owner, v = unpack(t, {"key": "V7"})
         size = np.repeat(joined(t["size"], np.int32), joined(t["n"], np.int32))
-        key = np.zeros((len(owner), 8), np.uint8)
-        key[:, :6] = v["key"].view(np.uint8).reshape(-1, 6)
-        key = key.view(U).ravel() | (U(t["bucket"][0].as_py() & 0x7FFF) << U(48))
+        bucket = t["bucket"][0].as_py()
+        key = _whole(v["key"], bucket % buckets, buckets) if bucket < buckets else hot.value[_whole(v["key"], 0, 1).astype(np.int64)]
         order = np.lexsort((owner, key))
         key, owner, size = key[order], owner[order], size[order]
         new = np.ones(len(key), bool)
@@ -89,7 +168,7 @@ def _shared(buckets: int):
         key, owner, size = key[new], owner[new], size[new]
         at = runs(key)
         df = np.diff(np.append(at, len(key)))
-        df = np.repeat(df, df)
+        df = np.repeat(df, df) if bucket < buckets else np.full(len(key), np.iinfo(np.int32).max)
         keep = np.flatnonzero(df > 1)
         keep = keep[np.argsort(owner[keep], kind="stable")]
         rows = pack((owner[keep] % buckets).astype(np.int64), owner[keep], {"key": key[keep], "df": df[keep].astype(np.int32)}, {"size": size[keep]})
@@ -197,13 +276,20 @@ def _in_blocks(hot: DataFrame, sets: DataFrame, links: DataFrame, percent: int,
     return mine.unionByName(all_).join(own, "cls").groupBy("token", "i", "j").applyInArrow(_block(percent), "a long, b long")
 
 
-def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int, group: int, block: int) -> DataFrame:
+def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int, group: int, block: int, room: int) -> DataFrame:
     """Edges a, b between classes whose graph has the same components as that of all linked pairs."""
-    buckets = shuffle_parts(texts.sparkSession) * 2
+    spark = texts.sparkSession
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = shuffle_parts(spark)
+    buckets = max(2 * parts, -(-total // room))
+    parts = max(parts, min(buckets, MOST_PARTS))
+    least = max(room // 4, total // COUNTERS)  # so the frequent ones are a million at most
+    often = texts.mapInArrow(_often(width, least / max(1, total)), "shingle long, many long").groupBy("shingle").agg(F.sum("many").alias("many")).where(F.col("many") >= least)
+    hot = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in often.collect()], np.int64).view(U)))
     sets = cut(
-        texts.mapInArrow(_spread(width, buckets), "bucket int, owner binary, n binary, key binary, size binary")
-        .groupBy("bucket").applyInArrow(_shared(buckets), PACKED)
-        .groupBy("bucket").applyInArrow(_candidates(percent), "cls long, n long, keys array<long>, lead long, common double, sig array<int>")
+        texts.mapInArrow(_spread(width, buckets, hot), "bucket int, owner binary, n binary, key binary, size binary")
+        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared(buckets, hot), PACKED)
+        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(_candidates(percent), "cls long, n long, keys array<long>, lead long, common double, sig array<int>")
     )
     prefix = sets.where("lead > 0").select("cls", "n", "common", (F.col("n") - F.size("keys")).alias("rare"), F.posexplode(F.slice("keys", F.lit(1), F.col("lead").cast("int"))).alias("i", "token")).select("token", "cls", "n", "common", (F.col("rare") + F.col("i")).alias("pos"))
     many = cut(prefix.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct("common", "cls")).alias("hub")).where("many > 1").select("token", "many", F.col("hub.cls").alias("hub")))
@@ -220,22 +306,43 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int,
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group: int = 64, block: int = 768) -> DataFrame:
+def members(texts: DataFrame, percent: int, width: int, group: int, block: int, room: int) -> DataFrame:
+    """doc, tie, n (shingles) and component (null without shingles) of each row of texts (doc, text, tie)."""
+    classes = cut(texts.select("doc", "text", "tie").mapInArrow(_classes(width), "doc long, tie long, n long, cls long"))
+    comp = components(class_links(classes, texts.select("text"), percent, width, group, block, room))
+    known = classes.where("cls IS NOT NULL").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("doc", "tie", "n", F.coalesce("component", "cls").alias("component"))
+    return known.unionByName(classes.where("cls IS NULL").select("doc", "tie", "n", F.lit(None).cast("long").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group: int = 64, block: int = 768, room: int = ROOM) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id reachable by links of Jaccard similarity >= percent / 100.
 
     Sets are of distinct `width`-word shingles of the text with A-Z in lower case; with fewer words, the whole
     sequence. Null, empty and blank texts have no shingles and link with nothing: each is its own component.
     Equal texts are linked. Rows that share an id keep a row each. A null id counts as no id: its component is
-    the smallest other id, or null. `group` and `block` say how work is divided; they change no result.
+    the smallest other id, or null. `group`, `block` and `room` say how work is divided; they change no result.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("tie"))
+    rows = cut(members(texts, percent, width, group, block, room).drop("tie"))
+    least = cut(rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("least")))
+    out = rows.join(least, "component", "left")
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group: int = 64, block: int = 768, room: int = ROOM) -> DataFrame:
+    """The rows of docs of which one of each group of near duplicates stays, with all their columns.
+
+    Of a group, the row of the smallest id stays, a null id last; among rows of that id, the one whose columns'
+    hash is smallest; of rows equal in every column, one. Rows without a word are in no group and all stay.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    classes = cut(texts.mapInArrow(_classes(width), "doc long, n long, cls long"))
-    comp = components(class_links(classes, texts.select("text"), percent, width, group, block))
-    known = classes.where("cls IS NOT NULL").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("doc", "n", F.coalesce("component", "cls").alias("component"))
-    least = cut(known.groupBy("component").agg(F.min("doc").alias("least")))
-    out = known.join(least, "component").select("doc", "n", "least")
-    out = out.unionByName(classes.where("cls IS NULL").select("doc", "n", F.col("doc").alias("least")))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    key = F.xxhash64(*docs.columns).alias("tie")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), key)
+    rows = members(texts, percent, width, group, block, room).where("component IS NOT NULL")
+    won = cut(rows.groupBy("component").agg(F.min(F.struct(F.col("doc").isNull().alias("late"), "doc", "tie")).alias("w")).select("w.doc", "w.tie").distinct())
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own_doc"), key.alias("own_tie"))
+    wordless = ~F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = own.where(~wordless).join(won, F.col("own_doc").eqNullSafe(F.col("doc")) & (F.col("own_tie") == F.col("tie")), "left_semi")
+    return one.dropDuplicates(["own_doc", "own_tie"]).unionByName(own.where(wordless)).select("row.*")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -95,12 +95,34 @@ def brute_components(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [2, 64])
-def test_near_duplicates(docs, rows, group):
-    out = ngram_jaccard.near_duplicates(docs, group=group, block=5).collect()
+@pytest.mark.parametrize("group, room", [(2, 2_000_000), (64, 40), (64, 300)])
+def test_near_duplicates(docs, rows, group, room):
+    """Also with so little room that the shingles of copies count as frequent ones."""
+    out = ngram_jaccard.near_duplicates(docs, group=group, block=5, room=room).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == brute_components(rows)
 
 
+@pytest.mark.parametrize("buckets", [1, 3, 64, 256, 1000])
+def test_shingles_come_back_from_their_buckets(buckets):
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 4000, np.uint64))
+    bucket = ngram_jaccard._bucket(h, buckets)
+    back = np.concatenate([ngram_jaccard._whole(ngram_jaccard._low(h[bucket == b]), b, buckets) for b in range(buckets)])
+    assert len(np.unique(back)) == len(h) and (buckets < 256 or (np.sort(back) == h).all())
+
+
+def test_representatives(docs, rows, spark):
+    out = ngram_jaccard.representatives(docs)
+    assert out.columns == docs.columns
+    groups = {}
+    for i, n, c in brute_components(rows):
+        groups.setdefault((n > 0, c), []).append(i)
+    got = sorted(str(r.doc_id) for r in out.collect() if (r.text or "").split())
+    assert got == sorted(c for wordy, c in groups if wordy)
+    assert out.where("text IS NULL OR text RLIKE '^\\\\s*$'").count() == sum(not (t or "").split() for _, t, *_ in rows)
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s"), (None, "q r s"), (None, None), (None, None), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(map(str, ngram_jaccard.representatives(again).collect())) == sorted(map(str, spark.createDataFrame([(1, "a b c d e f"), (1, "q r s"), (None, None), (None, None)], again.schema).collect()))
+
+
 def test_near_duplicates_of_nothing(docs):
     assert ngram_jaccard.near_duplicates(docs.where("false")).count() == 0
     assert ngram_jaccard.near_duplicates(docs.where("text IS NULL")).select("n_shingles").distinct().first()[0] == 0
@@ -176,10 +198,48 @@ def test_mixing(docs, rows):
     for size, target in sources:
         mine = [r for r in out if r.source_size == size]
         assert abs(sum(r.copies for r in mine) - len(mine) * target / size) <= 1
-    assert mixing.copies(docs.where("false")).count() == 0
+    assert mixing.copies(docs.where("false")).count() == 0 and mixing.mixed(docs.where("false")).columns == docs.columns
     assert {r.target for r in mixing.copies(docs.where("text IS NULL")).collect()} == {0.0}
 
 
+def brute_copies(rows):
+    """The sampling itself: documents of a source in order, a copy for each integer that the running sum crosses."""
+    out = []
+    size = {i: len((t or "").split()) for i, (_, t, *_) in enumerate(rows)}
+    names = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    total = {s: sum(size[i] for i, r in enumerate(rows) if r[3] == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    full, target = set(), {}
+    while True:
+        rest = sum(total.values()) - sum(3 * total[s] for s in full)
+        each = sum(weight[s] for s in names if s not in full)
+        target = {s: 3 * total[s] if s in full else rest * weight[s] / each for s in names}
+        over = {s for s in names if target[s] > 3 * total[s] + 1e-9}
+        if not over:
+            break
+        full |= over
+    for s in names:
+        mine = []
+        for i, (doc, text, _, source, _) in enumerate(rows):
+            if source == s:
+                h = hashlib.md5(f"{'' if doc is None else doc} {text or ''}".encode()).hexdigest()
+                mine.append((len(str(size[i])) * 100 + int(str(size[i])[:2]), h, size[i], i))
+        u = int(hashlib.md5(("mix" + ("" if s is None else "s" + s)).encode()).hexdigest()[:3], 16) / 4096
+        rate = target[s] / total[s] if total[s] else 0.0
+        for k, (_, _, n, i) in enumerate(sorted(mine), 1):
+            out.append((str(rows[i][0]), n, min(3, int(np.floor(u + rate * k) - np.floor(u + rate * (k - 1))))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+def test_mixing_equals_the_sampling_by_hand(docs, rows, monkeypatch, chunk):
+    """With any number of digits, ids null and repeated included; and the rows come as often as they are counted."""
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    assert sorted((str(r.doc_id), r["size"], r.copies) for r in mixing.copies(docs).collect()) == brute_copies(rows)
+    many = sorted((str(r.doc_id), len((r.text or "").split())) for r in mixing.mixed(docs).collect())
+    assert many == sorted((i, n) for i, n, c in brute_copies(rows) for _ in range(c))
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 
 
