@@ -25,11 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the document of the smallest id of each group; rows without an id all stay."""
-    groups = ngram_jaccard.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL")).select(COLUMNS)
+    """Leaves one document of each group: the smallest id, then the smallest hash of the row; wordless documents all stay."""
+    return ngram_jaccard.representatives(docs).select(COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +36,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows without an id, which can't be sampled, once."""
-    taken = mixing.copies(docs.where("doc_id IS NOT NULL")).where("copies > 0").select("doc_id", "copies")
-    out = docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    """Each document as often as the mix takes it, 0 to 3 times, rows without an id included."""
+    return mixing.mixed(docs).select(COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
