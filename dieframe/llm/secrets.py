@@ -21,13 +21,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, by_value, mix, sized, table
+from .common import U, by_value, cut, mix, sized, table
 from .convnet import LOW, ConvNet
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -72,6 +73,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [x[:3] for x in base_values(text)]
 
 
+@lru_cache(2)
+def _powers(regions: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(regions * REGION, BASE)), np.cumprod(np.full(regions * REGION, UNBASE))
+
+
 class Laid:
     """Texts end to end, each behind 16 places without a character; as many stand at the end."""
 
@@ -95,7 +102,7 @@ class Laid:
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """64 bits of what the network sees of each window: equal ones where that is equal."""
         with np.errstate(over="ignore"):
-            up, down = (np.cumprod(np.full(len(self.code) + 1, x)) for x in (BASE, UNBASE))
+            up, down = (x[: len(self.code) + 1] for x in _powers(-(-(len(self.code) + 1) // REGION)))
             summed = np.append(U(0), np.cumsum((self.code + U(1)) * up[:-1]))
             ends = np.append(self.start, len(self.code))
             own = np.searchsorted(self.start, a, "right")
@@ -318,7 +325,7 @@ def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, rec
     if found is not None:
         own = found.where("start < end").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("own"))
         rows = docs.select("doc_id", "text").join(own, "doc_id", "left").select("text", "own")
-    sample = rows.mapInArrow(_lowest(most), "label int, h long, around string")
+    sample = cut(rows.mapInArrow(_lowest(most), "label int, h long, around string"))
     # Each task gives its lowest; of those, the lowest again.
     lowest = [sample.where(f"label = {x}").dropDuplicates(["h"]).orderBy("h").limit(most) for x in (0, 1)]
 
