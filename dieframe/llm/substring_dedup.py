@@ -6,9 +6,11 @@ its rolling windows of 7 words. A passage of 13 words holds a whole aligned bloc
 compared under two hashes (64 bits, and the bucket of another), and those met first in a smaller document are removed; overlapping windows
 join into the maximal exact repeat.
 
-Index and probes meet in hash buckets; a bucket row holds 4 bytes a probe. A document gives each distinct
-window once, and buckets answer with the smallest and the largest document of a window, so a passage in a
-third of all documents costs one entry a document and never a pair.
+Texts lie in groups by a hash of their id, about 16 MB each. Index and probes meet in hash buckets, for which a
+group gives each window at most twice: with the smallest of its documents that has it as a block, and with the
+largest that has it. A bucket answers a group with the smallest document of each window, and the group finds
+out for which of its own documents that is a hit. So a passage in a third of all documents costs two entries a
+group, never one a document or a pair. Groups and buckets grow in number with the input, not in size.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batch_of, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
+from .common import U, batch_of, mix, pack, packed_batch, rolling, runs, shuffle_parts, sized, table, unpack, word_hashes, words_of
 
 SEED = 0xD6E8FEB86659FD93
-PACKED = "bucket int, owner binary, n binary, "
+SIZE = 16 << 20  #: bytes of text in a group, about
+MOST_PARTS = 4096
+PACKED = "bucket int, owner binary, n binary, keys binary"
 
 
 def _anchor(h: np.ndarray, block: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,68 +38,103 @@ def _anchor(h: np.ndarray, block: int, buckets: int) -> tuple[np.ndarray, np.nda
     return ((w >> U(33)) % U(buckets)).astype(np.int64), (w & U(0x7FFFFFFF)).astype(np.int64)
 
 
-def _probes(window: int, block: int, buckets: int):
+def _place(doc: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document."""
+    return (mix(doc.astype(U)) % U(groups)).astype(np.int64)
+
+
+def _shrink(groups: int):
+    """Group, id and text (as zstd, for the shuffle). A row without an id goes where a hash of its text says."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            bucket, owner, keys = [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                b, k = _anchor(word_hashes(words), block, buckets)
-                flag = np.ones(len(b), np.int64)
-                flag[::block] = 0  # in the index; sorts before a mere probe of the same window
-                each = np.sort((b << 32) | (k << 1) | flag)
-                each = each[runs(each >> 1)]
-                bucket.append(each >> 32)
-                keys.append((each & 0xFFFFFFFF).astype(np.uint32))
-                owner.append(np.full(len(each), doc, np.int64))
-            if bucket:
-                yield packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"keys": np.concatenate(keys)}), "keys")
+        press = zstandard.ZstdCompressor(level=1)
+        for part in sized(batches, 1):
+            packed = [press.compress(x.encode("utf-8", "surrogatepass")) if x else None for x in part.column(1).to_pylist()]
+            own = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            place = np.where(own, _place(part.column(0).fill_null(0).to_numpy(zero_copy_only=False), groups), _place(word_hashes([x or b"" for x in packed]), groups))
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), part.column(0), pa.array(packed, pa.binary())], names=["place", "doc", "packed"])
 
     return run
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstd, for the shuffle."""
-    press = zstandard.ZstdCompressor(level=1)
-    for part in slices(batches):
-        packed = [press.compress(x.encode("utf-8", "surrogatepass")) if x else None for x in part.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["doc", "packed"])
+def _texts(t: pa.Table) -> Iterator[tuple[int | None, bytes]]:
+    open_ = zstandard.ZstdDecompressor()
+    for batch in t.to_batches():
+        for doc, x in zip(batch.column("doc").to_pylist(), batch.column("packed")):
+            yield doc, open_.decompress(x.as_buffer()) if x.is_valid else b""
 
 
-def _texts(column: pa.ChunkedArray) -> Iterator[bytes]:
-    open_ = zstandard.ZstdDecompressor()
-    return (open_.decompress(x) if x else b"" for x in column.to_pylist())
+def _joined(arrays: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *arrays])
+
+
+def _ends(key: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Of entries ordered by key, then owner: the places of each key's first one that is a block, and of its last one."""
+    last = np.append(runs(key)[1:], len(key)) - 1 if len(key) else np.empty(0, np.int64)
+    blocks = np.flatnonzero(block)
+    return np.unique(np.concatenate([blocks[runs(key[blocks])], last]))
+
+
+def _probes(window: int, block: int, buckets: int):
+    def run(texts: pa.Table) -> pa.Table:
+        """Of one group: its windows for the index's buckets."""
+        each, owner = [], []
+        for doc, text in _texts(texts):
+            words = text.split() if doc is not None else []
+            if len(words) < window:
+                continue
+            b, k = _anchor(word_hashes(words), block, buckets)
+            flag = np.ones(len(b), np.int64)
+            flag[::block] = 0  # in the index; sorts before a mere probe of the same window
+            one = np.sort((b << 32) | (k << 1) | flag)
+            each.append(one[runs(one >> 1)])
+            owner.append(np.full(len(each[-1]), doc, np.int64))
+        value, who = _joined(each, np.int64), _joined(owner, np.int64)
+        order = np.lexsort((who, value >> 1))
+        value, who = value[order], who[order]
+        ends = _ends(value >> 1, (value & 1) == 0)
+        value, who = value[ends], who[ends]
+        order = np.argsort(who, kind="stable")
+        value, who = value[order], who[order]
+        return pa.Table.from_batches([packed_batch(pack(value >> 32, who, {"keys": (value & 0xFFFFFFFF).astype(np.uint32)}), "keys")])
+
+    return run
+
+
+def _reply(owner: np.ndarray, low: np.ndarray, keys: np.ndarray, groups: int) -> pa.Table:
+    """For each group of an owner, once: the keys with the smallest document of each, packed like the questions."""
+    place = _place(owner, groups)
+    order = np.lexsort((keys, place))
+    order = order[runs(np.stack([place, keys.view(f"i{keys.itemsize}").astype(np.int64)], 1)[order].view("V16").ravel())]
+    order = order[np.argsort(low[order], kind="stable")]
+    return pa.Table.from_batches([packed_batch(pack(place[order], low[order], {"keys": keys[order]}), "keys")])
 
 
-def _reply(owner: np.ndarray, keys: np.ndarray, groups: int) -> pa.Table:
-    """What a bucket answers, dealt by document, packed like the questions."""
-    order = np.argsort(owner, kind="stable")
-    owner, keys = owner[order], keys[order]
-    return pa.Table.from_batches([packed_batch(pack(owner % groups, owner, {"keys": keys}), "keys")])
+class Answers:
+    """What the buckets answered to a group: keys, each with the smallest document that has it."""
 
+    def __init__(self, t: pa.Table, kind):
+        low, v = unpack(t, {"keys": kind}) if t.num_rows else (np.empty(0, np.int64), {"keys": np.empty(0, kind)})
+        order = np.lexsort((low, v["keys"]))
+        first = order[runs(v["keys"][order])]
+        self.keys, self.low = v["keys"][first], low[first]
 
-def _answers(t: pa.Table, kind) -> dict[int, np.ndarray]:
-    """By document, what the buckets answered."""
-    if not t.num_rows:
-        return {}
-    owner, v = unpack(t, {"keys": kind})
-    order = np.argsort(owner, kind="stable")
-    owner, keys = owner[order], v["keys"][order]
-    at = runs(owner)
-    edge = np.append(at, len(owner))
-    return {d: keys[a:b] for d, a, b in zip(owner[at].tolist(), edge[:-1], edge[1:])}
+    def before(self, keys: np.ndarray, doc: int) -> np.ndarray:
+        """Whether each key was answered with a document up to `doc`."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return (self.keys[at] == keys) & (self.low[at] <= doc)
 
 
 def _short(bucket: np.ndarray | int, key: np.ndarray) -> np.ndarray:
-    """32 bits of an anchor, enough to tell it from the few hundred of one document; a false hit only adds a candidate."""
+    """32 bits of an anchor, enough to tell it from the others of a group; a false hit only adds a candidate."""
     return mix((np.asarray(bucket, np.int64) << 31 | key.astype(np.int64)).astype(U)).astype(np.uint32)
 
 
 def _hits(groups: int):
     def run(t: pa.Table) -> pa.Table:
-        """Of one bucket: for each document, its windows that an indexed block of a smaller document answers, and its blocks that a larger document probes."""
+        """Of one bucket: for each group, its windows that one document has as a block and a larger one has too."""
         owner, v = unpack(t, {"keys": np.uint32})
         key = v["keys"] >> 1
         order = np.argsort(key, kind="stable")
@@ -104,8 +143,8 @@ def _hits(groups: int):
         size = np.diff(np.append(at, len(key)))
         low = np.repeat(np.minimum.reduceat(np.where(block, owner, np.iinfo(np.int64).max), at), size)
         high = np.repeat(np.maximum.reduceat(owner, at), size)
-        hit = (low < owner) | (block & (owner < high))
-        return _reply(owner[hit], _short(t["bucket"][0].as_py(), key[hit]), groups)
+        hit = (low < high) & (low <= owner)
+        return _reply(owner[hit], low[hit], _short(t["bucket"][0].as_py(), key[hit]), groups)
 
     return run
 
@@ -117,14 +156,14 @@ def _windows(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(window: int, block: int, buckets: int):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        """Of one group of documents: the windows near a hit."""
-        found = _answers(answers, np.uint32)
-        bucket, owner, one = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, U)]
-        for doc, text in zip(texts["doc"].to_pylist(), _texts(texts["packed"])):
-            words = text.split() if doc in found else []
+        """Of one group: the windows near a hit, each with the smallest and the largest of its documents."""
+        found = Answers(answers, np.uint32)
+        bucket, owner, one = [], [], []
+        for doc, text in _texts(texts) if len(found.keys) else ():
+            words = text.split() if doc is not None else []
             if len(words) < window:
                 continue
-            hit = np.isin(_short(*_anchor(word_hashes(words), block, buckets)), found[doc])
+            hit = found.before(_short(*_anchor(word_hashes(words), block, buckets)), doc)
             span = window - block + 1  # anchors inside a window
             many = np.concatenate([[0], np.cumsum(hit)])
             near = many[span:] > many[:-span]
@@ -133,28 +172,35 @@ def _candidates(window: int, block: int, buckets: int):
             bucket.append(((w2[near][first] >> U(32)) % U(buckets)).astype(np.int64))
             one.append(w1)
             owner.append(np.full(len(w1), doc, np.int64))
-        return pa.Table.from_batches([packed_batch(pack(np.concatenate(bucket), np.concatenate(owner), {"one": np.concatenate(one)}), "one")])
+        where, who, key = _joined(bucket, np.int64), _joined(owner, np.int64), _joined(one, U)
+        order = np.lexsort((who, where, key))
+        where, who, key = where[order], who[order], key[order]
+        ends = _ends(np.stack([key, where.astype(U)], 1).view("V16").ravel(), np.ones(len(key), bool))
+        ends = ends[np.argsort(who[ends], kind="stable")]
+        return pa.Table.from_batches([packed_batch(pack(where[ends], who[ends], {"keys": key[ends]}), "keys")])
 
     return run
 
 
 def _repeated(groups: int):
     def run(t: pa.Table) -> pa.Table:
-        """Of one bucket: for each document, its windows that a smaller document has too."""
-        owner, v = unpack(t, {"one": U})
-        order = np.argsort(v["one"], kind="stable")
-        owner, one = owner[order], v["one"][order]
+        """Of one bucket: for each group, its windows that a document smaller than one of its own has."""
+        owner, v = unpack(t, {"keys": U})
+        order = np.argsort(v["keys"], kind="stable")
+        owner, one = owner[order], v["keys"][order]
         at = runs(one)
         low = np.repeat(np.minimum.reduceat(owner, at), np.diff(np.append(at, len(one)))) if len(at) else owner
-        return _reply(owner[low < owner], one[low < owner], groups)
+        again = low < owner
+        return _reply(owner[again], low[again], one[again], groups)
 
     return run
 
 
-def _covered(words: list[bytes], found: np.ndarray | None, window: int) -> np.ndarray:
+def _covered(words: list[bytes], found: Answers, doc: int | None, window: int) -> np.ndarray:
+    """Which words lie in a window that a smaller document has."""
     cover = np.zeros(len(words) + 1, np.int64)
-    if found is not None:
-        start = np.flatnonzero(np.isin(rolling(word_hashes(words), window), found))
+    if doc is not None:
+        start = np.flatnonzero(found.before(rolling(word_hashes(words), window), doc - 1))
         np.add.at(cover, start, 1)
         np.add.at(cover, start + window, -1)
     return np.cumsum(cover)[:-1] > 0
@@ -162,11 +208,11 @@ def _covered(words: list[bytes], found: np.ndarray | None, window: int) -> np.nd
 
 def _kept(window: int, with_text: bool):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found = _answers(answers, U)
+        found = Answers(answers, U)
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256", "ranges", "kept")}
-        for doc, text in zip(texts["doc"].to_pylist(), _texts(texts["packed"])):
+        for doc, text in _texts(texts):
             words = text.split()
-            gone = _covered(words, found.get(doc), window)
+            gone = _covered(words, found, doc, window)
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
             edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             rows["doc_id"].append(doc)
@@ -181,7 +227,7 @@ def _kept(window: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, size: int = SIZE) -> DataFrame:
     """Drops each word covered by a window of `window` words that also starts in a document with a smaller id.
 
     Returns a row per input row: doc_id, n_words, n_removed, kept_sha256, ranges (the maximal repeats removed,
@@ -194,16 +240,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     if window < 3:
         raise ValueError("a window needs 3 words or more")
     block = (window + 1) // 2
-    groups = shuffle_parts(docs.sparkSession)
-    buckets = 2 * groups
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    known = texts.filter(F.col("doc").isNotNull())
-    hits = known.mapInArrow(_probes(window, block, buckets), PACKED + "keys binary").groupBy("bucket").applyInArrow(_hits(groups), PACKED + "keys binary")
-    # Rows without an id get no answers; a hash of the text spreads them.
-    place = F.coalesce(F.pmod("doc", F.lit(groups)), F.pmod(F.xxhash64("packed"), F.lit(groups))).cast("int").alias("place")
-    packed = texts.mapInArrow(_shrink, "doc long, packed binary").select("doc", "packed", place).groupBy("place")
-    again = packed.cogroup(hits.groupBy("bucket")).applyInArrow(_candidates(window, block, buckets), PACKED + "one binary").groupBy("bucket").applyInArrow(_repeated(groups), PACKED + "keys binary")
-    return packed.cogroup(again.groupBy("bucket")).applyInArrow(
+    parts = shuffle_parts(docs.sparkSession)
+    groups = max(parts, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // size))
+    buckets = max(2 * parts, groups)
+    wide = max(parts, min(groups, MOST_PARTS))
+    dealt = lambda df: df.repartition(wide, "bucket").groupBy("bucket")
+    packed = texts.mapInArrow(_shrink(groups), "place long, doc long, packed binary").repartition(wide, "place").groupBy("place")
+    hits = dealt(packed.applyInArrow(_probes(window, block, buckets), PACKED)).applyInArrow(_hits(groups), PACKED)
+    answered = lambda df: df.select(F.col("bucket").cast("long").alias("place"), "owner", "n", "keys").repartition(wide, "place").groupBy("place")
+    again = dealt(packed.cogroup(answered(hits)).applyInArrow(_candidates(window, block, buckets), PACKED)).applyInArrow(_repeated(groups), PACKED)
+    return packed.cogroup(answered(again)).applyInArrow(
         _kept(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, ranges array<struct<start: long, end: long>>, kept string"
     )
 

@@ -48,7 +48,8 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS bucket", "'x' AS owner", "2 AS n").repartition(3)
 
 
-def test_remove_repeats(spark, docs, rows):
+@pytest.mark.parametrize("size", [200, 2000, 16 << 20])
+def test_remove_repeats(docs, rows, size):
     first: dict[tuple, int] = {}
     words = [(i, (t or "").encode().split()) for i, t, *_ in rows]
     for i, w in words:
@@ -64,7 +65,7 @@ def test_remove_repeats(spark, docs, rows):
                 gone[k : k + 13] = [True] * 13
         kept = b" ".join(x for x, g in zip(w, gone) if not g)
         want.append((str(i), len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
-    out = substring_dedup.remove_repeats(docs).collect()
+    out = substring_dedup.remove_repeats(docs, size=size).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in out) == sorted(want)
     assert all(sum(x.end - x.start for x in r.ranges) == r.n_removed for r in out)
     assert any(r.n_removed for r in out)
@@ -171,7 +172,7 @@ def test_bpe_columns(docs):
     assert bpe.round_trip(docs.where("false"), PATH).count() == 0
 
 
-def test_bpe_digests(docs, rows):
+def test_bpe_digests(docs, rows, size):
     out = {(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(docs, PATH).collect()}
     want = set()
     for i, t, *_ in rows:
