@@ -60,7 +60,7 @@ def _chunks(chunk: int):
     kinds = {"id": pa.int64(), "url": pa.string(), "size": pa.int64(), "digest": pa.string(), "chunk": pa.int32(), "begins": pa.int64(), "running": pa.binary(), "packed": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for part in sized(batches, 2, most=16 * chunk):
             rows: list[tuple] = []
             held = 0
@@ -165,6 +165,13 @@ def _parsed(head: bytes) -> dict[str, str]:
     return dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:] if x)
 
 
+def _shrunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=1)
+    for part in slices(batches, 64):
+        packed = pa.array([press.compress(x.as_buffer()) for x in part.column(4)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], names=part.schema.names)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks in order to one row a record; raises on a missing or damaged chunk or a wrong digest or length."""
     done: list[tuple] = []
@@ -181,8 +188,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.append((int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None, int(fields["X-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(refers) if refers else None))
 
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    open_ = zstandard.ZstdDecompressor()
     for part in slices(batches, 64):
-        for record, chunk, begins, running, data in zip(*(c.to_pylist() for c in part.columns)):
+        for record, chunk, begins, running, packed in zip(*(c.to_pylist() for c in part.columns[:4]), part.column(4)):
+            data = open_.decompress(packed.as_buffer())
             if record != now:
                 close()
                 head, _, data = data.partition(b"\r\n\r\n")
@@ -202,8 +211,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record at path, its digests checked."""
-    chunks = spark.read.schema(RECORD).parquet(path)
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record at path, its digests checked.
+
+    Chunks cross the shuffle as zstd.
+    """
+    chunks = spark.read.schema(RECORD).parquet(path).mapInArrow(_shrunk, RECORD)
     return chunks.repartition("record").sortWithinPartitions("record", "chunk").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
