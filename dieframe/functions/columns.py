@@ -36,10 +36,16 @@ def seq_text(x: ColumnLike) -> Column:
     return F.when(text == "", None).when(whole, n.cast("bigint").cast("string")).otherwise(text)
 
 
+# What a cell of a rule sheet says for true and for false.
+YES = ["TRUE", "T", "Y", "1", "O"]
+NO = ["FALSE", "F", "N", "0", "X", ""]
+
+
 def rule_flag(x: ColumnLike) -> Column:
-    """TRUE/T/Y/1/O and FALSE/F/N/0/X/blank; anything else is null (taken as false, with a warning)."""
+    """TRUE/T/Y/1/O and FALSE/F/N/0/X/blank, or a number that is 1 or 0; anything else is null (taken as false, with a warning)."""
     t = F.upper(F.trim(F.coalesce(_c(x).cast("string"), F.lit(""))))
-    return F.when(t.isin("TRUE", "T", "Y", "YES", "1", "1.0", "O"), True).when(t.isin("FALSE", "F", "N", "NO", "0", "0.0", "X", ""), False)
+    n = t.try_cast("double")
+    return F.when(t.isin(YES) | (n == 1), True).when(t.isin(NO) | (n == 0), False)
 
 
 def norm_lot(x: ColumnLike) -> Column:
@@ -54,8 +60,9 @@ def norm_wafer(x: ColumnLike) -> Column:
 
 
 def key_hash(*columns: ColumnLike) -> Column:
-    """md5 of the columns' texts joined by '|'; null has a sign of its own, so it differs from blank."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(_c(x).cast("string"), F.lit("~")) for x in columns)))
+    """md5 of the columns' texts joined by '|'. Null has a sign of its own (~); where a text has one of the signs, a backslash stands before it, so no two points share a key."""
+    sign = lambda text, c: F.replace(text, F.lit(c), F.lit("\\" + c))
+    return F.md5(F.concat_ws("|", *(F.coalesce(reduce(sign, "\\~|", _c(x).cast("string")), F.lit("~")) for x in columns)))
 
 
 def part_prefix(x: ColumnLike, size: int = 7) -> Column:

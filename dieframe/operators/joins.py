@@ -45,6 +45,8 @@ def visible_groups(df: DataFrame, off: list[str] = ()) -> DataFrame:
 
 def by_globs(df: DataFrame, patterns: list[str], extra: list[str] = (), item: str = "item") -> DataFrame:
     """Rows of items that match one of the globs (without case) or are named."""
+    if not patterns:
+        return df.where(F.col(item).isin(list(extra)))
     rx = "|".join("^" + "".join(".*" if ch == "*" else "." if ch == "?" else "\\" + ch if not ch.isalnum() else ch for ch in p) + "$" for p in patterns)
     return df.where(F.col(item).rlike(f"(?i){rx}") | F.col(item).isin(list(extra)))
 
@@ -59,12 +61,15 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
 
 
 def attach(df: DataFrame, other: DataFrame, overwrite: bool, text: bool = False) -> DataFrame:
-    """The columns of another source by normalised lot and wafer, one row a wafer of it.
+    """The columns of another source by normalised lot and wafer, one row a wafer of it: the smallest, by its columns in order, nulls last.
 
     overwrite: its columns replace those of the same name; else existing ones stay. Reserved columns always stay.
     """
     names = [c for c in other.columns if c not in ("lot", "wafer", *RESERVED) and (overwrite or c not in df.columns)]
-    one = other.groupBy(C.norm_lot("lot").alias("_lot"), C.norm_wafer("wafer").alias("_wafer")).agg(*(F.min(F.col(c).cast("string") if text else F.col(c)).alias(c) for c in names))
+    last = ((F.col(c).isNull().alias(f"no_{c}"), F.col(c).cast("string").alias(c) if text else F.col(c)) for c in names or ["lot"])
+    row = F.struct(*(x for pair in last for x in pair))
+    one = other.groupBy(C.norm_lot("lot").alias("_lot"), C.norm_wafer("wafer").alias("_wafer")).agg(F.min(row).alias("_row"))
+    one = one.select("_lot", "_wafer", *(F.col(f"_row.{c}").alias(c) for c in names))
     keyed = df.drop(*names).withColumns({"_lot": C.norm_lot("lot"), "_wafer": C.norm_wafer("wafer")})
     return keyed.join(one, ["_lot", "_wafer"], "left").drop("_lot", "_wafer")
 
@@ -97,17 +102,30 @@ def assign_manual(df: DataFrame, manual: DataFrame) -> DataFrame:
 def resolve_lot(typed: DataFrame, lots: DataFrame, similar: int = 5) -> DataFrame:
     """typed, lot, how: the stored lot for typed text. exact, then case, then a unique substring; else up to 5 of the most equal characters.
 
-    lots is the list of stored lots, one row each.
+    Exact and case matches are joins by the text. Only what is left is compared with the stored lots, and only
+    with those that share a character in the same place or hold its first pair of characters, and with as many
+    of the first ones as may fill up the list.
     """
-    both = typed.join(F.broadcast(lots.select("lot").distinct()), F.lit(True))  # typed entries against the list of lots
-    same = F.expr("size(filter(zip_with(split(lower(typed), ''), split(lower(lot), ''), (a, b) -> a = b), x -> x))")
-    how = F.when(F.col("typed") == F.col("lot"), 1).when(F.lower("typed") == F.lower("lot"), 2).when(F.lower("lot").contains(F.lower("typed")), 3).otherwise(4)
-    w = Window.partitionBy("typed")
-    ranked = both.withColumns({"rank": how, "same": same}).withColumn("inside", F.count(F.when(F.col("rank") == 3, 1)).over(w))
-    ranked = ranked.withColumn("rank", F.when((F.col("rank") == 3) & (F.col("inside") > 1), 4).otherwise(F.col("rank")))
-    ranked = ranked.withColumn("best", F.min("rank").over(w)).where("rank = best")
-    ranked = ranked.withColumn("n", F.row_number().over(w.orderBy(F.col("same").desc(), "lot"))).where(f"n <= CASE WHEN best = 4 THEN {similar} ELSE 1 END")
-    return ranked.select("typed", "lot", F.element_at(F.array(*map(F.lit, ("exact", "case", "part", "similar"))), F.col("best")).alias("how"))
+    kinds = F.array(*map(F.lit, ("exact", "case", "part", "similar")))
+    stored = lots.select("lot", F.lower("lot").alias("low")).distinct()
+    typed = typed.select("typed", F.lower("typed").alias("own")).distinct()
+    same = typed.join(stored, F.col("own") == F.col("low")).groupBy("typed").agg(F.min(F.struct(F.when(F.col("typed") == F.col("lot"), 1).otherwise(2).alias("rank"), "lot")).alias("m"))
+    same = same.select("typed", "m.lot", "m.rank")
+    left = typed.join(same.select("typed"), "typed", "left_anti")
+    places = lambda c: F.transform(F.split(F.col(c), ""), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x))
+    first = lambda c: F.array(F.substring(c, 1, 2))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 1, F.lit(1))), lambda i: F.substring("low", i, F.lit(2)))
+    a = left.select("typed", "own", F.explode(F.concat(places("own"), first("own"))).alias("block"))
+    b = stored.select("lot", "low", F.explode(F.array_distinct(F.concat(places("low"), pairs, F.split("low", "")))).alias("block"))
+    few = F.broadcast(stored.orderBy("lot").limit(2 * similar))
+    both = a.join(b, "block").select("typed", "own", "lot", "low").unionByName(left.crossJoin(few).select("typed", "own", "lot", "low")).distinct()
+    equal = F.expr("size(filter(zip_with(split(own, ''), split(low, ''), (a, b) -> a = b), x -> x))")
+    both = both.withColumns({"inside": F.col("low").contains(F.col("own")), "equal": equal})
+    parts = both.where("inside").groupBy("typed").agg(F.min("lot").alias("lot"), F.count("*").alias("n")).where("n = 1").select("typed", "lot", F.lit(3).alias("rank"))
+    near = both.join(parts.select("typed"), "typed", "left_anti")
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("typed").orderBy(F.col("equal").desc(), "lot"))).where(F.col("n") <= similar)
+    out = same.unionByName(parts).unionByName(near.select("typed", "lot", F.lit(4).alias("rank")))
+    return out.select("typed", "lot", F.element_at(kinds, F.col("rank")).alias("how"))
 
 
 def resolve_wafer(typed: DataFrame, stored: DataFrame) -> DataFrame:
@@ -127,9 +145,10 @@ def category(df: DataFrame, by: str, names: DataFrame | None = None) -> DataFram
 
 def part_lookup(store: DataFrame, tracking: DataFrame) -> DataFrame:
     """lot, wafer, part: from the store where it names any part, else from tracking."""
-    own = store.where("part IS NOT NULL")
-    source = tracking if own.isEmpty() else own
-    return source.groupBy("lot", "wafer").agg(F.min("part").alias("part"))
+    own = store.where("part IS NOT NULL").select("lot", "wafer", "part")
+    there = own.limit(1).agg((F.count("*") > 0).alias("_any"))  # one row, decided when the query runs
+    other = tracking.select("lot", "wafer", "part").crossJoin(F.broadcast(there)).where("NOT _any").drop("_any")
+    return own.unionByName(other).groupBy("lot", "wafer").agg(F.min("part").alias("part"))
 
 
 # Exclusions: key, reason, item, at, kind.

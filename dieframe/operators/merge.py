@@ -17,10 +17,20 @@ def exact_mean(value: str = "value", scale: int = 6) -> Column:
     return F.sum(F.col(value).cast(f"decimal(20,{scale})")).cast("double") / F.count(value)
 
 
+#: Stands for a null time, which is the earliest.
+NEVER = "timestamp_ntz'0001-01-01'"
+
+
 def merge_retest(long: DataFrame, keys: list[str] = KEY7, seq: str = "seq", time: str = "ts") -> DataFrame:
-    """Per point, sequence and item the latest value. Null values never win, a null time is the earliest, ties go to the larger value."""
-    last = F.max(F.struct(F.col(time).isNotNull().alias("known"), F.col(time).alias("t"), F.col("value").alias("v")))
-    return long.where("value IS NOT NULL").groupBy(*keys, seq, "item").agg(last.alias("m")).select(*keys, seq, "item", F.col("m.v").alias("value"), F.col("m.t").alias(time))
+    """Per point, sequence and item the latest value. Null values never win, a null time is the earliest, ties go to the larger value.
+
+    Rows are dealt by point once, which serves all later steps by point. Both steps here are hash aggregates
+    over plain numbers: the largest value of each time, then the value of the latest time.
+    """
+    rows = long.where("value IS NOT NULL").select(*keys, seq, "item", time, "value").repartition(*keys)
+    each = rows.groupBy(*keys, seq, "item", time).agg(F.max("value").alias("value"))
+    early = F.expr(NEVER).cast(dict(long.dtypes)[time])
+    return each.groupBy(*keys, seq, "item").agg(F.max_by("value", F.coalesce(F.col(time), early)).alias("value"), F.max(time).alias(time))
 
 
 def merge_seq(retested: DataFrame, keys: list[str] = KEY7, mean: Column | None = None) -> DataFrame:
@@ -51,15 +61,15 @@ def store(long: DataFrame, keys: list[str] = KEY7, mean: Column | None = None) -
 def upsert(stored: DataFrame, batch: DataFrame, keys: list[str] = KEY7) -> DataFrame:
     """The store after a batch. A point met later than stored replaces values by its own that aren't null; else it only fills gaps.
 
-    The times compared are the points', not the items'. Applying a batch again changes nothing.
+    The times compared are the points', not the items'. Applying a batch again changes nothing. A key and item
+    stands once in each table. Rows are dealt by key once.
     """
-    s_time, b_time = (d.groupBy("key").agg(F.max("ts").alias(n)) for d, n in ((stored, "s_ts"), (batch, "b_ts")))
-    times = s_time.join(b_time, "key", "full").select("key", F.greatest("s_ts", "b_ts").alias("ts"), F.coalesce(F.col("b_ts") > F.col("s_ts"), F.col("s_ts").isNull()).alias("newer"))
-    kept = lambda d, v: d.select("key", "item", *keys, F.col("value").alias(v))
-    a, b = kept(stored, "s_value"), kept(batch, "b_value").select("key", "item", "b_value", *(F.col(k).alias(f"b_{k}") for k in keys))
-    both = a.join(b, ["key", "item"], "full").join(times, "key")
-    value = F.when(F.col("newer"), F.coalesce("b_value", "s_value")).otherwise(F.coalesce("s_value", "b_value"))
-    return both.select("key", *(F.coalesce(k, f"b_{k}").alias(k) for k in keys), "ts", "item", value.alias("value"))
+    rows = stored.select("key", "item", *keys, "ts", "value", F.lit(False).alias("new")).unionByName(batch.select("key", "item", *keys, "ts", "value", F.lit(True).alias("new"))).repartition("key")
+    of = lambda c, new: F.max(F.when(F.col("new") == new, F.col(c)))
+    times = rows.groupBy("key").agg(F.max("ts").alias("ts"), F.coalesce(of("ts", True) > of("ts", False), of("ts", False).isNull()).alias("newer"))
+    both = rows.groupBy("key", "item").agg(*(F.max(k).alias(k) for k in keys), of("value", False).alias("a"), of("value", True).alias("b")).join(times, "key")
+    value = F.when(F.col("newer"), F.coalesce("b", "a")).otherwise(F.coalesce("a", "b"))
+    return both.select("key", *keys, "ts", "item", value.alias("value"))
 
 
 def new_points(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def ref_value(long: DataFrame, gid: str, stat: Column) -> DataFrame:
 
 def delta(df: DataFrame, ref: DataFrame, value: str = "value") -> DataFrame:
     """Adds delta: value less the reference value of the item."""
-    return df.join(F.broadcast(ref), "item", "left").withColumn("delta", F.col(value) - F.col("ref")).drop("ref")
+    return df.join(ref, "item", "left").withColumn("delta", F.col(value) - F.col("ref")).drop("ref")
 
 
 def wafer_index(df: DataFrame) -> DataFrame:
@@ -61,15 +61,23 @@ def coverage_items(long: DataFrame) -> DataFrame:
 
 
 def coverage_lots(long: DataFrame, tolerance: float = 0.2) -> DataFrame:
-    """Per lot its wafers, items, median points a wafer and conditions, against the base lot (most items, then the lowest id)."""
+    """Per lot its wafers, items, median points a wafer and conditions, against the base lot: most items, then the lowest id as text.
+
+    One pass: a wafer's points, items and conditions are bounded by the wafer, and lots are put together from wafers.
+    """
     cond = F.concat_ws("/", "step", F.col("temp").cast("string"), F.col("site").cast("string"))
-    per = long.groupBy("lot", "wafer").agg(F.countDistinct("key").alias("p")).groupBy("lot").agg(F.count("*").alias("wafers"), F.median("p").alias("points"))
-    lots = per.join(coverage_items(long), "lot").join(long.groupBy("lot").agg(F.sort_array(F.collect_set(cond)).alias("conditions")), "lot")
-    best = F.max(F.struct("n", F.struct((-F.col("lot").try_cast("bigint")).alias("by_number")), F.struct("lot", "items", "points", "conditions").alias("own")))
-    base = lots.agg(best.alias("m")).select(*(F.col(f"m.own.{c}").alias(f"base_{c}") for c in ("lot", "items", "points", "conditions")))
-    out = lots.crossJoin(F.broadcast(base))  # one row
+    wafers = long.groupBy("lot", "wafer").agg(F.size(F.collect_set("key")).alias("p"), F.collect_set(F.when(F.col("value").isNotNull(), F.col("item"))).alias("items"), F.collect_set(cond).alias("conditions"))
+    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    lots = wafers.groupBy("lot").agg(F.count("*").alias("wafers"), F.median("p").alias("points"), together("items"), together("conditions")).withColumn("n", F.size("items"))
+    best = F.min(F.struct((-F.col("n")).alias("fewer"), *(F.col(c) for c in ("lot", "items", "points", "conditions"))))
+    base = lots.where("n > 0").agg(best.alias("m")).select(*(F.col(f"m.{c}").alias(f"base_{c}") for c in ("lot", "items", "points", "conditions")))
+    out = lots.where("n > 0").crossJoin(F.broadcast(base))  # one row
     ratio = F.try_divide(F.col("points"), F.col("base_points"))
-    return out.select("lot", "wafers", F.col("n").alias("n_items"), "points", "base_lot", F.array_except("base_items", "items").alias("missing_items"), F.array_except("base_conditions", "conditions").alias("missing_conditions"), F.array_except("conditions", "base_conditions").alias("extra_conditions"), ratio.alias("ratio"), (F.abs(ratio - 1) > tolerance).alias("off"))
+    missing = {f"{word}_{of}": F.array_except(a, b) for word, of, a, b in (
+        ("missing", "items", "base_items", "items"), ("missing", "conditions", "base_conditions", "conditions"), ("extra", "conditions", "conditions", "base_conditions"))}
+    return out.select(
+        "lot", "wafers", F.col("n").alias("n_items"), "points", "base_lot", *(v.alias(k) for k, v in missing.items()),
+        ratio.alias("ratio"), (F.abs(ratio - 1) > tolerance).alias("off"))
 
 
 def coverage_notes(lots: DataFrame) -> DataFrame:
@@ -81,15 +89,45 @@ def coverage_notes(lots: DataFrame) -> DataFrame:
 # Outliers.
 
 
-def tukey_bounds(long: DataFrame, k: float = 1.5, by: tuple[str, ...] = ("item",), least: int = 12, interp: str = "linear") -> DataFrame:
-    """Per group Q1 - k IQR and Q3 + k IQR, null below `least` values. interp: linear, or nearest (rank round((n - 1) q))."""
-    if interp == "nearest":
-        w = Window.partitionBy(*by)
-        ranked = long.where("value IS NOT NULL").select(*by, "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-        at = lambda q: F.max(F.when(F.col("r") == F.round((F.col("n") - 1) * q) + 1, F.col("value")))
-        q = ranked.groupBy(*by).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("n").alias("n"))
-    else:
-        q = long.groupBy(*by).agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"), F.count("value").alias("n"))
+SURE = 10_000  #: values up to which a group's quantiles need no bracket, and the accuracy of the sketch beyond
+
+
+def quantiles(long: DataFrame, qs: dict[str, float], by: tuple[str, ...], interp: str = "linear", value: str = "value") -> DataFrame:
+    """Exact quantiles of each group (null is a group), and n, the number of values.
+
+    interp: linear between the two nearest ranks, or nearest (rank round((n - 1) q), halves up).
+
+    A mergeable sketch brackets each quantile; values in the brackets, a thousandth of a large group, are then
+    counted by value, those below as one number. So no task sees all values of a group.
+    """
+    rows = long.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    width = 5 / SURE
+    ends = [max(0.0, min(1.0, q + s * width)) for q in qs.values() for s in (-1, 1)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("_v", ends, SURE).alias("_ends"))
+    each = []
+    for i, (name, q) in enumerate(qs.items()):
+        low, high = (F.when(F.col("n") > SURE, F.col("_ends")[2 * i + k]) for k in (0, 1))
+        rank = F.floor((F.col("n") - 1) * q + 0.5) if interp == "nearest" else (F.col("n") - 1) * q
+        each.append(F.struct(F.lit(name).alias("q"), low.alias("low"), high.alias("high"), rank.cast("double").alias("rank")))
+    wanted = sketch.select(*by, "n", F.explode(F.array(*each)).alias("w")).select(*by, "n", "w.*")
+    met = null_safe_join(rows, wanted, by) if by else rows.crossJoin(F.broadcast(wanted))
+    inside = F.coalesce(F.col("_v").between(F.col("low"), F.col("high")), F.lit(True))
+    below = F.coalesce(F.col("_v") < F.col("low"), F.lit(False))
+    place = F.when(inside, F.col("_v")).alias("_v")  # null: below the bracket
+    counts = met.where(inside | below).groupBy(*by, "q", "rank", "n", place).agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy(*by, "q").orderBy(F.col("_v").asc_nulls_first()))
+    counts = counts.withColumns({"_to": upto, "_from": upto - F.col("m")})
+    at = lambda r: F.max(F.when((F.col("_from") <= r) & (F.col("_to") > r), F.col("_v")))
+    low, share = F.floor("rank"), F.col("rank") - F.floor("rank")
+    found = counts.groupBy(*by, "q", "n", "rank").agg(at(low).alias("a"), at(F.least(low + 1, F.col("n") - 1)).alias("b"))
+    mixed = F.when(share == 0, F.col("a")).otherwise((1 - share) * F.col("a") + share * F.col("b"))
+    named = [F.max(F.when(F.col("q") == name, mixed)).alias(name) for name in qs]
+    return found.groupBy(*by, "n").agg(*named).select(*by, *qs, "n")
+
+
+def tukey_bounds(long: DataFrame, k: float = 1.5, by: tuple[str, ...] = ("item",), least: int = 12, interp: str = "nearest") -> DataFrame:
+    """Per group Q1 - k IQR and Q3 + k IQR, null below `least` values. interp: nearest (rank), or linear."""
+    q = quantiles(long, {"q1": 0.25, "q3": 0.75}, by, interp)
     ok = F.col("n") >= least
     return q.select(*by, F.when(ok, F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo"), F.when(ok, F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi"), "n")
 
@@ -102,7 +140,8 @@ def join_bounds(long: DataFrame, bounds: DataFrame, by: tuple[str, ...] = ("item
 def tukey_flag(long: DataFrame, bounds: DataFrame, order: list[str], by: tuple[str, ...] = ("item",)) -> DataFrame:
     """key, item of each outlying point: the first failing item in the given order."""
     bad = join_bounds(long, bounds, by).where("value < lo OR value > hi")
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("item"))
+    listed = F.array_position(F.array(*map(F.lit, order)), F.col("item"))
+    place = F.when(listed > 0, listed).otherwise(len(order) + 1)  # an item that isn't listed comes last
     return bad.groupBy("key").agg(F.min(F.struct(place.alias("p"), "item")).alias("m")).select("key", F.col("m.item").alias("item"))
 
 
@@ -162,7 +201,7 @@ def scatter_keys(points: DataFrame) -> DataFrame:
 
 def box_stats(long: DataFrame, by: tuple[str, ...] = ("gid", "category")) -> DataFrame:
     """Quartiles (linear), whiskers at the last values within 1.5 IQR, and the number of fliers."""
-    q = long.groupBy(*by).agg(*(F.percentile("value", p).alias(n) for p, n in ((0.25, "q1"), (0.5, "med"), (0.75, "q3"))))
+    q = quantiles(long, {"q1": 0.25, "med": 0.5, "q3": 0.75}, by).drop("n")
     joined = null_safe_join(long, q, by).withColumn("in", F.col("value").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return joined.groupBy(*by, "q1", "med", "q3").agg(F.min(F.when(F.col("in"), F.col("value"))).alias("low"), F.max(F.when(F.col("in"), F.col("value"))).alias("high"), F.count(F.when(~F.col("in"), 1)).alias("fliers"))
 

@@ -156,7 +156,8 @@ def join_full_coalesce(spark, sf):
     return a.join(b, ["lot", "wafer"], "full")
 
 
-BOUNDS = "SELECT item, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM plong GROUP BY item"
+NEAREST = "list_sort(list(value))[CAST(floor((count(value) - 1) * {0} + 0.5) AS BIGINT) + 1]"
+BOUNDS = f"SELECT item, {NEAREST.format(0.25)} AS q1, {NEAREST.format(0.75)} AS q3 FROM plong GROUP BY item"
 B.PARTS["bounds"] = (("plong",), f"SELECT item, q1 - 0.4 * (q3 - q1) AS lo, q3 + 0.4 * (q3 - q1) AS hi FROM ({BOUNDS}) b")
 
 
@@ -183,10 +184,23 @@ def join_geometry(spark, sf):
     return B.points_long(spark, sf).join(F.broadcast(g), "item").groupBy("item", "width").agg(F.count("*").alias("n"))
 
 
-@query("resolve_lot", "SELECT lot AS typed, lot, 'exact' AS how FROM (SELECT DISTINCT lot FROM base) t", "base")
+RESOLVED = """WITH lots AS (SELECT 'PA' || s_suppkey AS lot FROM supplier),
+typed AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'PA' WHEN 1 THEN 'pa' WHEN 2 THEN 'a' ELSE 'QX' END || s_suppkey AS typed FROM supplier),
+ranks AS (
+  SELECT typed, lot, CASE WHEN typed = lot THEN 1 WHEN lower(typed) = lower(lot) THEN 2 WHEN contains(lower(lot), lower(typed)) THEN 3 ELSE 4 END AS r,
+    len(list_filter(range(1, least(length(typed), length(lot)) + 1), lambda i: lower(typed)[i] = lower(lot)[i])) AS same FROM typed, lots),
+unique_parts AS (SELECT typed, lot, same, CASE WHEN r = 3 AND count(*) FILTER (r = 3) OVER (PARTITION BY typed) > 1 THEN 4 ELSE r END AS r FROM ranks),
+best AS (SELECT *, min(r) OVER (PARTITION BY typed) AS best FROM unique_parts)
+SELECT typed, lot, ['exact', 'case', 'part', 'similar'][r] AS how FROM best WHERE r = best
+QUALIFY row_number() OVER (PARTITION BY typed ORDER BY same DESC, lot) <= CASE WHEN best = 4 THEN 5 ELSE 1 END"""
+
+
+@query("resolve_lot", RESOLVED)
 def resolve_lot(spark, sf):
-    lots = B.base(spark, sf).select("lot").distinct()
-    return J.resolve_lot(lots.select(F.col("lot").alias("typed")), lots)
+    key = F.col("s_suppkey")
+    lead = F.when(key % 4 == 0, "PA").when(key % 4 == 1, "pa").when(key % 4 == 2, "a").otherwise("QX")
+    lots = B.read(spark, sf, "supplier").select(F.concat(F.lit("PA"), key.cast("string")).alias("lot"), F.concat(lead, key.cast("string")).alias("typed"))
+    return J.resolve_lot(lots.select("typed"), lots.select("lot"))
 
 
 @query("resolve_wafer", "SELECT DISTINCT cast(cast(substr(wafer, 2) AS integer) AS varchar) AS typed, wafer FROM base", "base")
@@ -284,17 +298,32 @@ def _cov(spark, sf):
 
 COV_LOTS = """SELECT l.lot, l.wafers, l.n_items, l.points, b.lot AS base_lot, array_to_string(list_sort(list_filter(b.items, lambda x: NOT list_contains(l.items, x))), ',') AS missing_items,
   len(list_filter(b.conds, lambda x: NOT list_contains(l.conds, x)))::INTEGER AS missing_conditions, len(list_filter(l.conds, lambda x: NOT list_contains(b.conds, x)))::INTEGER AS extra_conditions, abs(l.points / b.points - 1) > 0.2 AS off
-  FROM lots l, (SELECT * FROM lots ORDER BY n_items DESC, cast(lot AS int) LIMIT 1) b"""
+  FROM lots l, (SELECT * FROM lots ORDER BY n_items DESC, lot LIMIT 1) b"""
 B.PARTS["lots"] = (("cov",), """SELECT lot, count(*) AS wafers, median(p) AS points, max(n_items) AS n_items, max(items) AS items, max(conds) AS conds FROM
   (SELECT lot, wafer, count(DISTINCT key) AS p FROM cov GROUP BY lot, wafer) w JOIN (SELECT lot, list(DISTINCT item) AS items, count(DISTINCT item)::INTEGER AS n_items, list(DISTINCT step || '/' || temp || '/' || site) AS conds FROM cov GROUP BY lot) i USING (lot) GROUP BY lot""")
 
 
 @query("coverage_lot", COV_LOTS, "lots")
 def coverage_lot(spark, sf):
-    t = S.coverage_lots(_cov(spark, sf)).withColumn("missing_items", F.array_join("missing_items", ","))
+    return _coverage(_cov(spark, sf))
+
+
+def _coverage(rows):
+    t = S.coverage_lots(rows).withColumn("missing_items", F.array_join("missing_items", ","))
     return t.select("lot", "wafers", "n_items", "points", "base_lot", "missing_items", F.size("missing_conditions").alias("missing_conditions"), F.size("extra_conditions").alias("extra_conditions"), "off")
 
 
+COV_TEXT = "SELECT * REPLACE ('PA' || lot AS lot) FROM plong WHERE NOT (cast(lot AS int) % 4 = 1 AND item = 'DISC') AND NOT (cast(lot AS int) % 5 = 2 AND step = 'A')"
+B.PARTS["cov_text"] = (("plong",), COV_TEXT)
+B.PARTS["lots_text"] = (("cov_text",), B.PARTS["lots"][1].replace("FROM cov ", "FROM cov_text "))
+
+
+@query("coverage_lot_text", COV_LOTS.replace("FROM lots", "FROM lots_text").replace("lots l,", "lots_text l,"), "lots_text")
+def coverage_lot_text(spark, sf):
+    """The same where lots are text: the base lot is the lowest as text."""
+    return _coverage(_cov(spark, sf).withColumn("lot", F.concat(F.lit("PA"), "lot")))
+
+
 @query("coverage_notes", f"SELECT lot, concat_ws('; ', CASE WHEN missing_items <> '' THEN 'missing items: ' || replace(missing_items, ',', ', ') END, CASE WHEN missing_conditions > 0 THEN 'missing conditions: ' || missing_conditions END, CASE WHEN extra_conditions > 0 THEN 'extra conditions: ' || extra_conditions END, CASE WHEN off THEN 'points differ' END) AS note FROM ({COV_LOTS}) c WHERE note <> ''", "lots")
 def coverage_notes(spark, sf):
     return S.coverage_notes(S.coverage_lots(_cov(spark, sf)))
@@ -308,9 +337,24 @@ def set_missing_items(spark, sf):
 # Outliers.
 
 
-@query("tukey_bounds", "SELECT item, step, temp, CASE WHEN n >= 12 THEN round(q1 - 1.5 * (q3 - q1), 8) END AS lo, CASE WHEN n >= 12 THEN round(q3 + 1.5 * (q3 - q1), 8) END AS hi, n FROM (SELECT item, step, temp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, count(value) AS n FROM plong GROUP BY item, step, temp) q", "plong")
+def _fences(quantile: str) -> str:
+    return f"""SELECT item, step, temp, CASE WHEN n >= 12 THEN round(q1 - 1.5 * (q3 - q1), 8) END AS lo, CASE WHEN n >= 12 THEN round(q3 + 1.5 * (q3 - q1), 8) END AS hi, n
+  FROM (SELECT item, step, temp, {quantile.format(0.25)} AS q1, {quantile.format(0.75)} AS q3, count(value) AS n FROM plong GROUP BY item, step, temp) q"""
+
+
+
+def _tukey_bounds(spark, sf, **of):
+    return S.tukey_bounds(B.points_long(spark, sf), by=("item", "step", "temp"), **of).withColumns({"lo": F.round("lo", 8), "hi": F.round("hi", 8)})
+
+
+@query("tukey_bounds", _fences(NEAREST), "plong")
 def tukey_bounds(spark, sf):
-    return S.tukey_bounds(B.points_long(spark, sf), by=("item", "step", "temp")).withColumns({"lo": F.round("lo", 8), "hi": F.round("hi", 8)})
+    return _tukey_bounds(spark, sf)
+
+
+@query("tukey_bounds_linear", _fences("quantile_cont(value, {0})"), "plong")
+def tukey_bounds_linear(spark, sf):
+    return _tukey_bounds(spark, sf, interp="linear")
 
 
 TUKEY = "SELECT key, arg_min(item, CASE item WHEN 'QTY' THEN 1 WHEN 'PRICE' THEN 2 ELSE 3 END) AS item FROM plong JOIN bounds USING (item) WHERE value < lo OR value > hi GROUP BY key"
