@@ -54,14 +54,58 @@ def _class(s: np.ndarray) -> int:
 
 
 def _classes(width: int):
+    """Number of shingles and class of each row; after a task's rows, its frequent shingles (in tie, with minus how often as n)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = Often()
+        names = ["doc", "tie", "n", "cls"]
         for part in slices(batches):
             sets = [shingles(x, width) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.int64())], names=["doc", "tie", "n", "cls"])
+            classes = [_class(s) if len(s) else None for s in sets]
+            often.add({c: s for c, s in zip(classes, sets) if c is not None})
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64())], names=names)
+        key, many = often.found()
+        none = pa.nulls(len(key), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(key.view(np.int64)), pa.array(-many), none], names=names)
 
     return run
 
 
+class Often:
+    """Shingles that make up a 65,536th of all those added or more, with lower bounds of how often they came.
+
+    Counts as Misra and Gries do: once there are too many different shingles, all counts sink alike.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[np.ndarray] = []
+        self.key, self.many, self.waiting, self.total = np.empty(0, U), np.empty(0, np.int64), 0, 0
+
+    def add(self, of_class: dict[int, np.ndarray]) -> None:
+        self.held += [*of_class.values()]
+        self.waiting += sum(map(len, of_class.values()))
+        if self.waiting > 2 * COUNTERS:
+            self._merge()
+
+    def _merge(self) -> None:
+        more, count = np.unique(np.concatenate([np.empty(0, U), *self.held]), return_counts=True)
+        self.total, self.held, self.waiting = self.total + self.waiting, [], 0
+        more, count = more[count > 1], count[count > 1]  # the rest sinks to nothing
+        both, n = np.concatenate([self.key, more]), np.concatenate([self.many, count])
+        order = np.argsort(both, kind="stable")
+        at = runs(both[order])
+        both, n = both[order][at], np.add.reduceat(n[order], at) if len(at) else n
+        if len(n) > COUNTERS:
+            n = n - np.partition(n, len(n) - COUNTERS - 1)[len(n) - COUNTERS - 1]
+            both, n = both[n > 0], n[n > 0]
+        self.key, self.many = both, n
+
+    def found(self) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        keep = self.many >= max(2, self.total >> 16)
+        return self.key[keep], self.many[keep]
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     """Equal ranges of the hashes' upper 32 bits."""
     return (((h >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
@@ -98,41 +142,6 @@ def _spread(width: int, buckets: int, hot: Broadcast):
     return run
 
 
-def _often(width: int, share: float):
-    """Of one task: shingles that its texts hold in at least `share` of all cases, with a lower bound of how often.
-
-    Counts as Misra and Gries do: once there are too many different shingles, all counts sink alike.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        key, many, total = np.empty(0, U), np.empty(0, np.int64), 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            more, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, U), np.empty(0, np.int64))
-            both, n = np.concatenate([key, more]), np.concatenate([many, count])
-            order = np.argsort(both, kind="stable")
-            at = runs(both[order])
-            both, n = both[order][at], np.add.reduceat(n[order], at) if len(at) else n
-            if len(n) > COUNTERS:
-                n = n - np.partition(n, len(n) - COUNTERS - 1)[len(n) - COUNTERS - 1]
-                both, n = both[n > 0], n[n > 0]
-            return both, n
-
-        for part in slices(batches):
-            held += [*_distinct(part.column(0).to_pylist(), width).values()]
-            if sum(map(len, held)) > 4 * COUNTERS:
-                total += sum(map(len, held))
-                key, many = merged()
-                held = []
-        total += sum(map(len, held))
-        key, many = merged()
-        keep = many >= max(2.0, share * total)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(many[keep])], names=["shingle", "many"])
-
-    return run
-
-
 def _distinct(texts: list[str | None], width: int) -> dict[int, np.ndarray]:
     """The shingles of each class."""
     seen: dict[int, np.ndarray] = {}
@@ -279,12 +288,12 @@ def _in_blocks(hot: DataFrame, sets: DataFrame, links: DataFrame, percent: int,
 def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int, group: int, block: int, room: int) -> DataFrame:
     """Edges a, b between classes whose graph has the same components as that of all linked pairs."""
     spark = texts.sparkSession
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    total = classes.where("n > 0").agg(F.sum("n")).first()[0] or 0
     parts = shuffle_parts(spark)
     buckets = max(2 * parts, -(-total // room))
     parts = max(parts, min(buckets, MOST_PARTS))
     least = max(room // 4, total // COUNTERS)  # so the frequent ones are a million at most
-    often = texts.mapInArrow(_often(width, least / max(1, total)), "shingle long, many long").groupBy("shingle").agg(F.sum("many").alias("many")).where(F.col("many") >= least)
+    often = classes.where("n < 0").groupBy(F.col("tie").alias("shingle")).agg(F.sum("n").alias("n")).where(F.col("n") <= -least)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in often.collect()], np.int64).view(U)))
     sets = cut(
         texts.mapInArrow(_spread(width, buckets, hot), "bucket int, owner binary, n binary, key binary, size binary")
@@ -311,7 +320,7 @@ def members(texts: DataFrame, percent: int, width: int, group: int, block: int,
     classes = cut(texts.select("doc", "text", "tie").mapInArrow(_classes(width), "doc long, tie long, n long, cls long"))
     comp = components(class_links(classes, texts.select("text"), percent, width, group, block, room))
     known = classes.where("cls IS NOT NULL").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("doc", "tie", "n", F.coalesce("component", "cls").alias("component"))
-    return known.unionByName(classes.where("cls IS NULL").select("doc", "tie", "n", F.lit(None).cast("long").alias("component")))
+    return known.unionByName(classes.where("cls IS NULL AND n = 0").select("doc", "tie", "n", F.lit(None).cast("long").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", group: int = 64, block: int = 768, room: int = ROOM) -> DataFrame:
