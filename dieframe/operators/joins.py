@@ -99,6 +99,33 @@ def assign_manual(df: DataFrame, manual: DataFrame) -> DataFrame:
     return df.join(last, "key", "left").withColumn("gid", F.coalesce("_gid", "gid")).drop("_gid")
 
 
+def join_values(keys: DataFrame, values: DataFrame, items: list[str]) -> DataFrame:
+    """The key frame with the named item columns, by key; a key without values gets nulls."""
+    return keys.drop(*items).join(values.select("key", *items), "key", "left")
+
+
+def join_full(*sources: DataFrame, by: tuple[str, ...] = ("lot", "wafer")) -> DataFrame:
+    """Columns found independently of each other, by lot and wafer; a wafer that any source has stands once."""
+    return reduce(lambda a, b: a.join(b, list(by), "full"), sources)
+
+
+def excluded_where(log: DataFrame, df: DataFrame) -> DataFrame:
+    """key, lot, wafer of each exclusion; one whose key the data lacks stays, without a place."""
+    return log.select("key").join(df.select("key", "lot", "wafer"), "key", "left")
+
+
+def join_geometry(long: DataFrame, rules: DataFrame, size: str = "width") -> DataFrame:
+    """Rows of the items that have a size in the rule sheet, with it."""
+    return long.join(rules.where(F.col(size).isNotNull()).select("item", size), "item")
+
+
+def item_diff(data: DataFrame, rules: DataFrame) -> DataFrame:
+    """only_in (data or rules), item of the items that one of the two lacks."""
+    data, rules = data.select("item").distinct(), rules.select("item").distinct()
+    one = lambda name, a, b: a.subtract(b).select(F.lit(name).alias("only_in"), "item")
+    return one("data", data, rules).unionByName(one("rules", rules, data))
+
+
 def resolve_lot(typed: DataFrame, lots: DataFrame, similar: int = 5) -> DataFrame:
     """typed, lot, how: the stored lot for typed text. exact, then case, then a unique substring; else up to 5 of the most equal characters.
 
@@ -139,7 +166,7 @@ def category(df: DataFrame, by: str, names: DataFrame | None = None) -> DataFram
     if by == "lot_wafer":
         return df.withColumn("category", F.concat_ws("·", "lot", "wafer"))
     if by == "gid" and names is not None:
-        return df.join(F.broadcast(names), "gid", "left").withColumn("category", F.coalesce("name", F.lit("(none)"))).drop("name")
+        return df.join(names, "gid", "left").withColumn("category", F.coalesce("name", F.lit("(none)"))).drop("name")
     return df.withColumn("category", F.coalesce(F.col(by).cast("string"), F.lit("(none)")))
 
 

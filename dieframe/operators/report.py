@@ -54,6 +54,21 @@ def pages(wafers: DataFrame, most: int = 12) -> DataFrame:
     return t.join(per.select("lot", before.alias("before")), "lot").withColumn("page", F.col("before") + F.col("in_lot") + 1).drop("in_lot", "before")
 
 
+def deck_meta(long: DataFrame) -> DataFrame:
+    """One row: the steps (sorted), how many lots and temperatures there are, the first line and the last time."""
+    return long.agg(F.sort_array(F.collect_set("step")).alias("steps"), F.countDistinct("lot").alias("lots"), F.countDistinct("temp").alias("temps"), F.min("line").alias("line"), F.max("ts").alias("last"))
+
+
+def spec_columns(long: DataFrame, specs: DataFrame) -> DataFrame:
+    """item, lsl, target, usl of the items that the data and the rule sheet both have."""
+    return specs.select("item", "lsl", "target", "usl").join(long.select("item").distinct(), "item", "left_semi")
+
+
+def most_frequent(df: DataFrame, column: str, k: int = 5) -> DataFrame:
+    """The k values with the most rows, ties by the value: column, n."""
+    return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column).limit(k)
+
+
 def column_order(wafers: DataFrame, grouped: bool = False) -> DataFrame:
     """Adds place: lot and wafer in natural order, within the group if grouped (no group last)."""
     first = [F.when(F.col("gid") != "", F.col("gid")).asc_nulls_last()] if grouped else []

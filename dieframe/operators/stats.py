@@ -206,6 +206,23 @@ def box_stats(long: DataFrame, by: tuple[str, ...] = ("gid", "category")) -> Dat
     return joined.groupBy(*by, "q1", "med", "q3").agg(F.min(F.when(F.col("in"), F.col("value"))).alias("low"), F.max(F.when(F.col("in"), F.col("value"))).alias("high"), F.count(F.when(~F.col("in"), 1)).alias("fliers"))
 
 
+def box_values(points: DataFrame, item: str, stat: Column, by: str = "category") -> DataFrame:
+    """Per category, lot and wafer a statistic of an item's values (stat: an aggregate of value)."""
+    rows = points.select(by, "lot", "wafer", F.col(f"`{item}`").alias("value")).where("value IS NOT NULL")
+    return rows.groupBy(by, "lot", "wafer").agg(stat.alias("value"))
+
+
+def bar_means(points: DataFrame, item: str, mean: Column, by: tuple[str, ...] = ("gid", "category")) -> DataFrame:
+    """Per group and category the mean of an item's values (mean: an aggregate of value)."""
+    return points.select(*by, F.col(f"`{item}`").alias("value")).groupBy(*by).agg(mean.alias("value"))
+
+
+def lot_parts(long: DataFrame, wafer: Column, over: Column) -> DataFrame:
+    """Per group, lot and item the mean over wafers, and how many wafers there are."""
+    each = wafer_stats(long, {"value": wafer}, ("gid", "lot", "wafer", "item"))
+    return each.groupBy("gid", "lot", "item").agg(over.alias("value"), F.count("*").alias("wafers"))
+
+
 def null_safe_join(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
     from .joins import null_safe
 
@@ -215,7 +232,7 @@ def null_safe_join(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame
 def trend_points(long: DataFrame, geometry: DataFrame, stat: Column, over: Column, by: tuple[str, ...] = ("gid",)) -> tuple[DataFrame, DataFrame]:
     """Wafer points and group lines of each item at its x position; items without one are left out."""
     at = geometry.where("x IS NOT NULL").select("item", "x")
-    points = long.groupBy(*by, "lot", "wafer", "item").agg(stat.alias("value")).join(F.broadcast(at), "item")
+    points = long.groupBy(*by, "lot", "wafer", "item").agg(stat.alias("value")).join(at, "item")
     return points, points.groupBy(*by, "item", "x").agg(over.alias("value"))
 
 

@@ -99,7 +99,7 @@ def join_null_safe(spark, sf):
 @query("join_values", "SELECT key, QTY, DISC FROM pts", "pts")
 def join_values(spark, sf):
     p = B.points(spark, sf)
-    return p.select("key").join(p.select("key", "QTY", "DISC"), "key", "left")
+    return J.join_values(p.select("key"), p, ["QTY", "DISC"])
 
 
 CONDITIONS = "SELECT lot, wafer, step, c AS condition FROM (SELECT *, coalesce(ppid, reticle) AS c, row_number() OVER (PARTITION BY lot, wafer, step ORDER BY ts DESC, coalesce(ppid, reticle) DESC) AS rn FROM tracking) t WHERE rn = 1"
@@ -153,7 +153,7 @@ def assign_manual(spark, sf):
 def join_full_coalesce(spark, sf):
     t = B.tracking(spark, sf)
     a, b = t.where("step < '3'").groupBy("lot", "wafer").agg(F.max("ts").alias("top")), t.where("step > '4'").groupBy("lot", "wafer").agg(F.min("ts").alias("low"))
-    return a.join(b, ["lot", "wafer"], "full")
+    return J.join_full(a, b)
 
 
 NEAREST = "list_sort(list(value))[CAST(floor((count(value) - 1) * {0} + 0.5) AS BIGINT) + 1]"
@@ -169,7 +169,7 @@ def join_bounds(spark, sf):
 
 @query("join_excl_where", "SELECT e.key, p.lot, p.wafer FROM excluded e LEFT JOIN pts p ON e.key = p.key AND p.QTY < 3", "excluded")
 def join_excl_where(spark, sf):
-    return _excluded(spark, sf).select("key").join(B.points(spark, sf).where("QTY < 3").select("key", "lot", "wafer"), "key", "left")
+    return J.excluded_where(_excluded(spark, sf), B.points(spark, sf).where("QTY < 3"))
 
 
 @query("part_lookup", "SELECT lot, wafer, min(reticle) AS part FROM tracking GROUP BY lot, wafer", "tracking")
@@ -180,8 +180,7 @@ def part_lookup(spark, sf):
 
 @query("join_geometry", "SELECT item, width, count(*) AS n FROM plong JOIN specs USING (item) WHERE width IS NOT NULL GROUP BY item, width", "plong", "specs")
 def join_geometry(spark, sf):
-    g = B.specs(spark).select("item", "width").where("width IS NOT NULL")
-    return B.points_long(spark, sf).join(F.broadcast(g), "item").groupBy("item", "width").agg(F.count("*").alias("n"))
+    return J.join_geometry(B.points_long(spark, sf), B.specs(spark)).groupBy("item", "width").agg(F.count("*").alias("n"))
 
 
 RESOLVED = """WITH lots AS (SELECT 'PA' || s_suppkey AS lot FROM supplier),
@@ -498,8 +497,7 @@ def scatter_keys(spark, sf):
 
 @query("box_values", f"SELECT step AS category, lot, wafer, {_exact('QTY')} AS value FROM pts WHERE QTY IS NOT NULL GROUP BY step, lot, wafer", "pts")
 def box_values(spark, sf):
-    p = J.category(B.points(spark, sf), "step").select("category", "lot", "wafer", F.col("QTY").alias("value")).where("value IS NOT NULL")
-    return p.groupBy("category", "lot", "wafer").agg(mean().alias("value"))
+    return S.box_values(J.category(B.points(spark, sf), "step"), "QTY", mean())
 
 
 @query("box_stats", """SELECT gid, item, round(q1, 8) AS q1, round(med, 8) AS med, round(q3, 8) AS q3, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
@@ -510,7 +508,7 @@ def box_stats(spark, sf):
 
 @query("bar_means", f"SELECT gid, step AS category, {_exact('QTY')} AS value FROM pts GROUP BY gid, step", "pts")
 def bar_means(spark, sf):
-    return B.points(spark, sf).select("gid", F.col("step").alias("category"), F.col("QTY").alias("value")).groupBy("gid", "category").agg(mean().alias("value"))
+    return S.bar_means(B.points(spark, sf).withColumn("category", F.col("step")), "QTY", mean())
 
 
 @query("trend_points", f"SELECT gid, item, width AS x, {EXACT} AS value FROM (SELECT gid, lot, wafer, item, {EXACT} AS value FROM plong GROUP BY gid, lot, wafer, item) w JOIN specs USING (item) WHERE width IS NOT NULL GROUP BY gid, item, width", "plong", "specs")
@@ -520,8 +518,7 @@ def trend_points(spark, sf):
 
 @query("lot_parts", f"SELECT gid, lot, item, {EXACT} AS value, count(*) AS wafers FROM (SELECT gid, lot, wafer, item, {EXACT} AS value FROM plong GROUP BY gid, lot, wafer, item) w GROUP BY gid, lot, item", "plong")
 def lot_parts(spark, sf):
-    each = S.wafer_stats(B.points_long(spark, sf), {"value": mean()}, ("gid", "lot", "wafer", "item"))
-    return each.groupBy("gid", "lot", "item").agg(mean().alias("value"), F.count("*").alias("wafers"))
+    return S.lot_parts(B.points_long(spark, sf), mean(), mean())
 
 
 @query("excl_groups", "SELECT lot, wafer, reason, \"at\", count(*) AS n, array_to_string(list_sort(list(key)), ',') AS keys FROM excluded JOIN pts USING (key) GROUP BY lot, wafer, reason, \"at\"", "excluded")
@@ -531,7 +528,7 @@ def excl_groups(spark, sf):
 
 @query("deck_meta", "SELECT array_to_string(list_sort(list(DISTINCT step)), ',') AS steps, count(DISTINCT lot) AS lots, count(DISTINCT temp) AS temps, min(line) AS line, max(ts) AS last FROM rounded", "rounded")
 def deck_meta(spark, sf):
-    return B.rounded(spark, sf).agg(F.array_join(F.sort_array(F.collect_set("step")), ",").alias("steps"), F.countDistinct("lot").alias("lots"), F.countDistinct("temp").alias("temps"), F.min("line").alias("line"), F.max("ts").alias("last"))
+    return P.deck_meta(B.rounded(spark, sf)).withColumn("steps", F.array_join("steps", ","))
 
 
 @query("group_counts", "SELECT gid, count(*) AS n FROM pts WHERE key NOT IN (SELECT key FROM excluded) GROUP BY gid", "excluded")
@@ -614,13 +611,13 @@ def sort_natural(spark, sf):
 
 @query("top_k", "SELECT lot, count(*) AS n FROM base GROUP BY lot ORDER BY n DESC, lot LIMIT 5", "base")
 def top_k(spark, sf):
-    return B.base(spark, sf).groupBy("lot").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lot").limit(5)
+    return P.most_frequent(B.base(spark, sf), "lot", 5)
 
 
 @query("set_item_diff", "SELECT 'data' AS only_in, item FROM (SELECT item FROM long EXCEPT SELECT item FROM rules) a UNION ALL SELECT 'rules', item FROM (SELECT item FROM rules EXCEPT SELECT item FROM long WHERE item <> 'QTY') b", "long", "rules")
 def set_item_diff(spark, sf):
     data, rules = B.long(spark, sf).select("item"), B.rules(spark).select("item")
-    return data.subtract(rules).select(F.lit("data").alias("only_in"), "item").unionByName(rules.subtract(data.where("item <> 'QTY'")).select(F.lit("rules").alias("only_in"), "item"))
+    return J.item_diff(data, rules).where("only_in = 'data'").unionByName(J.item_diff(data.where("item <> 'QTY'"), rules).where("only_in = 'rules'"))
 
 
 def _two_logs(spark, sf):
@@ -686,7 +683,7 @@ def tbl_group(spark, sf):
 
 @query("tbl_spec_cols", "SELECT DISTINCT item, lsl, target, usl FROM long JOIN specs USING (item)", "long", "specs")
 def tbl_spec_cols(spark, sf):
-    return B.long(spark, sf).select("item").distinct().join(F.broadcast(B.specs(spark)), "item").select("item", "lsl", "target", "usl")
+    return P.spec_columns(B.long(spark, sf), B.specs(spark))
 
 
 PLOTS = """(1, 1, 0, 0, '1', 'R', 'Scatter', 'QTY,DISC', 'PRICE'), (2, 1, 0, 0, '2', 'R', 'box', 'lot', 'QTY'), (3, 1, 1, 0, 'x', 'R', 'bar', 'lot', 'QTY'), (4, 1, 2, 0, '3', 'R', 'pie', 'lot', 'QTY'),
@@ -788,9 +785,22 @@ def inc_recent_days(spark, sf):
 def inc_stream(spark, sf):
     folder = T.scratch(spark, "in")
     long = T.as_long(B.long(spark, sf))
-    T.write_chunk(long.where("tkout_time < TIMESTAMP_NTZ'1996-01-01'").coalesce(1), folder)
-    long.where("tkout_time >= TIMESTAMP_NTZ'1996-01-01'").coalesce(1).write.mode("append").parquet(folder)
+    T.write_chunk(long.where("tkout_time < TIMESTAMP_NTZ'1996-01-01'"), folder)
     back = {v: k for k, v in {"line": "line_id", "lot": "root_lot_id", "wafer": "wafer_id", "x": "chip_x_pos", "y": "chip_y_pos", "temp": "temperature", "step": "step_id", "seq": "step_seq", "site": "total_site_cnt", "ts": "tkout_time", "item": "item_id", "value": "et_value"}.items()}
-    into = L.Store(spark, mean())
-    L.stream_into(spark, folder, SC.LONG, into, lambda df: df.withColumnsRenamed(back).drop("part_id").withColumn("temp", C.temp_round5("temp")), files=100)
+    shape = lambda df: df.withColumnsRenamed(back).drop("part_id").withColumn("temp", C.temp_round5("temp"))
+    into = L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8)
+    L.stream_into(folder, SC.LONG, into, shape, files=100)
+    long.where("tkout_time >= TIMESTAMP_NTZ'1996-01-01'").write.mode("append").parquet(folder)
+    L.stream_into(folder, SC.LONG, into, shape, files=100)  # goes on where the first one stopped
     return into.table().select(*SC.KEY7, "ts", "item", "value")
+
+
+@query("inc_run", f"""SELECT (SELECT count(*) FROM long WHERE line = 'L1' AND ts >= DATE '1996-01-01' AND ts < DATE '1998-01-01') AS rows_in,
+  count(*) FILTER (ts >= DATE '1996-01-01' AND ts < DATE '1998-01-01' AND first >= DATE '1996-01-01') AS points_new, count(*) FILTER (ts >= DATE '1996-01-01' AND first < DATE '1996-01-01') AS points_updated
+  FROM (SELECT {B.KEYS}, min(ts) AS first, max(ts) AS ts FROM rounded WHERE ts < DATE '1998-01-01' GROUP BY {B.KEYS}) p""", "rounded")
+def inc_run(spark, sf):
+    """Counts of the second of two composed runs (extraction, rules, load) into one store."""
+    into = L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8)
+    rules = lambda df: df.withColumn("temp", C.temp_round5("temp"))
+    L.run(B.long(spark, sf), into, "1", "L1", "1990-01-01", "1995-12-31", rules)
+    return L.run(B.long(spark, sf), into, "2", "L1", "1996-01-01", "1997-12-31", rules).select("rows_in", "points_new", "points_updated")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +97,36 @@ def write_chunk(df: DataFrame, path: str, *by: str) -> None:
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
 
 
-def materialize(long: DataFrame, lots: list[str], items: list[str]) -> DataFrame:
-    """The working set of lots and items, written once and read back."""
-    path = scratch(long.sparkSession, "workset")
-    long.where(F.col("lot").isin(lots) & F.col("item").isin(items)).write.parquet(path)
-    return long.sparkSession.read.parquet(path)
+def materialize(long: DataFrame, lots: list[str], items: list[str], root: str | None = None) -> DataFrame:
+    """The working set of lots and items, written once and read back.
+
+    With a root folder, a set of the same rows' plan, lots and items that is there already is used as it is.
+    """
+    spark = long.sparkSession
+    rows = long.where(F.col("lot").isin(lots) & F.col("item").isin(items))
+    if root is None:
+        path = scratch(spark, "workset")
+    else:
+        asked = json.dumps([sorted(set(lots)), sorted(set(items)), sorted(long.inputFiles()), long.semanticHash()])
+        path = f"{root}/workset-{hashlib.sha256(asked.encode()).hexdigest()}"
+        try:
+            spark.read.text(f"{path}/_SUCCESS")  # left by a write that came to its end
+            return spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+#: Statements for `preview`, to be filled in.
+SNIPPETS = {
+    "all": "SELECT * FROM et_data",
+    "lot": "SELECT * FROM et_data WHERE lot = '{lot}'",
+    "period": "SELECT * FROM et_data WHERE ts >= DATE '{first}' AND ts < date_add(DATE '{last}', 1)",
+    "wafer mean": "SELECT lot, wafer, item, avg(value) AS mean FROM et_data GROUP BY lot, wafer, item",
+    "item list": "SELECT DISTINCT item FROM et_data ORDER BY item",
+}
 
 
 def export(df: DataFrame, path: str, kind: str = "parquet", sep: str = ",") -> None:

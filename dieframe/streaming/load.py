@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.merge import store, upsert
-from ..sources.tables import scratch
+from ..operators.merge import load_counts, store, upsert
+from ..sources.tables import extract
 
+COLUMNS = ["key", "lot", "wafer", "x", "y", "temp", "step", "site", "ts", "item", "value"]
+VERSION = "version long, attempt string, batch string, bucket int, at timestamp"
+LOG = "attempt string, file string, rows long, at timestamp"
 
-def load_log(df: DataFrame) -> DataFrame:
+
+def load_log(df: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
     """file, rows of what a read takes in."""
-    return df.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count("*").alias("rows"))
+    return df.groupBy(F.element_at(F.split(F.col(path), "/"), -1).alias("file")).agg(F.count("*").alias("rows"))
 
 
 def recent(long: DataFrame, days: int, today: Column) -> DataFrame:
@@ -22,26 +28,81 @@ def recent(long: DataFrame, days: int, today: Column) -> DataFrame:
 
 
 class Store:
-    """The long merged store as versions of a table: each load writes a new one, so a lost attempt leaves the last intact.
+    """The long merged store in a shared folder, in buckets by lot.
 
-    The version pointer lives on the driver; versions are whole tables in the shared folder.
+    A load rewrites the buckets of its own lots as a new version, then appends to the table of versions. Only what
+    stands there counts, so a lost attempt leaves the store as it was, and whoever opens the folder later finds
+    the last state. A batch that is there already is not loaded again.
     """
 
-    def __init__(self, spark: SparkSession, mean: Column | None = None):
-        self.spark, self.mean, self.path = spark, mean, None
+    def __init__(self, spark: SparkSession, root: str, mean: Column | None = None, buckets: int = 64):
+        self.spark, self.root, self.mean, self.buckets = spark, root, mean, buckets
+
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def versions(self) -> DataFrame:
+        return self._rows("versions", VERSION)
+
+    def log(self) -> DataFrame:
+        """file, rows, at of each file loaded; an attempt that failed doesn't show."""
+        return self._rows("log", LOG).join(self.versions().select("attempt").distinct(), "attempt", "left_semi").select("file", "rows", "at")
+
+    def _of(self, latest: dict[int, int]) -> DataFrame:
+        paths = [f"{self.root}/data/version={v}/bucket={b}" for b, v in sorted(latest.items())]
+        if not paths:
+            return self.spark.createDataFrame([], "key string, lot string, wafer string, x int, y int, temp double, step string, site int, ts timestamp_ntz, item string, value double")
+        return self.spark.read.parquet(*paths)
+
+    def _latest(self) -> dict[int, int]:
+        """The version of each bucket; as many rows as there are buckets."""
+        return {r.bucket: r.version for r in self.versions().groupBy("bucket").agg(F.max("version").alias("version")).collect()}
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self._of(self._latest())
+
+    def load(self, long: DataFrame, batch: str, files: DataFrame | None = None) -> DataFrame | None:
+        """Merges a batch of long rows and puts it in. Returns rows_in, points_new, points_updated, cells; None if the batch was loaded before.
+
+        files (file, rows) goes to the load log.
+        """
+        state = self.versions().agg(F.max("version").alias("last"), F.count_if(F.col("batch") == batch).alias("there")).first()
+        if state.there:
+            return None
+        version = 1 if state.last is None else state.last + 1
+        bucket = F.pmod(F.xxhash64("lot"), F.lit(self.buckets)).cast("int").alias("bucket")
+        merged = store(long, mean=self.mean).select(*COLUMNS)
+        touched = [r.bucket for r in long.select(bucket).distinct().collect()]
+        stored = self._of({b: v for b, v in self._latest().items() if b in touched}).select(*COLUMNS)
+        new = upsert(stored, merged).select(*COLUMNS, bucket)
+        new.repartition("bucket", "lot").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/version={version}")
+        counts = load_counts(long, merged, stored)
+        now, attempt = F.current_timestamp().alias("at"), uuid.uuid4().hex
+        if files is not None:
+            files.select(F.lit(attempt).alias("attempt"), "file", "rows", now).write.mode("append").parquet(f"{self.root}/log")
+        rows = self.spark.createDataFrame([(version, attempt, batch, b) for b in touched], "version long, attempt string, batch string, bucket int")
+        rows.select("*", now).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")  # a row a bucket
+        return counts
+
+
+def stream_into(folder: str, schema, target: Store, shape: Callable[[DataFrame], DataFrame], files: int = 1) -> None:
+    """Every file of the folder not loaded yet, `files` a batch, through the upsert; ends when there is no more.
+
+    What has been read is noted beside the store, so the next call goes on where this one stopped or was lost.
+    """
+
+    def put(df: DataFrame, number: int) -> None:
+        target.load(shape(df.drop("_path")), f"{folder}#{number}", load_log(df, "_path"))
 
-    def load(self, long: DataFrame) -> None:
-        batch = store(long, mean=self.mean)
-        path = scratch(self.spark, "store")
-        (batch if self.path is None else upsert(self.table(), batch.select(*self.table().columns))).select("key", "lot", "wafer", "x", "y", "temp", "step", "site", "ts", "item", "value").write.parquet(path)
-        self.path = path
+    stream = target.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder).select("*", F.col("_metadata.file_path").alias("_path"))
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{target.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_into(spark: SparkSession, folder: str, schema, target: Store, shape: Callable[[DataFrame], DataFrame], files: int = 1) -> None:
-    """Every file of the folder not loaded yet, `files` a batch, through the upsert; ends when there is no more."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
-    run = stream.writeStream.foreachBatch(lambda df, _: target.load(shape(df))).option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start()
-    run.awaitTermination()
+def run(source: DataFrame, target: Store, batch: str, line: str, first: str, last: str, rules: Callable[[DataFrame], DataFrame] = lambda df: df, items: list[str] | None = None, where: Column | None = None) -> DataFrame | None:
+    """Extraction, rules and load in one. Returns the load's counts; None if the batch was loaded before."""
+    return target.load(rules(extract(source, line, first, last, items, where)), batch)

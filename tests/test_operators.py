@@ -1,10 +1,12 @@
 """Merging, upsert, rules, groups and splits on hand-made rows; invariance under partitioning and repetition."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from dieframe.functions import columns as C
 from dieframe.operators import joins as J
 from dieframe.operators import merge as M
 from dieframe.operators import report as P
@@ -12,6 +14,7 @@ from dieframe.operators import rules as R
 from dieframe.operators import sources as O
 from dieframe.operators import stats as S
 from dieframe.sources import schema as SC
+from dieframe.sources import tables as T
 from dieframe.streaming import load as L
 
 LONG = "lot string, wafer string, x int, y int, temp double, step string, seq string, site int, ts timestamp_ntz, line string, item string, value double"
@@ -68,9 +71,43 @@ def test_stream_equals_one_load(spark, tmp_path):
     rows = [row(f"i{k % 5}", float(k % 7), str(k % 3), T0 + dt.timedelta(hours=k), x=k % 4) for k in range(60)]
     for k in range(3):
         long(spark, *rows[20 * k : 20 * k + 20]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    store = L.Store(spark)
-    L.stream_into(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, store, lambda d: d)
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    store = L.Store(spark, str(tmp_path / "store"), buckets=4)
+    L.stream_into(str(tmp_path / "in"), schema, store, lambda d: d)
     assert store.table().count() == 20 and store.table().groupBy("key").count().count() == 4
+    assert sorted(r.rows for r in store.log().collect()) == [20, 20, 20]
+    L.stream_into(str(tmp_path / "in"), schema, store, lambda d: d)  # nothing new
+    assert store.log().count() == 3
+
+
+def test_a_lost_load_goes_on_in_a_new_store(spark, tmp_path):
+    """The second batch is lost behind its data and its log; a store opened later reads the first state, and loads the rest once."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "store")
+    rows = [row(f"i{k % 3}", float(k), "1", T0 + dt.timedelta(hours=k), x=k % 4) for k in range(40)]
+    long(spark, *rows[:20]).coalesce(1).write.parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    L.stream_into(folder, schema, L.Store(spark, root), lambda d: d)
+    first = sorted(map(str, L.Store(spark, root).table().collect()))
+    long(spark, *rows[20:]).coalesce(1).write.mode("append").parquet(folder)
+
+    class Lost(L.Store):
+        def load(self, rows, batch, files=None):
+            real = self.spark.createDataFrame
+            self.spark.createDataFrame = lambda *_, **__: (_ for _ in ()).throw(RuntimeError("lost"))  # where the version would be noted
+            try:
+                return super().load(rows, batch, files)
+            finally:
+                self.spark.createDataFrame = real
+
+    with pytest.raises(Exception, match="lost"):
+        L.stream_into(folder, schema, Lost(spark, root), lambda d: d)
+    again = L.Store(spark, root)
+    assert sorted(map(str, again.table().collect())) == first and again.log().count() == 1
+    L.stream_into(folder, schema, again, lambda d: d)
+    whole = L.Store(spark, str(tmp_path / "other"))
+    assert whole.load(long(spark, *rows), "all").first().asDict() == {"rows_in": 40, "points_new": 4, "points_updated": 0, "cells": 12}
+    assert whole.load(long(spark, *rows), "all") is None
+    assert sorted(map(str, again.table().collect())) == sorted(map(str, whole.table().collect())) and again.log().count() == 2
 
 
 def test_normalize(spark):
@@ -174,3 +211,66 @@ def test_item_range(spark):
     specs = spark.createDataFrame([("a", 0.0, None)], "item string, lsl double, usl double")
     got = {r.item: (r.lo, r.hi) for r in S.item_range(df, specs, ["c"]).collect()}
     assert got["a"] == pytest.approx((-0.3, 3.3)) and got["b"] == pytest.approx((4.5, 5.5)) and got["c"] == pytest.approx((10**-0.2, 10**2.2))
+
+
+def test_flags_keys_and_globs(spark):
+    cells = ["TRUE", "t", "y", "1", "1.00", "O", "FALSE", "0.0", "x", "", None, "YES", "NO", "2", "maybe"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in cells], "c string").select(C.rule_flag("c")).collect()]
+    assert got == [True] * 6 + [False] * 5 + [None] * 4
+    keys = spark.createDataFrame([(None, "a"), ("~", "a"), ("a|b", "c"), ("a", "b|c"), ("", "a"), ("\\~", "a")], "p string, q string")
+    assert keys.select(C.key_hash("p", "q")).distinct().count() == 6
+    items = spark.createDataFrame([("VTH_1",), ("ron",)], "item string")
+    assert J.by_globs(items, []).count() == 0 and J.by_globs(items, [], ["ron"]).count() == 1 and J.by_globs(items, ["vth*"]).count() == 1
+
+
+def test_attached_rows_existed(spark):
+    df = spark.createDataFrame([("a", "1")], "lot string, wafer string")
+    other = spark.createDataFrame([("a", "1", "a", "z"), ("a", "01", "b", "y"), ("A", "W1", None, "x")], "lot string, wafer string, p string, q string")
+    assert [(r.p, r.q) for r in J.attach(df, other, True).collect()] == [("a", "z")]
+
+
+def test_base_lot_is_the_lowest_as_text(spark):
+    rows = [(lot, "1", f"{lot}{k}", "s", 25.0, 9, f"i{k}", 1.0) for lot in ("PA2", "PA1", "PA10") for k in range(2)]
+    df = spark.createDataFrame([*rows, ("PA0", "1", "q", "s", 25.0, 9, "i0", 1.0)], "lot string, wafer string, key string, step string, temp double, site int, item string, value double")
+    out = {r.lot: r for r in S.coverage_lots(df).collect()}
+    assert {r.base_lot for r in out.values()} == {"PA1"} and out["PA0"].missing_items == ["i1"] and out["PA2"].missing_items == []
+
+
+def test_flagged_item_follows_the_list(spark):
+    df = spark.createDataFrame([("k", "b", 9.0), ("k", "a", 9.0), ("k", "c", 9.0)], "key string, item string, value double")
+    bounds = spark.createDataFrame([(i, 0.0, 1.0, 20) for i in "abc"], "item string, lo double, hi double, n int")
+    assert [r.item for r in S.tukey_flag(df, bounds, ["c", "b"]).collect()] == ["c"]
+    assert [r.item for r in S.tukey_flag(df.where("item IN ('a', 'b')"), bounds, ["c", "b"]).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("interp", ["linear", "nearest"])
+@pytest.mark.parametrize("sure", [20, 10_000])
+def test_quantiles_are_exact_in_brackets(spark, monkeypatch, interp, sure):
+    """With a coarse sketch, so that groups of more than 20 values are bracketed."""
+    monkeypatch.setattr(S, "SURE", sure)
+    r = random.Random(1)
+    rows = [(g, float(r.choice([r.randrange(9), r.gauss(0, 5)]))) for g, n in (("a", 700), ("b", 19), ("c", 1), (None, 200)) for _ in range(n)] + [("a", None), ("d", None)]
+    out = S.quantiles(spark.createDataFrame(rows, "g string, value double").repartition(5), {"x": 0.25, "y": 0.5, "z": 0.9}, ("g",), interp).collect()
+    assert sorted(str(r.g) for r in out) == ["None", "a", "b", "c"]
+    for row_ in out:
+        v = sorted(x for g, x in rows if g == row_.g and x is not None)
+        assert row_.n == len(v)
+        for name, q in (("x", 0.25), ("y", 0.5), ("z", 0.9)):
+            at = (len(v) - 1) * q
+            want = v[int(at + 0.5)] if interp == "nearest" else v[int(at)] + (v[min(int(at) + 1, len(v) - 1)] - v[int(at)]) * (at - int(at))
+            assert abs(row_[name] - want) < 1e-9
+
+
+def test_working_set_is_used_again(spark, tmp_path):
+    long(spark, row("a", 1.0, "1", T0), row("b", 2.0, "1", T0)).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    lots = [df.first().lot]
+    one, two = (T.materialize(df, lots, ["a"], str(tmp_path / "w")) for _ in range(2))
+    assert one.inputFiles() == two.inputFiles() and two.count() == 1
+    assert T.materialize(df, lots, ["b"], str(tmp_path / "w")).inputFiles() != one.inputFiles()
+    assert T.preview(df, T.SNIPPETS["item list"]).count() == 2
+
+
+def test_no_sort_aggregate_for_retests(spark):
+    plan = M.merge_retest(long(spark, row("a", 1.0, "1", T0)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange") == 1
