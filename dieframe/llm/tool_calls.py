@@ -16,24 +16,45 @@ from .common import cut, table
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL.*|DOUBLE)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
 
 
+def _anchors(waits: DataFrame, calls: int) -> DataFrame:
+    """call_id, to, dist: the next call up the line that waits for none or for several, and how many steps away it is.
+
+    waits: call_id, many (calls it waits for) and one of them. Steps double in each round, so a line of n calls
+    takes log n rounds. A call that comes to no such call stands in or behind a cycle and is left out.
+    """
+    alone = F.col("many") == 1
+    state = cut(waits.select("call_id", F.when(alone, F.col("one")).otherwise(F.col("call_id")).alias("to"), alone.cast("long").alias("dist"), (~alone).alias("done")))
+    steps = 1
+    while steps <= 2 * calls and not state.where("NOT done").isEmpty():
+        further = state.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("done").alias("there"))
+        state = cut(state.where("NOT done").join(further, "to").select("call_id", F.col("next").alias("to"), (F.col("dist") + F.col("more")).alias("dist"), F.col("there").alias("done")).unionByName(state.where("done")))
+        steps *= 2
+    return state.where("done").drop("done")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """call_id, level: 0 without a known predecessor, else one more than the highest of them; null in or behind a cycle.
 
-    Takes one round of joins for each level; ids that no call has are no predecessors.
+    Lines of calls that wait for one other each are followed by doubling. What is left, calls that wait for
+    several, takes one round of joins for each of them that stand in a row. Ids that no call has are no predecessors.
     """
     ids = calls.select("call_id").distinct()
     edges = cut(calls.select("call_id", F.explode("waits_for").alias("needs")).distinct().join(ids.withColumnRenamed("call_id", "needs"), "needs", "left_semi"))
-    waiting = edges.select("call_id").distinct()
-    done = cut(ids.join(waiting, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    newest, level = done, 0
-    while not newest.isEmpty():
-        level += 1
-        edges = cut(edges.join(newest.select(F.col("call_id").alias("needs")), "needs", "left_anti"))
-        left = edges.select("call_id").distinct()
-        newest = cut(waiting.join(left, "call_id", "left_anti").select("call_id", F.lit(level).alias("level")))
-        waiting = left
-        done = done.unionByName(newest)
-    return done.unionByName(waiting.select("call_id", F.lit(None).cast("int").alias("level")))
+    waits = cut(ids.join(edges.groupBy("call_id").agg(F.count("*").alias("many"), F.min("needs").alias("one")), "call_id", "left").withColumn("many", F.coalesce("many", F.lit(0))))
+    anchors = cut(_anchors(waits, waits.count()))
+    known = cut(waits.where("many = 0").select("call_id", F.lit(0).cast("long").alias("level")))
+    # Calls that wait for several: each way to an anchor with its length; a way without an anchor never gets a level.
+    ways = edges.join(waits.where("many > 1").select("call_id"), "call_id", "left_semi")
+    ways = cut(ways.join(anchors.select(F.col("call_id").alias("needs"), "to", (F.col("dist") + 1).alias("dist")), "needs", "left").select("call_id", "to", "dist", F.lit(0).cast("long").alias("reached"), F.lit(True).alias("open")))
+    newest = known
+    while not ways.isEmpty() and not newest.isEmpty():
+        ways = ways.join(newest.withColumnRenamed("call_id", "to"), "to", "left")
+        ways = cut(ways.select("call_id", "to", "dist", F.when(F.col("level").isNotNull(), F.col("level") + F.col("dist")).otherwise(F.col("reached")).alias("reached"), (F.col("open") & F.col("level").isNull()).alias("open")))
+        newest = cut(ways.groupBy("call_id").agg(F.max("reached").alias("level"), F.bool_or("open").alias("open")).where("NOT open").select("call_id", "level"))
+        known = known.unionByName(newest)
+        ways = cut(ways.join(newest.select("call_id"), "call_id", "left_anti"))
+    found = anchors.join(known.withColumnRenamed("call_id", "to"), "to").select("call_id", (F.col("level") + F.col("dist")).cast("int").alias("level"))
+    return ids.join(found, "call_id", "left")
 
 
 def _errors(fields: str, types: str):
@@ -81,16 +102,14 @@ SCHEMAS = """SELECT * FROM VALUES
 def op6_tool_calls(spark, sf_dir: str) -> DataFrame:
     """Each assistant turn of conversations as a call (search in turns divisible by 3, else answer) and each user turn as the result of the turn before it.
 
-    A call waits for that of its half turn with the lowest binary digit taken off, so depth grows as the logarithm.
+    A call waits for the one two turns before it, so a conversation is one line of calls.
     """
     rows = table(spark, sf_dir, "conversations")
     name_of = lambda conv, turn: F.concat_ws(":", F.lit("call"), conv.cast("string"), turn.cast("string"))
-    half = F.floor(F.col("turn") / 2)
-    before = half.bitwiseAND(half - 1) * 2 + F.col("turn") % 2
     arguments = F.to_json(F.struct("turn", F.col("text").alias("query"), F.when(F.col("turn") % 3 == 0, F.size(F.split("text", " "))).alias("limit"), F.when(F.col("turn") % 5 == 0, F.lit("yes")).alias("draft")))
     calls = rows.where("role = 'assistant'").select(
         "conv_id", "turn", name_of(F.col("conv_id"), F.col("turn")).alias("call_id"), F.when(F.col("turn") % 3 == 0, "search").otherwise("answer").alias("name"), arguments.alias("arguments"),
-        F.when(half > 0, F.array(name_of(F.col("conv_id"), before))).otherwise(F.array().cast("array<string>")).alias("waits_for"),
+        F.array(name_of(F.col("conv_id"), F.col("turn") - 2)).alias("waits_for"),
     )
     results = rows.where("role = 'user'").select(name_of(F.col("conv_id"), F.col("turn") - 1).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
     out = link(calls, results, spark.sql(SCHEMAS))
@@ -100,11 +119,11 @@ def op6_tool_calls(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH RECURSIVE calls AS (
   SELECT conv_id, turn, 'call:' || conv_id || ':' || turn AS call_id, CASE WHEN turn % 3 = 0 THEN 'search' ELSE 'answer' END AS name, text,
-    CASE WHEN turn // 2 > 0 THEN 'call:' || conv_id || ':' || ((turn // 2) & (turn // 2 - 1)) * 2 + turn % 2 END AS needs
+    'call:' || conv_id || ':' || (turn - 2) AS needs
   FROM conversations WHERE role = 'assistant'),
 results AS (SELECT 'call:' || conv_id || ':' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'user'),
 levels AS (
-  SELECT call_id, 0 AS level FROM calls WHERE needs IS NULL OR needs NOT IN (SELECT call_id FROM calls)
+  SELECT call_id, 0 AS level FROM calls WHERE needs NOT IN (SELECT call_id FROM calls)
   UNION ALL SELECT c.call_id, l.level + 1 FROM calls c JOIN levels l ON c.needs = l.call_id),
 linked AS (
   SELECT c.conv_id, c.turn, c.call_id, l.level, CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,

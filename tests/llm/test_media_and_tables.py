@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import sys
 import struct
 
 import numpy as np
@@ -297,3 +298,21 @@ def test_tool_calls(spark):
     assert out["b"].errors == ["type n", "unknown z"] and json.loads(out["b"].canonical)["arguments"] == {"n": "no", "s": "y", "z": [1, {"a": 1, "b": 2}]} and '"a":1,"b":2' in out["b"].canonical
     assert out["c"].errors == ["no JSON object"] and out["d"].errors == ["no schema"] and out["e"].errors == ["no JSON object"]
     assert tool_calls.link(c.where("false"), r.where("false"), s).count() == 0
+
+
+def test_levels_equal_the_longest_way(spark):
+    """Lines of hundreds of calls, calls that wait for several, cycles, and what stands behind them."""
+    r = random.Random(8)
+    waits = {f"l{i}": [f"l{i - 1}"] for i in range(300)}
+    waits |= {f"d{i}": sorted({f"d{r.randrange(i)}" for _ in range(r.randrange(4))} if i else set()) for i in range(60)}
+    waits |= {"x": ["y"], "y": ["z", "l5"], "z": ["x"], "behind": ["z"], "both": ["l299", "behind"], "self": ["self"], "top": ["l299", "d59", "gone"]}
+
+    def level(c, path=()):
+        if c in path:
+            return None
+        found = [level(x, (*path, c)) for x in waits[c] if x in waits]
+        return None if None in found else max(found, default=-1) + 1
+
+    sys.setrecursionlimit(10_000)
+    df = spark.createDataFrame([*waits.items()], "call_id string, waits_for array<string>").repartition(3)
+    assert {x.call_id: x.level for x in tool_calls.levels(df).collect()} == {c: level(c) for c in waits}
