@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import batch_of, slices, table
 
@@ -559,6 +560,29 @@ def stored(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, kept.add("n_bytes", "long").add("media", "binary"))
 
 
+IMAGE = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())])
+
+
+def decoded(media: DataFrame, media_col: str = "media", out_col: str = "images") -> DataFrame:
+    """media with the pixel arrays of each file, or of several that follow each other, in out_col (a new column).
+
+    Of an image: width, height, and argb row by row as little-endian unsigned 32-bit integers, any colours. Null
+    has none (null); an empty value has no image; a damaged one raises.
+    """
+    names = media.columns
+    if out_col.lower() in map(str.lower, names):
+        raise ValueError(f"a column that exists already: {out_col}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 16):
+            rows = [None if x is None else [decode_vp8l(i) for i in images(x)] for x in part.column(names.index(media_col)).to_pylist()]
+            made = [None if of is None else [{"width": x.shape[1], "height": x.shape[0], "argb": x.astype("<u4").tobytes()} for x in of] for of in rows]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.list_(IMAGE))], names=[*names, out_col])
+
+    image = T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("argb", T.BinaryType())
+    return media.mapInArrow(run, T.StructType([*media.schema.fields]).add(out_col, T.ArrayType(image)))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         rows: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}

@@ -191,6 +191,28 @@ def test_payload_round_trip(text):
     assert media[:4] == b"RIFF" and struct.unpack_from("<I", media, 4)[0] == len(media) - 8
 
 
+def test_pixel_arrays(spark):
+    """A column of coloured images, grey ones that follow each other, nothing and null."""
+    image = np.random.default_rng(2).integers(0, 1 << 32, 12, np.uint32)
+    out = webp.Out()
+    out.put(0x2F, 8)
+    out.put(3, 14)
+    out.put(2, 14)
+    out.put(0, 4)
+    out.put(0, 1)
+    put_image(out, image, 4, main=True)
+    data = out.bytes()
+    data += b"\0" * (len(data) % 2)
+    colour = struct.pack("<4sI4s4sI", b"RIFF", len(data) + 12, b"WEBP", b"VP8L", len(data)) + data
+    grey = bytes(webp.store(b"abc" * 192))
+    df = spark.createDataFrame([(1, bytearray(colour)), (2, bytearray(grey + grey)), (3, bytearray()), (4, None)], "id int, media binary")
+    got = {r.id: r.images for r in webp.decoded(df.repartition(2)).collect()}
+    (one,) = got[1]
+    assert (one.width, one.height) == (4, 3) and (np.frombuffer(one.argb, "<u4") == image).all()
+    assert [(x.width, x.height) for x in got[2]] == [(576, 1)] * 2 and np.frombuffer(got[2][1].argb, "<u4")[1] == 0xFF626262
+    assert got[3] == [] and got[4] is None
+
+
 def test_damaged_media_raises():
     media = bytearray(webp.store(webp.payload_of("some words of text " * 60)[0]))
     media[20] = 0
