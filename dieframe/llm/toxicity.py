@@ -73,17 +73,17 @@ def _constant(share: float, seed: int) -> Model:
     return Model(net)
 
 
-def _logits(labelled: DataFrame, net: ConvNet) -> DataFrame:
-    """lang, toxic and logit of each row."""
-    shared = by_value(labelled.sparkSession, Model(net))
+def _logits(docs: DataFrame, net: ConvNet) -> DataFrame:
+    """doc_id, lang and logit of each row."""
+    shared = by_value(docs.sparkSession, Model(net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shared.value)
         for part in sized(batches, 2, 256):
             made = own.logits(part.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64())], names=["lang", "toxic", "logit"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64())], names=["doc_id", "lang", "logit"])
 
-    return labelled.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("toxic").cast("int"), "text").mapInArrow(run, "lang string, toxic int, logit double")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, logit double")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -> Model:
@@ -91,16 +91,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -
 
     All other labelled rows are scored. They calibrate, and they choose the common threshold and that of each
     language with 20 rows of either label or more; rows of a label weigh as much as all rows of that label
-    do, so that the shares of the labels are the true ones. Of an id's texts, the smallest counts.
+    do, so that the shares of the labels are the true ones. Of a sampled id's texts, the smallest is fitted on;
+    else every row of an id counts. Texts are scanned, never shuffled: only ids, labels and logits meet in joins.
 
     Null ids, texts that are missing and labels other than 0 and 1 take no part; of labels that disagree on
     an id, the larger counts. Without both labels the model gives the share of label 1 as every score.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(known, "doc_id").groupBy("doc_id", "toxic")
-    rows = cut(rows.agg(F.min(F.struct("text", "lang")).alias("d")).select("doc_id", "toxic", F.xxhash64("doc_id").alias("order"), "d.text", "d.lang"))
+    docs = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
+    rows = cut(docs.groupBy("doc_id").agg(F.count("*").alias("many")).join(known, "doc_id").withColumn("order", F.xxhash64("doc_id")))
     free = "pmod(order, 5) > 0"
-    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    total = {r.toxic: r.many for r in rows.groupBy("toxic").agg(F.sum("many").alias("many")).collect()}
     last = {}
     for x in (0, 1):
         ids = rows.where(f"toxic = {x} AND {free}").select("order", "doc_id").orderBy("order", "doc_id").limit(most)
@@ -113,12 +114,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -
         t = t.sort_by([("order", "ascending"), ("doc_id", "ascending")])
         return pa.table({"model": pa.array([pickle.dumps(_fitted(t["text"].to_pylist(), np.array(t["toxic"].to_pylist(), np.float64), seed))], pa.binary())})
 
-    made = rows.where(own).select("doc_id", "order", "toxic", "text").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "model binary").collect()
+    sample = docs.select("doc_id", "text").join(F.broadcast(rows.where(own).drop("many")), "doc_id")  # 2 * most ids at most
+    sample = sample.groupBy("doc_id", "order", "toxic").agg(F.min("text").alias("text"))
+    made = sample.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "model binary").collect()
     parts = pickle.loads(made[0].model)
     net = ConvNet(parts.pop("vocabulary"))
     vars(net).update(parts)
 
-    scored = cut(_logits(rows.where(~own), net))
+    scored = cut(_logits(docs, net).join(rows.where(~own).select("doc_id", "toxic"), "doc_id").drop("doc_id"))
     step = F.round(F.least(F.greatest(F.col("logit"), F.lit(-FAR)), F.lit(FAR)) * STEPS).cast("int").alias("step")
     bins = scored.groupBy("toxic", step).count().orderBy("toxic", "step").collect()
     label, many = np.array([r.toxic for r in bins], np.float64), np.array([r["count"] for r in bins], np.float64)
