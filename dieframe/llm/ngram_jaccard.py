@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import U, batch_of, cut, joined, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
 from .components import components
 
-ROOM = 2_000_000  #: shingles that meet in one task
+ROOM = 1_000_000  #: shingles that meet in one task
 MOST_PARTS = 4096
-COUNTERS = 1 << 20
+COUNTERS = 1 << 17  #: of a task's frequent shingles
+MOST_HOT = 1 << 20
 PACKED = "bucket int, owner binary, n binary, key binary, df binary, size binary"
 
 
@@ -292,7 +293,7 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int,
     parts = shuffle_parts(spark)
     buckets = max(2 * parts, -(-total // room))
     parts = max(parts, min(buckets, MOST_PARTS))
-    least = max(room // 4, total // COUNTERS)  # so the frequent ones are a million at most
+    least = max(room // 4, total // MOST_HOT)  # so the frequent ones are a million at most
     often = classes.where("n < 0").groupBy(F.col("tie").alias("shingle")).agg(F.sum("n").alias("n")).where(F.col("n") <= -least)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in often.collect()], np.int64).view(U)))
     sets = cut(
