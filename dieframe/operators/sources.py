@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -23,6 +23,21 @@ def wafer_rows(m: DataFrame) -> DataFrame:
     return m.where(F.upper(F.trim("subitem")) == "Q2")
 
 
+def wanted_pairs(spark: SparkSession, text: str) -> DataFrame:
+    """step, item of each line of pasted text: the first two cells that aren't blank, between tabs, commas or semicolons.
+
+    A line that begins with step_id or step is a heading; one with fewer cells is left out.
+    """
+    lines = spark.createDataFrame([(text,)], "t string").select(F.explode(F.split("t", r"\r?\n")).alias("line"))
+    cells = lines.select(F.filter(F.transform(F.split("line", r"[\t,;]"), lambda c: F.trim(c)), lambda c: c != "").alias("c")).where("size(c) >= 2")
+    return cells.select(F.get("c", F.lit(0)).alias("step"), F.get("c", F.lit(1)).alias("item")).where("lower(step) NOT IN ('step_id', 'step')").distinct()
+
+
+def of_pairs(m: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of the step and item pairs."""
+    return m.join(pairs, ["step", "item"], "left_semi")
+
+
 def met_name(step: str = "step", item: str = "item") -> Column:
     return F.concat_ws("::", step, item)
 

@@ -763,8 +763,8 @@ def split_text(spark, sf):
 
 @query("met_pairs", "SELECT step, item, count(*) AS n FROM metrology WHERE (step = 'A' AND item = 'PROMO') OR (step = 'N' AND item = 'SMALL') GROUP BY step, item", "metrology")
 def met_pairs(spark, sf):
-    pairs = _values(spark, "('A', 'PROMO'), ('N', 'SMALL')", "step, item")
-    return B.metrology(spark, sf).join(F.broadcast(pairs), ["step", "item"], "left_semi").groupBy("step", "item").agg(F.count("*").alias("n"))
+    pairs = O.wanted_pairs(spark, "step_id\titem_id\r\nA\tPROMO\tx\n; N ;SMALL\nalone\n\n")
+    return O.of_pairs(B.metrology(spark, sf), pairs).groupBy("step", "item").agg(F.count("*").alias("n"))
 
 
 # Incremental loads.
@@ -785,12 +785,12 @@ def inc_recent_days(spark, sf):
 def inc_stream(spark, sf):
     folder = T.scratch(spark, "in")
     long = T.as_long(B.long(spark, sf))
-    T.write_chunk(long.where("tkout_time < TIMESTAMP_NTZ'1996-01-01'"), folder)
+    T.write_chunk(long.where("cast(root_lot_id AS int) % 2 = 0"), folder)
     back = {v: k for k, v in {"line": "line_id", "lot": "root_lot_id", "wafer": "wafer_id", "x": "chip_x_pos", "y": "chip_y_pos", "temp": "temperature", "step": "step_id", "seq": "step_seq", "site": "total_site_cnt", "ts": "tkout_time", "item": "item_id", "value": "et_value"}.items()}
     shape = lambda df: df.withColumnsRenamed(back).drop("part_id").withColumn("temp", C.temp_round5("temp"))
     into = L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8)
     L.stream_into(folder, SC.LONG, into, shape, files=100)
-    long.where("tkout_time >= TIMESTAMP_NTZ'1996-01-01'").write.mode("append").parquet(folder)
+    long.where("cast(root_lot_id AS int) % 2 = 1").write.mode("append").parquet(folder)  # a later delivery
     L.stream_into(folder, SC.LONG, into, shape, files=100)  # goes on where the first one stopped
     return into.table().select(*SC.KEY7, "ts", "item", "value")
 

@@ -274,3 +274,9 @@ def test_working_set_is_used_again(spark, tmp_path):
 def test_no_sort_aggregate_for_retests(spark):
     plan = M.merge_retest(long(spark, row("a", 1.0, "1", T0)))._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and plan.count("Exchange") == 1
+
+
+def test_pasted_pairs(spark):
+    text = "STEP_ID\titem_id\r\nA\tCD 1\tmore\n ; B ;THK;\nalone\n\nA,CD 1"
+    assert sorted(map(tuple, O.wanted_pairs(spark, text).collect())) == [("A", "CD 1"), ("B", "THK")]
+    assert O.wanted_pairs(spark, "").count() == 0
