@@ -25,7 +25,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batch_of, cut, joined, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
+from .common import U, cut, joined, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
 from .components import components
 
 ROOM = 1_000_000  #: shingles that meet in one task

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, batch_of, mix, pack, packed_batch, rolling, runs, shuffle_parts, sized, table, unpack, word_hashes, words_of
+from .common import U, batch_of, mix, pack, packed_batch, rolling, runs, shuffle_parts, sized, table, unpack, word_hashes
 
 SEED = 0xD6E8FEB86659FD93
 SIZE = 16 << 20  #: bytes of text in a group, about
