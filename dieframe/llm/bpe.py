@@ -87,7 +87,7 @@ class Recent(dict):
 class Vocabulary:
     """Of a tokenizer file: word-end byte-level BPE behind NFC, blank folding and lower case."""
 
-    def __init__(self, text: str, cached: int = 400_000):
+    def __init__(self, text: str, cached: int = 250_000):
         file = json.loads(text)
         model, pre = file["model"], file["pre_tokenizer"]["pretokenizers"]
         kinds = [x["type"] for x in file["normalizer"]["normalizers"]]
@@ -111,6 +111,12 @@ class Vocabulary:
         self.pieces = Recent(self._piece, cached)
         self.fragments = Recent(self._fragment, cached)
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        for kept in (self.words, self.pieces, self.fragments):
+            kept.clear()
+            kept.old = {}
+
     def _fragment(self, fragment: str) -> list[int]:
         """Merges by rank, leftmost first. A fragment that ends its piece ends with a blank."""
         s = [*map(self.ids.__getitem__, fragment.rstrip(" "))]
@@ -209,6 +215,7 @@ def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataT
             rows = [use(vocabulary, x) for x in part.column(names.index(source)).to_pylist()]
             new = [pa.array([r[i] for r in rows], kind) for i, (kind, _) in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *made])
+        vocabulary.forget()  # a worker process goes on to other work
 
     fields = reduce(lambda s, f: s.add(f), docs.schema.fields, type(docs.schema)())
     return docs.mapInArrow(run, reduce(lambda s, c: s.add(c, made[c][1]), made, fields))

@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [x[:3] for x in base_values(text)]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(regions: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         return np.cumprod(np.full(regions * REGION, BASE)), np.cumprod(np.full(regions * REGION, UNBASE))
