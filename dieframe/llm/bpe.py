@@ -15,12 +15,12 @@ import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import slices, table
 
@@ -54,7 +54,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-@cache
 def character_class(kind: str) -> str:
     """The inside of a bracketed class of all characters of a general category (L or N), Unicode 16 included."""
     new = NEW_LETTERS if kind == "L" else NEW_DIGITS
@@ -194,10 +193,18 @@ class Vocabulary:
         return " ".join(self.tokens[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
-@cache
-def _vocabulary(text: str) -> Vocabulary:
-    """One a worker process, which serves many tasks."""
-    return Vocabulary(text)
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+    """The tokenizer file (one, of fixed size) for `vocabulary` in tasks."""
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast({"file": f.read()})
+
+
+def vocabulary(shared: Broadcast) -> Vocabulary:
+    """Built once a worker process, which serves many tasks: it is kept beside the broadcast file, of which a process has one copy."""
+    kept = shared.value
+    if "made" not in kept:
+        kept["made"] = Vocabulary(kept["file"])
+    return kept["made"]
 
 
 def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataType, str]], use: Callable) -> DataFrame:
@@ -205,17 +212,16 @@ def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataT
     clash = set(map(str.lower, made)) & set(map(str.lower, docs.columns))
     if clash:
         raise ValueError(f"columns that exist already: {sorted(clash)}")
-    with open(path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = shared_vocabulary(docs.sparkSession, path)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(shared.value)
+        words = vocabulary(shared)
         for part in slices(batches):
-            rows = [use(vocabulary, x) for x in part.column(names.index(source)).to_pylist()]
+            rows = [use(words, x) for x in part.column(names.index(source)).to_pylist()]
             new = [pa.array([r[i] for r in rows], kind) for i, (kind, _) in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *made])
-        vocabulary.forget()  # a worker process goes on to other work
+        words.forget()  # a worker process goes on to other work
 
     fields = reduce(lambda s, f: s.add(f), docs.schema.fields, type(docs.schema)())
     return docs.mapInArrow(run, reduce(lambda s, c: s.add(c, made[c][1]), made, fields))

@@ -21,7 +21,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,10 +72,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return [x[:3] for x in base_values(text)]
 
 
-@lru_cache(1)
-def _powers(regions: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(regions * REGION, BASE)), np.cumprod(np.full(regions * REGION, UNBASE))
+        return np.cumprod(np.full(n, BASE)), np.cumprod(np.full(n, UNBASE))
 
 
 class Laid:
@@ -102,7 +100,7 @@ class Laid:
     def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """64 bits of what the network sees of each window: equal ones where that is equal."""
         with np.errstate(over="ignore"):
-            up, down = (x[: len(self.code) + 1] for x in _powers(-(-(len(self.code) + 1) // REGION)))
+            up, down = _powers(len(self.code) + 1)
             summed = np.append(U(0), np.cumsum((self.code + U(1)) * up[:-1]))
             ends = np.append(self.start, len(self.code))
             own = np.searchsorted(self.start, a, "right")
