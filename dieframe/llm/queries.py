@@ -10,6 +10,8 @@ from .bpe import op1_bpe
 from .maxscore import OP9_SQL, op9_maxscore
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_jaccard import op10_ngram_jaccard
+from .packing import op13_packing
+from .periodic_runs import op12_periodic_runs
 from .secrets import op3_secrets
 from .substring_dedup import op2_substring_dedup
 from .tool_calls import OP6_SQL, op6_tool_calls
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_maxscore": op9_maxscore,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
