@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ball_tree import OP11_SQL, op11_ball_tree
 from .bpe import op1_bpe
 from .maxscore import OP9_SQL, op9_maxscore
 from .mixing import OP5_SQL, op5_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_maxscore": op9_maxscore,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_ball_tree": op11_ball_tree,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_packing": op13_packing,
 }
@@ -38,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_mixing": OP5_SQL,
     "op6_tool_calls": OP6_SQL,
     "op9_maxscore": OP9_SQL,
+    "op11_ball_tree": OP11_SQL,
 }
