@@ -12,17 +12,19 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import sized, table
 
 #: White space that str.split() cuts at but that is an ordinary character to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -43,7 +45,11 @@ NEW_LOWER = (
 )
 LOWER = {0x3A3: 0x3C3} | {first + i: low + i for first, last, low in NEW_LOWER for i in range(last - first + 1)}  # capital sigma: never final
 END = "</w>"
-NEVER = 1 << 60
+NEVER = 1 << 60  # ranks of no merge
+NO_RANK = (1 << 31) - 1  # the same in arrays
+BITS = 32  # of an id in a pair
+SLICE = 4 << 20  # bytes of text whose new words are taken together
+TOGETHER = 1 << 13  # fragments merged in one go
 LONG = 48  #: letters of a fragment or piece beyond which it is not kept, and merged through a heap
 
 
@@ -64,6 +70,10 @@ def character_class(kind: str) -> str:
     return "".join(f"\\U{a:08x}" if b - a == 1 else f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.tolist())
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Recent(dict):
     """A cache of two generations: when it is full, the older one goes; what was used since then stays."""
 
@@ -76,17 +86,26 @@ class Recent(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= LONG:
-            if 2 * len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            self.put(key, value)
         return value
 
+    def put(self, key, value) -> None:
+        if 2 * len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+    def fill(self, rows: dict) -> None:
+        if 2 * (len(self) + len(rows)) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(rows)
+
 
 class Vocabulary:
     """Of a tokenizer file: word-end byte-level BPE behind NFC, blank folding and lower case."""
 
-    def __init__(self, text: str, cached: int = 250_000):
+    def __init__(self, text: str, cached: int = 400_000):
         file = json.loads(text)
         model, pre = file["model"], file["pre_tokenizer"]["pretokenizers"]
         kinds = [x["type"] for x in file["normalizer"]["normalizers"]]
@@ -103,12 +122,34 @@ class Vocabulary:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.letters = byte_letters()
         pairs = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
-        self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [*pairs]
+        self.merges = {self.ids[a] << BITS | self.ids[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]  # by rank
         bare = [t.removesuffix(END) for t in self.ids]
         self.inside = {pair for t in bare for pair in zip(t, t[1:])}
+        self._tables()
         self.words = Recent(self._word, cached)
         self.pieces = Recent(self._piece, cached)
-        self.fragments = Recent(self._fragment, cached)
+        self.fragments = Recent(self._fragment, cached // 4)
+
+    def _tables(self) -> None:
+        """The same by bytes, for many pieces at once. A byte that ends its piece counts 256 more."""
+        byte = {x: b for b, x in enumerate(self.letters)}
+        self.near = np.zeros((256, 256), bool)
+        for a, b in self.inside:
+            if a in byte and b in byte:
+                self.near[byte[a], byte[b]] = True
+        self.of_byte = np.array([self.ids[x] for x in self.letters] + [self.ids[x + END] for x in self.letters], np.int64)
+        self.keys = np.array(sorted(self.merges), np.int64)
+        self.ranks = np.array([self.merges[k] for k in self.keys.tolist()], np.int32)
+        self.made_ids = np.array(self.made, np.int64)
+        self.byte_ranks = self._lookup(self.of_byte[:256, None], self.of_byte[None, :])
+
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; NO_RANK where they don't merge, or one is -1."""
+        key = a << BITS | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NO_RANK)
 
     def forget(self) -> None:
         """Empties the caches."""
@@ -118,69 +159,158 @@ class Vocabulary:
 
     def _fragment(self, fragment: str) -> list[int]:
         """Merges by rank, leftmost first. A fragment that ends its piece ends with a blank."""
-        s = [*map(self.ids.__getitem__, fragment.rstrip(" "))]
+        ids = self.ids
         if fragment[-1] == " ":
-            s[-1] = self.ids[fragment[-2] + END]
+            s = [ids[x] for x in fragment[:-2]]
+            s.append(ids[fragment[-2] + END])
+        else:
+            s = [ids[x] for x in fragment]
         if len(s) > LONG:
             return self._long(s)
-        none = (NEVER, 0)
-        get = self.merges.get
-        pairs = [get(p, none) for p in zip(s, s[1:])]
+        get, made = self.merges.get, self.made
+        pairs = [get(a << BITS | b, NEVER) for a, b in zip(s, s[1:])]
         while pairs:
             best = min(pairs)
-            if best is none:
+            if best == NEVER:
                 break
             k = pairs.index(best)
-            s[k : k + 2] = [best[1]]
-            del pairs[k]
+            s[k] = new = made[best]
+            del s[k + 1], pairs[k]
             if k:
-                pairs[k - 1] = get((s[k - 1], s[k]), none)
+                pairs[k - 1] = get(s[k - 1] << BITS | new, NEVER)
             if k < len(pairs):
-                pairs[k] = get((s[k], s[k + 1]), none)
+                pairs[k] = get(new << BITS | s[k + 1], NEVER)
         return s
 
     def _long(self, s: list[int]) -> list[int]:
         """The same merges in n log n steps: a heap of places, and links to the neighbours that are left."""
         get = self.merges.get
         after, before = [*range(1, len(s)), -1], [*range(-1, len(s) - 1)]
-        heap = [(m[0], k, p, m[1]) for k, p in enumerate(zip(s, s[1:])) if (m := get(p))]
+        heap = [(m, k, a, b) for k, (a, b) in enumerate(zip(s, s[1:])) if (m := get(a << BITS | b, NEVER)) < NEVER]
         heapq.heapify(heap)
         while heap:
-            _, k, pair, made = heapq.heappop(heap)
+            best, k, *pair = heapq.heappop(heap)
             n = after[k]
-            if s[k] < 0 or n < 0 or (s[k], s[n]) != pair:
+            if s[k] < 0 or n < 0 or [s[k], s[n]] != pair:
                 continue
-            s[k], s[n] = made, -1
+            s[k], s[n] = self.made[best], -1
             after[k] = after[n]
             if after[n] >= 0:
                 before[after[n]] = k
             for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0 and (m := get((s[a], s[b]))):
-                    heapq.heappush(heap, (m[0], a, (s[a], s[b]), m[1]))
+                if a >= 0 and b >= 0 and (m := get(s[a] << BITS | s[b], NEVER)) < NEVER:
+                    heapq.heappush(heap, (m, a, s[a], s[b]))
         return [x for x in s if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
         w = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
         if self.inside.issuperset(zip(w, w[1:])):
-            return np.array(self._fragment(w + " "), "<u4").tobytes()
+            return packed(self._fragment(w + " "))
         out, at = [], 0
         for k, pair in enumerate(zip(w, w[1:]), 1):
             if pair not in self.inside:
                 out += self.fragments[w[at:k]]
                 at = k
-        return np.array(out + self.fragments[w[at:] + " "], "<u4").tobytes()
+        return packed(out + self.fragments[w[at:] + " "])
 
-    def _word(self, raw: str) -> bytes:
-        """ids of a run without white space."""
+    def _found(self, raw: str) -> list[str]:
+        """The pieces of a run without white space."""
         if raw.isascii():
-            found = self.plain.findall(raw.lower())
-        else:
-            found = self.pattern.findall(unicodedata.normalize("NFC", raw).translate(LOWER).lower())
-        return self.pieces[found[0]] if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+            return [raw.lower()] if raw.isalpha() else self.plain.findall(raw.lower())
+        return self.pattern.findall(unicodedata.normalize("NFC", raw).translate(LOWER).lower())
+
+    def _word(self, raw: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self._found(raw)))
+
+    def _runs(self, text: str) -> list[str]:
+        return SPACES.split(text) if SEPARATORS.search(text) else text.split()
 
     def _plain(self, text: str) -> bytes:
-        runs = SPACES.split(text) if SEPARATORS.search(text) else text.split()
-        return b"".join(map(self.words.__getitem__, runs))
+        return b"".join(map(self.words.__getitem__, self._runs(text)))
+
+    def _merged(self, byte: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each fragment has (edge: where they begin and end), and the ids. Merges go on in all fragments at once.
+
+        Each step takes the best merge of every fragment, the leftmost of equal ones. Places are linked to those left.
+        """
+        size = np.diff(edge)
+        many, ids = np.zeros(len(size), np.int64), np.empty(len(byte), np.int64)
+        rest = np.argsort(size, kind="stable")
+        for at in range(0, len(rest), TOGETHER):
+            own = rest[at : at + TOGETHER]
+            n = size[own]
+            width = int(n.max())
+            if width > LONG:
+                for f in own[n > LONG].tolist():
+                    one = self._long(self.of_byte[byte[edge[f] : edge[f + 1]]].tolist())
+                    many[f] = len(one)
+                    ids[edge[f] : edge[f] + len(one)] = one
+                own = own[n <= LONG]
+                if not len(own):
+                    continue
+                n = size[own]
+                width = int(n.max())
+            place = np.arange(width + 1)
+            there = place < n[:, None]  # the last column is no place
+            b = byte[np.where(there, edge[own][:, None] + place, 0)]
+            s = np.where(there, self.of_byte[b], -1)
+            rank = np.full(s.shape, NO_RANK, np.int32)
+            rank[:, :-1] = np.where(there[:, 1:], self.byte_ranks[b[:, :-1] & 255, b[:, 1:]], NO_RANK)
+            after = np.where(place + 1 < n[:, None], place + 1, width)
+            before = np.broadcast_to(np.where(place > 0, place - 1, width), s.shape).copy()
+            row = np.arange(len(own))
+            while len(row):
+                k = rank[row].argmin(1)
+                best = rank[row, k]
+                on = best < NO_RANK
+                row, k, new = row[on], k[on], self.made_ids[best[on]]
+                gone, low = after[row, k], before[row, k]
+                high = after[row, gone]
+                s[row, k], s[row, gone], rank[row, gone] = new, -1, NO_RANK
+                after[row, k], before[row, high] = high, k
+                rank[row, k] = self._lookup(new, s[row, high])
+                rank[row, low] = self._lookup(s[row, low], new)
+            left = s >= 0
+            many[own] = left.sum(1)
+            first = np.repeat(edge[own] - np.cumsum(many[own]) + many[own], many[own])
+            ids[first + np.arange(len(first))] = s[left]
+        first = np.repeat(edge[:-1] - np.cumsum(many) + many, many)
+        return many, ids[first + np.arange(len(first))]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        text = [x.encode("utf-8", "surrogatepass") for x in pieces]
+        size = np.array([*map(len, text)], np.int64)
+        end = np.cumsum(size)
+        byte = np.frombuffer(b"".join(text), np.uint8).astype(np.int64)
+        cut = np.append(True, ~self.near[byte[:-1], byte[1:]])
+        cut[end[:-1]] = True
+        byte[end - 1] += 256
+        edge = np.append(np.flatnonzero(cut), len(byte))
+        many, ids = self._merged(byte, edge)
+        upto = np.append(0, np.cumsum(many))[np.searchsorted(edge, np.append(0, end))] * 4
+        packed_ids = ids.astype("<u4").tobytes()
+        return [packed_ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts those of the words into the cache that it lacks, all their new pieces encoded together."""
+        new = [w for w in words.difference(self.words, self.words.old) if len(w) <= LONG]
+        simple = [w for w in new if w.isalpha() and w.isascii()]  # one piece each
+        rest = [*set(new).difference(simple)]
+        low, found = [*map(str.lower, simple)], [*map(self._found, rest)]
+        pieces = [*set(low).union(*found).difference(self.pieces, self.pieces.old)]
+        if pieces:
+            self.pieces.fill(dict(zip(pieces, self._encode_pieces(pieces))))
+        piece = self.pieces.__getitem__
+        self.words.fill(dict(zip(simple, map(piece, low))))
+        self.words.fill({w: b"".join(map(piece, of)) for w, of in zip(rest, found)})
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The same as `encode` of each, words that are new to the cache taken together."""
+        plain = [not t or self.specials is None or not any(s in t for s in self.special) for t in texts]
+        runs = [self._runs(t) if t and p else [] for t, p in zip(texts, plain)]
+        self._learn(set().union(*runs))
+        word = self.words.__getitem__
+        return [b"".join(map(word, r)) if p else self.encode(t) for t, p, r in zip(texts, plain, runs)]
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -208,7 +338,7 @@ def vocabulary(shared: Broadcast) -> Vocabulary:
 
 
 def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataType, str]], use: Callable) -> DataFrame:
-    """docs with more columns: what `use` makes of a vocabulary and a value of `source`. The vocabulary (one file) is broadcast."""
+    """docs with more columns: the rows that `use` makes of a vocabulary and values of `source`. The vocabulary (one file) is broadcast."""
     clash = set(map(str.lower, made)) & set(map(str.lower, docs.columns))
     if clash:
         raise ValueError(f"columns that exist already: {sorted(clash)}")
@@ -217,8 +347,8 @@ def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(shared)
-        for part in slices(batches):
-            rows = [use(words, x) for x in part.column(names.index(source)).to_pylist()]
+        for part in sized(batches, names.index(source), 2048, SLICE):
+            rows = use(words, part.column(names.index(source)).to_pylist())
             new = [pa.array([r[i] for r in rows], kind) for i, (kind, _) in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *made])
         words.forget()  # a worker process goes on to other work
@@ -233,12 +363,12 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     Special tokens that stand in a text become their ids; none are added. Any other columns are kept; a frame
     that has out_col already is an error.
     """
-    return _add(docs, path, text_col, {out_col: (pa.binary(), "binary")}, lambda v, x: (v.encode(x),))
+    return _add(docs, path, text_col, {out_col: (pa.binary(), "binary")}, lambda v, xs: [(x,) for x in v.encode_all(xs)])
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col: the tokens joined by a blank, special ones included (the file names no decoder). No ids: ''."""
-    return _add(docs, path, ids_col, {out_col: (pa.string(), "string")}, lambda v, x: (v.decode(x),))
+    return _add(docs, path, ids_col, {out_col: (pa.string(), "string")}, lambda v, xs: [(v.decode(x),) for x in xs])
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -247,9 +377,8 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     Nulls, special tokens and other columns are treated as `encode` and `decode` do; ids and texts stay in the task.
     """
 
-    def both(v: Vocabulary, text: str | None) -> tuple:
-        ids = v.encode(text)
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(v.decode(ids).encode("utf-8")).hexdigest()
+    def both(v: Vocabulary, texts: list[str | None]) -> list[tuple]:
+        return [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(v.decode(x).encode("utf-8")).hexdigest()) for x in v.encode_all(texts)]
 
     return _add(docs, path, text_col, {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}, both)
 

@@ -125,7 +125,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
             made = (task[row], size[row], low, high, first[at] - rank[at] + before[row], offset[at])
             yield batch_of(dict(zip(SLOT, made)), **dict.fromkeys(SLOT, pa.int64()))
 
-    planned = shares.select("task", "length", "n", "before").mapInArrow(slots, ", ".join(f"{c} long" for c in SLOT))
+    planned = shares.select("task", "length", "n", "before").mapInArrow(slots, ", ".join(f"{c} long" for c in SLOT)).hint("merge")  # it grows with the tasks
     here = (F.col("pack_task") == F.col("slot_task")) & (F.col(f"`{length_col}`") == F.col("slot_length"))
     placed = numbered.join(planned, here & (F.col("pack_ordinal") >= F.col("slot_low")) & (F.col("pack_ordinal") < F.col("slot_high")))
     return placed.select(*(f"`{c}`" for c in names), (F.col("pack_ordinal") + F.col("slot_shift")).alias("sequence_id"), F.col("slot_offset").alias("offset"))
@@ -143,10 +143,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.vocabulary(shared)
-        for part in sized(batches, 1):
+        for part in sized(batches, 1, 2048, bpe.SLICE):
             rows: dict[str, list] = {c: [] for c in kinds}
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = words.encode(text) + last
+            for doc, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1).to_pylist())):
+                ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     one = ids[at : at + 4 * capacity]
                     for c, v in zip(kinds, (doc, k, at // 4, len(one) // 4, zlib.crc32(one), one if with_ids else None)):

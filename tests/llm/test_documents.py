@@ -140,6 +140,13 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY, OWN = Tokenizer.from_file(PATH), bpe.Vocabulary(open(PATH, encoding="utf-8").read(), cached=50)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join) | st.text(max_size=30), max_size=8))
+def test_texts_together_equal_texts_alone(texts):
+    OWN.forget()
+    assert [np.frombuffer(x, "<u4").tolist() for x in OWN.encode_all(texts)] == [LIBRARY.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(ALPHABET), max_size=30).map("".join) | st.text(max_size=30))
 def test_bpe_equals_the_library(text):
@@ -152,8 +159,11 @@ def test_bpe_of_every_character():
     """Each between a sign and letters, so that its class and its lower case show."""
     points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = [" ".join(f"a:{chr(c)}b" for c in points[at : at + 128]) for at in range(0, len(points), 128)]
-    wrong = [x for x, e in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)) if np.frombuffer(OWN.encode(x), "<u4").tolist() != e.ids]
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    wrong = [x for x, e in zip(texts, want) if np.frombuffer(OWN.encode(x), "<u4").tolist() != e]
     assert not wrong
+    OWN.forget()
+    assert [np.frombuffer(x, "<u4").tolist() for x in OWN.encode_all(texts)] == want
 
 
 @pytest.mark.parametrize("letters", ["ab", "aaaab", "the", "éa漢"])
@@ -161,6 +171,8 @@ def test_bpe_of_long_words(letters):
     """Words far beyond the length up to which pieces are kept, merged through a heap."""
     r = np.random.default_rng(3)
     text = "".join(r.choice([*letters], 4000))
+    parts = [text[a : a + n] for n in (30, 47, 48, 49, 100) for a in range(0, 4000, n)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in OWN.encode_all(parts)] == [e.ids for e in LIBRARY.encode_batch(parts, add_special_tokens=False)]
     assert np.frombuffer(OWN.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
