@@ -44,6 +44,7 @@ NEW_LOWER = (
     (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
 LOWER = {0x3A3: 0x3C3} | {first + i: low + i for first, last, low in NEW_LOWER for i in range(last - first + 1)}  # capital sigma: never final
+UNUSUAL = re.compile("[" + "".join(map(chr, LOWER)) + "]")
 END = "</w>"
 NEVER = 1 << 60  # ranks of no merge
 NO_RANK = (1 << 31) - 1  # the same in arrays
@@ -63,7 +64,8 @@ def byte_letters() -> list[str]:
 def character_class(kind: str) -> str:
     """The inside of a bracketed class of all characters of a general category (L or N), Unicode 16 included."""
     new = NEW_LETTERS if kind == "L" else NEW_DIGITS
-    of_kind = np.array([unicodedata.category(chr(c))[0] == kind for c in range(sys.maxunicode + 1)])
+    categories = "".join(map(unicodedata.category, map(chr, range(sys.maxunicode + 1))))  # two letters each
+    of_kind = np.frombuffer(categories.encode(), np.uint8)[::2] == ord(kind)
     for first, last in new:
         of_kind[first : last + 1] = True
     edge = np.flatnonzero(np.diff(of_kind.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
@@ -105,7 +107,7 @@ class Recent(dict):
 class Vocabulary:
     """Of a tokenizer file: word-end byte-level BPE behind NFC, blank folding and lower case."""
 
-    def __init__(self, text: str, cached: int = 400_000):
+    def __init__(self, text: str, cached: int = 600_000):
         file = json.loads(text)
         model, pre = file["model"], file["pre_tokenizer"]["pretokenizers"]
         kinds = [x["type"] for x in file["normalizer"]["normalizers"]]
@@ -129,8 +131,8 @@ class Vocabulary:
         self.inside = {pair for t in bare for pair in zip(t, t[1:])}
         self._tables()
         self.words = Recent(self._word, cached)
-        self.pieces = Recent(self._piece, cached)
-        self.fragments = Recent(self._fragment, cached // 4)
+        self.pieces = Recent(self._piece, cached // 4)
+        self.fragments = Recent(self._fragment, cached // 8)
 
     def _tables(self) -> None:
         """The same by bytes, for many pieces at once. A byte that ends its piece counts 256 more."""
@@ -217,7 +219,8 @@ class Vocabulary:
         """The pieces of a run without white space."""
         if raw.isascii():
             return [raw.lower()] if raw.isalpha() else self.plain.findall(raw.lower())
-        return self.pattern.findall(unicodedata.normalize("NFC", raw).translate(LOWER).lower())
+        text = unicodedata.normalize("NFC", raw)
+        return self.pattern.findall((text.translate(LOWER) if UNUSUAL.search(text) else text).lower())
 
     def _word(self, raw: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self._found(raw)))
@@ -298,11 +301,12 @@ class Vocabulary:
         rest = [*set(new).difference(simple)]
         low, found = [*map(str.lower, simple)], [*map(self._found, rest)]
         pieces = [*set(low).union(*found).difference(self.pieces, self.pieces.old)]
-        if pieces:
-            self.pieces.fill(dict(zip(pieces, self._encode_pieces(pieces))))
-        piece = self.pieces.__getitem__
-        self.words.fill(dict(zip(simple, map(piece, low))))
-        self.words.fill({w: b"".join(map(piece, of)) for w, of in zip(rest, found)})
+        made = dict(zip(pieces, self._encode_pieces(pieces))) if pieces else {}
+        piece = lambda x: made.get(x) or self.pieces[x]
+        rows = dict(zip(simple, map(piece, low)))
+        rows.update((w, b"".join(map(piece, of)) if len(of) > 1 else piece(of[0]) if of else b"") for w, of in zip(rest, found))
+        self.words.fill(rows)
+        self.pieces.fill(made)
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The same as `encode` of each, words that are new to the cache taken together."""
