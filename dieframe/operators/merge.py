@@ -5,7 +5,7 @@ The long merged table is the canonical store; wide views are pivots of named ite
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import key_hash
@@ -52,33 +52,76 @@ def pivot_wide(merged: DataFrame, items: list[str], keys: list[str] = KEY7) -> D
     return merged.groupBy(*keys).pivot("item", items).agg(F.max("value"))
 
 
-def store(long: DataFrame, keys: list[str] = KEY7, mean: Column | None = None) -> DataFrame:
-    """The long merged store of a batch: key, point, its last time, item, value."""
-    merged = merge_seq(merge_retest(long, keys), keys, mean).withColumn("key", key_hash(*keys)).drop("n")
-    return merged.join(merge_keys(long, keys).select("key", "ts"), "key")
+def store(long: DataFrame, keys: list[str] = KEY7, mean: Column | None = None, counted: bool = False) -> DataFrame:
+    """The long merged store of a batch: key, point, its last time, item, value.
+
+    One scan and one shuffle, by the point's hash; retests, sequences and the point's last time (of all its rows, also
+    those without a value) follow from that. counted: also n (sequences averaged; 0: no value) and rows (how many
+    rows went in), and cells without a value stay, so that what is counted over all rows is all that was read.
+    """
+    point = ["key", *keys]
+    rows = long.select(key_hash(*keys).alias("key"), *keys, "seq", "item", "ts", "value").repartition("key")
+    each = rows.groupBy(*point, "seq", "item", "ts").agg(F.max("value").alias("value"), F.count("*").alias("rows"))
+    time = F.when(F.col("value").isNotNull(), F.coalesce("ts", F.expr(NEVER).cast(dict(long.dtypes)["ts"])))
+    last = each.groupBy(*point, "seq", "item").agg(F.max_by("value", time).alias("value"), F.max("ts").alias("ts"), F.sum("rows").alias("rows"))
+    cells = last.groupBy(*point, "item").agg((F.avg("value") if mean is None else mean).alias("value"), F.count("value").alias("n"), F.max("ts").alias("ts"), F.sum("rows").alias("rows"))
+    out = cells.withColumn("ts", F.max("ts").over(Window.partitionBy("key")))
+    return out.select(*point, "item", "value", "ts", "n", "rows") if counted else out.where("n > 0").select(*point, "item", "value", "ts")
+
+
+CHANGES = ("new", "first", "filled", "replaced", "changed")
+
+
+def changes(stored: DataFrame, batch: DataFrame, keys: list[str] = KEY7) -> DataFrame:
+    """The store after a batch (see `upsert`) with flags of each cell: new (its point wasn't stored), filled (an empty cell of a stored
+    point), replaced (by another, later value); and of one cell a point of the batch: first, changed (any filled or replaced).
+
+    Rows are dealt by key once; a point's cells are then put together in the same partition.
+    """
+    side = lambda df, new: df.select("key", *keys, "item", "ts", "value", F.lit(new).alias("new"))
+    rows = side(stored, False).unionByName(side(batch, True)).repartition("key")
+    of = lambda c, new: F.max(F.when(F.col("new") == new, F.col(c)))
+    cells = rows.groupBy("key", *keys, "item").agg(
+        of("value", False).alias("a"), of("value", True).alias("b"), of("ts", False).alias("ta"), of("ts", True).alias("tb"),
+        F.bool_or(~F.col("new")).alias("old"), F.bool_or("new").alias("met"),
+    )
+    point = Window.partitionBy("key")
+    cells = cells.withColumns({c: F.max(c).over(point) for c in ("ta", "tb", "old", "met")})
+    newer = F.coalesce(F.col("tb") > F.col("ta"), F.col("ta").isNull())
+    filled = F.col("old") & F.col("a").isNull() & F.col("b").isNotNull()
+    replaced = F.coalesce(F.col("old") & newer & (F.col("a") != F.col("b")), F.lit(False))
+    cells = cells.withColumns({
+        "value": F.when(newer, F.coalesce("b", "a")).otherwise(F.coalesce("a", "b")), "ts": F.greatest("ta", "tb"), "new": ~F.col("old"), "filled": filled, "replaced": replaced,
+        "first": F.col("met") & (F.col("item") == F.min("item").over(point)),
+    })
+    return cells.withColumn("changed", F.col("first") & F.max(F.col("filled") | F.col("replaced")).over(point)).select("key", *keys, "ts", "item", "value", *CHANGES)
 
 
 def upsert(stored: DataFrame, batch: DataFrame, keys: list[str] = KEY7) -> DataFrame:
     """The store after a batch. A point met later than stored replaces values by its own that aren't null; else it only fills gaps.
 
     The times compared are the points', not the items'. Applying a batch again changes nothing. A key and item
-    stands once in each table. Rows are dealt by key once.
+    stands once in each table.
     """
-    rows = stored.select("key", "item", *keys, "ts", "value", F.lit(False).alias("new")).unionByName(batch.select("key", "item", *keys, "ts", "value", F.lit(True).alias("new"))).repartition("key")
-    of = lambda c, new: F.max(F.when(F.col("new") == new, F.col(c)))
-    times = rows.groupBy("key").agg(F.max("ts").alias("ts"), F.coalesce(of("ts", True) > of("ts", False), of("ts", False).isNull()).alias("newer"))
-    both = rows.groupBy("key", "item").agg(*(F.max(k).alias(k) for k in keys), of("value", False).alias("a"), of("value", True).alias("b")).join(times, "key")
-    value = F.when(F.col("newer"), F.coalesce("b", "a")).otherwise(F.coalesce("a", "b"))
-    return both.select("key", *keys, "ts", "item", value.alias("value"))
+    return changes(stored, batch, keys).drop(*CHANGES)
 
 
 def new_points(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return batch.select("key").distinct().join(stored.select("key"), "key", "left_anti")
 
 
-def load_counts(long: DataFrame, batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """rows_in, points_new, points_updated, cells of one load."""
-    points = batch.select("key").distinct().join(stored.select("key").distinct().withColumn("old", F.lit(1)), "key", "left")
-    a = long.agg(F.count("*").alias("rows_in"))
-    b = points.agg(F.count(F.when(F.col("old").isNull(), 1)).alias("points_new"), F.count("old").alias("points_updated"))
-    return a.crossJoin(b).crossJoin(batch.agg(F.count("*").alias("cells")))
+def observed_batch(merged: DataFrame, seen: Observation) -> DataFrame:
+    """The cells of a counted batch that have a value. Counts what passes: rows_in, rows_empty, cells, averaged."""
+    return merged.observe(
+        seen, F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_in"), F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("rows"))), F.lit(0)).alias("rows_empty"),
+        F.count_if(F.col("n") > 0).alias("cells"), F.count_if(F.col("n") > 1).alias("averaged"),
+    ).where("n > 0")
+
+
+def observed_changes(changed: DataFrame, seen: Observation) -> DataFrame:
+    """The store after a batch. Counts what passes: rows_out, points_new, points_updated, points_changed, cells_filled, cells_replaced."""
+    flag = F.col
+    return changed.observe(
+        seen, F.count("*").alias("rows_out"), F.count_if(flag("first") & flag("new")).alias("points_new"), F.count_if(flag("first") & ~flag("new")).alias("points_updated"),
+        F.count_if("changed").alias("points_changed"), F.count_if("filled").alias("cells_filled"), F.count_if("replaced").alias("cells_replaced"),
+    ).drop(*CHANGES)

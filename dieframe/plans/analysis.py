@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -14,6 +16,7 @@ from ..operators import stats as S
 from ..sources import schema as SC
 from ..sources import tables as T
 from ..streaming import load as L
+from ..streaming.days import run_days
 from . import base as B
 from .base import EXACT, query, read
 
@@ -770,15 +773,35 @@ def met_pairs(spark, sf):
 # Incremental loads.
 
 
-@query("inc_load_log", "SELECT 'lineitem.parquet' AS file, count(*) AS rows FROM lineitem")
+@query("inc_load_log", "SELECT year(ts) AS year, count(*) AS rows FROM long GROUP BY 1", "long")
 def inc_load_log(spark, sf):
-    log = L.load_log(read(spark, sf, "lineitem"))
-    return log.agg(F.lit("lineitem.parquet").alias("file"), F.sum("rows").alias("rows"))
+    """The load log of a store that took in a folder of files by year."""
+    folder = T.scratch(spark, "in")
+    T.write_chunk(B.long(spark, sf).withColumn("year", F.year("ts")), folder, "year")
+    into = L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8)
+    files = spark.read.parquet(folder)
+    into.load(files.drop("year"), "all", L.load_log(files))
+    year = F.regexp_extract("file", r"/year=(\d+)/", 1).cast("long").alias("year")
+    return into.log().groupBy(year).agg(F.sum("rows").alias("rows"))
 
 
-@query("inc_recent_days", "SELECT cast(ts AS date) AS day, count(*) AS n FROM base WHERE ts >= DATE '1997-01-01' - 9 AND ts < DATE '1997-01-02' GROUP BY 1", "base")
+RECENT = f"""WITH w AS (SELECT *, cast(ts AS date) AS day FROM rounded WHERE ts >= DATE '1996-12-28' AND ts < DATE '1997-01-02'),
+  p AS (SELECT *, min(day) OVER (PARTITION BY {B.KEYS}) AS first FROM (SELECT DISTINCT {B.KEYS}, day FROM w) d)
+SELECT day, rows_in, points_new, points_updated FROM (SELECT day, count(*) AS rows_in FROM w GROUP BY day) r
+  JOIN (SELECT day, count(*) FILTER (day = first) AS points_new, count(*) FILTER (day > first) AS points_updated FROM p GROUP BY day) q USING (day)"""
+
+
+@query("inc_recent_days", f"SELECT * FROM ({RECENT}) t", "rounded")
 def inc_recent_days(spark, sf):
-    return L.recent(B.base(spark, sf), 10, F.lit("1997-01-01").cast("date")).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    """What the job of the last five days counted for each, from a source laid out by day into a store."""
+    path = T.scratch(spark, "days")
+    T.lay_out(B.long(spark, sf), path)
+    rules = lambda df: df.withColumn("temp", C.temp_round5("temp"))
+    done = run_days(spark.read.parquet(path), L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8), "L1", 5, dt.date(1997, 1, 1), rules)
+    if done.code:
+        raise RuntimeError(done.summary())
+    rows = [(day, c["rows_in"], c["points_new"], c["points_updated"]) for day, c in done.loaded.items()]
+    return spark.createDataFrame(rows, "day date, rows_in long, points_new long, points_updated long")
 
 
 @query("inc_stream", f"SELECT {B.KEYS}, item, value, ts FROM merged JOIN (SELECT {B.KEYS}, max(ts) AS ts FROM rounded GROUP BY {B.KEYS}) k USING ({B.KEYS})", "merged")
@@ -803,4 +826,6 @@ def inc_run(spark, sf):
     into = L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8)
     rules = lambda df: df.withColumn("temp", C.temp_round5("temp"))
     L.run(B.long(spark, sf), into, "1", "L1", "1990-01-01", "1995-12-31", rules)
-    return L.run(B.long(spark, sf), into, "2", "L1", "1996-01-01", "1997-12-31", rules).select("rows_in", "points_new", "points_updated")
+    counts = L.run(B.long(spark, sf), into, "2", "L1", "1996-01-01", "1997-12-31", rules)
+    names = ("rows_in", "points_new", "points_updated")
+    return spark.createDataFrame([tuple(counts[c] for c in names)], ", ".join(f"{c} long" for c in names))

@@ -12,6 +12,7 @@ from ..operators import merge as M
 from ..operators import rules as R
 from ..sources import schema as S
 from ..sources import tables as T
+from ..streaming import load as L
 from . import base as B
 from .base import KEYS, query, read
 
@@ -34,7 +35,10 @@ def src_extract(spark, sf):
 
 @query("src_date_window", "SELECT step, count(*) AS n FROM base WHERE ts >= TIMESTAMP '1995-03-01' AND ts < TIMESTAMP '1995-04-01' GROUP BY step", "base")
 def src_date_window(spark, sf):
-    return T.date_window(B.base(spark, sf), "ts", "1995-03-01", "1995-03-31").groupBy("step").agg(F.count("*").alias("n"))
+    """Laid out by day: the window reads its own days' folders."""
+    path = T.scratch(spark, "days")
+    T.lay_out(B.base(spark, sf), path)
+    return T.date_window(spark.read.parquet(path), "ts", "1995-03-01", "1995-03-31").groupBy("step").agg(F.count("*").alias("n"))
 
 
 @query("src_item_filter", "SELECT item, count(*) AS n FROM long WHERE item IN (SELECT item FROM rules) GROUP BY item", "long", "rules")
@@ -44,7 +48,10 @@ def src_item_filter(spark, sf):
 
 @query("probe_days", "SELECT DISTINCT cast(ts AS date) AS day FROM base WHERE step = 'A'", "base")
 def probe_days(spark, sf):
-    return T.probe_days(B.base(spark, sf).where("step = 'A'"), "ts")
+    """Of an extraction laid out by day: from its folders, without opening a file."""
+    path = T.scratch(spark, "days")
+    T.lay_out(B.base(spark, sf).where("step = 'A'"), path)
+    return T.laid_days(spark, path).select("day")
 
 
 @query("probe_items", "SELECT DISTINCT event_type AS item FROM events")
@@ -418,8 +425,21 @@ def join_new_keys(spark, sf):
     return M.new_points(_half(spark, sf, True), _half(spark, sf, False)).agg(F.count("*").alias("n"))
 
 
-@query("load_counts", f"""SELECT (SELECT count(*) FROM rounded WHERE ts >= TIMESTAMP '1996-01-01') AS rows_in, count(*) FILTER (o.lot IS NULL) AS points_new, count(o.lot) AS points_updated,
-  (SELECT count(*) FROM (SELECT DISTINCT {KEYS}, item FROM rounded WHERE ts >= TIMESTAMP '1996-01-01') c) AS cells
-  FROM (SELECT DISTINCT {KEYS} FROM rounded WHERE ts >= TIMESTAMP '1996-01-01') n LEFT JOIN (SELECT DISTINCT {KEYS} FROM rounded WHERE ts < TIMESTAMP '1996-01-01') o USING ({KEYS})""".replace("o.lot", "o.old").replace("FROM rounded WHERE ts < TIMESTAMP '1996-01-01') o", ", 1 AS old FROM rounded WHERE ts < TIMESTAMP '1996-01-01') o"), "rounded")
+LATE = "rounded WHERE ts >= TIMESTAMP '1996-01-01'"
+COUNTS_SQL = f"""SELECT (SELECT count(*) FROM {LATE}) AS rows_in, (SELECT coalesce(sum(r), 0)::BIGINT FROM (SELECT count(*) AS r FROM {LATE} GROUP BY {KEYS}, item HAVING count(value) = 0) e) AS rows_empty,
+  count(*) AS cells, count(*) FILTER (n > 1) AS averaged, (SELECT count(*) FROM (SELECT DISTINCT {KEYS}, item FROM rounded WHERE value IS NOT NULL) c) AS rows_out,
+  count(DISTINCT point) FILTER (ta IS NULL) AS points_new, count(DISTINCT point) FILTER (ta IS NOT NULL) AS points_updated,
+  count(DISTINCT point) FILTER (ta IS NOT NULL AND (old IS NULL OR tb > ta AND old <> value)) AS points_changed,
+  count(*) FILTER (ta IS NOT NULL AND old IS NULL) AS cells_filled, count(*) FILTER (ta IS NOT NULL AND tb > ta AND old <> value) AS cells_replaced
+FROM (SELECT ({KEYS}) AS point, a.value AS old, b.value AS value, b.n AS n, ta, tb FROM (SELECT {KEYS}, item, {B.EXACT} AS value, count(value) AS n FROM {_halves('>=')} t WHERE rn = 1 GROUP BY {KEYS}, item) b
+  LEFT JOIN (SELECT {KEYS}, item, {B.EXACT} AS value FROM {_halves('<')} t WHERE rn = 1 GROUP BY {KEYS}, item) a USING ({KEYS}, item)
+  LEFT JOIN (SELECT {KEYS}, max(ts) AS ta FROM rounded WHERE ts < TIMESTAMP '1996-01-01' GROUP BY {KEYS}) pa USING ({KEYS}) JOIN (SELECT {KEYS}, max(ts) AS tb FROM {LATE} GROUP BY {KEYS}) pb USING ({KEYS})) m"""
+
+
+@query("load_counts", COUNTS_SQL, "rounded")
 def load_counts(spark, sf):
-    return M.load_counts(B.rounded(spark, sf).where("ts >= TIMESTAMP_NTZ'1996-01-01'"), _half(spark, sf, True), _half(spark, sf, False))
+    """What the second of two loads into a store counted."""
+    into, rows = L.Store(spark, T.scratch(spark, "store"), M.exact_mean(), buckets=8), B.rounded(spark, sf)
+    into.load(rows.where("ts < TIMESTAMP_NTZ'1996-01-01'"), "early")
+    counts = into.load(rows.where("ts >= TIMESTAMP_NTZ'1996-01-01'"), "late")
+    return spark.createDataFrame([tuple(counts[c] for c in L.COUNTS)], ", ".join(f"{c} long" for c in L.COUNTS))

@@ -16,6 +16,7 @@ from dieframe.operators import stats as S
 from dieframe.sources import schema as SC
 from dieframe.sources import tables as T
 from dieframe.streaming import load as L
+from dieframe.streaming.days import run_days
 
 LONG = "lot string, wafer string, x int, y int, temp double, step string, seq string, site int, ts timestamp_ntz, line string, item string, value double"
 T0 = dt.datetime(2026, 8, 4, 9)
@@ -91,13 +92,8 @@ def test_a_lost_load_goes_on_in_a_new_store(spark, tmp_path):
     long(spark, *rows[20:]).coalesce(1).write.mode("append").parquet(folder)
 
     class Lost(L.Store):
-        def load(self, rows, batch, files=None):
-            real = self.spark.createDataFrame
-            self.spark.createDataFrame = lambda *_, **__: (_ for _ in ()).throw(RuntimeError("lost"))  # where the version would be noted
-            try:
-                return super().load(rows, batch, files)
-            finally:
-                self.spark.createDataFrame = real
+        def _note(self, rows):
+            raise RuntimeError("lost")
 
     with pytest.raises(Exception, match="lost"):
         L.stream_into(folder, schema, Lost(spark, root), lambda d: d)
@@ -105,11 +101,109 @@ def test_a_lost_load_goes_on_in_a_new_store(spark, tmp_path):
     assert sorted(map(str, again.table().collect())) == first and again.log().count() == 1
     L.stream_into(folder, schema, again, lambda d: d)
     whole = L.Store(spark, str(tmp_path / "other"))
-    assert whole.load(long(spark, *rows), "all").first().asDict() == {"rows_in": 40, "points_new": 4, "points_updated": 0, "cells": 12}
+    assert whole.load(long(spark, *rows), "all") == dict.fromkeys(L.COUNTS, 0) | {"rows_in": 40, "points_new": 4, "cells": 12, "rows_out": 12}
     assert whole.load(long(spark, *rows), "all") is None
     assert sorted(map(str, again.table().collect())) == sorted(map(str, whole.table().collect())) and again.log().count() == 2
 
 
+def test_another_note_beside_an_old_store_skips_nothing(spark, tmp_path):
+    """The stream's own note is lost, and files came since: the old ones are not loaded again, the new ones are."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "store")
+    long(spark, row("a", 1.0), row("a", 2.0, x=1)).coalesce(1).write.parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    L.stream_into(folder, schema, L.Store(spark, root), lambda d: d)
+    long(spark, row("b", 3.0)).coalesce(1).write.mode("append").parquet(folder)
+    (tmp_path / "store" / "checkpoint").rename(tmp_path / "gone")
+    store = L.Store(spark, root)
+    L.stream_into(folder, schema, store, lambda d: d, files=10)  # old and new in one batch
+    assert sorted(r.rows for r in store.log().collect()) == [1, 2] and store.versions().select("batch").distinct().count() == 2
+    assert sorted((r.x, r.item, r.value) for r in store.table().collect()) == [(1, "a", 2.0), (3, "a", 1.0), (3, "b", 3.0)]
+
+
+def test_counts_of_a_load(spark, tmp_path):
+    store, day2 = L.Store(spark, str(tmp_path / "s")), T0 + dt.timedelta(days=1)
+    first = store.load(long(spark, row("Vt", 0.4), row("Vt", 0.6, "2"), row("Ioff", 1.0), row("Off", None), row("Vt", 0.1, x=9)), "1")
+    assert first == dict.fromkeys(L.COUNTS, 0) | {"rows_in": 5, "rows_empty": 1, "cells": 3, "averaged": 1, "rows_out": 3, "points_new": 2}
+    assert [tuple(r) for r in M.averaged_cells(M.store(long(spark, row("Vt", 0.4), row("Vt", 0.6, "2")), counted=True)).collect()] == [("Vt", 1)]
+    again = store.load(long(spark, row("Vt", 0.5), row("Vt", 0.1, x=9)), "2")
+    assert (again["points_updated"], again["points_changed"], again["cells_filled"], again["cells_replaced"]) == (2, 0, 0, 0)
+    late = store.load(long(spark, row("Vt", 0.9, ts=day2), row("Gm", 5.0, ts=day2), row("Vt", 0.3, x=10)), "3")
+    assert (late["points_new"], late["points_updated"], late["points_changed"], late["cells_filled"], late["cells_replaced"]) == (1, 1, 1, 1, 1)
+    assert store.load(long(spark, row("Off", None, x=50)), "4")["rows_empty"] == 1 and store.load(long(spark, row("Off", None, x=50)), "4") is None
+    assert store.table().count() == 5 and {r.ts for r in store.table().where("x = 3").collect()} == {day2}
+
+
+def test_buckets_follow_the_first_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_ROWS", 10)
+    store = L.Store(spark, str(tmp_path / "s"), batches=100)
+    store.load(long(spark, row("a", 1.0), row("b", 1.0), row("c", 1.0)), "1")
+    assert {r.buckets for r in store.versions().collect()} == {30}
+    L.Store(spark, str(tmp_path / "s"), buckets=5).load(long(spark, row("a", 2.0, lot="q")), "2")  # settled by the first load
+    assert {r.buckets for r in store.versions().collect()} == {30} and store.table().count() == 4
+
+
+def test_the_batch_is_scanned_once(spark, tmp_path):
+    long(spark, row("a", 1.0)).write.parquet(str(tmp_path / "t"))
+    plan = M.store(spark.read.parquet(str(tmp_path / "t")), counted=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "SortAggregate" not in plan
+
+
+def test_days_go_on_after_a_crash(spark, tmp_path):
+    """Five days with data, the third is lost: the first two stay, the next run loads the rest, one more does nothing, a day with new rows is merged again."""
+    days = [dt.datetime(2026, 8, d, 9) for d in (1, 3, 4, 5, 7)]
+    rows = [row(f"i{k % 3}", float(k), "1", days[k % 5] + dt.timedelta(minutes=k), x=k % 4) for k in range(60)]
+    path, root = str(tmp_path / "t"), str(tmp_path / "s")
+    T.lay_out(long(spark, *rows), path)
+
+    class Lost(L.Store):
+        def _note(self, noted):
+            if noted.where("batch LIKE '%2026-08-04%'").count():
+                raise RuntimeError("lost")
+            super()._note(noted)
+
+    job = lambda store, n=30, **of: run_days(spark.read.parquet(path), store, "L1", n, dt.date(2026, 8, 7), **of)
+    first = job(Lost(spark, root))
+    assert first.code == 1 and [*first.loaded] == [dt.date(2026, 8, 1), dt.date(2026, 8, 3)] and "lost" in first.problem
+    store = L.Store(spark, root)
+    second = job(store)
+    assert second.code == 0 and len(second.skipped) == 2 and len(second.loaded) == 3 and second.total()["rows_in"] == 36
+    third = job(store)
+    assert third.code == 0 and len(third.skipped) == 5 and not third.loaded and "5 there already" in third.summary()
+    whole = L.Store(spark, str(tmp_path / "w"))
+    whole.load(long(spark, *rows), "all")
+    assert sorted(map(str, store.table().collect())) == sorted(map(str, whole.table().collect()))
+    T.lay_out(long(spark, row("late", 1.0, ts=days[4])), str(tmp_path / "more"))
+    spark.read.parquet(str(tmp_path / "more")).write.mode("append").partitionBy("day").parquet(path)
+    assert [*job(store, 3).loaded] == [dt.date(2026, 8, 7)]
+    assert job(store, 1, items=["nothing"]).code == 1 and job(store, 0).code == 2 and run_days(spark.read.parquet(path), store, "", 1).code == 2
+
+
+def test_a_job_from_the_command_line(spark, tmp_path, capsys):
+    T.lay_out(long(spark, row("a", 1.0, temp=23.9)), str(tmp_path / "t"))
+    from dieframe import job
+
+    assert job.main([str(tmp_path / "t"), str(tmp_path / "s"), "--line", "L1", "--days", "2", "--today", "2026-08-05"]) == 0
+    assert "1 days loaded" in capsys.readouterr().out
+    assert L.Store(spark, str(tmp_path / "s")).table().first().temp == 25.0
+    assert job.main([str(tmp_path / "t"), str(tmp_path / "s"), "--line", "L9", "--today", "2026-08-05"]) == 1
+
+
+def test_windows_read_their_own_days(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [row("a", float(k), ts=T0 + dt.timedelta(days=k)) for k in range(30)] + [row("a", 0.5, ts=None)]
+    T.lay_out(long(spark, *rows), path)
+    laid = spark.read.parquet(path)
+    assert laid.count() == 31 and laid.select(*long(spark, rows[0]).columns).exceptAll(long(spark, *rows)).count() == 0
+    window = T.extract(laid, "L1", "2026-08-06", "2026-08-08")
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and sorted(r.value for r in window.collect()) == [2.0, 3.0, 4.0]
+    assert len(window.inputFiles()) == 3 or window._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    days = T.laid_days(spark, path)
+    assert [r.day for r in days.orderBy("day").collect()] == [(T0 + dt.timedelta(days=k)).date() for k in range(30)]
+    assert "content" not in days._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    assert [r.day for r in T.probe_days(laid.where("value > 27"), "ts").collect()] == [dt.date(2026, 9, 1), dt.date(2026, 9, 2)]
+
+
 def test_normalize(spark):
     df = spark.createDataFrame([("L", "7", "x", "1.0", "2026-01-02 03:04:05", "23.9", "e", "1.5")], "ROOT_LOT_ID string, ` wafer_id ` string, chip_x_pos string, step_seq string, tkout_time string, temperature string, extra string, et_value string")
     out = SC.normalize(df)
