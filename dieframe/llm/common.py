@@ -26,9 +26,11 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where it is unset (tests), a new local one."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset, a new local one, but not on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="dieframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
