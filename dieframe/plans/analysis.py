@@ -793,9 +793,9 @@ SELECT day, rows_in, points_new, points_updated FROM (SELECT day, count(*) AS ro
 
 @query("inc_recent_days", f"SELECT * FROM ({RECENT}) t", "rounded")
 def inc_recent_days(spark, sf):
-    """What the job of the last five days counted for each, from a source laid out by day into a store."""
-    path = T.scratch(spark, "days")
-    T.lay_out(B.long(spark, sf), path)
+    """What the job of the last five days counted for each, from a source laid out by month into a store."""
+    path = T.scratch(spark, "months")
+    T.lay_out(B.long(spark, sf), path, unit="month")
     rules = lambda df: df.withColumn("temp", C.temp_round5("temp"))
     done = run_days(spark.read.parquet(path), L.Store(spark, T.scratch(spark, "store"), mean(), buckets=8), "L1", 5, dt.date(1997, 1, 1), rules)
     if done.code:

@@ -35,9 +35,9 @@ def src_extract(spark, sf):
 
 @query("src_date_window", "SELECT step, count(*) AS n FROM base WHERE ts >= TIMESTAMP '1995-03-01' AND ts < TIMESTAMP '1995-04-01' GROUP BY step", "base")
 def src_date_window(spark, sf):
-    """Laid out by day: the window reads its own days' folders."""
-    path = T.scratch(spark, "days")
-    T.lay_out(B.base(spark, sf), path)
+    """Laid out by month: the window reads its own folder."""
+    path = T.scratch(spark, "months")
+    T.lay_out(B.base(spark, sf), path, unit="month")
     return T.date_window(spark.read.parquet(path), "ts", "1995-03-01", "1995-03-31").groupBy("step").agg(F.count("*").alias("n"))
 
 

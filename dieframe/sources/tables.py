@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import tempfile
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,36 +15,55 @@ from ..functions import columns as C
 from ..functions.predicates import ConditionError
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, a new local folder, but not on a cluster, whose executors wouldn't share it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="dieframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder (spark.checkpoint.dir), or, where that is unset, in a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dieframe-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def date_window(df: DataFrame, time: str, first: str, last: str) -> DataFrame:
-    """[first 00:00, the day after last 00:00). Of a table laid out by day, only those days' folders are read."""
+    """[first 00:00, the day after last 00:00). Of a table laid out by day or month, only the window's folders are read."""
     low, high = F.lit(first).cast("date"), F.date_add(F.lit(last).cast("date"), 1)
-    if DAY in df.columns:
-        df = df.where((F.col(DAY) >= low) & (F.col(DAY) < high))
+    for unit in UNITS:
+        if unit in df.columns:
+            df = df.where((F.col(unit) >= F.trunc(low, unit) if unit == "month" else F.col(unit) >= low) & (F.col(unit) < high))
     return df.where((F.col(time) >= low.cast("timestamp_ntz")) & (F.col(time) < high.cast("timestamp_ntz")))
 
 
-DAY = "day"  # the column that a table is laid out by
+UNITS = ("day", "month")  # the columns that a table is laid out by; a month stands as its first day
 
 
-def lay_out(df: DataFrame, path: str, time: str = "ts") -> None:
-    """Writes df in folders by day; rows without a time stand in a folder of their own, which no window reads.
+def lay_out(df: DataFrame, path: str, time: str = "ts", unit: str = "day") -> None:
+    """Writes df in folders by day or month; rows without a time stand in a folder of their own, which no window reads.
 
-    A day's rows are dealt over as many tasks as their size asks for, so a busy day is no single task's work.
+    A folder's rows are dealt over as many tasks as their size asks for, so a busy day is no single task's work.
     """
-    df.withColumn(DAY, F.to_date(time)).hint("rebalance", DAY).write.partitionBy(DAY).parquet(path)
+    if unit not in UNITS:
+        raise ValueError(f"laid out by {' or '.join(UNITS)}")
+    at = F.to_date(time) if unit == "day" else F.trunc(time, "month")
+    df.withColumn(unit, at).hint("rebalance", unit).write.partitionBy(unit).parquet(path)
 
 
 def laid_days(spark: SparkSession, path: str) -> DataFrame:
     """day, files, bytes of a table laid out by day, from its folders alone: no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    day = F.regexp_extract("path", f"/{DAY}=(\\d{{4}}-\\d{{2}}-\\d{{2}})/", 1).try_cast("date")
-    return files.select(day.alias(DAY), "length").where(F.col(DAY).isNotNull()).groupBy(DAY).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    day = F.regexp_extract("path", r"/day=(\d{4}-\d{2}-\d{2})/", 1).try_cast("date")
+    return files.select(day.alias("day"), "length").where("day IS NOT NULL").groupBy("day").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def item_filter(long: DataFrame, items: DataFrame) -> DataFrame:
@@ -63,8 +82,8 @@ def extract(long: DataFrame, line: str, first: str, last: str, items: list[str]
 
 def probe_days(df: DataFrame, time: str) -> DataFrame:
     """The days under whatever conditions df has. Laid out by day, nothing but the conditions' columns is read; without any, ask `laid_days`."""
-    if DAY in df.columns:
-        return df.select(DAY).distinct().where(F.col(DAY).isNotNull()).orderBy(DAY)
+    if "day" in df.columns:
+        return df.select("day").distinct().where("day IS NOT NULL").orderBy("day")
     return df.select(F.to_date(time).alias("day")).distinct().orderBy("day")
 
 
@@ -120,24 +139,32 @@ def write_chunk(df: DataFrame, path: str, *by: str) -> None:
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
 
 
+def sources(df: DataFrame) -> list[list]:
+    """Path, size and modification time of each file that df reads, from the folder lists; no file is opened."""
+    paths = sorted(df.inputFiles())
+    if not paths:
+        return []
+    files = df.sparkSession.read.format("binaryFile").load(paths).select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    return sorted([r.path, r.length, r["at"]] for r in files.collect())
+
+
 def materialize(long: DataFrame, lots: list[str], items: list[str], root: str | None = None) -> DataFrame:
     """The working set of lots and items, written once and read back.
 
-    With a root folder, a set of the same rows' plan, lots and items that is there already is used as it is.
+    With a root folder, a set of the same lots, items and rows that is there already is used as it is. The rows are
+    told by their canonical plan and by the size and time of each file they come from: a file written anew under its
+    name makes a new set.
     """
     spark = long.sparkSession
     rows = long.where(F.col("lot").isin(lots) & F.col("item").isin(items))
     if root is None:
         path = scratch(spark, "workset")
     else:
-        asked = json.dumps([sorted(set(lots)), sorted(set(items)), sorted(long.inputFiles()), long.semanticHash()])
+        plan = re.sub(r"#\d+", "#", long._jdf.queryExecution().analyzed().canonicalized().toString())
+        asked = json.dumps([sorted(set(lots)), sorted(set(items)), sources(long), plan])
         path = f"{root}/workset-{hashlib.sha256(asked.encode()).hexdigest()}"
-        try:
-            spark.read.text(f"{path}/_SUCCESS")  # left by a write that came to its end
+        if exists(spark, f"{path}/_SUCCESS"):  # left by a write that came to its end
             return spark.read.parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
     rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -39,7 +39,7 @@ class Days:
 
 
 def days_with_data(rows: DataFrame) -> dict[date, int]:
-    """The days of an extraction and their rows; of laid-out data, from the days' folders and no column but those of the conditions."""
+    """The days of an extraction and their rows; of data laid out by day, no column but those of the conditions is read."""
     day = F.col("day") if "day" in rows.columns else F.to_date("ts")
     return {r.day: r.n for r in rows.groupBy(day.alias("day")).agg(F.count("*").alias("n")).collect()}  # a row a day
 

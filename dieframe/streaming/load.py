@@ -6,12 +6,11 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import changes, observed_batch, observed_changes, store
-from ..sources.tables import extract
+from ..sources.tables import exists, extract
 
 COLUMNS = ["key", "lot", "wafer", "x", "y", "temp", "step", "site", "ts", "item", "value"]
 STORED = "key string, lot string, wafer string, x int, y int, temp double, step string, site int, ts timestamp_ntz, item string, value double"
@@ -48,12 +47,8 @@ class Store:
         self.spark, self.root, self.mean, self.buckets, self.batches = spark, root, mean, buckets, batches
 
     def _rows(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        path = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def versions(self) -> DataFrame:
         return self._rows("versions", VERSION)

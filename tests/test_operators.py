@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,9 @@ def test_windows_read_their_own_days(spark, tmp_path):
     days = T.laid_days(spark, path)
     assert [r.day for r in days.orderBy("day").collect()] == [(T0 + dt.timedelta(days=k)).date() for k in range(30)]
     assert "content" not in days._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    T.lay_out(long(spark, *rows), path + "m", unit="month")
+    window = T.extract(spark.read.parquet(path + "m"), "L1", "2026-08-30", "2026-09-01")
+    assert "PartitionFilters: [isnotnull(month" in window._jdf.queryExecution().executedPlan().toString() and sorted(r.value for r in window.collect()) == [26.0, 27.0, 28.0]
     assert [r.day for r in T.probe_days(laid.where("value > 27"), "ts").collect()] == [dt.date(2026, 9, 1), dt.date(2026, 9, 2)]
 
 
@@ -363,6 +367,13 @@ def test_working_set_is_used_again(spark, tmp_path):
     assert one.inputFiles() == two.inputFiles() and two.count() == 1
     assert T.materialize(df, lots, ["b"], str(tmp_path / "w")).inputFiles() != one.inputFiles()
     assert T.preview(df, T.SNIPPETS["item list"]).count() == 2
+    assert T.materialize(df.where("value > 0"), lots, ["a"], str(tmp_path / "w")).inputFiles() != one.inputFiles()
+    name = Path(df.inputFiles()[0].removeprefix("file://"))
+    long(spark, row("a", 7.0, "1", T0), row("b", 2.0, "1", T0)).coalesce(1).write.parquet(str(tmp_path / "u"))
+    name.with_name(f".{name.name}.crc").unlink()
+    next((tmp_path / "u").glob("*.parquet")).rename(name)  # the same name, other rows
+    new = T.materialize(spark.read.parquet(str(tmp_path / "t")), lots, ["a"], str(tmp_path / "w"))
+    assert new.inputFiles() != one.inputFiles() and 7.0 in {r.value for r in new.collect()}
 
 
 def test_no_sort_aggregate_for_retests(spark):
