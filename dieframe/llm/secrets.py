@@ -4,8 +4,9 @@
    and 4 after it. One of over 80 characters is seen through windows of 80, each by half over the next one, and the
    highest score counts.
 2. Windows that hold the value of a base span (or of a labelled finding) are the positives, runs that touch none
-   the negatives. The network is fitted on at most `most` of each, chosen by a hash. All other windows of all
-   texts are scored; histograms of those scores calibrate the network and give the threshold: a probability of
+   the negatives. The network is fitted on at most `most` of each kind of finding and `most / 8` of each make-up of the
+   others (digits, letters, signs, length), chosen by a hash, so that numbers, addresses and names are among the
+   negatives however rare they are. All windows of all texts are scored; histograms of those scores calibrate the network and give the threshold: a probability of
    one half, or lower where the recall of some kind of finding would otherwise fall below `recall`.
 3. The other candidates, and what a base span leaves of its run, are scored where they stand; those that reach the
    threshold become spans of kind cnn.
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U, by_value, cut, mix, sized, table
@@ -37,6 +38,7 @@ WORDS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "cnn")
 #: Labels of windows: 1 to 3 hold a base value of that kind, 4 a labelled finding. A rest is scored, but no negative.
 OTHER, OWN, REST = 0, 4, -1
+STRATA = 32  # kinds of finding, and from the middle on make-ups of the others
 LEFT, VALUE, RIGHT, LEAST = 16, 80, 4, 6
 #: A symbol is a printable ASCII character, any other character (95) or none (96).
 ANY, NONE = 95, 96
@@ -44,6 +46,8 @@ SYMBOL = np.array([c - 32 if 32 <= c < 127 else ANY for c in range(128)], np.uin
 TOKEN = np.array([c < ANY and (chr(c + 32).isalnum() or chr(c + 32) in "+/_.=-") for c in range(NONE + 1)])
 #: Of a symbol: digit, lower, upper, token sign, anything else.
 CLASS = np.array([0 if 16 <= c < 26 else 1 if 65 <= c < 91 else 2 if 33 <= c < 59 else 3 if TOKEN[c] else 4 for c in range(NONE + 1)])
+#: Of a symbol: itself, letters without case; the class tells the case.
+FOLDED = np.array([c + 32 if 33 <= c < 59 else c for c in range(NONE + 1)])
 FEATURES = 2 * NONE + 10
 BASE = U(0x9E3779B97F4A7C15)
 UNBASE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -158,22 +162,26 @@ def features(around: str) -> np.ndarray:
     code = np.frombuffer(around.encode("utf-32-le", "surrogatepass"), "<u4")
     symbol, mark = SYMBOL[np.minimum(code, 127)].astype(np.int64), code == 0
     beside = np.cumsum(mark) != 1
-    rows = np.stack([1 + symbol + NONE * beside, 1 + 2 * NONE + CLASS[symbol] + 5 * beside], 1)
+    rows = np.stack([1 + FOLDED[symbol] + NONE * beside, 1 + 2 * NONE + CLASS[symbol] + 5 * beside], 1)
     rows[mark] = 0
     return rows
 
 
 class Detector:
-    """A fitted network of filters 2 and 4 wide as tables by pairs of characters, and a threshold for its logit."""
+    """A fitted network of filters 2 and 4 wide as tables by pairs of characters, and a threshold for its logit.
+
+    recall (by kind) and precision are those of the windows that it was calibrated on.
+    """
 
     def __init__(self, net: ConvNet, least: float = 0.0):
         self.out, self.base, self.least = net.out, net.base, least
+        self.recall, self.precision = {}, None
         self.scale, self.shift, self.filters = net.scale, net.shift, net.filters
         self.first, self.second = zip(*(self._tables(net, side) for side in (0, 1)))
 
     def _tables(self, net: ConvNet, side: int) -> tuple[np.ndarray, np.ndarray]:
         s = np.arange(NONE)
-        e = net.emb[1 + s + NONE * side] + net.emb[1 + 2 * NONE + CLASS[s] + 5 * side]
+        e = net.emb[1 + FOLDED[s] + NONE * side] + net.emb[1 + 2 * NONE + CLASS[s] + 5 * side]
         pair = lambda w, k: (e @ net.taps[w][k])[:, None] + (e @ net.taps[w][k + 1])[None, :]
         tables = []
         for made in (np.concatenate([pair(0, 0) + net.bias[0], pair(1, 0) + net.bias[1]], axis=2), pair(1, 2)):
@@ -243,6 +251,16 @@ class Slice:
         labelled = self.label != REST
         self.a, self.b, self.label = self.a[labelled], self.b[labelled], self.label[labelled]
         self.hash = self.laid.hashes(self.a, self.b).view(np.int64)
+        self.stratum = np.where(self.label > 0, self.label, STRATA // 2 + make_up(self.laid.symbol, self.a, self.b))
+
+
+def make_up(symbol: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of windows: 1 with digits, 2 with letters, 4 with signs, 8 with 20 characters or more, added up."""
+    out = 8 * (b - a >= 20)
+    for bit, kind in ((1, (0,)), (2, (1, 2)), (4, (3, 4))):
+        many = np.append(0, np.cumsum(np.isin(CLASS, kind)[symbol]))
+        out = out + bit * (many[b] > many[a])
+    return out
 
 
 def _free(h: np.ndarray) -> np.ndarray:
@@ -250,24 +268,29 @@ def _free(h: np.ndarray) -> np.ndarray:
     return h % 5 > 0
 
 
+def _quota(stratum: int, most: int) -> int:
+    return most if stratum < STRATA // 2 else max(1, most // 8)
+
+
 def _lowest(most: int):
-    """Of each task's windows, the `most` distinct ones of either label that come first by their hash."""
+    """Of each task's windows, the distinct ones of each stratum that come first by their hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[dict[int, str]] = [{}, {}]
+        kept: list[dict[int, str]] = [{} for _ in range(STRATA)]
         for part in sized(batches, 0):
             s = Slice(part)
-            for label in (0, 1):
-                mine = np.flatnonzero(((s.label > 0) == label) & _free(s.hash))
+            for stratum in range(STRATA):
+                mine = np.flatnonzero((s.stratum == stratum) & _free(s.hash))
+                quota = _quota(stratum, most)
                 order, first = np.unique(s.hash[mine], return_index=True)
-                last = max(kept[label]) if len(kept[label]) >= most else np.iinfo(np.int64).max
-                for h, i in zip(order[:most].tolist(), mine[first[:most]].tolist()):
+                last = max(kept[stratum]) if len(kept[stratum]) >= quota else np.iinfo(np.int64).max
+                for h, i in zip(order[:quota].tolist(), mine[first[:quota]].tolist()):
                     if h > last:
                         break
-                    kept[label][h] = s.laid.around(s.a[i], s.b[i])
-                kept[label] = dict(sorted(kept[label].items())[:most])
-        rows = [(label, h, x) for label in (0, 1) for h, x in kept[label].items()]
-        kinds = {"label": pa.int32(), "h": pa.int64(), "around": pa.string()}
+                    kept[stratum][h] = s.laid.around(s.a[i], s.b[i])
+                kept[stratum] = dict(sorted(kept[stratum].items())[:quota])
+        rows = [(stratum, h, x) for stratum, of in enumerate(kept) for h, x in of.items()]
+        kinds = {"stratum": pa.int32(), "h": pa.int64(), "around": pa.string()}
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=[*kinds])
 
     return run
@@ -279,7 +302,7 @@ def _fitted(around: list[str], label: np.ndarray, seed: int) -> dict:
     return vars(net)
 
 
-def _histogram(shared, last: dict[int, int]):
+def _histogram(shared, last: np.ndarray):
     """How many windows of each label, fitted on or not, have a logit in each step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +312,7 @@ def _histogram(shared, last: dict[int, int]):
             s = Slice(part)
             z = np.clip(detector.logits(s.laid.symbol, s.a, s.b), -FAR, FAR)
             step = np.floor(z * STEPS).astype(np.int64) + FAR * STEPS
-            fit = _free(s.hash) & (s.hash <= np.where(s.label > 0, last[1], last[0]))
+            fit = _free(s.hash) & (s.hash <= last[s.stratum])
             keys, counts = np.unique((step * 8 + s.label) * 2 + fit, return_counts=True)
             many.update(dict(zip(keys.tolist(), counts.tolist())))
         rows = [(k // 2 % 8, bool(k % 2), k // 16 - FAR * STEPS, n) for k, n in sorted(many.items())]
@@ -313,8 +336,9 @@ def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, rec
     """A detector fitted on docs (text, and doc_id where `found` is given). Scans docs twice.
 
     found: labelled findings beyond the base patterns' (doc_id, start, end; code points, end exclusive). At most
-    `most` windows of either label, by a hash of what they show, are fitted on, in one task. All the others, or
-    those of a kind that has no others, calibrate the network and set the threshold.
+    `most` windows of each of the four kinds of finding and `most / 8` of each of 16 make-ups of the others, by a hash of
+    what they show, are fitted on, in one task. All the others, or those of a kind that has no others, calibrate the
+    network and set the threshold.
 
     Null and empty texts have no windows. Without a finding and without a candidate that is none, there is
     nothing to learn from: None, and `scan` then gives base spans alone.
@@ -323,31 +347,38 @@ def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, rec
     if found is not None:
         own = found.where("start < end").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("own"))
         rows = docs.select("doc_id", "text").join(own, "doc_id", "left").select("text", "own")
-    sample = cut(rows.mapInArrow(_lowest(most), "label int, h long, around string"))
+    sample = cut(rows.mapInArrow(_lowest(most), "stratum int, h long, around string"))
     # Each task gives its lowest; of those, the lowest again.
-    lowest = [sample.where(f"label = {x}").dropDuplicates(["h"]).orderBy("h").limit(most) for x in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("h"))
+    quota = F.when(F.col("stratum") < STRATA // 2, _quota(0, most)).otherwise(_quota(STRATA - 1, most))
+    lowest = sample.dropDuplicates(["stratum", "h"]).withColumn("place", place).where(F.col("place") <= quota).drop("place")
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("label", "ascending"), ("h", "ascending")])
-        label = t["label"].to_numpy()
-        last = [int(t["h"].to_numpy()[label == x].max(initial=np.iinfo(np.int64).min)) for x in (0, 1)]
-        fitted = _fitted(t["around"].to_pylist(), label.astype(np.float64), seed) if len(np.unique(label)) == 2 else None
+        t = t.sort_by([("stratum", "ascending"), ("h", "ascending")])
+        stratum = t["stratum"].to_numpy()
+        label, last = (stratum < STRATA // 2).astype(np.float64), np.full(STRATA, np.iinfo(np.int64).min)
+        np.maximum.at(last, stratum, t["h"].to_numpy())
+        fitted = _fitted(t["around"].to_pylist(), label, seed) if len(np.unique(label)) == 2 else None
         return pa.table({"net": pa.array([pickle.dumps((fitted, last))], pa.binary())})
 
-    made = lowest[0].unionByName(lowest[1]).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "net binary").collect()
+    made = lowest.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "net binary").collect()
     fitted, last = pickle.loads(made[0].net) if made else (None, None)
     if fitted is None:
         return None
     net = ConvNet(fitted.pop("vocabulary"))
     vars(net).update(fitted)
     shared = by_value(docs.sparkSession, Detector(net))
-    bins = rows.mapInArrow(_histogram(shared, dict(enumerate(last))), "label int, fit boolean, step int, many long").groupBy("label", "fit", "step").agg(F.sum("many").alias("many")).collect()
+    bins = rows.mapInArrow(_histogram(shared, last), "label int, fit boolean, step int, many long").groupBy("label", "fit", "step").agg(F.sum("many").alias("many")).collect()
     unseen = {r.label for r in bins if not r.fit}
     bins = [r for r in bins if not r.fit or r.label not in unseen]
     label, step, many = (np.array([r[c] for r in bins]) for c in ("label", "step", "many"))
     net.calibrate((step + 0.5) / STEPS, (label > 0).astype(np.float64), many.astype(np.float64))
     half = -net.shift / net.scale if net.scale else np.inf
-    return Detector(net, min(half, threshold(step, label, many, recall)))
+    out = Detector(net, min(half, threshold(step, label, many, recall)))
+    sure = step >= np.floor(out.least * STEPS)
+    out.recall = {[*KINDS[:3], "own"][k - 1]: float(many[sure & (label == k)].sum() / many[label == k].sum()) for k in np.unique(label[label > 0]).tolist()}
+    out.precision = float(many[sure & (label > 0)].sum() / max(1, many[sure].sum()))
+    return out
 
 
 def _spans(texts: list[str | None], d: Detector | None) -> list[list[tuple[str, int, int]]]:
@@ -370,7 +401,8 @@ def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """doc_id and spans (kind, start, end; code points, end exclusive; by start, then kind) of each row.
 
     Null and empty texts have none. Base spans always stay, whatever the network says; it only adds spans
-    of kind cnn. Rows that share an id keep a row each. Texts of any length are laid out whole.
+    of kind cnn. Rows that share an id keep a row each. Texts of any length are laid out whole. Ids of any type stay
+    as they are; other columns are left out, whatever their names.
     """
     shared = by_value(docs.sparkSession, detector)
 
@@ -380,7 +412,8 @@ def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in x] for x in _spans(part.column(1).to_pylist(), own)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, spans {SPAN_DDL}")
+    own_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {own_type}, spans {SPAN_DDL}")
 
 
 def masked(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:

@@ -395,6 +395,48 @@ def test_network_finds_secrets_that_no_pattern_matches(spark):
     assert len(want & got) >= 0.95 * len(want) and len(want & got) >= 0.9 * len(got)
 
 
+def ordinary_rows(secrets_of):
+    """Texts with phones, addresses, cards, versions and names; some with what secrets_of gives for their number."""
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice(("athe", "nthe", "Ouel", "sosti", "êlle", "der")) + r.choice(("and", "re", "ing", "a,", "o.")) for _ in range(n))
+    octets = lambda: ".".join(str(r.randrange(1, 255)) for _ in range(4))
+    plain = (
+        lambda: "".join(r.choice("0123456789") for _ in range(16)), octets, lambda: f"{r.randrange(100, 999)}-{r.randrange(1000, 9999)}",
+        lambda: f"mail{r.randrange(9)}.example.org", lambda: f"v{r.randrange(9)}.{r.randrange(30)}.{r.randrange(99)}", lambda: f"id-{r.randrange(10**6):06}",
+    )
+    rows = []
+    for i in range(1500):
+        more = secrets_of(i, r) or (r.choice(plain)() if i % 4 == 1 else "")
+        rows.append((i, f"{say(r.randrange(3, 60))} {more} {say(5)}", "en", "s", 0))
+    return rows
+
+
+HEXES = "0123456789abcdef"
+
+
+def test_network_leaves_cards_phones_and_addresses_alone(spark):
+    """Trained on nothing but base spans, as on documents: it finds tokens that no pattern matches, and no number, address or name."""
+
+    def planted(i, r):
+        token = "".join(r.choice(HEXES) for _ in range(40))
+        return f'token = "{token}"' if i % 12 == 0 else token if i % 12 == 6 else token.upper() if i % 50 == 7 else None
+
+    docs = spark.createDataFrame(ordinary_rows(planted), SCHEMA).repartition(4)
+    detector = secrets.train(docs)
+    assert detector.recall.keys() == {"assign", "hex"} and min(detector.recall.values()) >= 0.98 and detector.precision >= 0.95
+    added = {r.doc_id for r in secrets.scan(docs, detector).collect() for s in r.spans if s.kind == "cnn"}
+    want = {i for i in range(1500) if i % 50 == 7 and i % 6}
+    assert len(added & want) >= 0.9 * len(want) and len(added - want) <= 3
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in secrets.redact(docs, detector).collect()}
+    assert sum(before[i] != after[i] for i in before if i % 6 and i not in want) <= 3
+
+
+def test_scan_of_other_ids_and_columns(spark):
+    docs = spark.createDataFrame([("a", "token=abc123def", 1), (None, None, 2)], "doc_id string, text string, spans int")
+    assert [(r.doc_id, len(r.spans)) for r in secrets.scan(docs, None).orderBy("doc_id").collect()] == [(None, 0), ("a", 1)]
+
+
 def toxic_rows():
     r = random.Random(2)
     bad = ["vilebeast", "vilething", "rotten", "crud"]
