@@ -6,8 +6,10 @@
 2. Windows that hold the value of a base span (or of a labelled finding) are the positives, runs that touch none
    the negatives. The network is fitted on at most `most` of each kind of finding and `most / 8` of each make-up of the
    others (digits, letters, signs, length), chosen by a hash, so that numbers, addresses and names are among the
-   negatives however rare they are. All windows of all texts are scored; histograms of those scores calibrate the network and give the threshold: a probability of
-   one half, or lower where the recall of some kind of finding would otherwise fall below `recall`.
+   negatives however rare they are; runs made up as findings are, of digits and letters, are not fitted on, since some
+   may be secrets that no pattern knows. All windows of all texts are scored, those too; histograms of those scores
+   calibrate the network and give the threshold: a probability of one half, or lower where the recall of some kind of
+   finding would otherwise fall below `recall`.
 3. The other candidates, and what a base span leaves of its run, are scored where they stand; those that reach the
    threshold become spans of kind cnn.
 
@@ -296,6 +298,15 @@ def _lowest(most: int):
     return run
 
 
+def _undecided(t: pa.Table) -> list[int]:
+    """Make-ups of digits and letters that a tenth of the findings have: a run of that make-up that no pattern knows may be a secret, so it is no negative to fit on."""
+    values = [x.split("\0")[1] for x, stratum in zip(t["around"].to_pylist(), t["stratum"].to_pylist()) if stratum < STRATA // 2]
+    laid = Laid(values)
+    size = np.array([*map(len, values)], np.int64)
+    many = np.bincount(make_up(laid.symbol, laid.start, laid.start + size), minlength=STRATA // 2) if values else np.zeros(STRATA // 2)
+    return [STRATA // 2 + m for m in range(STRATA // 2) if m & 3 == 3 and 10 * many[m] >= len(values) > 0]
+
+
 def _fitted(around: list[str], label: np.ndarray, seed: int) -> dict:
     net = ConvNet(np.arange(FEATURES, dtype=U), size=8, widths=(2, 4), filters=8, seed=seed, gaps=True)
     net.fit([features(x) for x in around], label, epochs=max(4, 20_000 // len(around)), seed=seed)
@@ -355,6 +366,7 @@ def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, rec
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("stratum", "ascending"), ("h", "ascending")])
+        t = t.filter(pa.array(~np.isin(t["stratum"].to_numpy(), _undecided(t))))
         stratum = t["stratum"].to_numpy()
         label, last = (stratum < STRATA // 2).astype(np.float64), np.full(STRATA, np.iinfo(np.int64).min)
         np.maximum.at(last, stratum, t["h"].to_numpy())
