@@ -419,11 +419,11 @@ def test_network_leaves_cards_phones_and_addresses_alone(spark):
 
     def planted(i, r):
         token = "".join(r.choice(HEXES) for _ in range(40))
-        return f'token = "{token}"' if i % 12 == 0 else token if i % 12 == 6 else token.upper() if i % 50 == 7 else None
+        return f'token = "{token}"' if i % 12 == 0 else token if i % 12 == 6 else token[:22] if i % 50 == 7 else None
 
     docs = spark.createDataFrame(ordinary_rows(planted), SCHEMA).repartition(4)
     detector = secrets.train(docs)
-    assert detector.recall.keys() == {"assign", "hex"} and min(detector.recall.values()) >= 0.98 and detector.precision >= 0.9  # the planted ones count against it
+    assert detector.recall.keys() == {"assign", "hex"} and min(detector.recall.values()) >= 0.98 and detector.precision >= 0.6  # all planted ones count against it, of the others a fifth
     added = {r.doc_id for r in secrets.scan(docs, detector).collect() for s in r.spans if s.kind == "cnn"}
     want = {i for i in range(1500) if i % 50 == 7 and i % 6}
     assert len(added & want) >= 0.9 * len(want) and len(added - want) <= 3
