@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.schema import RESERVED
+from ..sources.tables import scratch
 
 # Filters.
 
 
-def by_condition(df: DataFrame, step: str = "", site: str = "", temp: str = "") -> DataFrame:
-    """Equality compared as text; blank takes all."""
-    for name, v in (("step", step), ("site", site), ("temp", temp)):
-        df = df.where(F.col(name).cast("string") == v) if v else df
-    return df
+def by_condition(df: DataFrame, step: str = "", site: str = "", temp: str = "", seen: Observation | None = None) -> DataFrame:
+    """Equality compared as text; blank takes all, and so does a column that isn't there.
+
+    seen counts kept and dropped rows in the pass that reads them.
+    """
+    asked = [F.coalesce(F.col(name).cast("string") == v, F.lit(False)) for name, v in (("step", step), ("site", site), ("temp", temp)) if v and name in df.columns]
+    fits = reduce(lambda a, b: a & b, asked, F.lit(True))
+    if seen is not None:
+        df = df.observe(seen, F.count_if(fits).alias("kept"), F.count_if(~fits).alias("dropped"))
+    return df.where(fits)
 
 
 def numeric_aware(c: str) -> list[Column]:
@@ -126,12 +132,53 @@ def item_diff(data: DataFrame, rules: DataFrame) -> DataFrame:
     return one("data", data, rules).unionByName(one("rules", rules, data))
 
 
+FEW = 64  #: stored lots of a shared stretch that a typed lot's bound is taken from
+
+
+def _stretches(df: DataFrame, c: str) -> DataFrame:
+    """df with start, len and text of every stretch of a text column; the square of a lot's letters, not of the lots."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    rows = df.withColumn("start", F.explode(starts)).withColumn("len", F.explode(F.sequence(F.lit(1), F.greatest(F.length(c) - F.col("start") + 1, F.lit(1)))))
+    return rows.withColumn("text", F.substring(F.col(c), F.col("start"), F.col("len"))).where("text <> ''")
+
+
+EQUAL = "size(filter(zip_with(split(own, ''), split(low, ''), (a, b) -> a = b AND a <> ''), x -> x))"
+
+
+def near_lots(typed: DataFrame, stored: DataFrame, similar: int = 5) -> DataFrame:
+    """typed, own, lot, low: all pairs that may be among the `similar` stored lots with the most equal characters of a typed one.
+
+    typed: typed, own (as compared); stored: lot, low. A stretch that `similar` stored lots have in the same place bounds
+    from below what the last of them scores, and the scores of some lots that have the longest such stretch bound it
+    better. Of m characters, a lot that scores s or more misses m - s at most, so of m - s + 1 parts it has one whole:
+    only lots that share such a part in its place are candidates, and the first lots, which fill up a short list.
+    """
+    place = ["start", "len", "text"]
+    mine = _stretches(typed, "own")
+    path = scratch(typed.sparkSession, "stretches")
+    _stretches(stored, "low").join(mine.select(*place).distinct(), place, "left_semi").write.parquet(path)
+    theirs = typed.sparkSession.read.parquet(path)
+    often = theirs.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") >= similar)
+    longest = F.min(F.struct((-F.col("len")).alias("l"), "n", "start", "text")).alias("m")
+    best = mine.join(often, place).groupBy("typed", "own").agg(longest).select("typed", "own", (-F.col("m.l")).alias("len"), "m.start", "m.text")
+    few = theirs.join(best.select(*place).distinct(), place, "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(*place).orderBy("lot"))).where(F.col("n") <= FEW).drop("n")
+    scores = best.join(few, place).withColumn("equal", F.expr(EQUAL)).withColumn("n", F.row_number().over(Window.partitionBy("typed").orderBy(F.col("equal").desc())))
+    bound = scores.where(F.col("n") == similar).select("typed", "equal")
+    sized = typed.join(bound, "typed", "left").withColumn("m", F.length("own"))
+    parts = F.least(F.col("m") - F.coalesce("equal", F.lit(0)) + 1, F.col("m"))
+    cut = sized.where("m > 0").withColumns({"parts": parts, "k": F.explode(F.sequence(F.lit(0), parts - 1))})
+    whole, rest = F.expr("m div parts"), F.expr("m % parts")  # the first parts are longer by one: beginnings are what lots share
+    cut = cut.withColumn("start", (F.col("k") * whole + F.least("k", rest) + 1).cast("int")).withColumn("len", (whole + (F.col("k") < rest).cast("int")).cast("int"))
+    cut = cut.withColumn("text", F.substring(F.col("own"), F.col("start"), F.col("len"))).select("typed", "own", *place)
+    first = stored.orderBy("lot").limit(2 * similar)  # a stated number of rows, met by all
+    return cut.join(theirs, place).select("typed", "own", "lot", "low").unionByName(typed.select("typed", "own").crossJoin(first)).distinct()
+
+
 def resolve_lot(typed: DataFrame, lots: DataFrame, similar: int = 5) -> DataFrame:
     """typed, lot, how: the stored lot for typed text. exact, then case, then a unique substring; else up to 5 of the most equal characters.
 
-    Exact and case matches are joins by the text. Only what is left is compared with the stored lots, and only
-    with those that share a character in the same place or hold its first pair of characters, and with as many
-    of the first ones as may fill up the list.
+    Exact and case matches are joins by the text. Lots that hold the typed text are counted by their stretches of its
+    length. Only what is left is compared, with the candidates of `near_lots`.
     """
     kinds = F.array(*map(F.lit, ("exact", "case", "part", "similar")))
     stored = lots.select("lot", F.lower("lot").alias("low")).distinct()
@@ -139,17 +186,10 @@ def resolve_lot(typed: DataFrame, lots: DataFrame, similar: int = 5) -> DataFram
     same = typed.join(stored, F.col("own") == F.col("low")).groupBy("typed").agg(F.min(F.struct(F.when(F.col("typed") == F.col("lot"), 1).otherwise(2).alias("rank"), "lot")).alias("m"))
     same = same.select("typed", "m.lot", "m.rank")
     left = typed.join(same.select("typed"), "typed", "left_anti")
-    places = lambda c: F.transform(F.split(F.col(c), ""), lambda x, i: F.concat(i.cast("string"), F.lit(":"), x))
-    first = lambda c: F.array(F.substring(c, 1, 2))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 1, F.lit(1))), lambda i: F.substring("low", i, F.lit(2)))
-    a = left.select("typed", "own", F.explode(F.concat(places("own"), first("own"))).alias("block"))
-    b = stored.select("lot", "low", F.explode(F.array_distinct(F.concat(places("low"), pairs, F.split("low", "")))).alias("block"))
-    few = F.broadcast(stored.orderBy("lot").limit(2 * similar))
-    both = a.join(b, "block").select("typed", "own", "lot", "low").unionByName(left.crossJoin(few).select("typed", "own", "lot", "low")).distinct()
-    equal = F.expr("size(filter(zip_with(split(own, ''), split(low, ''), (a, b) -> a = b), x -> x))")
-    both = both.withColumns({"inside": F.col("low").contains(F.col("own")), "equal": equal})
-    parts = both.where("inside").groupBy("typed").agg(F.min("lot").alias("lot"), F.count("*").alias("n")).where("n = 1").select("typed", "lot", F.lit(3).alias("rank"))
-    near = both.join(parts.select("typed"), "typed", "left_anti")
+    wanted = left.select(F.col("own").alias("text")).distinct()
+    holds = _stretches(stored, "low").select("lot", "text").join(wanted, "text", "left_semi").distinct().groupBy("text").agg(F.count("*").alias("n"), F.min("lot").alias("lot")).where("n = 1")
+    parts = left.join(holds, F.col("own") == F.col("text")).select("typed", "lot", F.lit(3).alias("rank"))
+    near = near_lots(left.join(parts.select("typed"), "typed", "left_anti"), stored, similar).withColumn("equal", F.expr(EQUAL))
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("typed").orderBy(F.col("equal").desc(), "lot"))).where(F.col("n") <= similar)
     out = same.unionByName(parts).unionByName(near.select("typed", "lot", F.lit(4).alias("rank")))
     return out.select("typed", "lot", F.element_at(kinds, F.col("rank")).alias("how"))

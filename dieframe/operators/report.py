@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import scratch
 from .stats import delta, quantiles
 
 # Windows.
@@ -23,8 +24,30 @@ def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
+def running(df: DataFrame, order: list[Column], name: str, amount: Column | None = None) -> DataFrame:
+    """Adds name: the sum of `amount` (rows, if not given) over all rows before this one in order. No task sees more than a range of the rows.
+
+    Rows are dealt by ranges of the order and written so, once; each range's sum is put before the next one's, and within
+    a range rows are summed up on their own. Only the ranges' sums, as many as there are partitions, meet in one task.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "ranges")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_amount", F.lit(1).cast("long") if amount is None else amount.cast("long")).repartitionByRange(parts, *order)
+    ranged.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_range").agg(F.sum("_amount").alias("_sum"))
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(earlier.orderBy("_range")), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum("_amount").over(earlier.partitionBy("_range").orderBy(*order)), F.lit(0))
+    return rows.withColumn(name, own).join(sums, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_amount", "_before")
+
+
 def ranked(df: DataFrame, *order: Column, by: list[str] = (), name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """Adds name: the row's number in order, from 1, within the groups named or over all rows."""
+    if by:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return running(df, [*order], name).withColumn(name, (F.col(name) + 1).cast("int"))
 
 
 def day_spans(days: DataFrame, most: int, by: list[str] = ()) -> DataFrame:
@@ -50,8 +73,7 @@ def pages(wafers: DataFrame, most: int = 12) -> DataFrame:
     in_lot = Window.partitionBy("lot").orderBy(C.natural_key("wafer"))
     t = wafers.withColumn("in_lot", F.floor((F.row_number().over(in_lot) - 1) / most))
     per = t.groupBy("lot").agg((F.max("in_lot") + 1).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(C.natural_key("lot")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.join(per.select("lot", before.alias("before")), "lot").withColumn("page", F.col("before") + F.col("in_lot") + 1).drop("in_lot", "before")
+    return t.join(running(per, [C.natural_key("lot")], "before", F.col("n")).select("lot", "before"), "lot").withColumn("page", F.col("before") + F.col("in_lot") + 1).drop("in_lot", "before")
 
 
 def deck_meta(long: DataFrame) -> DataFrame:
@@ -72,7 +94,7 @@ def most_frequent(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 def column_order(wafers: DataFrame, grouped: bool = False) -> DataFrame:
     """Adds place: lot and wafer in natural order, within the group if grouped (no group last)."""
     first = [F.when(F.col("gid") != "", F.col("gid")).asc_nulls_last()] if grouped else []
-    return wafers.withColumn("place", F.row_number().over(Window.orderBy(*first, C.natural_key("lot"), C.natural_key("wafer"))))
+    return ranked(wafers, *first, C.natural_key("lot").asc(), C.natural_key("wafer").asc(), name="place")
 
 
 # Tables.
@@ -80,7 +102,7 @@ def column_order(wafers: DataFrame, grouped: bool = False) -> DataFrame:
 
 def summary(template: DataFrame, stats: DataFrame, specs: DataFrame, stat: str = "avg", ref: DataFrame | None = None) -> DataFrame:
     """Template rows x wafers: the statistic, its spec columns and offspec (of the mean without delta only)."""
-    t = template.join(stats, "item").join(F.broadcast(specs), "item", "left")
+    t = template.join(stats, "item").join(specs, "item", "left")
     if ref is not None:
         t = delta(t, ref, stat).withColumn(stat, F.col("delta")).drop("delta")
     flag = C.off_spec(stat, "lsl", "usl") if stat == "avg" and ref is None else F.lit(False)
@@ -89,7 +111,7 @@ def summary(template: DataFrame, stats: DataFrame, specs: DataFrame, stat: str =
 
 def group_table(template: DataFrame, groups: DataFrame, specs: DataFrame, ref: DataFrame | None = None) -> DataFrame:
     """Template rows x groups; offspec in any table without delta."""
-    t = template.join(groups, "item").join(F.broadcast(specs), "item", "left").withColumn("offspec", C.off_spec("value", "lsl", "usl") if ref is None else F.lit(False))
+    t = template.join(groups, "item").join(specs, "item", "left").withColumn("offspec", C.off_spec("value", "lsl", "usl") if ref is None else F.lit(False))
     return t if ref is None else delta(t, ref).withColumn("value", F.col("delta")).drop("delta")
 
 
@@ -126,7 +148,7 @@ def auto_groups(wafers: DataFrame, by: list[Column | str]) -> DataFrame:
     """lot, wafer, group, is_ref: a group for each value, in natural order, the first being the reference."""
     names = [C.natural_key(c) if isinstance(c, str) else c for c in by]
     g = wafers.select("lot", "wafer", F.struct(*names).alias("k"), F.concat_ws("-", *by).alias("name"))
-    ids = g.groupBy("k", "name").agg(F.count("*").alias("wafers")).withColumn("place", F.row_number().over(Window.orderBy("k")) - 1)
+    ids = running(g.groupBy("k", "name").agg(F.count("*").alias("wafers")), [F.col("k")], "place")
     return g.drop("name").join(ids, "k").select("lot", "wafer", F.concat(F.lit("g"), F.col("place").cast("string")).alias("gid"), "name", (F.col("place") == 0).alias("is_ref"))
 
 

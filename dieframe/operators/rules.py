@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -43,13 +43,20 @@ def validate(rules: list[dict]) -> tuple[list[dict], list[str]]:
 def apply_real(long: DataFrame, rules: DataFrame) -> DataFrame:
     """Items of the sheet only: value * scale, absolute if flagged, under their alias. rules: item, alias, scale, absolute."""
     scaled = F.col("value") * F.coalesce(F.when(F.col("scale") != 0, F.col("scale")), F.lit(1.0))
-    out = long.join(F.broadcast(rules), "item")  # a rule sheet has some thousand rows at most
+    out = long.join(rules, "item")
     return out.withColumn("value", F.when(F.coalesce("absolute", F.lit(False)), F.abs(scaled)).otherwise(scaled)).withColumn("item", F.col("alias")).drop("alias", "scale", "absolute")
 
 
-def reapply_absolute(wide: DataFrame, items: list[str]) -> DataFrame:
-    """Absolute values again on read (which changes nothing a second time); scales never."""
-    return wide.withColumns({i: F.abs(F.col(f"`{i}`")) for i in items if i in wide.columns})
+def reapply_absolute(wide: DataFrame, items: list[str], seen: Observation | None = None) -> DataFrame:
+    """Absolute values again on read (which changes nothing a second time); scales never.
+
+    seen counts what the read itself meets: applied (items of the frame) and turned (values that were negative).
+    """
+    own = [i for i in items if i in wide.columns]
+    if seen is not None:
+        turned = [F.count_if(F.col(f"`{i}`") < 0) for i in own]
+        wide = wide.observe(seen, F.lit(len(own)).cast("long").alias("applied"), sum(turned, F.lit(0).cast("long")).alias("turned"))
+    return wide.withColumns({i: F.abs(F.col(f"`{i}`")) for i in own})
 
 
 def _std_columns(formula: str, available: dict[str, str]) -> list[ast.Call]:

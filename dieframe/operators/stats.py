@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +50,16 @@ def lot_index(df: DataFrame) -> DataFrame:
     return df.groupBy("lot").agg(F.countDistinct("wafer").alias("wafers"))
 
 
+def smallest(df: DataFrame, c: str, most: int) -> DataFrame:
+    """One row: the `most` smallest distinct values of c, sorted. Each task keeps that many, whatever it reads."""
+    return df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most).agg(F.sort_array(F.collect_list(c)).alias(c))
+
+
 def lot_context(df: DataFrame, names: tuple[str, ...] = ("line", "process", "part"), most: int = 20, back: int = 180) -> DataFrame:
     """Up to `most` sorted values of each name, the first and last day, and where the lookback begins."""
-    sets = [F.slice(F.sort_array(F.collect_set(c)), 1, most).alias(c) for c in names if c in df.columns]
-    t = df.agg(*sets, F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last"))
-    return t.withColumn("since", F.date_sub("first", back))
+    days = df.agg(F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last")).withColumn("since", F.date_sub("first", back))
+    each = [smallest(df, c, most) for c in names if c in df.columns]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [*each, days])  # one row each
 
 
 def coverage_items(long: DataFrame) -> DataFrame:
@@ -63,15 +70,18 @@ def coverage_items(long: DataFrame) -> DataFrame:
 def coverage_lots(long: DataFrame, tolerance: float = 0.2) -> DataFrame:
     """Per lot its wafers, items, median points a wafer and conditions, against the base lot: most items, then the lowest id as text.
 
-    One pass: a wafer's points, items and conditions are bounded by the wafer, and lots are put together from wafers.
+    Items and conditions are told apart as rows before a lot's are put into a list: it holds each once, whatever the wafers.
     """
     cond = F.concat_ws("/", "step", F.col("temp").cast("string"), F.col("site").cast("string"))
-    wafers = long.groupBy("lot", "wafer").agg(F.size(F.collect_set("key")).alias("p"), F.collect_set(F.when(F.col("value").isNotNull(), F.col("item"))).alias("items"), F.collect_set(cond).alias("conditions"))
-    together = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    lots = wafers.groupBy("lot").agg(F.count("*").alias("wafers"), F.median("p").alias("points"), together("items"), together("conditions")).withColumn("n", F.size("items"))
-    best = F.min(F.struct((-F.col("n")).alias("fewer"), *(F.col(c) for c in ("lot", "items", "points", "conditions"))))
-    base = lots.where("n > 0").agg(best.alias("m")).select(*(F.col(f"m.{c}").alias(f"base_{c}") for c in ("lot", "items", "points", "conditions")))
-    out = lots.where("n > 0").crossJoin(F.broadcast(base))  # one row
+    wafers = long.select("lot", "wafer", "key").distinct().groupBy("lot", "wafer").agg(F.count("*").alias("p"))
+    points = wafers.groupBy("lot").agg(F.count("*").alias("wafers"), F.median("p").alias("points"))
+    has = F.explode(F.array(F.struct(F.lit("items").alias("of"), F.when(F.col("value").isNotNull(), F.col("item")).alias("name")), F.struct(F.lit("conditions").alias("of"), cond.alias("name")))).alias("h")
+    own = long.select("lot", has).select("lot", "h.of", "h.name").where("name IS NOT NULL").distinct()
+    names = [F.sort_array(F.collect_list(F.when(F.col("of") == of, F.col("name")))).alias(of) for of in ("items", "conditions")]
+    lots = own.groupBy("lot").agg(*names).withColumn("n", F.size("items")).where("n > 0").join(points, "lot")
+    best = F.min(F.struct((-F.col("n")).alias("fewer"), *(F.col(c) for c in ("lot", "items", "points", "conditions")))).alias("m")
+    base = lots.agg(best).select(*(F.col(f"m.{c}").alias(f"base_{c}") for c in ("lot", "items", "points", "conditions")))
+    out = lots.crossJoin(F.broadcast(base))  # one row
     ratio = F.try_divide(F.col("points"), F.col("base_points"))
     missing = {f"{word}_{of}": F.array_except(a, b) for word, of, a, b in (
         ("missing", "items", "base_items", "items"), ("missing", "conditions", "base_conditions", "conditions"), ("extra", "conditions", "conditions", "base_conditions"))}

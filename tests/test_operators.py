@@ -5,6 +5,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from dieframe.functions import columns as C
@@ -259,6 +260,75 @@ def test_resolve_lot(spark):
     assert {h for _, h in got["PA"]} == {"similar"} and len(got["ZZ"]) == 3
 
 
+def test_resolve_lot_equals_all_pairs(spark):
+    """Against every pair compared, with common beginnings, typing errors anywhere, other lengths, and nothing in common."""
+    r = random.Random(6)
+    stored = [f"PA{k:04}" for k in range(0, 400, 3)] + [f"pb{k}.1" for k in range(20)] + ["Q", "zz9", "PA0001X"]
+    typed = [r.choice(stored) for _ in range(10)]
+    for t in [r.choice(stored) for _ in range(25)]:
+        k = r.randrange(len(t))
+        typed += [t[:k] + r.choice("xQ7") + t[k + 1 :], t[:k] + t[k + 1 :] or "y"]
+    typed += ["", "0", "PA", "!!!!", "PA012", "A0000", "pA0003"]
+    got = {}
+    for x in J.resolve_lot(spark.createDataFrame([(t,) for t in typed], "typed string"), spark.createDataFrame([(t,) for t in stored], "lot string")).collect():
+        got.setdefault(x.typed, set()).add((x.lot, x.how))
+    for t in typed:
+        low = t.lower()
+        case = sorted(s for s in stored if s.lower() == low)
+        inside = [s for s in stored if low and low in s.lower()]
+        near = sorted(stored, key=lambda s: (-sum(a == b for a, b in zip(low, s.lower())), s))[:5]
+        want = {(t, "exact")} if t in stored else {(case[0], "case")} if case else {(inside[0], "part")} if len(inside) == 1 else {(s, "similar") for s in near}
+        assert got[t] == want, t
+
+
+def test_few_candidates_of_lots_with_one_beginning(spark):
+    """10,000 lots that all begin alike, 40 typed with an error: a few hundred pairs each instead of 10,000."""
+    r = random.Random(7)
+    lots = spark.range(10_000).selectExpr("concat('PA', lpad(cast(id AS string), 4, '0'), 'K') AS lot").selectExpr("lot", "lower(lot) AS low")
+    wrong = set()
+    while len(wrong) < 40:
+        t = f"pa{r.randrange(10_000):04}k"
+        k = r.randrange(2, 6)
+        wrong.add(t[:k] + "x" + t[k + 1 :])
+    typed = spark.createDataFrame([(t, t) for t in wrong], "typed string, own string")
+    assert J.near_lots(typed, lots).count() <= 40 * 300
+
+
+def test_running_numbers_without_one_task(spark):
+    rows = [(k, k % 7, k % 3) for k in range(500)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "a int, b int, n int")
+    out = P.running(df, [F.col("b").desc(), F.col("a").asc()], "before", F.col("n"))
+    want, total = {}, 0
+    for a, b, n in sorted(rows, key=lambda r: (-r[1], r[0])):
+        want[a] = total
+        total += n
+    assert {r.a: r.before for r in out.collect()} == want
+    ranks = P.ranked(df, F.col("a").asc(), name="place")
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert {r.a: r.place for r in ranks.collect()} == {k: k + 1 for k in range(500)}
+    assert plan.count("SinglePartition") == 1 and "_sum" in plan.split("SinglePartition")[1].split("Scan")[0]  # under it: the ranges' sums
+    assert P.running(df.where("false"), [F.col("a").asc()], "x").count() == 0
+
+
+def test_smallest_values_stay_few(spark):
+    df = spark.createDataFrame([(f"v{k % 50:02}", None, T0) for k in range(300)], "line string, part string, ts timestamp_ntz")
+    out = S.lot_context(df, most=3).first()
+    assert (out.line, out.part, out.first) == (["v00", "v01", "v02"], [], T0.date())
+    assert "TakeOrderedAndProject" in S.smallest(df, "line", 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dropped_and_applied_rows_are_counted(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1, -1.0), ("B", 1, 2.0), (None, 1, -3.0)], "step string, site int, v double")
+    seen = Observation()
+    J.by_condition(df, step="A", seen=seen).write.parquet(str(tmp_path / "a"))
+    assert seen.get == {"kept": 1, "dropped": 2}
+    seen = Observation()
+    once = R.reapply_absolute(df, ["v", "gone"], seen)
+    once.write.parquet(str(tmp_path / "b"))
+    assert seen.get == {"applied": 1, "turned": 2} and [r.v for r in spark.read.parquet(str(tmp_path / "b")).orderBy("v").collect()] == [1.0, 2.0, 3.0]
+
+
 def test_tracking(spark):
     t = spark.createDataFrame([("l", "1", "s1", "p", None, 1), ("l", "1", "s1", None, "r", 2), ("l", "2", "s1", "q", None, 1), ("l", "3", "s1", "q", None, 1), ("l", "1", "s2", "u", None, 1), ("l", "2", "s2", "u", None, 1), ("l", "3", "s10", "", "", 1)], "lot string, wafer string, step string, ppid string, reticle string, ts int")
     c = O.track_condition(t)
