@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, batch_of, by_value, cut, mix, sized, table
+from .common import U, batch_of, by_value, cut, mix, released, sized, table
 
 #: Bytes of terms stay, A-Z as a-z; all others become blanks. Bytes of 128 and more belong to terms.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -191,7 +191,7 @@ def _postings(word: dict[bytes, int], id_col: str, text_col: str, docs: DataFram
 
     shared = by_value(docs.sparkSession, word)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "place long, doc_id long, length long, term binary, tf binary")
+    return rows.mapInArrow(released(run), "place long, doc_id long, length long, term binary, tf binary")
 
 
 def _counts(width: int):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import sized, table
+from .common import released, sized, table
 
 #: White space that str.split() cuts at but that is an ordinary character to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -49,7 +49,7 @@ END = "</w>"
 NEVER = 1 << 60  # ranks of no merge
 NO_RANK = (1 << 31) - 1  # the same in arrays
 BITS = 32  # of an id in a pair
-SLICE = 4 << 20  # bytes of text whose new words are taken together
+SLICE = 2 << 20  # bytes of text whose new words are taken together
 TOGETHER = 1 << 13  # fragments merged in one go
 LONG = 48  #: letters of a fragment or piece beyond which it is not kept, and merged through a heap
 
@@ -358,7 +358,7 @@ def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataT
         words.forget()  # a worker process goes on to other work
 
     fields = reduce(lambda s, f: s.add(f), docs.schema.fields, type(docs.schema)())
-    return docs.mapInArrow(run, reduce(lambda s, c: s.add(c, made[c][1]), made, fields))
+    return docs.mapInArrow(released(run), reduce(lambda s, c: s.add(c, made[c][1]), made, fields))
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

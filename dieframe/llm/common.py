@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,35 @@ def sized(batches: Iterator[pa.RecordBatch], column: int, rows: int = 512, most:
             at = end
 
 
+def release() -> None:
+    """Gives freed memory back to the machine. Worker processes live on from task to task and stage to stage, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """A function over a task's batches that releases memory when it is through."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
+def released_group(run: Callable) -> Callable:
+    """The same for a function over one group's table (or two)."""
+
+    def one(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        release()
+        return out
+
+    return (lambda a: one(a)) if run.__code__.co_argcount == 1 else (lambda a, b: one(a, b))
+
+
 def by_value(spark: SparkSession, value: object) -> Broadcast:
     """Broadcasts a pickle that holds the classes it needs, for executors without this package."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -25,7 +25,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, joined, mix, pack, packed_batch, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
+from .common import U, cut, joined, mix, pack, packed_batch, released, released_group, rolling, runs, shuffle_parts, slices, table, unpack, word_hashes, words_of
 from .components import components
 
 ROOM = 1_000_000  #: shingles that meet in one task
@@ -297,9 +297,9 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int,
     often = classes.where("n < 0").groupBy(F.col("tie").alias("shingle")).agg(F.sum("n").alias("n")).where(F.col("n") <= -least)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.shingle for r in often.collect()], np.int64).view(U)))
     sets = cut(
-        texts.mapInArrow(_spread(width, buckets, hot), "bucket int, owner binary, n binary, key binary, size binary")
-        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared(buckets, hot), PACKED)
-        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(_candidates(percent), "cls long, n long, keys array<long>, lead long, common double, sig array<int>")
+        texts.mapInArrow(released(_spread(width, buckets, hot)), "bucket int, owner binary, n binary, key binary, size binary")
+        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(released_group(_shared(buckets, hot)), PACKED)
+        .repartition(parts, "bucket").groupBy("bucket").applyInArrow(released_group(_candidates(percent)), "cls long, n long, keys array<long>, lead long, common double, sig array<int>")
     )
     prefix = sets.where("lead > 0").select("cls", "n", "common", (F.col("n") - F.size("keys")).alias("rare"), F.posexplode(F.slice("keys", F.lit(1), F.col("lead").cast("int"))).alias("i", "token")).select("token", "cls", "n", "common", (F.col("rare") + F.col("i")).alias("pos"))
     many = cut(prefix.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct("common", "cls")).alias("hub")).where("many > 1").select("token", "many", F.col("hub.cls").alias("hub")))
@@ -318,7 +318,7 @@ def class_links(classes: DataFrame, texts: DataFrame, percent: int, width: int,
 
 def members(texts: DataFrame, percent: int, width: int, group: int, block: int, room: int) -> DataFrame:
     """doc, tie, n (shingles) and component (null without shingles) of each row of texts (doc, text, tie)."""
-    classes = cut(texts.select("doc", "text", "tie").mapInArrow(_classes(width), "doc long, tie long, n long, cls long"))
+    classes = cut(texts.select("doc", "text", "tie").mapInArrow(released(_classes(width)), "doc long, tie long, n long, cls long"))
     comp = components(class_links(classes, texts.select("text"), percent, width, group, block, room))
     known = classes.where("cls IS NOT NULL").join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("doc", "tie", "n", F.coalesce("component", "cls").alias("component"))
     return known.unionByName(classes.where("cls IS NULL AND n = 0").select("doc", "tie", "n", F.lit(None).cast("long").alias("component")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bpe
-from .common import batch_of, cut, sized, table
+from .common import batch_of, cut, released, sized, table
 
 MOST_LENGTHS = 1 << 16  #: capacities up to this, so that the histogram and the plan stay small
 RANKS = 46  #: bits of a rank within a length
@@ -155,7 +155,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str =
         words.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, sized, table, words_of
+from .common import batch_of, released, sized, table, words_of
 
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 RUN_DDL = "array<struct<start: long, length: long, period: long>>"
@@ -152,7 +152,7 @@ def collapse_runs(docs: DataFrame, least: int = 6, exponent: int = 4, id_col: st
             }
             yield batch_of(rows, doc_id=pa.int64(), n_words=pa.int64(), runs=pa.list_(RUN), collapsed=pa.string())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, n_words long, runs {RUN_DDL}, collapsed string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), f"doc_id long, n_words long, runs {RUN_DDL}, collapsed string")
 
 
 def planted(doc_id: int | None, text: str | None) -> list[bytes]:

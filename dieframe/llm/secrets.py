@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, by_value, cut, mix, sized, table
+from .common import U, by_value, cut, mix, released, sized, table
 from .convnet import LOW, ConvNet
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -358,7 +358,7 @@ def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, rec
     if found is not None:
         own = found.where("start < end").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("own"))
         rows = docs.select("doc_id", "text").join(own, "doc_id", "left").select("text", "own")
-    sample = cut(rows.mapInArrow(_lowest(most), "stratum int, h long, around string"))
+    sample = cut(rows.mapInArrow(released(_lowest(most)), "stratum int, h long, around string"))
     # Each task gives its lowest; of those, the lowest again.
     place = F.row_number().over(Window.partitionBy("stratum").orderBy("h"))
     quota = F.when(F.col("stratum") < STRATA // 2, _quota(0, most)).otherwise(_quota(STRATA - 1, most))
@@ -380,7 +380,7 @@ def train(docs: DataFrame, found: DataFrame | None = None, most: int = 3000, rec
     net = ConvNet(fitted.pop("vocabulary"))
     vars(net).update(fitted)
     shared = by_value(docs.sparkSession, Detector(net))
-    bins = rows.mapInArrow(_histogram(shared, last), "label int, fit boolean, step int, many long").groupBy("label", "fit", "step").agg(F.sum("many").alias("many")).collect()
+    bins = rows.mapInArrow(released(_histogram(shared, last)), "label int, fit boolean, step int, many long").groupBy("label", "fit", "step").agg(F.sum("many").alias("many")).collect()
     unseen = {r.label for r in bins if not r.fit}
     bins = [r for r in bins if not r.fit or r.label not in unseen]
     label, step, many = (np.array([r[c] for r in bins]) for c in ("label", "step", "many"))
@@ -425,7 +425,7 @@ def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, pa.list_(SPAN))], names=["doc_id", "spans"])
 
     own_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {own_type}, spans {SPAN_DDL}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {own_type}, spans {SPAN_DDL}")
 
 
 def masked(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
@@ -453,7 +453,7 @@ def redact(docs: DataFrame, detector: Detector | None) -> DataFrame:
             new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
             yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(names)], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def _joined(spans: str):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, by_value, cut, sized, table, word_hashes
+from .common import U, by_value, cut, released, sized, table, word_hashes
 from .convnet import ConvNet, frequent
 
 #: ASCII punctuation and controls, as blanks.
@@ -83,7 +83,7 @@ def _logits(docs: DataFrame, net: ConvNet) -> DataFrame:
             made = own.logits(part.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.float64())], names=["doc_id", "lang", "logit"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, logit double")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(released(run), "doc_id long, lang string, logit double")
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 3000, seed: int = 7) -> Model:
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             made = own.scores(part.column(names.index(text_col)).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.float64())], names=[*part.schema.names, out_col])
 
-    return docs.mapInArrow(run, type(docs.schema)([*docs.schema.fields]).add(out_col, "double"))
+    return docs.mapInArrow(released(run), type(docs.schema)([*docs.schema.fields]).add(out_col, "double"))
 
 
 def rejected(scored: DataFrame, model: Model, lang_col: str = "lang", score_col: str = "score") -> DataFrame:
