@@ -356,4 +356,5 @@ def representatives(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document, by 5-word shingles and a similarity of 0.8. See `near_duplicates` for nulls and repeated ids."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -256,4 +256,5 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each document, by windows of 13 words. See `remove_repeats` for nulls, ties and repeated ids."""
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")

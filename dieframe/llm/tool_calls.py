@@ -57,34 +57,66 @@ def levels(calls: DataFrame) -> DataFrame:
     return ids.join(found, "call_id", "left")
 
 
-def _errors(fields: str, types: str):
-    """Missing, mistyped and unknown arguments, sorted. fields: array of (key, type, required)."""
+def _depth(schemas: DataFrame) -> int:
+    """How deep the schemas' keys go: a. b. c is three deep, and so is a[].c."""
+    deep = F.expr("aggregate(fields, 1, (d, f) -> greatest(d, 1 + regexp_count(coalesce(f.key, ''), '\\\\.|\\\\[]')))")
+    return schemas.agg(F.max(deep)).first()[0] or 1
+
+
+def _entries(arguments: str, fields: str, depth: int):
+    """Every value that a schema looks at: path, type and JSON text. Values in an object stand at parent.key, those in an array at parent[].
+
+    A value's own parts are only looked at where some key of the schema lies behind it, so its depth bounds theirs.
+    """
+    levels = [f"transform(map_entries(from_json({arguments}, 'map<string, variant>')), e -> named_struct('path', e.key, 'value', e.value))"]
+    inside = "transform(map_entries(from_json(to_json(e.value), 'map<string, variant>')), c -> named_struct('path', concat(e.path, '.', c.key), 'value', c.value))"
+    items = "transform(from_json(to_json(e.value), 'array<variant>'), c -> named_struct('path', concat(e.path, '[]'), 'value', c))"
+    for _ in range(depth - 1):
+        parts = f"""CASE WHEN NOT exists({fields}, f -> startswith(f.key, concat(e.path, '.')) OR startswith(f.key, concat(e.path, '[]'))) THEN NULL
+            WHEN startswith(schema_of_variant(e.value), 'OBJECT') THEN {inside} WHEN startswith(schema_of_variant(e.value), 'ARRAY') THEN {items} END"""
+        levels.append(f"flatten(filter(transform({levels[-1]}, e -> {parts}), x -> x IS NOT NULL))")
+    return F.expr(f"transform(concat({', '.join(levels)}), e -> named_struct('path', e.path, 'type', schema_of_variant(e.value), 'text', to_json(e.value)))")
+
+
+def _errors(fields: str, entries: str, listed: bool):
+    """Missing, mistyped and unknown arguments, and values that aren't listed, sorted; each once."""
     pattern = "map(" + ", ".join(f"'{k}', '^{v}$'" for k, v in TYPES.items()) + ")"
-    return F.expr(f"""array_sort(concat(
-        transform(filter({fields}, f -> f.required AND NOT map_contains_key({types}, f.key)), f -> concat('missing ', f.key)),
-        transform(filter({fields}, f -> map_contains_key({types}, f.key) AND NOT {types}[f.key] RLIKE {pattern}[f.type]), f -> concat('type ', f.key)),
-        transform(filter(map_keys({types}), k -> NOT exists({fields}, f -> f.key = k)), k -> concat('unknown ', k))))""")
+    own = f"filter({entries}, e -> e.path = f.key)"
+    parent = r"regexp_replace(f.key, '(\\.[^.\\[]*|\\[])$', '')"
+    needed = rf"IF({parent} = f.key, 1, size(filter({entries}, e -> e.path = {parent} AND startswith(e.type, 'OBJECT'))))"
+    values = f"transform(filter({{0}}, f -> f.values IS NOT NULL AND exists({own}, e -> NOT array_contains(f.values, e.text))), f -> concat('value ', f.key)),".format(fields) if listed else ""
+    return F.expr(f"""array_sort(array_distinct(concat(
+        transform(filter({fields}, f -> f.required AND NOT endswith(f.key, '[]') AND size({own}) < {needed}), f -> concat('missing ', f.key)),
+        transform(filter({fields}, f -> exists({own}, e -> NOT e.type RLIKE {pattern}[f.type])), f -> concat('type ', f.key)), {values}
+        transform(filter({entries}, e -> NOT endswith(e.path, '[]') AND NOT exists({fields}, f -> f.key = e.path)), e -> concat('unknown ', e.path)))))""")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """conv_id, turn, call_id, level, status, valid, errors, canonical of each call and of each result without one.
 
     calls: conv_id, turn, call_id, name, arguments (JSON), waits_for (array of call ids). results: call_id, seq,
-    content. schemas: name, fields (array of key, type, required), one row a tool.
+    content. schemas: name, fields (array of key, type, required and, if there are any, values), one row a tool. Other
+    columns, whatever their names, are left out.
+
+    A key names an argument, and a dotted one a part of it: a.b is b in the object a, a[] the items of an array, a[].b
+    what each of them has. An object none of whose parts is named may hold anything. values lists what is allowed, as
+    JSON text. A required part is missing if an object that should hold it is there without it.
 
     status is linked, unanswered (no result) or orphan (a result without call: no canonical form). A repeated
     call id counts once, the first by conv_id, turn and the rest; of several results of a call, the first by seq
     and content. Nulls come first in these. Arguments that are no JSON object, or a tool without a schema, are
     errors, and canonical then holds no arguments. A null call id links with nothing: it is unanswered or orphan.
     """
+    calls = calls.select("conv_id", "turn", "call_id", "name", "arguments", "waits_for")
+    results, schemas = results.select("call_id", "seq", "content"), schemas.select("name", "fields")
     known = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("conv_id", "turn", "name", "arguments", "waits_for")).alias("c")).select("call_id", "c.*")
     nameless = calls.where("call_id IS NULL").withColumn("level", F.lit(0))
     ordered = known.join(levels(known.select("call_id", "waits_for")), "call_id")
     first = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("seq", "content")).alias("r")).select("call_id", "r.content", F.lit(True).alias("answered"))
     linked = ordered.unionByName(nameless).join(first.hint("shuffle_hash"), "call_id", "left").join(schemas, "name", "left")
-    linked = linked.withColumn("types", F.expr("transform_values(from_json(arguments, 'map<string, variant>'), (k, v) -> schema_of_variant(v))"))
-    linked = linked.withColumn("parsed", F.when(F.col("types").isNotNull(), F.expr("try_parse_json(arguments)")))
-    errors = F.when(F.col("fields").isNull(), F.array(F.lit("no schema"))).when(F.col("parsed").isNull(), F.array(F.lit("no JSON object"))).otherwise(_errors("fields", "types"))
+    linked = linked.withColumn("entries", _entries("arguments", "fields", _depth(schemas)))
+    linked = linked.withColumn("parsed", F.when(F.col("entries").isNotNull(), F.expr("try_parse_json(arguments)")))
+    errors = F.when(F.col("fields").isNull(), F.array(F.lit("no schema"))).when(F.col("parsed").isNull(), F.array(F.lit("no JSON object"))).otherwise(_errors("fields", "entries", "values" in schemas.schema["fields"].dataType.elementType.names))
     linked = linked.withColumn("errors", errors)
     canonical = F.to_json(F.struct(F.col("parsed").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result")))
     out = linked.select("conv_id", "turn", "call_id", "level", F.when(F.col("answered"), "linked").otherwise("unanswered").alias("status"), (F.size("errors") == 0).alias("valid"), "errors", canonical.alias("canonical"))

@@ -171,6 +171,10 @@ HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 3 = 1"
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document, by a model that no held-out row has a part in.
+
+    A null id is not held out. Null, empty and wordless texts get the score of no evidence; repeated rows and ids a row each.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(f"NOT ({HELD_OUT})"), table(spark, sf_dir, "labels").where(f"NOT ({HELD_OUT})"))
     out = score(docs.select("doc_id", "text"), model)

@@ -547,8 +547,15 @@ def samples_of(media: bytes) -> np.ndarray:
 
 
 def stored(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_bytes and media (WebP bytes) instead of the text. A null text counts as empty; that is one row of 255."""
+    """docs with n_bytes and media (WebP bytes) instead of the text. A null text counts as empty; that is one row of 255.
+
+    Repeated rows are stored each for itself, equal texts as equal bytes; an empty table gives no rows. Other columns
+    are kept, but one that is called n_bytes or media already is an error.
+    """
     names = [c for c in docs.columns if c != text_col]
+    clash = {"n_bytes", "media"} & {c.lower() for c in names}
+    if clash:
+        raise ValueError(f"columns that exist already: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -603,4 +610,5 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op7_webp(spark, sf_dir: str) -> DataFrame:
+    """doc_id, sizes, digests and features of each document's text as stored and read back; null counts as empty, rows that share an id stand each for itself."""
     return features(stored(table(spark, sf_dir, "documents").select("doc_id", "text")))

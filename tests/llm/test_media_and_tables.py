@@ -322,6 +322,41 @@ def test_tool_calls(spark):
     assert tool_calls.link(c.where("false"), r.where("false"), s).count() == 0
 
 
+def test_nested_schemas(spark):
+    """Parts of objects, items of arrays, what each of them has, listed values, and objects that may hold anything."""
+    fields = [("f", "object", True, None), ("f.lang", "string", True, ['"en"', '"fr"']), ("f.n", "integer", False, ["1", "2"]), ("a", "array", False, None), ("a[]", "object", False, None), ("a[].id", "integer", True, None),
+              ("a[].t", "array", False, None), ("a[].t[]", "string", False, None), ("any", "object", False, None)]
+    cases = {
+        "a": ('{"f":{"lang":"en","n":2},"a":[{"id":1,"t":["x"]},{"id":2}],"any":{"z":[1]}}', []),
+        "b": ('{"f":{"lang":"de","n":3,"more":1}}', ["unknown f.more", "value f.lang", "value f.n"]),
+        "c": ('{"f":{},"a":[{"id":1},{}]}', ["missing a[].id", "missing f.lang"]),
+        "d": ('{"f":7,"a":[1,{"id":"x","t":[1]}]}', ["type a[]", "type a[].id", "type a[].t[]", "type f"]),
+        "e": ('{"a":{}}', ["missing f", "type a"]),
+        "f": ('{"f":{"lang":"fr"},"a":[],"g":1}', ["unknown g"]),
+    }
+    c = spark.createDataFrame([(1, k, name, "t", x[0], []) for k, (name, x) in enumerate(cases.items())], "conv_id long, turn long, call_id string, name string, arguments string, waits_for array<string>")
+    s = spark.createDataFrame([("t", fields), ("flat", [("f", "string", True, None)])], "name string, fields array<struct<key: string, type: string, required: boolean, values: array<string>>>")
+    r = spark.createDataFrame([("a", 1, "r")], "call_id string, seq long, content string")
+    assert {x.call_id: x.errors for x in tool_calls.link(c, r, s).collect()} == {k: e for k, (_, e) in cases.items()}
+
+
+def test_tool_calls_beside_other_columns(spark):
+    c = spark.createDataFrame([(1, 1, "a", "t", '{"n": 1}', [])], "conv_id long, turn long, call_id string, name string, arguments string, waits_for array<string>")
+    c = c.selectExpr("*", "1 AS level", "2 AS status", "3 AS content", "4 AS fields").unionByName(c.selectExpr("conv_id", "3 AS turn", "CAST(NULL AS string) AS call_id", "name", "arguments", "waits_for", "1 AS level", "2 AS status", "3 AS content", "4 AS fields"))
+    r = spark.createDataFrame([("a", 1, "r")], "call_id string, seq long, content string").selectExpr("*", "5 AS turn", "6 AS status", "'x' AS name")
+    s = spark.sql("SELECT 't' AS name, array(named_struct('key', 'n', 'type', 'integer', 'required', true)) AS fields, 7 AS level, 8 AS errors, 9 AS conv_id")
+    assert sorted((str(x.call_id), x.turn, x.status, x.valid) for x in tool_calls.link(c, r, s).collect()) == [("None", 3, "unanswered", True), ("a", 1, "linked", True)]
+
+
+def test_stored_media_of_nothing_and_beside_other_columns(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert webp.stored(docs.where("false")).count() == 0 and webp.features(webp.stored(docs.where("false"))).count() == 0
+    assert webp.decoded(webp.stored(docs.where("false"))).count() == 0
+    assert webp.stored(docs.selectExpr("*", "1 AS feature", "2 AS images")).columns == ["doc_id", "feature", "images", "n_bytes", "media"]
+    with pytest.raises(ValueError, match="exist already"):
+        webp.stored(docs.selectExpr("*", "1 AS Media"))
+
+
 def test_levels_equal_the_longest_way(spark):
     """Lines of hundreds of calls, calls that wait for several, cycles, and what stands behind them."""
     r = random.Random(8)
