@@ -141,12 +141,24 @@ def unpivot_items(wide: DataFrame, items: list[str]) -> DataFrame:
     return wide.unpivot([c for c in wide.columns if c not in items], items, "item", "value").where("value IS NOT NULL")
 
 
+# The corner columns of a rule sheet.
+CORNERS = {"global": ["FFG", "FSG", "SSG", "SFG"], "functional": ["FF", "SS", "SF", "FS"]}
+
+
+def corners_of(rules: DataFrame, kind: str) -> DataFrame:
+    """item, corner, limit of the corner columns of one kind that the sheet has, whatever their case; an unknown kind has none."""
+    own = {c.upper(): c for c in rules.columns}
+    found = rules.select("item", *(F.col(own[c]).cast("double").alias(c) for c in CORNERS.get(kind, []) if c in own))
+    if len(found.columns) == 1:
+        return found.select("item", F.lit(None).cast("string").alias("corner"), F.lit(None).cast("double").alias("limit")).where("false")
+    return corners(found, found.columns[1:])
+
+
 def corners(rules: DataFrame, names: list[str]) -> DataFrame:
     """item, corner, limit of each finite corner specification."""
     return rules.unpivot(["item"], names, "corner", "limit").where("limit IS NOT NULL AND NOT isnan(limit) AND abs(limit) < double('Infinity')")
 
 
-def corner_pairs(rules: DataFrame, names: list[str], x: str, y: str) -> DataFrame:
-    """corner, x, y: limits of two items paired by the corner's name."""
-    c = corners(rules, names)
+def corner_pairs(c: DataFrame, x: str, y: str) -> DataFrame:
+    """corner, x, y: limits of two items (item, corner, limit) paired by the corner's name."""
     return c.where(F.col("item") == x).select("corner", F.col("limit").alias("x")).join(c.where(F.col("item") == y).select("corner", F.col("limit").alias("y")), "corner")

@@ -169,13 +169,19 @@ def pearson(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFram
 # Ranges of axes.
 
 
-def item_range(long: DataFrame, specs: DataFrame, log_items: list[str] = (), margin: float = 0.2, manual: DataFrame | None = None) -> DataFrame:
+def item_range(
+    long: DataFrame, specs: DataFrame, log_items: list[str] = (), margin: float = 0.2, manual: DataFrame | None = None, corners: DataFrame | None = None,
+) -> DataFrame:
     """item, lo, hi: values and spec limits with a margin on their span (in decades for log items, where only positive ones count).
 
+    corners (item, corner, limit; see `rules.corners`): items that have some take these limits in place of lsl and usl.
     Without span a tenth of the size, or 1, stands in. A manual end replaces the computed one.
     """
     log = F.col("item").isin(list(log_items))
-    rows = long.select("item", "value").unionByName(specs.select("item", F.explode(F.array("lsl", "usl")).alias("value"))).where("value IS NOT NULL").where(~log | (F.col("value") > 0))
+    limits = specs.select("item", F.explode(F.array("lsl", "usl")).alias("value"))
+    if corners is not None:
+        limits = limits.join(corners.select("item").distinct(), "item", "left_anti").unionByName(corners.select("item", F.col("limit").alias("value")))
+    rows = long.select("item", "value").unionByName(limits).where("value IS NOT NULL").where(~log | (F.col("value") > 0))
     t = rows.join(long.select("item").distinct(), "item", "left_semi").withColumn("value", F.when(log, F.log10("value")).otherwise(F.col("value")))
     t = t.groupBy("item").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     pad = F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) * margin / 2).when(F.col("a") != 0, F.abs("a") * 0.1).otherwise(F.lit(1.0))
@@ -216,10 +222,10 @@ def box_stats(long: DataFrame, by: tuple[str, ...] = ("gid", "category")) -> Dat
     return joined.groupBy(*by, "q1", "med", "q3").agg(F.min(F.when(F.col("in"), F.col("value"))).alias("low"), F.max(F.when(F.col("in"), F.col("value"))).alias("high"), F.count(F.when(~F.col("in"), 1)).alias("fliers"))
 
 
-def box_values(points: DataFrame, item: str, stat: Column, by: str = "category") -> DataFrame:
-    """Per category, lot and wafer a statistic of an item's values (stat: an aggregate of value)."""
-    rows = points.select(by, "lot", "wafer", F.col(f"`{item}`").alias("value")).where("value IS NOT NULL")
-    return rows.groupBy(by, "lot", "wafer").agg(stat.alias("value"))
+def box_values(points: DataFrame, item: str, stat: Column | None = None, by: str = "category") -> DataFrame:
+    """Per category, lot and wafer a statistic of an item's values (stat: an aggregate of value); without one, each point's value, with its key."""
+    rows = points.select(by, "lot", "wafer", *(["key"] if stat is None else []), F.col(f"`{item}`").alias("value")).where("value IS NOT NULL")
+    return rows if stat is None else rows.groupBy(by, "lot", "wafer").agg(stat.alias("value"))
 
 
 def bar_means(points: DataFrame, item: str, mean: Column, by: tuple[str, ...] = ("gid", "category")) -> DataFrame:
@@ -239,11 +245,28 @@ def null_safe_join(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame
     return null_safe(a, b, list(by), "inner")
 
 
-def trend_points(long: DataFrame, geometry: DataFrame, stat: Column, over: Column, by: tuple[str, ...] = ("gid",)) -> tuple[DataFrame, DataFrame]:
-    """Wafer points and group lines of each item at its x position; items without one are left out."""
+def trend_points(long: DataFrame, geometry: DataFrame, stat: Column, over: Column, targets: DataFrame | None = None, points: bool = False) -> DataFrame:
+    """kind, gid, lot, wafer, item, x, value: what a trend shows of each item at its x position; items without one are left out.
+
+    Kinds: strip (a dot a wafer, or a point each with `points`), lot and group (lines over wafer values), target (marks; from
+    item, target). Wafer values are computed once, and the three levels over them in one expand.
+    """
     at = geometry.where("x IS NOT NULL").select("item", "x")
-    points = long.groupBy(*by, "lot", "wafer", "item").agg(stat.alias("value")).join(at, "item")
-    return points, points.groupBy(*by, "item", "x").agg(over.alias("value"))
+    each = long.groupBy("gid", "lot", "wafer", "item").agg(stat.alias("value")).join(at, "item")
+    shared = [F.col("gid"), F.col("item"), F.col("x")]
+    wafer, lot = [*shared, F.col("lot"), F.col("wafer")], [*shared, F.col("lot")]
+    levels = [lot, shared] if points else [wafer, lot, shared]
+    sets = each.groupingSets(levels, *wafer).agg(over.alias("value"), F.grouping("wafer").alias("_w"), F.grouping("lot").alias("_l"))
+    kind = F.when(F.col("_w") == 0, "strip").when(F.col("_l") == 0, "lot").otherwise("group")
+    columns = ["kind", "gid", "lot", "wafer", "item", "x", "value"]
+    out = sets.withColumn("kind", kind).select(columns)
+    if points:
+        out = out.unionByName(long.where("value IS NOT NULL").join(at, "item").withColumn("kind", F.lit("strip")).select(columns))
+    if targets is not None:
+        there = targets.where("target IS NOT NULL").join(at, "item").join(each.select("item").distinct(), "item", "left_semi")
+        marks = there.select(F.lit("target").alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("gid", "lot", "wafer")), "item", "x", F.col("target").alias("value"))
+        out = out.unionByName(marks)
+    return out
 
 
 def natural_order(df: DataFrame, *columns: str) -> DataFrame:

@@ -439,8 +439,9 @@ B.PARTS["loaded"] = (("split",), f"SELECT lot, wafer, coalesce(M1, {MODE.format(
 
 @query("split_load", "SELECT * FROM loaded", "loaded")
 def split_load(spark, sf):
+    """From a long sheet under other headings."""
     long = _split(spark, sf).unpivot(["lot", "wafer"], ["M1", "M2"], "step_id", "code").withColumn("code", F.coalesce("code", F.lit(" ")))
-    return O.split_load(long, ["M1", "M2"])
+    return O.split_load(long.withColumnsRenamed({"lot": "Root_Lot_Id", "wafer": "WAFER_ID", "step_id": "STEP_ID", "code": "Condition"}), ["M1", "M2"])
 
 
 def _loaded(spark, sf):
@@ -464,21 +465,39 @@ def pearson(spark, sf):
 
 @query("vote_factors")
 def vote_factors(spark, sf):
-    w = B.points(spark, sf).groupBy("lot", "wafer").agg(*(F.avg(c).alias(c) for c in ITEMS), F.count("*").cast("double").alias("points"))
-    return O.vote_factors(w, "PRICE", ["QTY", "DISC", "points"])
+    return O.vote_factors(_wafers(spark, sf), "PRICE", ["QTY", "DISC", "points"])
 
 
-@query("tbl_factor")
+def _wafers(spark, sf):
+    long = B.points_long(spark, sf).groupBy("lot", "wafer", "item").agg(mean().alias("value"), F.count("*").alias("n"))
+    of = lambda item, c="value": F.max(F.when(F.col("item") == item, F.col(c)))
+    return long.groupBy("lot", "wafer").agg(*(of(i).alias(i) for i in ITEMS), of("QTY", "n").cast("double").alias("points"))
+
+
+FACTORS = f"""WITH means AS (SELECT lot, wafer, item, {EXACT} AS value, count(*) AS n FROM plong GROUP BY lot, wafer, item),
+  w AS (SELECT lot, wafer, max(value) FILTER (item = 'QTY') AS QTY, max(value) FILTER (item = 'PRICE') AS PRICE, max(value) FILTER (item = 'DISC') AS DISC, (max(n) FILTER (item = 'QTY'))::DOUBLE AS points FROM means GROUP BY lot, wafer),
+  c AS (SELECT lot, wafer, PRICE - avg(PRICE) OVER l AS y, QTY - avg(QTY) OVER l AS QTY, DISC - avg(DISC) OVER l AS DISC, points - avg(points) OVER l AS points FROM w WINDOW l AS (PARTITION BY lot)),
+  long_c AS (SELECT 'QTY' AS factor, QTY AS x, y FROM c UNION ALL SELECT 'DISC', DISC, y FROM c UNION ALL SELECT 'points', points, y FROM c),
+  spots AS (SELECT factor, x, count(*) AS m, sum(y) AS s, sum(y * y) AS q FROM long_c GROUP BY factor, x),
+  cut AS (SELECT factor, sum(m) OVER u AS m, sum(s) OVER u AS s, sum(m) OVER a AS am, sum(s) OVER a AS asum, sum(q) OVER a AS aq FROM spots WINDOW u AS (PARTITION BY factor ORDER BY x), a AS (PARTITION BY factor))
+SELECT factor, round(max(CASE WHEN am > m THEN (s * s / m + (asum - s) * (asum - s) / (am - m) - asum * asum / am) / (aq - asum * asum / am) END), 6) AS gain, max(am)::BIGINT AS n FROM cut GROUP BY factor"""
+
+
+@query("tbl_factor", f"SELECT g.factor, g.gain, g.n, r.r FROM ({FACTORS}) g JOIN (SELECT factor, round(corr(x, y), 3) AS r FROM ({FACTORS.split('  spots AS')[0].rstrip().rstrip(',')} SELECT * FROM long_c) t GROUP BY factor) r USING (factor)", "plong")
 def tbl_factor(spark, sf):
-    return vote_factors(spark, sf).select("factor", F.round("r", 3).alias("r"), "votes", "n")
+    """The factor table's exact columns; the votes beside them are those of `vote_factors`."""
+    t = vote_factors(spark, sf)
+    return t.select("factor", F.round("gain", 6).alias("gain"), "n", F.round("r", 3).alias("r"))
 
 
 # Plot data.
 
 
-@query("item_range", """SELECT item, CASE WHEN item = 'PRICE' THEN 0.0 ELSE round(a - (b - a) * 0.1, 8) END AS lo, round(b + (b - a) * 0.1, 8) AS hi FROM (SELECT item, least(min(value), min(lsl)) AS a, greatest(max(value), max(usl)) AS b FROM plong JOIN specs USING (item) GROUP BY item) t""", "plong", "specs")
+@query("item_range", """SELECT item, CASE WHEN item = 'PRICE' THEN 0.0 ELSE round(a - (b - a) * 0.1, 8) END AS lo, round(b + (b - a) * 0.1, 8) AS hi FROM
+  (SELECT item, CASE item WHEN 'QTY' THEN least(min(value), 0.5) ELSE least(min(value), min(lsl)) END AS a, CASE item WHEN 'QTY' THEN greatest(max(value), 70.5) ELSE greatest(max(value), max(usl)) END AS b FROM plong JOIN specs USING (item) GROUP BY item) t""", "plong", "specs")
 def item_range(spark, sf):
-    t = S.item_range(B.points_long(spark, sf), B.specs(spark), manual=_values(spark, "('PRICE', 0.0D, CAST(NULL AS double))", "item, lo, hi"))
+    corners = R.corners_of(_values(spark, "('QTY', 70.5D, CAST(NULL AS double), 0.5D), ('DISC', NULL, NULL, NULL)", "item, FF, SS, SF"), "functional")
+    t = S.item_range(B.points_long(spark, sf), B.specs(spark), manual=_values(spark, "('PRICE', 0.0D, CAST(NULL AS double))", "item, lo, hi"), corners=corners)
     return t.select("item", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
@@ -514,9 +533,22 @@ def bar_means(spark, sf):
     return S.bar_means(B.points(spark, sf).withColumn("category", F.col("step")), "QTY", mean())
 
 
-@query("trend_points", f"SELECT gid, item, width AS x, {EXACT} AS value FROM (SELECT gid, lot, wafer, item, {EXACT} AS value FROM plong GROUP BY gid, lot, wafer, item) w JOIN specs USING (item) WHERE width IS NOT NULL GROUP BY gid, item, width", "plong", "specs")
+@query("box_points", "SELECT step AS category, lot, wafer, key, QTY AS value FROM pts WHERE QTY IS NOT NULL", "pts")
+def box_points(spark, sf):
+    """The point mode: a value each."""
+    return S.box_values(J.category(B.points(spark, sf), "step"), "QTY")
+
+
+TREND = f"""WITH each AS (SELECT gid, lot, wafer, item, width AS x, {EXACT} AS value FROM plong JOIN specs USING (item) WHERE width IS NOT NULL GROUP BY gid, lot, wafer, item, width)
+SELECT CASE WHEN grouping(wafer) = 0 THEN 'strip' WHEN grouping(lot) = 0 THEN 'lot' ELSE 'group' END AS kind, gid, lot, wafer, item, x, {EXACT} AS value
+  FROM each GROUP BY GROUPING SETS ((gid, item, x, lot, wafer), (gid, item, x, lot), (gid, item, x))
+UNION ALL SELECT 'target', NULL, NULL, NULL, item, width, target FROM specs WHERE width IS NOT NULL AND target IS NOT NULL"""
+
+
+@query("trend_points", f"SELECT * FROM ({TREND}) t", "plong", "specs")
 def trend_points(spark, sf):
-    return S.trend_points(B.points_long(spark, sf), B.specs(spark).select("item", F.col("width").alias("x")), mean(), mean())[1]
+    specs = B.specs(spark)
+    return S.trend_points(B.points_long(spark, sf), specs.select("item", F.col("width").alias("x")), mean(), mean(), specs.select("item", "target"))
 
 
 @query("lot_parts", f"SELECT gid, lot, item, {EXACT} AS value, count(*) AS wafers FROM (SELECT gid, lot, wafer, item, {EXACT} AS value FROM plong GROUP BY gid, lot, wafer, item) w GROUP BY gid, lot, item", "plong")
@@ -698,14 +730,33 @@ def _plots(spark):
     return _values(spark, PLOTS, PLOT_COLUMNS.replace('"', "`"))
 
 
-@query("tpl_validate", "SELECT * FROM (VALUES (1, 'scatter', NULL, true), (2, 'box', NULL, true), (3, 'bar', 'order', false), (4, NULL, 'type', false), (5, 'scatter', 'unknown NOPE', false), (6, 'scatter', 'counts', false), (7, 'trend', 'axis', false), (8, 'bar', 'category', false), (9, 'trend', NULL, false)) AS v(id, kind, problem, twice)")
-def tpl_validate(spark, sf):
-    return P.validate_plots(_plots(spark), B.long(spark, sf).select("item").distinct()).select("id", "kind", "problem", "twice")
+CHECKED = """WITH k AS (SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'scatter' WHEN 1 THEN 'scatter' WHEN 2 THEN 'box' WHEN 4 THEN 'trend' END AS kind, s_suppkey % 5 AS t, s_suppkey % 11 AS o, s_suppkey % 4 AS n FROM supplier),
+  named AS (SELECT *, CASE WHEN t < 2 THEN n WHEN t = 2 THEN NULL ELSE NULL END AS m FROM k)
+SELECT id, kind, CASE WHEN kind IS NULL THEN 'type' WHEN o = 0 THEN 'order' WHEN t < 2 AND n = 1 THEN 'unknown NOPE' WHEN t < 2 AND n = 2 THEN 'counts' WHEN t = 4 AND n <> 3 THEN 'axis' WHEN t = 2 AND n = 3 THEN 'category' END AS problem,
+  count(*) OVER (PARTITION BY id % 3, id % 6, id % 2) > 1 AS twice FROM named"""
 
 
-@query("tpl_pairs", "SELECT 'QTY' AS x, 'PRICE' AS y, count(*) AS n FROM part UNION ALL SELECT 'DISC', 'PRICE', count(*) FROM part")
+@query("tpl_validate", CHECKED)
+def tpl_validate(spark, sf):
+    """A template with a plot for each supplier."""
+    k = F.col("s_suppkey")
+    pick = lambda by, *of: F.element_at(F.array(*map(F.lit, of)), (k % by + 1).cast("int"))
+    x = F.when(k % 5 < 2, pick(4, "QTY,DISC", "QTY", "QTY,DISC,QTY", "QTY")).when(k % 5 == 4, pick(4, "Z", "lot", "x", "w")).otherwise(pick(4, "lot", "step", "gid", " "))
+    y = F.when(k % 5 < 2, pick(4, "PRICE", "NOPE", "PRICE,DISC", "DISC")).otherwise("QTY")
+    plots = B.read(spark, sf, "supplier").select(
+        k.alias("id"), (k % 3).alias("page"), (k % 6).alias("x"), (k % 2).alias("y"), F.when(k % 11 == 0, "x").otherwise((k % 11).cast("string")).alias("order"), F.lit("R").alias("Report"),
+        pick(5, "Scatter", " xy", "BoxPlot", "pie", "Trend").alias("Type"), x.alias("x_name"), y.alias("y_name"))
+    return P.validate_plots(plots, B.long(spark, sf).select("item").distinct()).select("id", "kind", "problem", "twice")
+
+
+@query("tpl_pairs", """SELECT x, y, count(*) AS n FROM (SELECT unnest(CASE p_size % 3 WHEN 0 THEN ['QTY', 'DISC'] WHEN 1 THEN [p_brand] ELSE ['QTY', 'QTY'] END) AS x,
+  unnest(CASE p_size % 3 WHEN 0 THEN ['PRICE', 'PRICE'] WHEN 1 THEN ['PRICE'] ELSE ['DISC', p_brand] END) AS y FROM part) p GROUP BY x, y""")
 def tpl_pairs(spark, sf):
-    p = read(spark, sf, "part").select(F.explode(P.pairs(F.lit("QTY, DISC"), F.lit("PRICE"))).alias("p"))
+    """Plot rows of each part: two against one, one against one, one against two."""
+    size = F.col("p_size") % 3
+    x = F.when(size == 0, "QTY, DISC").when(size == 1, F.col("p_brand")).otherwise("QTY")
+    y = F.when(size < 2, "PRICE").otherwise(F.concat(F.lit("DISC ,"), "p_brand"))
+    p = read(spark, sf, "part").select(F.explode(P.pairs(x, y)).alias("p"))
     return p.groupBy("p.x", "p.y").agg(F.count("*").alias("n"))
 
 

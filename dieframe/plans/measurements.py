@@ -59,14 +59,21 @@ def probe_items(spark, sf):
     return T.probe_items(read(spark, sf, "events"), "event_type", 5000).withColumnRenamed("event_type", "item")
 
 
-@query("src_tracking", "SELECT lot, wafer, step, ppid, ts FROM tracking WHERE line = 'L1' AND ecn IS NOT NULL AND lot IN ('3', '7') AND ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1997-01-01'", "tracking")
+B.PARTS["tracked"] = (("tracking",), "SELECT *, ppid AS process, reticle AS part FROM tracking")
+
+
+@query("src_tracking", """SELECT lot, wafer, step, ppid, ts FROM tracked WHERE line = 'L1' AND ecn IS NOT NULL AND lot IN ('3', '7')
+  AND process IN ('O', 'F') AND part IN ('1995', '1996') AND ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1997-01-01'""", "tracked")
 def src_tracking(spark, sf):
-    return T.tracking_source(B.tracking(spark, sf), "L1", lots=["3", "7"], first="1995-01-01", last="1996-12-31").select("lot", "wafer", "step", "ppid", "ts")
+    tracked = B.tracking(spark, sf).withColumns({"process": F.col("ppid"), "part": F.col("reticle")})
+    out = T.tracking_source(tracked, "L1", lots=["3", "7"], first="1995-01-01", last="1996-12-31", processes=["O", "F"], parts=["1995", "1996"])
+    return out.select("lot", "wafer", "step", "ppid", "ts")
 
 
-@query("src_metrology", "SELECT lot, wafer, step, item, fab_value FROM metrology WHERE lot IN ('3', '7') AND regexp_matches(item, '^S|MO')", "metrology")
+@query("src_metrology", """SELECT lot, wafer, step, item, fab_value FROM metrology WHERE lot IN ('3', '7') AND regexp_matches(item, '^S|MO')
+  AND ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1996-01-01'""", "metrology")
 def src_metrology(spark, sf):
-    return T.metrology_source(B.metrology(spark, sf), lots=["3", "7"], item_pattern="^S|MO").select("lot", "wafer", "step", "item", "fab_value")
+    return T.metrology_source(B.metrology(spark, sf), lots=["3", "7"], item_pattern="^S|MO", first="1994-01-01", last="1995-12-31").select("lot", "wafer", "step", "item", "fab_value")
 
 
 @query("src_profile", "SELECT 'wide' AS layout, 'lot' AS lot, 'ts' AS time, 'QTY,PRICE,DISC' AS items, count(*) AS n FROM base", "base")
@@ -173,9 +180,15 @@ def norm_all(spark, sf):
     return S.normalize(_messy(spark, sf)).groupBy("root_lot_id", "temperature", "step_seq").agg(F.count("*").alias("n"), F.max("et_value").alias("top"))
 
 
-@query("check_emptied_keys", "SELECT 'total_site_cnt' AS \"column\", 'absent' AS reason FROM (SELECT count(*) AS n FROM base) t WHERE n > 0", "base")
+EMPTIED = """SELECT name AS "column", reason FROM (VALUES ('total_site_cnt', 'absent'), ('step_seq', 'lost'), ('temperature', 'lost')) AS v(name, reason), (SELECT count(*) AS n FROM base WHERE y = 0 AND seq <> 'O') t WHERE n > 0
+  UNION ALL SELECT 'tkout_time', 'lost' FROM base WHERE y = 0 AND seq <> 'O' HAVING count(*) > 0 AND count(*) FILTER (x <> 1) = 0"""
+
+
+@query("check_emptied_keys", EMPTIED, "base")
 def check_emptied_keys(spark, sf):
-    raw = S.norm_columns(_messy(spark, sf))
+    """Rows whose temperatures are all unreadable text and whose sequences are all blank."""
+    rows = _messy(spark, sf).where(" trim(step_seq) = ''").withColumn("temperature", F.concat("temperature", F.lit(" C")))
+    raw = S.norm_columns(rows)
     return S.emptied_keys(raw, S.normalize(raw))
 
 
@@ -264,11 +277,22 @@ SHEET = [
 ]
 
 
-@query("rule_validate", "SELECT * FROM (VALUES ('QTY', 0), ('PRICE', 1), ('DISC', 2), ('R', 3), ('D', 4)) AS v(alias, place), (SELECT count(*) AS n FROM base) t", "base")
+VALIDATE_SQL = """WITH sheet AS (SELECT p_partkey AS k, 'P' || p_partkey AS alias, p_partkey % 3 AS r, p_partkey % 7 = 0 AS wrong FROM part),
+  ok AS (SELECT k, alias, 0 AS level FROM sheet WHERE r = 0
+    UNION ALL SELECT a.k, a.alias, 1 FROM sheet a JOIN sheet b ON b.k = a.k - 1 WHERE a.r = 1 AND NOT a.wrong
+    UNION ALL SELECT a.k, a.alias, 2 FROM sheet a JOIN sheet b ON b.k = a.k - 1 JOIN sheet c ON c.k = a.k - 2 WHERE a.r = 2 AND NOT a.wrong AND NOT b.wrong)
+SELECT alias, (row_number() OVER (ORDER BY level, k) - 1)::INTEGER AS place FROM ok"""
+
+
+@query("rule_validate", VALIDATE_SQL)
 def rule_validate(spark, sf):
-    ready, _ = R.validate(SHEET)
-    rows = B.base(spark, sf).agg(F.count("*").alias("n"))
-    return rows.select(F.posexplode(F.array(*(F.lit(r["alias"]) for r in ready))).alias("place", "alias"), "n")
+    """A sheet with a row for each part: every third a real item, the two after it derived from the one before, every seventh broken."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 3 == 0, "REAL").otherwise("ADDP").alias("category")
+    formula = F.when(k % 7 == 0, F.when(k % 2 == 0, "{NOWHERE} + 1").otherwise("__import__('os')")).when(k % 3 > 0, F.concat(F.lit("{P"), (k - 1).cast("string"), F.lit("} * 2"))).alias("formula")
+    sheet = read(spark, sf, "part").orderBy(k).select(F.concat(F.lit("P"), k.cast("string")).alias("alias"), kind, formula)
+    ready, _ = R.validate([r.asDict() for r in sheet.collect()])  # a rule sheet is read by the driver
+    return spark.createDataFrame([(r["alias"], i) for i, r in enumerate(ready)], "alias string, place int")
 
 
 @query("rule_real", f"SELECT alias AS item, count(*) AS n, max(CASE WHEN absolute THEN abs(value * scale) ELSE value * scale END) AS top FROM long JOIN rules USING (item) GROUP BY alias", "long", "rules")
@@ -362,11 +386,17 @@ def off_spec(spark, sf):
     return B.merged(spark, sf).join(F.broadcast(B.specs(spark)), "item").where(C.off_spec("value", "lsl", "usl")).groupBy("item").agg(F.count("*").alias("n"))
 
 
-@query("spec_corner", "SELECT a.corner, a.x, b.y FROM (SELECT event_type AS corner, max(value) AS x FROM events WHERE event_id % 2 = 0 GROUP BY 1) a JOIN (SELECT event_type AS corner, max(value) AS y FROM events WHERE event_id % 2 = 1 GROUP BY 1) b USING (corner)")
+CORNER_SHEET = """SELECT event_type AS item, max(value) FILTER (WHERE event_id % 4 = 0) AS FFG, min(value) FILTER (WHERE event_id % 4 = 1) AS fsg,
+  max(value) FILTER (WHERE event_id % 4 = 2) AS SSG, min(value) FILTER (WHERE event_id % 4 = 3) AS FF FROM {e} GROUP BY event_type"""
+
+
+@query("spec_corner", """SELECT corner, x, y FROM (SELECT 'FFG' AS corner, max(value) FILTER (event_id % 4 = 0 AND event_type = 'click') AS x, max(value) FILTER (event_id % 4 = 0 AND event_type = 'view') AS y FROM events
+  UNION ALL SELECT 'FSG', min(value) FILTER (event_id % 4 = 1 AND event_type = 'click'), min(value) FILTER (event_id % 4 = 1 AND event_type = 'view') FROM events
+  UNION ALL SELECT 'SSG', max(value) FILTER (event_id % 4 = 2 AND event_type = 'click'), max(value) FILTER (event_id % 4 = 2 AND event_type = 'view') FROM events) c WHERE x IS NOT NULL AND y IS NOT NULL""")
 def spec_corner(spark, sf):
-    e = read(spark, sf, "events").withColumn("item", F.when(F.col("event_id") % 2 == 0, "A").otherwise("B"))
-    names = sorted(r[0] for r in e.select("event_type").distinct().collect())  # the corner columns of a rule sheet
-    return R.corner_pairs(e.groupBy("item").pivot("event_type", names).agg(F.max("value")), names, "A", "B")
+    """Global corners of a sheet that has three of them, one in small letters, beside a functional one."""
+    sheet = spark.sql(CORNER_SHEET, e=read(spark, sf, "events"))
+    return R.corner_pairs(R.corners_of(sheet, "global"), "click", "view")
 
 
 # Merging.

@@ -91,20 +91,27 @@ def probe_items(df: DataFrame, item: str = "item", most: int = 5000) -> DataFram
     return df.select(item).distinct().limit(most)
 
 
-def tracking_source(tracking: DataFrame, line: str, lots: list[str] = (), first: str | None = None, last: str | None = None, with_ecn: bool = True) -> DataFrame:
-    """Passes of a line, those without a change number left out unless asked for."""
+def tracking_source(
+    tracking: DataFrame, line: str, lots: list[str] = (), first: str | None = None, last: str | None = None, with_ecn: bool = True,
+    processes: list[str] = (), parts: list[str] = (),
+) -> DataFrame:
+    """Passes of a line, those without a change number left out unless asked for. Empty lists narrow nothing."""
     out = tracking.where(F.col("line") == line)
     out = out.where("ecn IS NOT NULL") if with_ecn else out
-    out = out.where(F.col("lot").isin(list(lots))) if lots else out
-    return date_window(out, "ts", first, last) if first else out
+    for c, wanted in (("lot", lots), ("process", processes), ("part", parts)):
+        out = out.where(F.col(c).isin(sorted(set(wanted)))) if wanted else out
+    return date_window(out, "ts", first, last or first) if first else out
 
 
-def metrology_source(metrology: DataFrame, lots: list[str], steps: list[str] = (), items: list[str] = (), item_pattern: str | None = None) -> DataFrame:
+def metrology_source(
+    metrology: DataFrame, lots: list[str], steps: list[str] = (), items: list[str] = (), item_pattern: str | None = None, first: str | None = None, last: str | None = None,
+) -> DataFrame:
     if not lots:
         raise ConditionError("lot: the condition is empty")
     out = metrology.where(F.col("lot").isin(sorted(set(lots))))
     out = out.where(F.col("step").isin(list(steps))) if steps else out
     out = out.where(F.col("item").isin(list(items))) if items else out
+    out = date_window(out, "ts", first, last or first) if first else out
     return out.where(F.col("item").rlike(item_pattern)) if item_pattern else out
 
 

@@ -329,6 +329,45 @@ def test_dropped_and_applied_rows_are_counted(spark, tmp_path):
     assert seen.get == {"applied": 1, "turned": 2} and [r.v for r in spark.read.parquet(str(tmp_path / "b")).orderBy("v").collect()] == [1.0, 2.0, 3.0]
 
 
+def test_split_gains(spark):
+    r = random.Random(3)
+    rows = [(f, float(r.randrange(8)), r.gauss(0, 1)) for f in "ab" for _ in range(60)] + [("c", 1.0, 2.0), ("c", 1.0, 3.0), ("d", None, 1.0)]
+    got = {x.factor: (x.gain, x.n) for x in O.split_gains(spark.createDataFrame(rows, "factor string, x double, y double")).collect()}
+    square = lambda v: sum((a - sum(v) / len(v)) ** 2 for a in v) if v else 0.0
+    for f in "ab":
+        mine = [(x, y) for g, x, y in rows if g == f]
+        cuts = [square([y for x, y in mine if x <= c]) + square([y for x, y in mine if x > c]) for c in range(7)]
+        assert got[f] == (pytest.approx(1 - min(cuts) / square([y for _, y in mine])), 60)
+    assert got["c"] == (0.0, 2) and "d" not in got
+
+
+def test_headings_of_split_sheets(spark):
+    long = spark.createDataFrame([("l", "1", "A", "x"), ("l", "2", "A", " ")], "`ROOT_LOT_ID` string, ` Wafer_ID` string, step_id string, Condition string")
+    assert sorted((r.lot, r.wafer, r.A) for r in O.split_load(long, ["A"]).collect()) == [("l", "1", "x"), ("l", "2", "x")]
+    wide = spark.createDataFrame([("l", "1", "x")], "lot string, wafer_id string, code string")
+    assert O.split_load(wide, ["code"]).columns == ["lot", "wafer", "code"]
+    with pytest.raises(ValueError):
+        O.split_headers(wide.drop("lot"))
+
+
+def test_trends_with_points_and_corners(spark):
+    df = spark.createDataFrame([("g", "l", "1", "a", 1.0), ("g", "l", "1", "a", 3.0), ("g", "m", "1", "a", 6.0), ("g", "l", "1", "b", 9.0)], "gid string, lot string, wafer string, item string, value double")
+    at = spark.createDataFrame([("a", 5.0), ("b", None)], "item string, x double")
+    out = S.trend_points(df, at, F.avg("value"), F.avg("value"), spark.createDataFrame([("a", 4.0), ("b", 1.0)], "item string, target double"), points=True)
+    got = sorted((r.kind, str(r.lot), r.value) for r in out.collect())
+    assert got == [("group", "None", 4.0), ("lot", "l", 2.0), ("lot", "m", 6.0), ("strip", "l", 1.0), ("strip", "l", 3.0), ("strip", "m", 6.0), ("target", "None", 4.0)]
+    assert R.corners_of(spark.createDataFrame([("a", 1.0, float("nan"))], "item string, ff double, SS double"), "functional").collect() == [("a", "FF", 1.0)]
+    assert R.corners_of(at, "functional").count() == 0 == R.corners_of(at, "other").count()
+
+
+def test_raw_passes_meet_hash_aggregates_only(spark, tmp_path):
+    t = spark.createDataFrame([("l", "1", "s", "p", "r", T0)], "lot string, wafer string, step string, ppid string, reticle string, ts timestamp_ntz")
+    t.write.parquet(str(tmp_path / "t"))
+    plan = O.track_condition(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    nodes = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert "HashAggregate" in nodes[-1] and "HashAggregate" in nodes[-2]  # what stands on the scan, before and behind the first shuffle
+
+
 def test_tracking(spark):
     t = spark.createDataFrame([("l", "1", "s1", "p", None, 1), ("l", "1", "s1", None, "r", 2), ("l", "2", "s1", "q", None, 1), ("l", "3", "s1", "q", None, 1), ("l", "1", "s2", "u", None, 1), ("l", "2", "s2", "u", None, 1), ("l", "3", "s10", "", "", 1)], "lot string, wafer string, step string, ppid string, reticle string, ts int")
     c = O.track_condition(t)
