@@ -166,7 +166,7 @@ B.PARTS["bounds"] = (("plong",), f"SELECT item, q1 - 0.4 * (q3 - q1) AS lo, q3 +
 
 @query("join_bounds", "SELECT item, count(*) AS n FROM plong JOIN bounds USING (item) WHERE value BETWEEN lo AND hi GROUP BY item", "bounds")
 def join_bounds(spark, sf):
-    p = B.points_long(spark, sf)
+    p = T.stored(B.points_long(spark, sf))
     return S.join_bounds(p, S.tukey_bounds(p, 0.4)).where("value BETWEEN lo AND hi").groupBy("item").agg(F.count("*").alias("n"))
 
 
@@ -295,7 +295,7 @@ def coverage_items(spark, sf):
 
 
 def _cov(spark, sf):
-    return B.points_long(spark, sf).where("NOT (cast(lot AS int) % 4 = 1 AND item = 'DISC') AND NOT (cast(lot AS int) % 5 = 2 AND step = 'A')")
+    return T.stored(B.points_long(spark, sf).where("NOT (cast(lot AS int) % 4 = 1 AND item = 'DISC') AND NOT (cast(lot AS int) % 5 = 2 AND step = 'A')"))
 
 
 COV_LOTS = """SELECT l.lot, l.wafers, l.n_items, l.points, b.lot AS base_lot, array_to_string(list_sort(list_filter(b.items, lambda x: NOT list_contains(l.items, x))), ',') AS missing_items,
@@ -346,7 +346,7 @@ def _fences(quantile: str) -> str:
 
 
 def _tukey_bounds(spark, sf, **of):
-    return S.tukey_bounds(B.points_long(spark, sf), by=("item", "step", "temp"), **of).withColumns({"lo": F.round("lo", 8), "hi": F.round("hi", 8)})
+    return S.tukey_bounds(T.stored(B.points_long(spark, sf)), by=("item", "step", "temp"), **of).withColumns({"lo": F.round("lo", 8), "hi": F.round("hi", 8)})
 
 
 @query("tukey_bounds", _fences(NEAREST), "plong")
@@ -364,13 +364,13 @@ TUKEY = "SELECT key, arg_min(item, CASE item WHEN 'QTY' THEN 1 WHEN 'PRICE' THEN
 
 @query("tukey_flag", TUKEY, "bounds")
 def tukey_flag(spark, sf):
-    p = B.points_long(spark, sf)
+    p = T.stored(B.points_long(spark, sf))
     return S.tukey_flag(p, S.tukey_bounds(p, 0.4), ITEMS)
 
 
 @query("tukey_summary", f"SELECT item, count(*) AS n FROM ({TUKEY}) t GROUP BY item ORDER BY n DESC, item LIMIT 3", "bounds")
 def tukey_summary(spark, sf):
-    p = B.points_long(spark, sf)
+    p = T.stored(B.points_long(spark, sf))
     return S.tukey_summary(S.tukey_flag(p, S.tukey_bounds(p, 0.4), ITEMS))
 
 
@@ -525,7 +525,7 @@ def box_values(spark, sf):
 @query("box_stats", """SELECT gid, item, round(q1, 8) AS q1, round(med, 8) AS med, round(q3, 8) AS q3, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
   count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS fliers FROM plong JOIN (SELECT gid, item, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM plong GROUP BY gid, item) q USING (gid, item) GROUP BY gid, item, q1, med, q3""", "plong")
 def box_stats(spark, sf):
-    return S.box_stats(B.points_long(spark, sf), ("gid", "item")).withColumns({c: F.round(c, 8) for c in ("q1", "med", "q3")})
+    return S.box_stats(T.stored(B.points_long(spark, sf)), ("gid", "item")).withColumns({c: F.round(c, 8) for c in ("q1", "med", "q3")})
 
 
 @query("bar_means", f"SELECT gid, step AS category, {_exact('QTY')} AS value FROM pts GROUP BY gid, step", "pts")
@@ -656,7 +656,7 @@ def set_item_diff(spark, sf):
 
 
 def _two_logs(spark, sf):
-    p = B.points_long(spark, sf)
+    p = T.stored(B.points_long(spark, sf))
     flags = S.tukey_flag(p, S.tukey_bounds(p, 0.4), ITEMS)
     return J.exclude(_excluded(spark, sf), flags, "tukey", F.lit("2026-03-01").cast("date"), "filter", F.col("item"))
 

@@ -31,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: what several passes over it share is computed once."""
+    path = scratch(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def date_window(df: DataFrame, time: str, first: str, last: str) -> DataFrame:
     """[first 00:00, the day after last 00:00). Of a table laid out by day or month, only the window's folders are read."""
     low, high = F.lit(first).cast("date"), F.date_add(F.lit(last).cast("date"), 1)
