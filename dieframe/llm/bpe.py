@@ -49,8 +49,8 @@ END = "</w>"
 NEVER = 1 << 60  # ranks of no merge
 NO_RANK = (1 << 31) - 1  # the same in arrays
 BITS = 32  # of an id in a pair
-SLICE = 2 << 20  # bytes of text whose new words are taken together
-TOGETHER = 1 << 13  # fragments merged in one go
+SLICE = 1 << 20  # bytes of text whose new words are taken together
+TOGETHER = 1 << 12  # fragments merged in one go
 LONG = 48  #: letters of a fragment or piece beyond which it is not kept, and merged through a heap
 
 
@@ -327,17 +327,17 @@ class Vocabulary:
         return " ".join(self.tokens[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
-def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
+def shared_vocabulary(spark: SparkSession, path: str, cached: int = 150_000) -> Broadcast:
     """The tokenizer file (one, of fixed size) for `vocabulary` in tasks."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast({"file": f.read()})
+        return spark.sparkContext.broadcast({"file": f.read(), "cached": cached})
 
 
 def vocabulary(shared: Broadcast) -> Vocabulary:
     """Built once a worker process, which serves many tasks: it is kept beside the broadcast file, of which a process has one copy."""
     kept = shared.value
     if "made" not in kept:
-        kept["made"] = Vocabulary(kept["file"])
+        kept["made"] = Vocabulary(kept.pop("file"), kept["cached"])
     return kept["made"]
 
 

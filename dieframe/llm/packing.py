@@ -137,13 +137,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str =
     ids are little-endian unsigned 32-bit integers, as `bpe.encode` gives them; null without with_ids. Null and empty
     texts are `end` alone. Repeated rows and ids give pieces of their own; other columns are left out.
     """
-    shared = bpe.shared_vocabulary(docs.sparkSession, path)
+    shared = bpe.shared_vocabulary(docs.sparkSession, path, cached=600_000)
     last = np.array([end], "<u4").tobytes()
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.vocabulary(shared)
-        for part in sized(batches, 1, 2048, bpe.SLICE):
+        for part in sized(batches, 1, 2048, 4 * bpe.SLICE):
             rows: dict[str, list] = {c: [] for c in kinds}
             for doc, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1).to_pylist())):
                 ids += last
