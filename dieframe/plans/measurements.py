@@ -383,7 +383,7 @@ def fmt_value(spark, sf):
 
 @query("off_spec", "SELECT item, count(*) AS n FROM merged JOIN specs USING (item) WHERE value < lsl OR value > usl GROUP BY item", "merged", "specs")
 def off_spec(spark, sf):
-    return B.merged(spark, sf).join(F.broadcast(B.specs(spark)), "item").where(C.off_spec("value", "lsl", "usl")).groupBy("item").agg(F.count("*").alias("n"))
+    return B.merged(spark, sf).join(B.specs(spark), "item").where(C.off_spec("value", "lsl", "usl")).groupBy("item").agg(F.count("*").alias("n"))
 
 
 CORNER_SHEET = """SELECT event_type AS item, max(value) FILTER (WHERE event_id % 4 = 0) AS FFG, min(value) FILTER (WHERE event_id % 4 = 1) AS fsg,
