@@ -15,6 +15,8 @@ from dieframe.operators import report as P
 from dieframe.operators import rules as R
 from dieframe.operators import sources as O
 from dieframe.operators import stats as S
+from dieframe.plans import base as B
+from dieframe.plans import measurements  # noqa: F401  (registers its queries)
 from dieframe.sources import schema as SC
 from dieframe.sources import tables as T
 from dieframe.streaming import load as L
@@ -294,6 +296,13 @@ def test_few_candidates_of_lots_with_one_beginning(spark):
     assert J.near_lots(typed, lots).count() <= 40 * 300
 
 
+def test_few_candidates_of_lots_with_running_numbers(spark):
+    """40 typed with another beginning than all 10,000 stored lots: tens of pairs each, where the digits alone are shared with thousands."""
+    lots = spark.range(10_000).selectExpr("concat('PA', id) AS lot").selectExpr("lot", "lower(lot) AS low")
+    typed = spark.range(1000, 9000, 200).selectExpr("concat('qx', id) AS typed").selectExpr("typed", "typed AS own")
+    assert J.near_lots(typed, lots).count() <= 40 * 100
+
+
 def test_running_numbers_without_one_task(spark):
     rows = [(k, k % 7, k % 3) for k in range(500)]
     random.Random(1).shuffle(rows)
@@ -494,3 +503,10 @@ def test_pasted_pairs(spark):
     text = "STEP_ID\titem_id\r\nA\tCD 1\tmore\n ; B ;THK;\nalone\n\nA,CD 1"
     assert sorted(map(tuple, O.wanted_pairs(spark, text).collect())) == [("A", "CD 1"), ("B", "THK")]
     assert O.wanted_pairs(spark, "").count() == 0
+
+
+def test_metrology_query_reads_all_days(spark):
+    sf = "/root/testdata/sf0.001"
+    every = B.metrology(spark, sf).where("lot IN ('3', '7') AND (item LIKE 'S%' OR item LIKE '%MO%')")
+    assert every.where("ts < '1994-01-01' OR ts >= '1996-01-01'").count() > 0
+    assert B.QUERIES["src_metrology"](spark, sf).count() == every.count()
