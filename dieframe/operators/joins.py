@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.schema import RESERVED
 from ..sources.tables import scratch
+from ..sources.tables import stored as written
 
 # Filters.
 
@@ -145,13 +146,13 @@ def _stretches(df: DataFrame, c: str) -> DataFrame:
 EQUAL = "size(filter(zip_with(split(own, ''), split(low, ''), (a, b) -> a = b AND a <> ''), x -> x))"
 
 
-def near_lots(typed: DataFrame, stored: DataFrame, similar: int = 5) -> DataFrame:
-    """typed, own, lot, low: all pairs that may be among the `similar` stored lots with the most equal characters of a typed one.
+def _near_long(typed: DataFrame, stored: DataFrame, similar: int) -> DataFrame:
+    """The pairs of `near_lots` for typed lots of any length.
 
-    typed: typed, own (as compared); stored: lot, low. A stretch that `similar` stored lots have in the same place bounds
+    A stretch that `similar` stored lots have in the same place bounds
     from below what the last of them scores, and the scores of some lots that have the longest such stretch bound it
     better. Of m characters, a lot that scores s or more misses m - s at most, so of m - s + 1 parts it has one whole:
-    only lots that share such a part in its place are candidates, and the first lots, which fill up a short list.
+    only lots that share such a part in its place are candidates.
     """
     place = ["start", "len", "text"]
     mine = _stretches(typed, "own")
@@ -170,8 +171,53 @@ def near_lots(typed: DataFrame, stored: DataFrame, similar: int = 5) -> DataFram
     whole, rest = F.expr("m div parts"), F.expr("m % parts")  # the first parts are longer by one: beginnings are what lots share
     cut = cut.withColumn("start", (F.col("k") * whole + F.least("k", rest) + 1).cast("int")).withColumn("len", (whole + (F.col("k") < rest).cast("int")).cast("int"))
     cut = cut.withColumn("text", F.substring(F.col("own"), F.col("start"), F.col("len"))).select("typed", "own", *place)
+    return cut.join(theirs, place).select("typed", "own", "lot", "low")
+
+
+SHORT = 8  #: characters of a typed lot up to which the places that it shares with stored ones are looked up as sets
+
+
+def _places(text: str) -> Column:
+    """The characters of a text column at the places set in the bits of `places`."""
+    return F.concat(*(F.when(F.col("places").bitwiseAND(1 << i) != 0, F.substring(text, i + 1, 1)).otherwise("") for i in range(SHORT)))
+
+
+def _near_short(typed: DataFrame, stored: DataFrame, similar: int) -> DataFrame:
+    """The pairs of `near_lots` for typed lots of up to SHORT characters, a bounded number each whatever is stored.
+
+    A lot that scores s has s of the typed one's characters in their places. Those that have a set of places in common
+    with it score its size at least, so a set that `similar` lots have bounds what the last of them scores, and smaller sets
+    count no more. At that score or above, a set is shared by fewer than `similar` lots that score more than its size;
+    the others are taken by name. So the 2 * similar first lots of each set hold all that is wanted.
+    """
+    sign = ["places", "text"]
+    bit = lambda c: F.explode(F.sequence(F.lit(0), F.least(F.length(c), F.lit(SHORT)) - 1)).alias("i")
+    each = lambda df, c: df.where(F.length(c) > 0).select("*", bit(c)).withColumn("text", F.substring(F.col(c), F.col("i") + 1, F.lit(1)))
+    alive = each(typed, "own").join(each(stored, "low").select("i", "text").distinct(), ["i", "text"], "left_semi")  # others match nothing
+    alive = alive.groupBy("typed", "own").agg(F.sum(F.expr("shiftleft(1, i)")).cast("int").alias("alive"))
+    sets = F.explode(F.expr("filter(sequence(1, alive), p -> p & alive = p)")).alias("places")
+    mine = alive.select("typed", "own", sets).withColumn("text", _places("own"))
+    asked = mine.select("places").distinct()  # 255 rows at most
+    theirs = stored.crossJoin(F.broadcast(asked)).where(F.col("places") < F.expr(f"shiftleft(1, least(length(low), {SHORT}))")).withColumn("text", _places("low"))
+    theirs = theirs.join(mine.select(*sign).distinct(), sign, "left_semi")
+    first = theirs.withColumn("n", F.row_number().over(Window.partitionBy(*sign).orderBy("lot"))).where(F.col("n") <= 2 * similar)
+    lists = first.groupBy(*sign).agg(F.collect_list(F.struct("lot", "low")).alias("lots"))  # 2 * similar at most
+    met = mine.join(lists, sign).withColumn("size", F.bit_count("places"))
+    least = F.max(F.when(F.size("lots") >= similar, F.col("size"))).over(Window.partitionBy("typed"))
+    return met.withColumn("least", F.coalesce(least, F.lit(0))).where("size >= least").select("typed", "own", F.explode("lots").alias("s")).select("typed", "own", "s.*")
+
+
+def near_lots(typed: DataFrame, stored: DataFrame, similar: int = 5) -> DataFrame:
+    """typed, own, lot, low: all pairs that may be among the `similar` stored lots with the most equal characters of a typed one.
+
+    typed: typed, own (as compared); stored: lot, low. Short typed lots meet a bounded number of lots by sets of places,
+    longer ones by parts; and all meet the first lots, which fill up a short list.
+    """
+    typed = written(typed)
+    long = typed.where(F.length("own") > SHORT)
     first = stored.orderBy("lot").limit(2 * similar)  # a stated number of rows, met by all
-    return cut.join(theirs, place).select("typed", "own", "lot", "low").unionByName(typed.select("typed", "own").crossJoin(first)).distinct()
+    pairs = typed.select("typed", "own").crossJoin(F.broadcast(first)).unionByName(_near_short(typed.where(F.length("own") <= SHORT), stored, similar))
+    return (pairs if long.isEmpty() else pairs.unionByName(_near_long(long, stored, similar))).distinct()
 
 
 def resolve_lot(typed: DataFrame, lots: DataFrame, similar: int = 5) -> DataFrame:
