@@ -17,20 +17,26 @@ def exact_mean(value: str = "value", scale: int = 6) -> Column:
     return F.sum(F.col(value).cast(f"decimal(20,{scale})")).cast("double") / F.count(value)
 
 
-#: Stands for a null time, which is the earliest.
-NEVER = "timestamp_ntz'0001-01-01'"
-
-
 def merge_retest(long: DataFrame, keys: list[str] = KEY7, seq: str = "seq", time: str = "ts") -> DataFrame:
     """Per point, sequence and item the latest value. Null values never win, a null time is the earliest, ties go to the larger value.
 
-    Rows are dealt by point once, which serves all later steps by point. Both steps here are hash aggregates
-    over plain numbers: the largest value of each time, then the value of the latest time.
+    Rows are dealt by point once, which serves all later steps by point. Within a partition they are put in order by a
+    sort that can spill, and the first of each stays.
     """
-    rows = long.where("value IS NOT NULL").select(*keys, seq, "item", time, "value").repartition(*keys)
-    each = rows.groupBy(*keys, seq, "item", time).agg(F.max("value").alias("value"))
-    early = F.expr(NEVER).cast(dict(long.dtypes)[time])
-    return each.groupBy(*keys, seq, "item").agg(F.max_by("value", F.coalesce(F.col(time), early)).alias("value"), F.max(time).alias(time))
+    rows = long.where("value IS NOT NULL").select(*keys, seq, "item", time, "value")
+    return _dealt(rows, keys).withColumn("_place", _latest_first([*keys, seq, "item"], time)).where("_place = 1").drop("_place").select(*keys, seq, "item", "value", time)
+
+
+def _dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by point, by its keys that aren't floating numbers: windows normalise those, and would deal the rows again."""
+    kinds = dict(rows.dtypes)
+    return rows.repartition(*([k for k in keys if kinds[k] not in ("double", "float")] or keys))
+
+
+def _latest_first(by: list[str], time: str) -> Column:
+    """A row's place among those of its point, sequence and item: values before null, the latest first, of equal times the larger."""
+    order = [F.col("value").isNull(), F.col(time).desc_nulls_last(), F.col("value").desc()]
+    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
 def merge_seq(retested: DataFrame, keys: list[str] = KEY7, mean: Column | None = None) -> DataFrame:
@@ -55,20 +61,21 @@ def pivot_wide(merged: DataFrame, items: list[str], keys: list[str] = KEY7) -> D
 def store(long: DataFrame, keys: list[str] = KEY7, mean: Column | None = None, counted: bool = False) -> DataFrame:
     """The long merged store of a batch: key, point, its last time, item, value.
 
-    One scan and one shuffle, by the point's hash; retests, sequences and the point's last time (of all its rows, also
-    those without a value) follow from that. counted: also n (sequences averaged; 0: no value) and rows (how many
-    rows went in), and cells without a value stay, so that what is counted over all rows is all that was read.
+    One scan and one shuffle, by point (its hash comes after it); retests, sequences and the point's last time (of all its rows, also
+    those without a value) follow from that. counted: also n (sequences averaged; 0: no value), rows (how many
+    rows went in) and first (one cell with a value of each point), and cells without a value stay, so that what is counted over all rows is all that was read.
     """
+    rows = long.select(*keys, "seq", "item", "ts", "value")
+    last = _dealt(rows, keys).withColumn("value", F.when(_latest_first([*keys, "seq", "item"], "ts") == 1, F.col("value")))
+    cells = last.groupBy(*keys, "item").agg((F.avg("value") if mean is None else mean).alias("value"), F.count("value").alias("n"), F.max("ts").alias("ts"), F.count("*").alias("rows"))
+    there, whole = F.when(F.col("n") > 0, F.col("item")), Window.partitionBy(*keys)
+    flag = {"first": F.coalesce(there == F.min(there).over(whole), F.lit(False))} if counted else {}
+    out = cells.withColumns({"ts": F.max("ts").over(whole), **flag}).withColumn("key", key_hash(*keys))
     point = ["key", *keys]
-    rows = long.select(key_hash(*keys).alias("key"), *keys, "seq", "item", "ts", "value").repartition("key")
-    each = rows.groupBy(*point, "seq", "item", "ts").agg(F.max("value").alias("value"), F.count("*").alias("rows"))
-    time = F.when(F.col("value").isNotNull(), F.coalesce("ts", F.expr(NEVER).cast(dict(long.dtypes)["ts"])))
-    last = each.groupBy(*point, "seq", "item").agg(F.max_by("value", time).alias("value"), F.max("ts").alias("ts"), F.sum("rows").alias("rows"))
-    cells = last.groupBy(*point, "item").agg((F.avg("value") if mean is None else mean).alias("value"), F.count("value").alias("n"), F.max("ts").alias("ts"), F.sum("rows").alias("rows"))
-    out = cells.withColumn("ts", F.max("ts").over(Window.partitionBy("key")))
-    return out.select(*point, "item", "value", "ts", "n", "rows") if counted else out.where("n > 0").select(*point, "item", "value", "ts")
+    return out.select(*point, "item", "value", "ts", "n", "rows", "first") if counted else out.where("n > 0").select(*point, "item", "value", "ts")
 
 
+DEALT = ("lot", "wafer")  #: what a store's cells are dealt by
 CHANGES = ("new", "first", "filled", "replaced", "changed")
 
 
@@ -76,16 +83,18 @@ def changes(stored: DataFrame, batch: DataFrame, keys: list[str] = KEY7) -> Data
     """The store after a batch (see `upsert`) with flags of each cell: new (its point wasn't stored), filled (an empty cell of a stored
     point), replaced (by another, later value); and of one cell a point of the batch: first, changed (any filled or replaced).
 
-    Rows are dealt by key once; a point's cells are then put together in the same partition.
+    Rows are dealt once, by lot and wafer where a point has them (as the store is laid out), else by key; a point's cells
+    are then put together in the same partition.
     """
     side = lambda df, new: df.select("key", *keys, "item", "ts", "value", F.lit(new).alias("new"))
-    rows = side(stored, False).unionByName(side(batch, True)).repartition("key")
+    deal = [k for k in DEALT if k in keys] or ["key"]
+    rows = side(stored, False).unionByName(side(batch, True)).repartition(*deal)
     of = lambda c, new: F.max(F.when(F.col("new") == new, F.col(c)))
     cells = rows.groupBy("key", *keys, "item").agg(
         of("value", False).alias("a"), of("value", True).alias("b"), of("ts", False).alias("ta"), of("ts", True).alias("tb"),
         F.bool_or(~F.col("new")).alias("old"), F.bool_or("new").alias("met"),
     )
-    point = Window.partitionBy("key")
+    point = Window.partitionBy(*{"key": 0} | dict.fromkeys(deal))
     cells = cells.withColumns({c: F.max(c).over(point) for c in ("ta", "tb", "old", "met")})
     newer = F.coalesce(F.col("tb") > F.col("ta"), F.col("ta").isNull())
     filled = F.col("old") & F.col("a").isNull() & F.col("b").isNotNull()
@@ -97,6 +106,12 @@ def changes(stored: DataFrame, batch: DataFrame, keys: list[str] = KEY7) -> Data
     return cells.withColumn("changed", F.col("first") & F.max(F.col("filled") | F.col("replaced")).over(point)).select("key", *keys, "ts", "item", "value", *CHANGES)
 
 
+def all_new(batch: DataFrame) -> DataFrame:
+    """What `changes` makes of a batch (with first) where nothing is stored: without a shuffle but the one by lot and wafer."""
+    none = F.lit(False)
+    return batch.withColumns({"new": F.lit(True), "filled": none, "replaced": none, "changed": none}).repartition(*DEALT)
+
+
 def upsert(stored: DataFrame, batch: DataFrame, keys: list[str] = KEY7) -> DataFrame:
     """The store after a batch. A point met later than stored replaces values by its own that aren't null; else it only fills gaps.
 

@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import changes, observed_batch, observed_changes, store
+from ..functions.columns import key_hash
+from ..operators.merge import all_new, changes, observed_batch, observed_changes, store
+from ..sources.schema import KEY7
 from ..sources.tables import exists, extract
 
 COLUMNS = ["key", "lot", "wafer", "x", "y", "temp", "step", "site", "ts", "item", "value"]
@@ -84,15 +86,17 @@ class Store:
         version, attempt = 1 if state.last is None else state.last + 1, uuid.uuid4().hex
         seen, done = Observation(), Observation()
         staged = f"{self.root}/batches/attempt={attempt}"
-        observed_batch(store(long, mean=self.mean, counted=True), seen).select(*COLUMNS).write.parquet(staged)
+        staging = [c for c in COLUMNS if c != "key"]  # the hash of a point is its longest column, and follows from the others
+        observed_batch(store(long, mean=self.mean, counted=True), seen).select(*staging, "first").write.parquet(staged)
         counts = seen.get
-        merged = self.spark.read.schema(STORED).parquet(staged)
+        merged = self.spark.read.schema(f"{STORED}, first boolean").parquet(staged).select(*staging, "first")
         buckets = state.buckets or self.buckets or max(16, -(-counts["cells"] * self.batches // BUCKET_ROWS))
+        point = key_hash(*KEY7)
         bucket = F.pmod(F.xxhash64("lot"), F.lit(buckets)).cast("int").alias("bucket")
         touched = [r.bucket for r in merged.select(bucket).distinct().collect()]
-        stored = self._of({b: a for b, a in self._latest().items() if b in touched})
-        dealt = changes(stored, merged).withColumn("bucket", bucket).repartition("bucket", "lot")
-        observed_changes(dealt, done).select(*COLUMNS, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/attempt={attempt}")
+        there = {b: a for b, a in self._latest().items() if b in touched}
+        dealt = changes(self._of(there), merged.withColumn("key", point)) if there else all_new(merged).withColumn("key", point)
+        observed_changes(dealt.withColumn("bucket", bucket), done).select(*COLUMNS, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/attempt={attempt}")
         now = F.current_timestamp().alias("at")
         if files is not None:
             files.select(F.lit(attempt).alias("attempt"), "file", "rows", now).write.mode("append").parquet(f"{self.root}/log")
