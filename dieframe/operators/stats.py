@@ -120,7 +120,7 @@ def quantiles(long: DataFrame, qs: dict[str, float], by: tuple[str, ...], interp
         rank = F.floor((F.col("n") - 1) * q + 0.5) if interp == "nearest" else (F.col("n") - 1) * q
         each.append(F.struct(F.lit(name).alias("q"), low.alias("low"), high.alias("high"), rank.cast("double").alias("rank")))
     wanted = sketch.select(*by, "n", F.explode(F.array(*each)).alias("w")).select(*by, "n", "w.*")
-    met = null_safe_join(rows, wanted, by) if by else rows.crossJoin(F.broadcast(wanted))
+    met = join_groups(rows, wanted, by) if by else rows.crossJoin(F.broadcast(wanted))
     inside = F.coalesce(F.col("_v").between(F.col("low"), F.col("high")), F.lit(True))
     below = F.coalesce(F.col("_v") < F.col("low"), F.lit(False))
     place = F.when(inside, F.col("_v")).alias("_v")  # null: below the bracket
@@ -144,7 +144,8 @@ def tukey_bounds(long: DataFrame, k: float = 1.5, by: tuple[str, ...] = ("item",
 
 def join_bounds(long: DataFrame, bounds: DataFrame, by: tuple[str, ...] = ("item",)) -> DataFrame:
     """Bounds by group, or the one common row to all."""
-    return long.join(bounds.drop("n"), list(by)) if by else long.crossJoin(F.broadcast(bounds.drop("n").limit(1)))
+    known = reduce(lambda a, c: a.where(F.col(c).isNotNull()), by, long)  # a null has no bounds
+    return join_groups(known, bounds.drop("n"), by) if by else long.crossJoin(F.broadcast(bounds.drop("n").limit(1)))
 
 
 def tukey_flag(long: DataFrame, bounds: DataFrame, order: list[str], by: tuple[str, ...] = ("item",)) -> DataFrame:
@@ -218,7 +219,7 @@ def scatter_keys(points: DataFrame) -> DataFrame:
 def box_stats(long: DataFrame, by: tuple[str, ...] = ("gid", "category")) -> DataFrame:
     """Quartiles (linear), whiskers at the last values within 1.5 IQR, and the number of fliers."""
     q = quantiles(long, {"q1": 0.25, "med": 0.5, "q3": 0.75}, by).drop("n")
-    joined = null_safe_join(long, q, by).withColumn("in", F.col("value").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
+    joined = join_groups(long, q, by).withColumn("in", F.col("value").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return joined.groupBy(*by, "q1", "med", "q3").agg(F.min(F.when(F.col("in"), F.col("value"))).alias("low"), F.max(F.when(F.col("in"), F.col("value"))).alias("high"), F.count(F.when(~F.col("in"), 1)).alias("fliers"))
 
 
@@ -239,10 +240,16 @@ def lot_parts(long: DataFrame, wafer: Column, over: Column) -> DataFrame:
     return each.groupBy("gid", "lot", "item").agg(over.alias("value"), F.count("*").alias("wafers"))
 
 
-def null_safe_join(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+SHARES = 128  #: parts that the rows of each group are dealt over where they meet what was found of their groups
+
+
+def join_groups(rows: DataFrame, found: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """rows with what was found of their groups; null is a group. Few groups may hold all rows, so each is dealt over SHARES parts by chance."""
     from .joins import null_safe
 
-    return null_safe(a, b, list(by), "inner")
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    dealt = rows.withColumn("_share", F.floor(F.rand(7) * SHARES).cast("int"))
+    return null_safe(dealt, found.withColumn("_share", shares), [*by, "_share"], "inner").drop("_share")
 
 
 def trend_points(long: DataFrame, geometry: DataFrame, stat: Column, over: Column, targets: DataFrame | None = None, points: bool = False) -> DataFrame:
