@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources.tables import scratch
+from ..sources.tables import scratch, stored
 from .stats import delta, quantiles
 
 # Windows.
@@ -17,7 +17,8 @@ def center(df: DataFrame, columns: list[str], by: str = "lot") -> DataFrame:
 
 
 def median_fill(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the column's median."""
+    """Nulls become the column's median. df is computed once and read by three passes."""
+    df = stored(df)
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in columns))).alias("e")
     found = quantiles(df.select(each).select("e.*"), {"med": 0.5}, ("item",))
     medians = found.agg(*(F.max(F.when(F.col("item") == c, F.col("med"))).alias(f"_{c}") for c in columns))  # one row

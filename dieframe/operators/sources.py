@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import stored
 from .joins import numeric_aware
 
 # Summary subitems, and what items of interest are called.
@@ -181,7 +182,7 @@ def vote_factors(wafers: DataFrame, target: str, names: list[str], top: int = 10
 
     spark = wafers.sparkSession
     schema = "factor string, mean_rank double, votes int, r double, n long, gain double"
-    df = wafers.where(F.col(target).isNotNull())
+    df = stored(wafers.where(F.col(target).isNotNull()))  # read by five passes
     about = df.agg(F.count("*").alias("n"), F.countDistinct("lot").alias("lots"), *(F.count(c).alias(f"n_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
     kept = [c for c in names if about[f"n_{c}"] * 2 >= about["n"] and (about[f"s_{c}"] or 0) > 0]
     if about["n"] < least or not kept:

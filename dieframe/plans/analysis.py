@@ -30,8 +30,9 @@ def _exact(v: str) -> str:
     return EXACT.replace("value", v)
 
 
-def _excluded(spark, sf):
-    p = B.points(spark, sf).where("QTY < 3 OR QTY > 49")
+def _excluded(spark, sf, points=None):
+    """points: those of `B.points`, where they are stored already."""
+    p = (B.points(spark, sf) if points is None else points).where("QTY < 3 OR QTY > 49")
     return p.select("key", F.when(F.col("QTY") < 3, "low").otherwise("high").alias("reason"), F.lit(None).cast("string").alias("item"), F.date_add(F.lit("2026-01-01").cast("date"), F.round("QTY").cast("int")).alias("at"), F.lit("manual").alias("kind"))
 
 
@@ -172,7 +173,8 @@ def join_bounds(spark, sf):
 
 @query("join_excl_where", "SELECT e.key, p.lot, p.wafer FROM excluded e LEFT JOIN pts p ON e.key = p.key AND p.QTY < 3", "excluded")
 def join_excl_where(spark, sf):
-    return J.excluded_where(_excluded(spark, sf), B.points(spark, sf).where("QTY < 3"))
+    p = T.stored(B.points(spark, sf).select("key", "lot", "wafer", "QTY"))
+    return J.excluded_where(_excluded(spark, sf, p), p.where("QTY < 3"))
 
 
 @query("part_lookup", "SELECT lot, wafer, min(reticle) AS part FROM tracking GROUP BY lot, wafer", "tracking")
@@ -364,13 +366,13 @@ TUKEY = "SELECT key, arg_min(item, CASE item WHEN 'QTY' THEN 1 WHEN 'PRICE' THEN
 
 @query("tukey_flag", TUKEY, "bounds")
 def tukey_flag(spark, sf):
-    p = T.stored(B.points_long(spark, sf))
+    p = _key_values(spark, sf)
     return S.tukey_flag(p, S.tukey_bounds(p, 0.4), ITEMS)
 
 
 @query("tukey_summary", f"SELECT item, count(*) AS n FROM ({TUKEY}) t GROUP BY item ORDER BY n DESC, item LIMIT 3", "bounds")
 def tukey_summary(spark, sf):
-    p = T.stored(B.points_long(spark, sf))
+    p = _key_values(spark, sf)
     return S.tukey_summary(S.tukey_flag(p, S.tukey_bounds(p, 0.4), ITEMS))
 
 
@@ -525,7 +527,7 @@ def box_values(spark, sf):
 @query("box_stats", """SELECT gid, item, round(q1, 8) AS q1, round(med, 8) AS med, round(q3, 8) AS q3, min(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS low, max(value) FILTER (value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS high,
   count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS fliers FROM plong JOIN (SELECT gid, item, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM plong GROUP BY gid, item) q USING (gid, item) GROUP BY gid, item, q1, med, q3""", "plong")
 def box_stats(spark, sf):
-    return S.box_stats(T.stored(B.points_long(spark, sf)), ("gid", "item")).withColumns({c: F.round(c, 8) for c in ("q1", "med", "q3")})
+    return S.box_stats(T.stored(B.points_long(spark, sf).select("gid", "item", "value")), ("gid", "item")).withColumns({c: F.round(c, 8) for c in ("q1", "med", "q3")})
 
 
 @query("bar_means", f"SELECT gid, step AS category, {_exact('QTY')} AS value FROM pts GROUP BY gid, step", "pts")
@@ -655,26 +657,35 @@ def set_item_diff(spark, sf):
     return J.item_diff(data, rules).where("only_in = 'data'").unionByName(J.item_diff(data.where("item <> 'QTY'"), rules).where("only_in = 'rules'"))
 
 
-def _two_logs(spark, sf):
-    p = T.stored(B.points_long(spark, sf))
+def _key_values(spark, sf):
+    """key, item, value of the points, stored for several passes."""
+    return T.stored(B.points_long(spark, sf).select("key", "item", "value"))
+
+
+def _excluded_of(spark, sf, p):
+    return _excluded(spark, sf, p.where("item = 'QTY'").select("key", F.col("value").alias("QTY")))
+
+
+def _two_logs(spark, sf, p):
     flags = S.tukey_flag(p, S.tukey_bounds(p, 0.4), ITEMS)
-    return J.exclude(_excluded(spark, sf), flags, "tukey", F.lit("2026-03-01").cast("date"), "filter", F.col("item"))
+    return J.exclude(_excluded_of(spark, sf, p), flags, "tukey", F.lit("2026-03-01").cast("date"), "filter", F.col("item"))
 
 
 @query("set_union_excl", f"SELECT key FROM excluded UNION SELECT key FROM ({TUKEY}) t", "excluded", "bounds")
 def set_union_excl(spark, sf):
-    return _two_logs(spark, sf).select("key").dropDuplicates(["key"])
+    return _two_logs(spark, sf, _key_values(spark, sf)).select("key").dropDuplicates(["key"])
 
 
 @query("excl_add", f"SELECT key, 'manual' AS kind, reason, \"at\" FROM excluded UNION ALL SELECT key, 'filter', 'tukey', DATE '2026-03-01' FROM ({TUKEY}) t", "excluded", "bounds")
 def excl_add(spark, sf):
-    return _two_logs(spark, sf).select("key", "kind", "reason", "at")
+    return _two_logs(spark, sf, _key_values(spark, sf)).select("key", "kind", "reason", "at")
 
 
 @query("excl_remove", "SELECT key, reason FROM excluded WHERE reason <> 'low'", "excluded")
 def excl_remove(spark, sf):
-    log = J.include(_two_logs(spark, sf), kind="filter")
-    return J.include(log, _excluded(spark, sf).where("reason = 'low'")).select("key", "reason")
+    p = _key_values(spark, sf)
+    log = J.include(_two_logs(spark, sf, p), kind="filter")
+    return J.include(log, _excluded_of(spark, sf, p).where("reason = 'low'")).select("key", "reason")
 
 
 @query("set_union_files", "SELECT item_id, count(*) AS n FROM (SELECT item AS item_id FROM long) t GROUP BY item_id", "long")
