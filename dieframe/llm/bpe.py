@@ -2,8 +2,8 @@
 
 Two adjacent bytes that stand together inside no vocabulary token can never be merged across, so every such
 place is a certain cut. A piece of a word falls into fragments there; each is encoded on its own, and the ids
-are concatenated. Pieces never reach across white space, so long texts need no more memory than their own ids;
-what repeats (words, pieces) is kept in bounded caches.
+are concatenated. Texts are taken in slices, as arrays of bytes: each distinct word of a slice is cut into pieces once,
+each distinct piece merged once, and the ids of words and texts are gathered from those.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import json
 import re
-import struct
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -21,15 +20,23 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import released, sized, table
 
-#: White space that str.split() cuts at but that is an ordinary character to the tokenizer.
-SEPARATORS = re.compile("[\x1c-\x1f]")
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = re.compile(f"[{WHITE}]+")
+SPACES = [c.encode() for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}]", c)]
+SPACE = np.isin(np.arange(256), [c[0] for c in SPACES if len(c) == 1])  # by byte
+LONG_SPACES = np.array([int.from_bytes(c[:2]) << 8 | c[-1] for c in SPACES if len(c) > 1])  # of two bytes: the last one twice
+OTHER, LETTER, DIGIT = range(3)
+#: By byte, in words of ASCII and of U+00C0 to U+00FF, which are letters but for two signs and begin with byte LATIN.
+KIND = np.array([LETTER if b >= 0x80 or chr(b).isalpha() else DIGIT if chr(b).isdigit() else OTHER for b in range(256)], np.uint8)
+LOW = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+LATIN = 0xC3
+TIMES, DIVIDED = 0x97, 0xB7  # their second bytes; TIMES stands where a small letter has DIVIDED
+ODD = np.array([b == 0x27 or (b >= 0xC0 and b != LATIN) for b in range(256)])  # bytes of all other words, and of those with an apostrophe
 #: Letters, digits and lower-case forms that Unicode 16 added to the tables of Python's unicodedata
 #: (first and last code point; for lower case also that of the first one's lower-case form).
 NEW_LETTERS = (
@@ -49,9 +56,9 @@ END = "</w>"
 NEVER = 1 << 60  # ranks of no merge
 NO_RANK = (1 << 31) - 1  # the same in arrays
 BITS = 32  # of an id in a pair
-SLICE = 1 << 20  # bytes of text whose new words are taken together
+SLICE = 2 << 20  # bytes of text taken together
 TOGETHER = 1 << 12  # fragments merged in one go
-LONG = 48  #: letters of a fragment or piece beyond which it is not kept, and merged through a heap
+LONG = 48  #: letters of a word beyond which it is not kept, bytes of a fragment beyond which it is merged through a heap
 
 
 def byte_letters() -> list[str]:
@@ -72,8 +79,27 @@ def character_class(kind: str) -> str:
     return "".join(f"\\U{a:08x}" if b - a == 1 else f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.tolist())
 
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def parts(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values (binary or string, none null) one after the other, and where each begins and ends."""
+    if not len(values):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    edge = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]], edge - edge[0]
+
+
+def values_of(byte: np.ndarray, edge: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(byte))])
+
+
+def upto(many: np.ndarray) -> np.ndarray:
+    """0 and the sums up to each."""
+    return np.append(0, np.cumsum(many))
+
+
+def expand(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For one after the other the numbers first, first + 1, ..., so many of them."""
+    end = np.cumsum(many)
+    return np.repeat(first - end + many, many) + np.arange(end[-1] if len(end) else 0)
 
 
 class Recent(dict):
@@ -97,17 +123,11 @@ class Recent(dict):
             self.clear()
         self[key] = value
 
-    def fill(self, rows: dict) -> None:
-        if 2 * (len(self) + len(rows)) > self.most:
-            self.old = dict(self)
-            self.clear()
-        self.update(rows)
-
 
 class Vocabulary:
     """Of a tokenizer file: word-end byte-level BPE behind NFC, blank folding and lower case."""
 
-    def __init__(self, text: str, cached: int = 600_000):
+    def __init__(self, text: str, cached: int = 40_000):
         file = json.loads(text)
         model, pre = file["model"], file["pre_tokenizer"]["pretokenizers"]
         kinds = [x["type"] for x in file["normalizer"]["normalizers"]]
@@ -130,9 +150,7 @@ class Vocabulary:
         bare = [t.removesuffix(END) for t in self.ids]
         self.inside = {pair for t in bare for pair in zip(t, t[1:])}
         self._tables()
-        self.words = Recent(self._word, cached)
-        self.pieces = Recent(self._piece, cached // 4)
-        self.fragments = Recent(self._fragment, cached // 8)
+        self.found = Recent(self._found, cached)
 
     def _tables(self) -> None:
         """The same by bytes, for many pieces at once. A byte that ends its piece counts 256 more."""
@@ -154,38 +172,12 @@ class Vocabulary:
         return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], NO_RANK)
 
     def forget(self) -> None:
-        """Empties the caches."""
-        for kept in (self.words, self.pieces, self.fragments):
-            kept.clear()
-            kept.old = {}
-
-    def _fragment(self, fragment: str) -> list[int]:
-        """Merges by rank, leftmost first. A fragment that ends its piece ends with a blank."""
-        ids = self.ids
-        if fragment[-1] == " ":
-            s = [ids[x] for x in fragment[:-2]]
-            s.append(ids[fragment[-2] + END])
-        else:
-            s = [ids[x] for x in fragment]
-        if len(s) > LONG:
-            return self._long(s)
-        get, made = self.merges.get, self.made
-        pairs = [get(a << BITS | b, NEVER) for a, b in zip(s, s[1:])]
-        while pairs:
-            best = min(pairs)
-            if best == NEVER:
-                break
-            k = pairs.index(best)
-            s[k] = new = made[best]
-            del s[k + 1], pairs[k]
-            if k:
-                pairs[k - 1] = get(s[k - 1] << BITS | new, NEVER)
-            if k < len(pairs):
-                pairs[k] = get(new << BITS | s[k + 1], NEVER)
-        return s
+        """Empties the cache."""
+        self.found.clear()
+        self.found.old = {}
 
     def _long(self, s: list[int]) -> list[int]:
-        """The same merges in n log n steps: a heap of places, and links to the neighbours that are left."""
+        """Merges by rank, leftmost first, in n log n steps: a heap of places, and links to the neighbours that are left."""
         get = self.merges.get
         after, before = [*range(1, len(s)), -1], [*range(-1, len(s) - 1)]
         heap = [(m, k, a, b) for k, (a, b) in enumerate(zip(s, s[1:])) if (m := get(a << BITS | b, NEVER)) < NEVER]
@@ -204,32 +196,66 @@ class Vocabulary:
                     heapq.heappush(heap, (m, a, s[a], s[b]))
         return [x for x in s if x >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        w = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode("utf-8", "surrogatepass")])
-        if self.inside.issuperset(zip(w, w[1:])):
-            return packed(self._fragment(w + " "))
-        out, at = [], 0
-        for k, pair in enumerate(zip(w, w[1:]), 1):
-            if pair not in self.inside:
-                out += self.fragments[w[at:k]]
-                at = k
-        return packed(out + self.fragments[w[at:] + " "])
-
-    def _found(self, raw: str) -> list[str]:
-        """The pieces of a run without white space."""
+    def _found(self, raw: str) -> list[bytes]:
+        """The pieces of any word."""
         if raw.isascii():
-            return [raw.lower()] if raw.isalpha() else self.plain.findall(raw.lower())
+            return [x.encode() for x in self.plain.findall(raw.lower())]
         text = unicodedata.normalize("NFC", raw)
-        return self.pattern.findall((text.translate(LOWER) if UNUSUAL.search(text) else text).lower())
+        return [x.encode() for x in self.pattern.findall((text.translate(LOWER) if UNUSUAL.search(text) else text).lower())]
 
-    def _word(self, raw: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self._found(raw)))
+    def _words(self, byte: np.ndarray, edge: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of texts that lie between edges: distinct ones, which of them each word is, and the texts' edges among words.
 
-    def _runs(self, text: str) -> list[str]:
-        return SPACES.split(text) if SEPARATORS.search(text) else text.split()
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self._runs(text)))
+        Words are in lower case, but for those that ODD tells.
+        """
+        white = SPACE[byte]
+        at = np.flatnonzero((byte == 0xC2) | ((byte >= 0xE1) & (byte <= 0xE3)))
+        if len(at):
+            at = np.column_stack([at, at + 1, at + np.where(byte[at] == 0xC2, 1, 2)])
+            at = at[np.isin(byte[at].astype(np.int64) @ [1 << 16, 1 << 8, 1], LONG_SPACES)]
+            white[at] = True
+        inside = ~white
+        new = inside.copy()
+        new[1:] &= white[:-1]
+        begin = edge[:-1][edge[:-1] < len(byte)]
+        new[begin] = inside[begin]
+        texts = np.searchsorted(np.flatnonzero(new), edge)
+        first, byte = np.flatnonzero(new[inside]), byte[inside]
+        if not len(first):
+            return pa.array([], pa.binary()), first, texts
+        words = np.append(first, len(byte))
+        low = LOW[byte]
+        at = np.flatnonzero(byte == LATIN) + 1
+        low[at[(byte[at] < 0x9F) & (byte[at] != TIMES)]] += 32
+        odd = np.logical_or.reduceat(ODD[byte], first)
+        if odd.any():
+            low = np.where(np.repeat(odd, np.diff(words)), byte, low)
+        coded = values_of(low, words).dictionary_encode()
+        return coded.dictionary, coded.indices.to_numpy(), texts
+
+    def _pieces(self, words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The pieces of words, and each word's first one and their number."""
+        byte, edge = parts(words)
+        odd = np.logical_or.reduceat(ODD[byte], edge[:-1])
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        found = [self.found[w] for w in words.take(rest).cast(pa.string()).to_pylist()]
+        many = np.empty(len(words), np.int64)
+        many[rest] = [*map(len, found)]
+        pieces = pa.array(chain.from_iterable(found), pa.binary())
+        if len(plain):
+            byte, edge = parts(words.take(plain)) if len(rest) else (byte, edge)
+            kind = KIND[byte]
+            at = np.flatnonzero(byte == LATIN)
+            at = at[(byte[at + 1] == TIMES) | (byte[at + 1] == DIVIDED)]
+            kind[at] = kind[at + 1] = OTHER
+            new = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+            new[edge[:-1]] = True
+            first = np.flatnonzero(new)
+            many[plain] = np.diff(np.searchsorted(first, edge))
+            pieces = pa.concat_arrays([values_of(byte, np.append(first, len(byte))), pieces])
+        begin, order = np.empty(len(words), np.int64), np.append(plain, rest)
+        begin[order] = upto(many[order])[:-1]
+        return pieces, begin, many
 
     def _merged(self, byte: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each fragment has (edge: where they begin and end), and the ids. Merges go on in all fragments at once.
@@ -275,74 +301,77 @@ class Vocabulary:
                 rank[row, low] = self._lookup(s[row, low], new)
             left = s >= 0
             many[own] = left.sum(1)
-            first = np.repeat(edge[own] - np.cumsum(many[own]) + many[own], many[own])
-            ids[first + np.arange(len(first))] = s[left]
-        first = np.repeat(edge[:-1] - np.cumsum(many) + many, many)
-        return many, ids[first + np.arange(len(first))]
-
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        text = [x.encode("utf-8", "surrogatepass") for x in pieces]
-        size = np.array([*map(len, text)], np.int64)
-        end = np.cumsum(size)
-        byte = np.frombuffer(b"".join(text), np.uint8).astype(np.int64)
+            ids[expand(edge[own], many[own])] = s[left]
+        return many, ids[expand(edge[:-1], many)]
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces one after the other, and the pieces' edges among them."""
+        byte, end = parts(pieces)
+        byte = byte.astype(np.int64)
         cut = np.append(True, ~self.near[byte[:-1], byte[1:]])
         cut[end[:-1]] = True
-        byte[end - 1] += 256
+        byte[end[1:] - 1] += 256
         edge = np.append(np.flatnonzero(cut), len(byte))
         many, ids = self._merged(byte, edge)
-        upto = np.append(0, np.cumsum(many))[np.searchsorted(edge, np.append(0, end))] * 4
-        packed_ids = ids.astype("<u4").tobytes()
-        return [packed_ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
-
-    def _learn(self, words: set[str]) -> None:
-        """Puts those of the words into the cache that it lacks, all their new pieces encoded together."""
-        new = [w for w in words.difference(self.words, self.words.old) if len(w) <= LONG]
-        simple = [w for w in new if w.isalpha() and w.isascii()]  # one piece each
-        rest = [*set(new).difference(simple)]
-        low, found = [*map(str.lower, simple)], [*map(self._found, rest)]
-        pieces = [*set(low).union(*found).difference(self.pieces, self.pieces.old)]
-        made = dict(zip(pieces, self._encode_pieces(pieces))) if pieces else {}
-        piece = lambda x: made.get(x) or self.pieces[x]
-        rows = dict(zip(simple, map(piece, low)))
-        rows.update((w, b"".join(map(piece, of)) if len(of) > 1 else piece(of[0]) if of else b"") for w, of in zip(rest, found))
-        self.words.fill(rows)
-        self.pieces.fill(made)
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """The same as `encode` of each, words that are new to the cache taken together."""
-        plain = [not t or self.specials is None or not any(s in t for s in self.special) for t in texts]
-        runs = [self._runs(t) if t and p else [] for t, p in zip(texts, plain)]
-        self._learn(set().union(*runs))
-        word = self.words.__getitem__
-        return [b"".join(map(word, r)) if p else self.encode(t) for t, p, r in zip(texts, plain, runs)]
+        return ids.astype("<u4"), upto(many)[np.searchsorted(edge, end)]
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """`encode_column` of texts without special tokens."""
+        words, which, edge = self._words(*parts(texts))
+        if not len(which):
+            return np.empty(0, "<u4"), np.zeros(len(edge), np.int64)
+        pieces, first, many = self._pieces(words)
+        coded = pieces.dictionary_encode()
+        ids, at = self._encode_pieces(coded.dictionary)
+        piece = coded.indices.to_numpy()[expand(first, many)]
+        size = np.diff(at)[piece]
+        of_word = ids[expand(at[piece], size)]
+        at = upto(size)[upto(many)]
+        size = np.diff(at)[which]
+        return of_word[expand(at[which], size)], upto(size)[edge]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, as little-endian unsigned 32-bit integers, and the texts' edges among them."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        texts.validate(full=True)
+        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.special):
+            return self._encode(texts)
+        cut = [self.specials.split(t) for t in texts.to_pylist()]
+        flat = [*chain.from_iterable(cut)]
+        ids, edge = self._encode(pa.array(["" if x in self.special else x for x in flat], pa.string()))
+        own = np.array([self.special.get(x, -1) for x in flat], np.int64)
+        ids = np.insert(ids, edge[:-1][own >= 0], own[own >= 0].astype("<u4"))
+        return ids, (edge + upto(own >= 0))[upto([*map(len, cut)])]
+
+    def encode_all(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text; null and empty text: none."""
+        ids, edge = self.encode_column(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        ids, edge = ids.tobytes(), (4 * edge).tolist()
+        return [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.specials is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._plain(x) for x in self.specials.split(text))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes | None) -> str:
         return " ".join(self.tokens[np.frombuffer(ids or b"", "<u4")].tolist())
 
 
-def shared_vocabulary(spark: SparkSession, path: str, cached: int = 150_000) -> Broadcast:
+def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer file (one, of fixed size) for `vocabulary` in tasks."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast({"file": f.read(), "cached": cached})
+        return spark.sparkContext.broadcast({"file": f.read()})
 
 
 def vocabulary(shared: Broadcast) -> Vocabulary:
     """Built once a worker process, which serves many tasks: it is kept beside the broadcast file, of which a process has one copy."""
     kept = shared.value
     if "made" not in kept:
-        kept["made"] = Vocabulary(kept.pop("file"), kept["cached"])
+        kept["made"] = Vocabulary(kept.pop("file"))
     return kept["made"]
 
 
 def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataType, str]], use: Callable) -> DataFrame:
-    """docs with more columns: the rows that `use` makes of a vocabulary and values of `source`. The vocabulary (one file) is broadcast."""
+    """docs with more columns: the rows that `use` makes of a vocabulary and a batch's values of `source`. The vocabulary (one file) is broadcast."""
     clash = set(map(str.lower, made)) & set(map(str.lower, docs.columns))
     if clash:
         raise ValueError(f"columns that exist already: {sorted(clash)}")
@@ -352,7 +381,7 @@ def _add(docs: DataFrame, path: str, source: str, made: dict[str, tuple[pa.DataT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(shared)
         for part in sized(batches, names.index(source), 2048, SLICE):
-            rows = use(words, part.column(names.index(source)).to_pylist())
+            rows = use(words, part.column(names.index(source)))
             new = [pa.array([r[i] for r in rows], kind) for i, (kind, _) in enumerate(made.values())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *made])
         words.forget()  # a worker process goes on to other work
@@ -372,7 +401,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds out_col: the tokens joined by a blank, special ones included (the file names no decoder). No ids: ''."""
-    return _add(docs, path, ids_col, {out_col: (pa.string(), "string")}, lambda v, xs: [(v.decode(x),) for x in xs])
+    return _add(docs, path, ids_col, {out_col: (pa.string(), "string")}, lambda v, xs: [(v.decode(x),) for x in xs.to_pylist()])
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
@@ -381,7 +410,7 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     Nulls, special tokens and other columns are treated as `encode` and `decode` do; ids and texts stay in the task.
     """
 
-    def both(v: Vocabulary, texts: list[str | None]) -> list[tuple]:
+    def both(v: Vocabulary, texts: pa.Array) -> list[tuple]:
         return [(len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(v.decode(x).encode("utf-8")).hexdigest()) for x in v.encode_all(texts)]
 
     return _add(docs, path, text_col, {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}, both)

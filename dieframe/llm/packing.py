@@ -137,21 +137,24 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048, id_col: str =
     ids are little-endian unsigned 32-bit integers, as `bpe.encode` gives them; null without with_ids. Null and empty
     texts are `end` alone. Repeated rows and ids give pieces of their own; other columns are left out.
     """
-    shared = bpe.shared_vocabulary(docs.sparkSession, path, cached=600_000)
-    last = np.array([end], "<u4").tobytes()
+    shared = bpe.shared_vocabulary(docs.sparkSession, path)
     kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bpe.vocabulary(shared)
-        for part in sized(batches, 1, 2048, 4 * bpe.SLICE):
-            rows: dict[str, list] = {c: [] for c in kinds}
-            for doc, ids in zip(part.column(0).to_pylist(), words.encode_all(part.column(1).to_pylist())):
-                ids += last
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    one = ids[at : at + 4 * capacity]
-                    for c, v in zip(kinds, (doc, k, at // 4, len(one) // 4, zlib.crc32(one), one if with_ids else None)):
-                        rows[c].append(v)
-            yield batch_of(rows, **kinds)
+        for part in sized(batches, 1, 2048, bpe.SLICE):
+            ids, edge = words.encode_column(part.column(1))
+            ids = np.insert(ids, edge[1:], end)
+            size = np.diff(edge) + 1
+            many = -(-size // capacity)
+            doc = np.repeat(np.arange(len(size)), many)
+            k = bpe.expand(np.zeros(len(size), np.int64), many)
+            length = np.minimum(capacity, size[doc] - k * capacity)
+            at = 4 * bpe.upto(length)
+            whole = memoryview(ids.tobytes())
+            one = [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            rows = {"doc_id": part.column(0).take(pa.array(doc)), "piece": k, "start": k * capacity, "length": length, "ids_crc32": [*map(zlib.crc32, one)]}
+            yield batch_of(rows | {"ids": [*map(bytes, one)] if with_ids else [None] * len(one)}, **kinds)
         words.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -176,6 +176,28 @@ def test_bpe_of_long_words(letters):
     assert np.frombuffer(OWN.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+LATIN = list("aeAEzZ 09.!'-\n") + ["'S", "\u2003", "\xa0", "\x1d", "²", "J\u030c", "漢", "<|endoftext|>"] + [chr(c) for c in range(0xC0, 0x100)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(LATIN), max_size=40).map("".join), max_size=8))
+def test_bpe_of_latin_words(texts):
+    OWN.forget()
+    assert [np.frombuffer(x, "<u4").tolist() for x in OWN.encode_all(texts)] == [LIBRARY.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_bpe_takes_plain_words_in_arrays(monkeypatch):
+    """Words of ASCII and Latin letters aren't cut one by one, and what a word repeats, in other case or beside signs, is merged once."""
+    texts = [f"Été{k % 7} été, ÉTÉ! the The THE. x{'y' * (k % 5)}÷é" for k in range(500)] + [None, "", " \n"]
+    want = [LIBRARY.encode(x or "", add_special_tokens=False).ids for x in texts]
+    cut, merged, encode = [], [], OWN._encode_pieces
+    monkeypatch.setattr(OWN, "_found", lambda w: cut.append(w))
+    monkeypatch.setattr(OWN, "_encode_pieces", lambda pieces: merged.append(len(pieces)) or encode(pieces))
+    OWN.forget()
+    assert [np.frombuffer(x, "<u4").tolist() for x in OWN.encode_all(texts)] == want
+    assert not cut and merged == [2 + 7 + 3 + 5 + 2]  # words, digits, signs, x and ys, ÷ and é
+
+
 def test_bpe_columns(docs):
     with pytest.raises(ValueError):
         bpe.encode(bpe.encode(docs, PATH), PATH)
